@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op10_chat_format
 from .decontamination import op7_decontamination
+from .importance import op2_quality_classifier
 from .pii import op5_pii
 from .quality_rules import op6_quality_rules
 from .sentencepiece import op1_sentencepiece
 from .simhash import op3_simhash_dedup
+from .substring_dedup import op9_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
 
