@@ -15,12 +15,14 @@ from .quality_rules import op6_quality_rules
 from .sentencepiece import op1_sentencepiece
 from .simhash import op3_simhash_dedup
 from .substring_dedup import op9_substring_dedup
+from .suffix_tree import op4_lm_scoring
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
