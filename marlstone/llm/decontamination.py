@@ -29,23 +29,25 @@ NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "miles", "mile", "meters", "metres", "dollars", "euros", "cents", "pounds"]
 
 
+#: What stands between tokens; a point, comma, colon or slash between digits does not.
+BETWEEN = r"[^\p{L}\p{N}\x01-\x03.,:/]+|[.,:/](?:(?![0-9])|(?<=[^0-9][.,:/]))"
+
+
 def marked(text: Column) -> Column:
-    """Lower-cased tokens joined by one space; a placeholder's token keeps its value after the mark."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0003]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]\s)(?=\p{Lu}\p{Ll})", NAME)
-    t = F.regexp_replace(F.lower(t), r"(?<![\p{L}\p{N}.,:/])(?=\p{N})|(?<=[^\p{N}][.,:/])(?=\p{N})", NUMBER)
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}.,:/%]+|[.,:/](?!\p{{N}})|(?<!\p{{N}})[.,:/]|(?<!\p{{N}})%", " ")
-    t = F.regexp_replace(t, rf"(?<={NUMBER}[\p{{N}}.,:/]{{1,24}})[ ]?({'|'.join(UNITS)})(?=\s|$)", f" {UNIT}$1")
-    return F.trim(F.regexp_replace(t, " {2,}", " "))
+    """The lower-cased text with a mark before each name, number and unit."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", NAME)
+    t = F.regexp_replace(F.lower(t), r"(?=[0-9])(?:(?<![\p{L}\p{N}.,:/])|(?<=[^0-9][.,:/]))", NUMBER)
+    return F.regexp_replace(t, rf"(\x02[0-9.,:/]+) ?({'|'.join(UNITS)})(?=\s|$)", f"$1 {UNIT}$2")
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    return F.array_remove(F.split(line, BETWEEN), "")
 
 
 def template(line: Column) -> Column:
-    """The marked line with the values behind the marks left out."""
-    return F.regexp_replace(line, f"([{NAME}-{UNIT}])[^ ]*", "$1")
+    """The marked text with the values behind the marks left out; it has the same tokens."""
+    return F.regexp_replace(line, r"([\x01-\x03])[\p{L}\p{N}]*(?:(?<=[0-9])[.,:/][0-9][\p{L}\p{N}]*)*", "$1")
 
 
 def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) -> DataFrame:
@@ -60,17 +62,19 @@ def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) ->
     own = own.withColumn("_h", F.transform("_tok", lambda x: F.xxhash64(x)))
     hashes = F.when(
         F.size("_h") >= size,
-        F.transform(F.sequence(F.lit(0), F.size("_h") - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("_h", i + k) for k in range(size)]).alias("hash"))),
-    ).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
-    if wanted is not None:
-        hashes = F.filter(hashes, lambda x: _in_filter(x["hash"], wanted))
+        F.transform(F.sequence(F.lit(0), F.size("_h") - size), lambda i: F.xxhash64(F.slice("_h", i + 1, F.lit(size)))),
+    ).otherwise(F.array().cast("array<bigint>"))
+    own = own.withColumn("_all", hashes)
+    positions = F.sequence(F.lit(0), F.size("_all") - 1)
+    held = F.filter(positions, lambda i: _in_filter(F.get("_all", i), wanted)) if wanted is not None else positions
+    hits = F.transform(F.when(F.size("_all") > 0, held).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.get("_all", i).alias("hash")))
     least = min(LEAST_LITERAL, size)
-    own = own.withColumn("_hit", hashes)
+    own = own.withColumn("_hit", hits)
     own = own.withColumn("_raw", F.when(F.size("_hit") > 0, _tokens(F.col("_line"))))
     full = F.transform("_hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.slice("_raw", x["pos"] + 1, size).alias("raw")))
     full = F.filter(full, lambda x: F.size(F.filter(x["raw"], lambda w: F.ascii(w) > 3)) >= least)
     # Named twice, _raw is computed once for a row; named only inside the lambda, the optimizer would move it in there.
-    return own.withColumn("_win", F.when(F.size("_raw") > 0, full)).drop("_line", "_tok", "_h", "_hit", "_raw")
+    return own.withColumn("_win", F.when(F.size("_raw") > 0, full)).drop("_line", "_tok", "_h", "_all", "_hit", "_raw")
 
 
 def _in_filter(h: Column, words: Column) -> Column:
