@@ -96,7 +96,7 @@ def with_key(df: DataFrame, facts: list[str], name: str, json_columns: tuple[str
             out.append(hash_of(held))
         return pd.Series(out, dtype=str)
 
-    # Numbers travel as JSON texts, so that a null integer does not become a float on the way.
+    # A null turns its column's integers into floats on the way; canonical JSON writes both alike.
     return df.withColumn(name, key(F.struct(*[F.col(c) for c in have])))
 
 

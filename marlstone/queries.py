@@ -1,4 +1,679 @@
-"""Registry of the queries for the reference operators."""
+"""Registry: a query for each operator over the driver's tables, with the SQL that says what it returns.
 
-QUERIES = {}
-ORACLES = {}
+documents joined with labels stand for scored cases, events for the log of
+attempts, conversations for sources with outputs. Predictions are stubs: a
+function of the sha256 of an id. Ratios are rounded on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import facts, keys, parsers, similarity, text
+from .operators import filters, joins, money, responses, sampling, scores, store
+from .session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def stub(key: Column, n: int, salt: str = "") -> Column:
+    """A number below n from the first eight hex digits of sha256."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint") % n
+
+
+def stub_sql(key: str, n: int, salt: str = "") -> str:
+    return f"(CAST('0x' || substr(sha256('{salt}' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {n})"
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- cases ---
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "source"), table(spark, d, "labels")
+    k = stub(F.col("doc_id"), 10)
+    return docs.join(labels, "doc_id").select(
+        F.col("doc_id").alias("sample_id"),
+        F.col("lang").alias("language"),
+        F.col("source").alias("model"),
+        F.when(F.col("quality") == 1, "good").otherwise("bad").alias("gold"),
+        F.when(k < 6, "good").when(k < 9, "bad").alias("predicted"),
+        F.when(stub(F.col("doc_id"), 12, "s:") == 0, "PARSE_ERROR").otherwise("SUCCESS").alias("status"),
+        "toxic",
+    )
+
+
+CASES = f"""cases AS (
+  SELECT doc_id AS sample_id, lang AS language, source AS model, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS gold,
+    CASE WHEN {stub_sql('doc_id', 10)} < 6 THEN 'good' WHEN {stub_sql('doc_id', 10)} < 9 THEN 'bad' END AS predicted,
+    CASE WHEN {stub_sql('doc_id', 12, 's:')} = 0 THEN 'PARSE_ERROR' ELSE 'SUCCESS' END AS status, toxic
+  FROM documents JOIN labels USING (doc_id))"""
+
+F1 = "CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END"
+
+
+def scorecard_sql(rows: str, keys: str) -> str:
+    on = " AND ".join(f"s.{k} = m.{k}" for k in keys.split(", "))
+    own = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return f"""
+SELECT {own}, s.cases, s.correct, round(CAST(s.correct AS DOUBLE) / s.cases, 6) AS accuracy, s.invalid_outputs,
+  round(CAST(s.invalid_outputs AS DOUBLE) / s.cases, 6) AS invalid_output_rate, s.failed_cases, s.label_space_size, round(m.macro_f1, 6) AS macro_f1
+FROM (SELECT {keys}, count(*) AS cases, count(*) FILTER (predicted = gold) AS correct, count(*) FILTER (predicted IS NULL) AS invalid_outputs,
+        count(*) FILTER (status <> 'SUCCESS') AS failed_cases, count(DISTINCT gold) AS label_space_size FROM {rows} GROUP BY {keys}) s
+JOIN (SELECT {keys}, avg({F1}) AS macro_f1 FROM (
+        SELECT {', '.join('r.' + k for k in keys.split(', '))}, l.label, count(*) FILTER (gold = label AND predicted = label) AS tp,
+          count(*) FILTER (gold <> label AND predicted = label) AS fp, count(*) FILTER (gold = label AND predicted IS DISTINCT FROM label) AS fn,
+          count(*) FILTER (gold = label) AS support
+        FROM {rows} r CROSS JOIN (SELECT DISTINCT gold AS label FROM {rows}) l GROUP BY ALL) WHERE support > 0 GROUP BY {keys}) m ON {on}"""
+
+
+@query(f"WITH {CASES} {scorecard_sql('cases', 'language')}")
+def q_cls_scorecard(spark, d):
+    return rounded(scores.classification(cases(spark, d), "language"))
+
+
+@query(f"WITH {CASES}, every AS (SELECT * FROM cases UNION ALL SELECT sample_id, 'overall', model, gold, predicted, status, toxic FROM cases) {scorecard_sql('every', 'language')}")
+def q_cls_overall_rollup(spark, d):
+    return rounded(scores.classification(scores.with_overall(cases(spark, d), "language"), "language"))
+
+
+@query(f"""WITH {CASES}, labels_ AS (SELECT DISTINCT gold AS label FROM cases)
+SELECT language, label, count(*) FILTER (gold = label) AS support, count(*) FILTER (gold = label AND predicted = label) AS tp,
+  count(*) FILTER (gold <> label AND predicted = label) AS fp, count(*) FILTER (gold = label AND predicted IS DISTINCT FROM label) AS fn
+FROM cases CROSS JOIN labels_ GROUP BY ALL HAVING count(*) FILTER (gold = label OR predicted = label) > 0""")
+def q_confusion_by_label(spark, d):
+    return scores.confusion(cases(spark, d), "language")
+
+
+def _halu(spark, d):
+    k = stub(F.col("sample_id"), 10, "h:")
+    label = F.when(k < 5, "HALLUCINATED").when(k < 9, "SUPPORTED")
+    gold = F.when(F.col("toxic") == 1, "HALLUCINATED").otherwise("SUPPORTED")
+    return cases(spark, d).select("sample_id", "language", "model", gold.alias("gold"), label.alias("predicted"), "status")
+
+
+HALU = f"""halu AS (SELECT sample_id, language, model, status, CASE WHEN toxic = 1 THEN 'HALLUCINATED' ELSE 'SUPPORTED' END AS gold,
+  CASE WHEN {stub_sql('sample_id', 10, 'h:')} < 5 THEN 'HALLUCINATED' WHEN {stub_sql('sample_id', 10, 'h:')} < 9 THEN 'SUPPORTED' END AS predicted FROM cases)"""
+
+
+def _prf_sql(label: str, name: str) -> tuple[str, str]:
+    counts = f"""count(*) FILTER (status = 'SUCCESS' AND gold = '{label}' AND predicted = '{label}') AS {name}_tp,
+    count(*) FILTER (status = 'SUCCESS' AND gold <> '{label}' AND predicted = '{label}') AS {name}_fp,
+    count(*) FILTER (status = 'SUCCESS' AND gold = '{label}' AND predicted IS DISTINCT FROM '{label}') AS {name}_fn"""
+    tp, fp, fn = (f"{name}_{x}" for x in ("tp", "fp", "fn"))
+    out = f"""CASE WHEN {tp} + {fp} = 0 THEN 0.0 ELSE round(CAST({tp} AS DOUBLE) / ({tp} + {fp}), 6) END AS {name}_precision,
+    CASE WHEN {tp} + {fn} = 0 THEN 0.0 ELSE round(CAST({tp} AS DOUBLE) / ({tp} + {fn}), 6) END AS {name}_recall,
+    CASE WHEN {tp} = 0 THEN 0.0 ELSE round(CAST(2 * {tp} AS DOUBLE) / (2 * {tp} + {fp} + {fn}), 6) END AS {name}_f1"""
+    return counts, out
+
+
+_S, _H = _prf_sql("SUPPORTED", "supported"), _prf_sql("HALLUCINATED", "hallucination")
+_F1 = "CASE WHEN {0}_tp = 0 THEN 0.0 ELSE CAST(2 * {0}_tp AS DOUBLE) / (2 * {0}_tp + {0}_fp + {0}_fn) END"
+
+
+@query(f"""WITH {CASES}, {HALU}, c AS (SELECT language, count(*) AS cases, count(*) FILTER (status = 'SUCCESS') AS scored_cases, count(*) FILTER (status <> 'SUCCESS') AS failed_cases,
+    count(*) FILTER (status = 'SUCCESS' AND predicted IS NOT NULL) AS valid_outputs, count(*) FILTER (status = 'SUCCESS' AND predicted IS NULL) AS invalid_outputs,
+    count(*) FILTER (status = 'SUCCESS' AND predicted = gold) AS correct, {_S[0]}, {_H[0]} FROM halu GROUP BY language)
+  SELECT language, cases, scored_cases, failed_cases, valid_outputs, invalid_outputs, round(CAST(invalid_outputs AS DOUBLE) / cases, 6) AS invalid_output_rate,
+    round(CAST(correct AS DOUBLE) / cases, 6) AS accuracy, {_S[1]}, {_H[1]}, round(({_F1.format('supported')} + {_F1.format('hallucination')}) / 2, 6) AS macro_f1 FROM c""")
+def q_halu_scorecard(spark, d):
+    return rounded(scores.hallucination(_halu(spark, d), "language"))
+
+
+@query(f"WITH {CASES} SELECT language, count(*) AS cases, count(DISTINCT sample_id // 2) AS documents FROM cases GROUP BY language")
+def q_halu_documents(spark, d):
+    return cases(spark, d).groupBy("language").agg(F.count("*").alias("cases"), F.countDistinct(F.expr("sample_id div 2")).alias("documents"))
+
+
+REPLIES = ["SUPPORTED", "Label: hallucinated.", "Either SUPPORTED or HALLUCINATED", "SUPPORTED, not HALLUCINATED", "yes", "No", "unclear", "", "HALLUCINATED SUPPORTED!"]
+
+
+@query(f"""WITH r AS (SELECT doc_id, list_value({', '.join("'" + x.replace("'", "''") + "'" for x in REPLIES)})[doc_id % {len(REPLIES)} + 1] AS reply FROM documents),
+u AS (SELECT doc_id, reply, regexp_matches(upper(reply), '\\bSUPPORTED\\b') AS s, regexp_matches(upper(reply), '\\bHALLUCINATED\\b') AS h,
+  regexp_replace(upper(trim(reply)), '[.!?]+$', '') AS tail FROM r)
+SELECT doc_id, CASE WHEN reply = '' THEN NULL WHEN s AND NOT h THEN 'SUPPORTED' WHEN h AND NOT s THEN 'HALLUCINATED' WHEN s AND h THEN
+  CASE WHEN tail LIKE '%SUPPORTED' THEN 'SUPPORTED' WHEN tail LIKE '%HALLUCINATED' THEN 'HALLUCINATED' END
+  WHEN tail IN ('SUPPORT', 'SUPPORTS', 'TRUE', 'YES') THEN 'SUPPORTED' WHEN tail IN ('HALLUCINATION', 'UNSUPPORTED', 'FALSE', 'NO') THEN 'HALLUCINATED' END AS label FROM u""")
+def q_parse_halu_label(spark, d):
+    reply = F.get(F.array(*[F.lit(x) for x in REPLIES]), (F.col("doc_id") % len(REPLIES)).cast("int"))
+    return table(spark, d, "documents").select("doc_id", parsers.hallucination_label(reply).alias("label"))
+
+
+@query(f"""SELECT doc_id, i AS item, CASE i WHEN 1 THEN doc_id % 7 + 1 - 1 WHEN 2 THEN CASE WHEN doc_id % 11 BETWEEN 1 AND 10 THEN doc_id % 11 - 1 END END AS label
+FROM documents, range(1, 4) t(i)""")
+def q_parse_batch_lines(spark, d):
+    c = F.col("doc_id")
+    reply = F.concat(F.lit("- 1: "), (c % 7 + 1).cast("string"), F.lit("\n2) "), (c % 11).cast("string"), F.lit("\n1: 9\n3: 99\nok"))
+    answers = parsers.batch_answers(reply, 3, 10)
+    return table(spark, d, "documents").select("doc_id", F.posexplode(answers).alias("item", "label")).select("doc_id", (F.col("item") + 1).cast("bigint").alias("item"), F.col("label").cast("bigint").alias("label"))
+
+
+@query("""SELECT doc_id, i AS item, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN i = 1 THEN CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'fr' THEN 2 END WHEN i = 2 THEN 1 END AS label
+FROM documents, range(1, 4) t(i)""")
+def q_parse_json_batch(spark, d):
+    listed = F.when(F.col("doc_id") % 5 == 0, F.array("lang", F.lit("en"))).otherwise(F.array("lang", F.lit("en"), F.lit("xx")))
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(listed.alias("answers"))), F.lit("\n```"))
+    answers = parsers.batch_json_answers(reply, 3, F.array(*[F.lit(x) for x in ("de", "en", "fr")]))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(answers).alias("item", "label")).select("doc_id", (F.col("item") + 1).cast("bigint").alias("item"), F.col("label").cast("bigint").alias("label"))
+
+
+@query("SELECT doc_id, CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'fr' THEN 2 END AS BIGINT) AS label FROM documents")
+def q_parse_single_label(spark, d):
+    reply = F.concat(F.lit(' "'), "lang", F.lit('" '))
+    return table(spark, d, "documents").select("doc_id", parsers.single_label(reply, F.array(*[F.lit(x) for x in ("de", "en", "fr")])).cast("bigint").alias("label"))
+
+
+@query("""SELECT doc_id, doc_id % 5 + 1 AS faithfulness, CASE WHEN doc_id % 6 BETWEEN 1 AND 5 THEN doc_id % 6 END AS coverage FROM documents WHERE doc_id % 6 BETWEEN 1 AND 5""")
+def q_parse_judgement(spark, d):
+    c = F.col("doc_id")
+    value = F.struct((c % 5 + 1).alias("faithfulness"), (c % 6 + 0.5).alias("coverage"), F.lit(3).alias("coherence"), F.lit(4).alias("conciseness"), F.lit("fine").alias("rationale"))
+    found = parsers.judgement(F.concat(F.lit("```json\n"), F.to_json(value), F.lit("\n```")))
+    return table(spark, d, "documents").select("doc_id", found.alias("j")).where("j is not null").select("doc_id", F.col("j.faithfulness").cast("bigint").alias("faithfulness"), F.col("j.coverage").cast("bigint").alias("coverage"))
+
+
+# --- samples ---
+
+
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('20240917:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20")
+def q_take_topn(spark, d):
+    return sampling.take_top(table(spark, d, "documents").select("doc_id", "lang"), 20, "doc_id", ["lang"]).select("lang", "doc_id")
+
+
+@query("""WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('20240917:' || doc_id), doc_id) AS turn FROM documents),
+c AS (SELECT * FROM t ORDER BY turn, source LIMIT 50)
+SELECT doc_id, source, row_number() OVER (ORDER BY sha256('20240917:order:' || doc_id), doc_id) AS position FROM c""")
+def q_round_robin(spark, d):
+    return sampling.round_robin(table(spark, d, "documents").select("doc_id", "source"), 50, "doc_id", "source").select("doc_id", "source", F.col("position").cast("bigint").alias("position"))
+
+
+@query("""SELECT doc_id, tier FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 1 WHEN quality = 0 THEN 2 ELSE 3 END AS tier FROM documents JOIN labels USING (doc_id))
+ORDER BY tier, sha256('20240917:' || doc_id), doc_id LIMIT 100""")
+def q_tiered_fill(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id")
+    tier = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 0, 2).otherwise(3)
+    return sampling.tiered_fill(rows, 100, "doc_id", tier).select("doc_id", "tier")
+
+
+@query("""SELECT lang, b AS batch, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS items
+FROM (SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 20 AS b FROM documents) GROUP BY lang, b""")
+def q_batching(spark, d):
+    made = sampling.batches(table(spark, d, "documents").select("doc_id", "lang"), 20, ["lang"], "doc_id")
+    return made.select("lang", "batch", F.size("items").cast("bigint").alias("n"), F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"))
+
+
+@query("""SELECT doc_id, CAST(c AS INTEGER) AS case_no, CASE c WHEN 0 THEN 'SUPPORTED' ELSE 'HALLUCINATED' END AS gold_label, CASE c WHEN 0 THEN lang ELSE source END AS candidate
+FROM documents, range(0, 2) t(c)""")
+def q_two_case_expand(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return sampling.cases(docs, "doc_id", [("SUPPORTED", "lang"), ("HALLUCINATED", "source")]).select("doc_id", "case_no", "gold_label", "candidate")
+
+
+@query("""WITH e AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'en'), f AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'fr')
+SELECT e.id, e.source FROM e WHERE EXISTS (SELECT 1 FROM f WHERE f.id = e.id AND f.source = e.source)""")
+def q_pair_ids(spark, d):
+    docs = table(spark, d, "documents").select(F.expr("doc_id div 2").alias("id"), "source", "lang")
+    return joins.paired(docs.where("lang = 'en'"), docs.where("lang = 'fr'"), "id", "source").select("id", "source")
+
+
+# --- text and filters ---
+
+TEXT_TOKENS = """CASE WHEN text = '' THEN 0 ELSE CAST(floor(length(regexp_replace(text, '[^\\x21-\\x7E]', '', 'g')) / 4.0
+  + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / 2.5 + (length(text) - length(replace(text, chr(10), ''))) * 0.5 + 0.999) AS BIGINT) END"""
+
+
+@query(f"SELECT doc_id, {TEXT_TOKENS} AS tokens FROM documents")
+def q_est_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT 'latin' AS profile, count(*) AS n FROM documents")
+def q_script_profile(spark, d):
+    return table(spark, d, "documents").groupBy(text.script_profile(F.col("text")).alias("profile")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, t <> '' AND tokens <= 80 AND regexp_matches(lower(t), '\\bi cannot\\b|\\bi''m sorry\\b') AS refusal
+FROM (SELECT conv_id, turn, text AS t, {TEXT_TOKENS} AS tokens FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'I''m sorry, I cannot do that. ' || substr(text, 1, 400) ELSE text END AS text FROM conversations))""")
+def q_refusal(spark, d):
+    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("I'm sorry, I cannot do that. "), F.substring("text", 1, 400))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.is_refusal(said).alias("refusal"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, length(text) AS n, {TEXT_TOKENS} AS tokens FROM documents)
+SELECT lang, count(*) AS rows, count(*) FILTER (tokens >= 120 AND n % 3 <> 0 AND tokens <= 1600) AS kept, count(*) FILTER (tokens < 120) AS dropped_short,
+  count(*) FILTER (tokens >= 120 AND n % 3 = 0) AS dropped_divisible, count(*) FILTER (tokens > 1600 AND n % 3 <> 0) AS dropped_long FROM t GROUP BY lang""")
+def q_filter_audit(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"), text.token_estimate(F.col("text")).alias("tokens"))
+    rules = [("short", F.col("tokens") >= filters.XLSUM_SOURCE), ("divisible", F.col("n") % 3 != 0), ("long", F.col("tokens") <= filters.AIHUB_SOURCE)]
+    return filters.audit(docs, rules, "lang")
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(text), '[.!?]\s+|\n+'), lambda x: trim(x) <> '')) AS BIGINT) AS n FROM documents""")
+def q_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("bigint").alias("n"))
+
+
+@query()
+def q_truncate(spark, d):
+    cut = text.truncate_to_tokens(F.col("text"), 100)
+    return table(spark, d, "documents").select("doc_id", cut.alias("t")).select("doc_id", F.col("t.truncated").alias("truncated"), F.length("t.text").alias("n"), F.sha2("t.text", 256).alias("sha"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN t = '' THEN '(no error message)' ELSE substr(t, 1, 300) END AS message FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+def q_error_summary(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.error_summary(F.col("text")).alias("message"))
+
+
+# --- sets ---
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT source)), ',') AS labels, count(DISTINCT source) AS n FROM documents")
+def q_label_space(spark, d):
+    labels = F.array_sort(F.collect_set("source"))
+    return table(spark, d, "documents").agg(F.array_join(labels, ",").alias("labels"), F.countDistinct("source").alias("n"))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels WHERE quality = 1")
+def q_set_intersect(spark, d):
+    return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def q_set_except(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
+
+
+@query("SELECT lang AS label FROM documents UNION SELECT source FROM documents")
+def q_set_union(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("lang").alias("label")).union(docs.select("source")).distinct()
+
+
+@query("SELECT lang AS label, count(*) AS n FROM (SELECT lang FROM documents WHERE lang = 'en' UNION ALL SELECT lang FROM documents WHERE lang = 'fr') GROUP BY lang")
+def q_set_concat(spark, d):
+    docs = table(spark, d, "documents").select(F.col("lang").alias("label"))
+    return docs.where("label = 'en'").unionByName(docs.where("label = 'fr'")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang IN ('en', 'fr') AS factual, source = 'src1' AS single FROM documents")
+def q_set_tests(spark, d):
+    types = F.array("lang")
+    return table(spark, d, "documents").select("doc_id", filters.is_factual(types, ["en", "fr"]).alias("factual"), filters.is_only(F.array("source", "source"), "src1").alias("single"))
+
+
+# --- summaries ---
+
+
+def generations(spark, d):
+    """A user's turn and the assistant's next one."""
+    rows = table(spark, d, "conversations")
+    user = rows.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    said = rows.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("output_text"))
+    return user.join(said, ["conv_id", "turn"])
+
+
+@query(f"""WITH g AS (SELECT u.conv_id, a.turn, u.text AS source, a.text AS output FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+t AS (SELECT conv_id, turn, output, (SELECT {TEXT_TOKENS} FROM (SELECT source AS text)) AS src, (SELECT {TEXT_TOKENS} FROM (SELECT output AS text)) AS own,
+  CASE WHEN conv_id % 9 = 0 THEN 'RATE_LIMIT' ELSE 'SUCCESS' END AS status FROM g)
+SELECT turn, count(*) AS cases, count(*) FILTER (status = 'SUCCESS') AS scored_cases, count(*) FILTER (status <> 'SUCCESS') AS failed_cases,
+  round(coalesce(avg(CAST(own AS DOUBLE) / nullif(src, 0)) FILTER (status = 'SUCCESS' AND trim(output) <> ''), 0.0), 6) AS compression_ratio,
+  round(coalesce(avg(own) FILTER (status = 'SUCCESS'), 0.0), 6) AS output_tokens_mean, round(coalesce(avg(length(output)) FILTER (status = 'SUCCESS'), 0.0), 6) AS output_chars_mean,
+  round(CAST(count(*) FILTER (status = 'SUCCESS' AND trim(output) = '') AS DOUBLE) / count(*), 6) AS empty_output_rate, 0.0 AS refusal_rate
+FROM t GROUP BY turn""")
+def q_summ_aggregate(spark, d):
+    rows = generations(spark, d).select(
+        "turn", "output_text", text.token_estimate(F.col("source")).alias("source_tokens_est"), text.token_estimate(F.col("output_text")).alias("output_tokens_est"),
+        text.is_refusal(F.col("output_text")).alias("refusal"), F.when(F.col("conv_id") % 9 == 0, "RATE_LIMIT").otherwise("SUCCESS").alias("status"),
+    )
+    return rounded(scores.summarization(rows, "turn"))
+
+
+@query()
+def q_rouge(spark, d):
+    return rounded(generations(spark, d).select("conv_id", "turn", similarity.rouge(F.col("source"), F.col("output_text")).alias("r")).select("conv_id", "turn", "r.*"))
+
+
+@query()
+def q_chrf(spark, d):
+    return rounded(generations(spark, d).select("conv_id", "turn", similarity.chrf(F.col("source"), F.col("output_text")).alias("chrf")))
+
+
+@query()
+def q_fact_support(spark, d):
+    rows = generations(spark, d).select("conv_id", "turn", facts.check_support(F.col("source"), F.col("output_text")).alias("f"))
+    return rounded(rows.select("conv_id", "turn", "f.*").drop("unsupported_examples"))
+
+
+@query()
+def q_fact_aggregate(spark, d):
+    rows = generations(spark, d).select("turn", facts.check_support(F.col("source"), F.col("output_text")).alias("f")).select("turn", "f.*")
+    return rounded(facts.aggregate_support(rows, "turn"))
+
+
+@query(r"""SELECT doc_id, list_transform(regexp_extract_all(t, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), lambda x: CAST(x AS DOUBLE)) AS found
+FROM (SELECT doc_id, 'up ' || (doc_id % 90) || '.5% and ' || (doc_id % 7) || ' % of it' AS t FROM documents)""")
+def q_facts_percent(spark, d):
+    c = F.col("doc_id")
+    said = F.concat(F.lit("up "), (c % 90).cast("string"), F.lit(".5% and "), (c % 7).cast("string"), F.lit(" % of it"))
+    found = F.filter(facts.extract(said), lambda f: f["category"] == "percentage")
+    return table(spark, d, "documents").select("doc_id", F.transform(found, lambda f: f["value"]).alias("found"))
+
+
+@query("SELECT doc_id, ['lima ' || doc_id % 5, 'oslo'] AS found FROM (SELECT doc_id FROM documents)".replace("'lima ' || doc_id % 5", "'lima' || chr(CAST(97 + doc_id % 5 AS INTEGER))"))
+def q_facts_entities(spark, d):
+    name = F.concat(F.lit("Lima"), F.chr(F.lit(97) + F.col("doc_id") % 5))
+    said = F.concat(F.lit("The road from "), name, F.lit(" to Oslo. It was on Monday. Oslo again."))
+    found = F.filter(facts.extract(said), lambda f: f["category"] == "entity")
+    return table(spark, d, "documents").select("doc_id", F.transform(found, lambda f: f["normalized"]).alias("found"))
+
+
+@query(f"""WITH {CASES} SELECT language, count(*) AS judged, count(*) FILTER (k = 0) AS invalid, round(avg(CASE WHEN k > 0 THEN k END), 6) AS faithfulness, round(avg(CASE WHEN k > 0 THEN 6 - k END), 6) AS coverage
+FROM (SELECT language, {stub_sql('sample_id', 6, 'j:')} AS k FROM cases UNION ALL SELECT 'overall', {stub_sql('sample_id', 6, 'j:')} FROM cases) GROUP BY language""")
+def q_judge_aggregate(spark, d):
+    k = stub(F.col("sample_id"), 6, "j:")
+    rows = cases(spark, d).select("language", F.when(k > 0, k).alias("faithfulness"), F.when(k > 0, 6 - k).alias("coverage"))
+    return rounded(scores.judge(scores.with_overall(rows, "language"), ("faithfulness", "coverage"), "language"))
+
+
+CROSS_RATES = ", ".join(f"round(CAST({k} AS DOUBLE) / paired_cases, 6) AS {k}_rate" for k in ("both_correct", "en_only_correct", "ko_only_correct", "both_wrong"))
+
+
+@query(f"""WITH {CASES}, r AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sample_id) AS sid FROM cases),
+p AS (SELECT a.gold = coalesce(a.predicted, '') AS ok_a, b.gold = coalesce(b.predicted, '') AS ok_b, coalesce(a.predicted = b.predicted, false) AS same FROM r a JOIN r b USING (sid) WHERE a.language = 'en' AND b.language = 'fr'),
+c AS (SELECT count(*) AS paired_cases, count(*) FILTER (same) AS same, count(*) FILTER (ok_a = ok_b) AS eq, count(*) FILTER (ok_a AND ok_b) AS both_correct, count(*) FILTER (ok_a AND NOT ok_b) AS en_only_correct,
+  count(*) FILTER (NOT ok_a AND ok_b) AS ko_only_correct, count(*) FILTER (NOT ok_a AND NOT ok_b) AS both_wrong FROM p)
+SELECT paired_cases, round(CAST(same AS DOUBLE) / paired_cases, 6) AS prediction_agreement, round(CAST(eq AS DOUBLE) / paired_cases, 6) AS consistency, both_correct, en_only_correct, ko_only_correct, both_wrong, {CROSS_RATES} FROM c""")
+def q_cross_lingual(spark, d):
+    rows = sampling.row_index(cases(spark, d), ["language"], "sample_id", name="semantic_id")
+    return rounded(scores.cross_lingual(rows.where("language = 'en'"), rows.where("language = 'fr'")))
+
+
+# --- modes and leaderboard ---
+
+
+def _mode_scores(spark, d):
+    own = cases(spark, d)
+    other = own.withColumn("predicted", F.when(stub(F.col("sample_id"), 10, "m:") < 8, F.col("gold")))
+    both = own.withColumn("mode", F.lit("text")).unionByName(other.where("model <> 'src3'").withColumn("mode", F.lit("json_schema")))
+    return scores.classification(both, "model", "language", "mode")
+
+
+MODES = f"""both_ AS (SELECT sample_id, language, model, gold, predicted, status, 'text' AS mode FROM cases
+  UNION ALL SELECT sample_id, language, model, gold, CASE WHEN {stub_sql('sample_id', 10, 'm:')} < 8 THEN gold END, status, 'json_schema' FROM cases WHERE model <> 'src3')"""
+
+
+@query(f"""WITH {CASES}, {MODES}, s AS (SELECT model, language, mode, CAST(count(*) FILTER (predicted = gold) AS DOUBLE) / count(*) AS accuracy,
+    CAST(count(*) FILTER (predicted IS NULL) AS DOUBLE) / count(*) AS invalid_output_rate FROM both_ GROUP BY ALL)
+SELECT a.model, a.language, round(a.accuracy, 6) AS text_accuracy, round(b.accuracy, 6) AS json_accuracy, round(b.accuracy - a.accuracy, 6) AS delta_accuracy,
+  round(b.invalid_output_rate - a.invalid_output_rate, 6) AS delta_invalid_output_rate
+FROM s a JOIN s b ON a.model = b.model AND a.language = b.language AND a.mode = 'text' AND b.mode = 'json_schema'""")
+def q_mode_deltas(spark, d):
+    made = scores.mode_deltas(_mode_scores(spark, d))
+    return rounded(made.select("model", "language", "text_accuracy", "json_accuracy", "delta_accuracy", "delta_invalid_output_rate"))
+
+
+@query(f"""WITH {CASES} SELECT model, count(*) AS cases, round(CAST(count(*) FILTER (predicted = gold) AS DOUBLE) / count(*), 6) AS accuracy,
+  row_number() OVER (ORDER BY round(CAST(count(*) FILTER (predicted = gold) AS DOUBLE) / count(*), 6) DESC, model) AS rank FROM cases GROUP BY model""")
+def q_leaderboard(spark, d):
+    from .reports.tables import ranked
+
+    own = rounded(scores.classification(cases(spark, d), "model")).select("model", "cases", "accuracy")
+    return ranked(own, "accuracy", "model")
+
+
+# --- store ---
+
+KEYED = "documents_ AS (SELECT doc_id, lang, source, 'k' || doc_id AS cache_key, CAST(length(text) AS BIGINT) AS n FROM documents)"
+RESULTS = f"results AS (SELECT 'k' || doc_id AS cache_key, CASE WHEN {stub_sql('doc_id', 4, 'r:')} = 0 THEN 'RATE_LIMIT' ELSE 'SUCCESS' END AS status, CAST(quality AS DOUBLE) / 8 AS usage_cost FROM labels)"
+
+
+def _tasks(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("cache_key"), F.length("text").cast("bigint").alias("n"))
+
+
+def _results(spark, d):
+    ok = F.when(stub(F.col("doc_id"), 4, "r:") == 0, "RATE_LIMIT").otherwise("SUCCESS")
+    return table(spark, d, "labels").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("cache_key"), ok.alias("status"), (F.col("quality") / 8).alias("usage_cost"))
+
+
+@query(f"WITH {KEYED}, {RESULTS} SELECT t.cache_key, t.lang FROM documents_ t LEFT JOIN results r USING (cache_key) WHERE r.cache_key IS NULL OR r.status <> 'SUCCESS'")
+def q_pending_antijoin(spark, d):
+    return joins.pending(_tasks(spark, d), _results(spark, d), retry_failed=True).select("cache_key", "lang")
+
+
+@query(f"WITH {KEYED}, {RESULTS} SELECT count(*) AS hits, sum(usage_cost) AS cached_cost FROM documents_ JOIN results USING (cache_key) WHERE status = 'SUCCESS'")
+def q_cache_hits_semijoin(spark, d):
+    return joins.cached_cost(_tasks(spark, d), _results(spark, d))
+
+
+EVENTS = """ev AS (SELECT event_id, ts, 'm' || user_id AS model_id, event_type AS benchmark, CASE WHEN event_type = 'error' THEN 'RATE_LIMIT' ELSE 'SUCCESS' END AS status, value AS usage_cost,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_tokens FROM events)"""
+
+
+def events(spark, d):
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, d, "events").select(
+        "event_id", "ts", F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"), F.col("event_type").alias("benchmark"),
+        F.when(F.col("event_type") == "error", "RATE_LIMIT").otherwise("SUCCESS").alias("status"), F.col("value").alias("usage_cost"), k.alias("total_tokens"),
+    )
+
+
+@query(f"""WITH {EVENTS} SELECT model_id, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY (status = 'SUCCESS') DESC, ts DESC, event_id DESC) AS r FROM ev) WHERE r = 1""")
+def q_result_upsert(spark, d):
+    return store.sticky_success(events(spark, d), "model_id", ["ts", "event_id"]).select("model_id", "event_id", "status")
+
+
+@query(f"WITH {EVENTS} SELECT model_id, benchmark, event_id FROM (SELECT *, row_number() OVER (PARTITION BY model_id, benchmark ORDER BY ts DESC, event_id DESC) AS r FROM ev) WHERE r = 1")
+def q_latest_per_key(spark, d):
+    return store.last_wins(events(spark, d), ["model_id", "benchmark"], ["ts", "event_id"]).select("model_id", "benchmark", "event_id")
+
+
+@query("SELECT 's' || source AS sample_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def q_insert_absent(spark, d):
+    new = store.absent(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
+    return new.groupBy(F.concat(F.lit("s"), "source").alias("sample_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT benchmark, round(coalesce(sum(usage_cost), 0), 6) AS cost FROM ev GROUP BY benchmark")
+def q_cost_by_benchmark(spark, d):
+    return rounded(money.cost_share(events(spark, d), "benchmark").select("benchmark", "cost"))
+
+
+@query(f"""WITH {EVENTS} SELECT model_id, count(*) AS attempts, round(sum(usage_cost), 6) AS total_cost, round(sum(CASE WHEN status = 'SUCCESS' THEN usage_cost ELSE 0 END), 6) AS success_cost,
+  round(sum(CASE WHEN status <> 'SUCCESS' THEN usage_cost ELSE 0 END), 6) AS error_cost, count(*) FILTER (status <> 'SUCCESS') AS failed_attempts FROM ev GROUP BY model_id""")
+def q_attempt_costs(spark, d):
+    return rounded(money.attempt_costs(events(spark, d), "model_id"))
+
+
+@query(f"WITH {EVENTS} SELECT model_id, count(*) AS requests, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, round(coalesce(sum(usage_cost), 0), 6) AS usage_cost FROM ev WHERE status = 'SUCCESS' GROUP BY model_id")
+def q_usage_totals(spark, d):
+    return rounded(money.usage_totals(events(spark, d), "model_id"))
+
+
+@query(f"WITH {EVENTS} SELECT model_id, benchmark, status, count(*) AS n, round(coalesce(sum(usage_cost), 0), 6) AS cost FROM ev GROUP BY GROUPING SETS ((model_id, benchmark, status), ())")
+def q_global_stats(spark, d):
+    return rounded(money.global_stats(events(spark, d)))
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT model_id FROM ev")
+def q_distinct_models(spark, d):
+    return events(spark, d).select("model_id").distinct()
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_props(spark, d):
+    v = F.try_parse_json("props")
+    return table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS prompt_tokens, event_id % 50 AS completion_tokens,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) + event_id % 50 AS total_tokens, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS usage_cost FROM events""")
+def q_usage_flatten(spark, d):
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    body = F.struct(k.alias("input_tokens"), (F.col("event_id") % 50).alias("completion_tokens"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("cost"))
+    raw = F.to_json(F.struct(body.alias("usage")))
+    own = table(spark, d, "events").select("event_id", responses.usage(raw).alias("u"))
+    return own.select("event_id", *[f"u.{c}" for c in ("prompt_tokens", "completion_tokens", "total_tokens", "usage_cost")])
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'RATE_LIMIT' WHEN 1 THEN 'OPENROUTER_ERROR' WHEN 2 THEN 'PARSE_ERROR' ELSE 'SUCCESS' END AS status FROM events")
+def q_response_status(spark, d):
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.lit('{"error":{"code":429,"message":"slow"}}')).when(k == 1, F.lit('{"error":{"code":500}}')).when(k == 2, F.lit("not json")).otherwise(F.lit('{"choices":[]}'))
+    return table(spark, d, "events").select("event_id", responses.status(raw).alias("status"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'a' || event_type WHEN 2 THEN event_type ELSE '' END AS output_text FROM events")
+def q_response_text(spark, d):
+    e, k = F.col("event_type"), F.col("event_id") % 4
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"choices":[{"message":{"content":"'), e, F.lit('"}}]}')))
+        .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"content":[{"type":"text","text":"a"},{"type":"text","text":"'), e, F.lit('"}]}}]}')))
+        .when(k == 2, F.concat(F.lit('{"answers":{"answer":{"choice":"'), e, F.lit('"}}}')))
+        .otherwise(F.lit("{}"))
+    )
+    return table(spark, d, "events").select("event_id", responses.output_text(raw).alias("output_text"))
+
+
+# --- money ---
+
+TASKS = "tasks AS (SELECT source AS benchmark, lang AS language, length(text) AS est_input_tokens, doc_id % 40 AS est_output_tokens, doc_id % 3 = 0 AS cached FROM documents)"
+
+
+@query(f"""WITH {TASKS}, s AS (SELECT benchmark, language, CAST(grouping(benchmark, language) AS INTEGER) AS level, count(*) AS total_tasks, count(*) FILTER (cached) AS cached_tasks, count(*) FILTER (NOT cached) AS pending_tasks,
+  CAST(count(*) * 2 AS BIGINT) AS total_cases, CAST(count(*) FILTER (NOT cached) * 2 AS BIGINT) AS pending_cases, CAST(coalesce(sum(est_input_tokens) FILTER (NOT cached), 0) AS BIGINT) AS est_input_tokens,
+  CAST(coalesce(sum(est_output_tokens) FILTER (NOT cached), 0) AS BIGINT) AS est_output_tokens, sum(est_input_tokens) AS i, sum(est_output_tokens) AS o FROM tasks GROUP BY ROLLUP (benchmark, language))
+SELECT benchmark, language, level, total_tasks, cached_tasks, pending_tasks, total_cases, pending_cases, est_input_tokens, est_output_tokens,
+  round(CAST(est_input_tokens AS DOUBLE) / 1000000 * 0.25 + CAST(est_output_tokens AS DOUBLE) / 1000000 * 1.5, 9) AS est_cost,
+  round(CAST(i AS DOUBLE) / 1000000 * 0.25 + CAST(o AS DOUBLE) / 1000000 * 1.5, 9) AS est_cost_without_cache FROM s""")
+def q_estimate_rollup(spark, d):
+    docs = table(spark, d, "documents").select(
+        F.col("source").alias("benchmark"), F.col("lang").alias("language"), F.length("text").cast("bigint").alias("est_input_tokens"),
+        (F.col("doc_id") % 40).alias("est_output_tokens"), (F.col("doc_id") % 3 == 0).alias("cached"), F.lit(2).cast("bigint").alias("cases"),
+    )
+    return rounded(money.estimate(docs, 0.25, 1.5), 9)
+
+
+PRICES = "cfg(model_id, i, o) AS (VALUES ('m1', 0.1, 0.4), ('m2', 0.2, NULL), ('m3', NULL, NULL), ('m5', 0.3, 2.0))"
+
+
+def _configured(spark):
+    rows = [("m1", 0.1, 0.4, None), ("m2", 0.2, None, None), ("m3", None, None, None), ("m5", 0.3, 2.0, None)]
+    return spark.createDataFrame(rows, "model_id string, input_per_million double, output_per_million double, cached_input_per_million double")
+
+
+def _snapshots(spark, d):
+    own = table(spark, d, "events").where("user_id < 5")
+    return own.select(
+        F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"), F.col("event_id").alias("id"), F.col("ts").alias("retrieved_at"), (F.col("user_id") / 4).alias("input_per_million"),
+        F.when(F.col("user_id") % 2 == 0, F.col("user_id") * 2.0).alias("output_per_million"), F.lit(None).cast("double").alias("cached_input_per_million"),
+    )
+
+
+@query(f"""WITH {PRICES}, models AS (SELECT DISTINCT 'm' || user_id AS model_id, user_id FROM events WHERE user_id < 8)
+SELECT m.model_id, CASE WHEN s AND user_id % 2 = 0 THEN user_id / 4.0 WHEN c.i IS NOT NULL AND c.o IS NOT NULL THEN CAST(c.i AS DOUBLE) WHEN s THEN user_id / 4.0 ELSE CAST(c.i AS DOUBLE) END AS input_per_million,
+  CASE WHEN s AND user_id % 2 = 0 THEN 'snapshot' WHEN c.i IS NOT NULL AND c.o IS NOT NULL THEN 'config' WHEN s THEN 'snapshot' ELSE 'unknown' END AS price_source
+FROM (SELECT *, user_id < 5 AS s FROM models) m LEFT JOIN cfg c USING (model_id)""")
+def q_price_chain(spark, d):
+    models = table(spark, d, "events").where("user_id < 8").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"))
+    return money.resolve_prices(models, _snapshots(spark, d), _configured(spark)).select("model_id", "input_per_million", "price_source")
+
+
+@query(f"""WITH {PRICES}, live(model_id, i, o) AS (VALUES ('m1', 0.15, 0.4), ('m2', 0.2, 0.9), ('m4', 0.5, 1.0), ('m5', NULL, 1.0))
+SELECT model_id, CAST(c.i AS DOUBLE) AS config_input, CAST(l.i AS DOUBLE) AS live_input, round(CAST(l.i - c.i AS DOUBLE), 6) AS input_delta, CAST(c.o AS DOUBLE) AS config_output, CAST(l.o AS DOUBLE) AS live_output,
+  round(CAST(l.o - c.o AS DOUBLE), 6) AS output_delta, CASE WHEN l.i IS NOT NULL AND l.o IS NOT NULL THEN l.i <= 0.25 AND l.o <= 1.5 END AS within_constraints FROM live l LEFT JOIN cfg c USING (model_id)""")
+def q_price_compare(spark, d):
+    live = spark.createDataFrame([("m1", 0.15, 0.4), ("m2", 0.2, 0.9), ("m4", 0.5, 1.0), ("m5", None, 1.0)], "model_id string, input_per_million double, output_per_million double")
+    return rounded(money.compare_prices(live, _configured(spark), 0.25, 1.5))
+
+
+@query("""WITH r AS (SELECT user_id, sum(value) AS billed, sum(value) * (1 + (user_id % 5) * 0.01) AS recomputed FROM events GROUP BY user_id)
+SELECT user_id, round(billed, 4) AS billed, round(recomputed, 4) AS recomputed, round(billed - recomputed, 4) AS difference,
+  round(CASE WHEN billed <> 0 THEN abs(billed - recomputed) / billed ELSE 0 END, 4) AS relative_difference,
+  abs(billed - recomputed) <= 5e-6 OR CASE WHEN billed <> 0 THEN abs(billed - recomputed) / billed ELSE 0 END <= 0.025 AS matches_within_tolerance FROM r""")
+def q_reconcile(spark, d):
+    own = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("billed"))
+    own = own.withColumn("recomputed", F.col("billed") * (1 + (F.col("user_id") % 5) * 0.01))
+    return rounded(money.reconcile(own, relative=0.025), 4)
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id, event_type NOT IN ('error', 'click', 'view') AS ok FROM events),
+b AS (SELECT *, row_number() OVER w AS n, sum(ok::INT) OVER w AS good, sum((NOT ok)::INT) OVER w AS f FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, good ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b),
+t AS (SELECT user_id, min(n) AS tripped_at FROM c WHERE NOT ok AND (run >= 6 OR (n >= 20 AND f / n > 0.6)) GROUP BY user_id)
+SELECT c.user_id, count(*) AS attempts, CAST(sum((NOT ok)::INT) AS BIGINT) AS failures, min(t.tripped_at) AS tripped_at,
+  max(CASE WHEN c.n = t.tripped_at THEN CASE WHEN run >= 6 THEN 'consecutive' ELSE 'rate' END END) AS reason FROM c LEFT JOIN t USING (user_id) GROUP BY c.user_id""")
+def q_failure_guard(spark, d):
+    own = table(spark, d, "events").select("user_id", "ts", "event_id", (~F.col("event_type").isin("error", "click", "view")).alias("ok"))
+    return money.failure_guard(own, "user_id", ["ts", "event_id"], consecutive=6, rate=0.6).withColumn("tripped_at", F.col("tripped_at").cast("bigint"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 10 > 1000 * 0.98 AS o, ts FROM events)
+SELECT event_id, NOT max(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS allowed FROM s""")
+def q_budget_guard(spark, d):
+    own = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("value").alias("billed"), F.lit(10.0).alias("estimate"))
+    return money.budget_guard(own, "user_id", ["ts", "event_id"], 1000.0).select("event_id", "allowed")
+
+
+@query("""SELECT user_id, message, n, rank FROM (SELECT user_id, event_type AS message, count(*) AS n, min(event_id) AS f, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) AS rank
+FROM events GROUP BY user_id, event_type) WHERE rank <= 3""")
+def q_top_errors(spark, d):
+    own = table(spark, d, "events").select("user_id", F.col("event_type").alias("message"), F.col("event_id").alias("ordinal"))
+    return money.top_errors(own, 3, "user_id").select("user_id", "message", "n", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT event_id, least(CAST(pow(2, event_id % 8) AS DOUBLE), 30.0) AS seconds FROM events")
+def q_backoff(spark, d):
+    return table(spark, d, "events").select("event_id", money.backoff(F.col("event_id") % 8 + 1).alias("seconds"))
+
+
+# --- keys and manifests ---
+
+
+@query("SELECT doc_id, sha256('{\"inference_cache_key\":\"k' || doc_id || '\",\"output_hash\":\"' || sha256(lang) || '\"}') AS identity FROM documents")
+def q_result_identity(spark, d):
+    return table(spark, d, "documents").select("doc_id", keys.result_identity(F.concat(F.lit("k"), F.col("doc_id").cast("string")), F.col("lang")).alias("identity"))
+
+
+KEY_JSON = (
+    "'{\"alias_resolution\":null,\"api_provider\":\"p\",\"benchmark\":\"b\",\"benchmark_version\":null,\"dataset_revision\":null,\"extra\":{},\"generation_config_version\":null,"
+    "\"key_schema_version\":\"key-1\",\"max_output_tokens\":200,\"model_id\":\"' || source || '\",\"prompt_template_version\":null,\"reasoning\":null,\"routing_config_hash\":null,"
+    "\"sample_content_hash\":null,\"sample_id\":\"' || doc_id || '\",\"seed\":null,\"split\":null,\"structured_output_schema_version\":null,\"system_prompt_hash\":\"' || sha256('sum up') || '\","
+    "\"temperature\":0,\"tools_enabled\":false,\"top_p\":null,\"truncation_policy_version\":null,\"user_prompt_hash\":\"' || sha256(lang) || '\",\"web_search_enabled\":null}'"
+)
+
+
+@query(f"SELECT doc_id, sha256({KEY_JSON}) AS cache_key FROM documents")
+def q_inference_key(spark, d):
+    own = table(spark, d, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("sample_id"), F.col("source").alias("model_id"), F.lit("p").alias("api_provider"), F.lit("b").alias("benchmark"),
+        F.lit(200).alias("max_output_tokens"), F.lit(0.0).alias("temperature"), F.lit(False).alias("tools_enabled"), F.lit("sum up").alias("system_prompt"), F.col("lang").alias("user_prompt"),
+    )
+    return keys.inference_key(own).select("doc_id", "cache_key")
+
+
+@query("SELECT coalesce(lang, 'total') AS language, count(*) AS n FROM documents GROUP BY ROLLUP (lang)")
+def q_manifest_counts(spark, d):
+    return table(spark, d, "documents").rollup("lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("total")).alias("language"), "n")
+
+
+@query("SELECT max(substr(CAST(ts AS VARCHAR), 1, 19)) AS newest FROM events")
+def q_newest_stamp(spark, d):
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "events").agg(F.max(F.nullif(stamp, F.lit(""))).alias("newest"))
