@@ -83,7 +83,7 @@ def single_label(text: Column, label_space: Column) -> Column:
     return F.when((F.coalesce(text, F.lit("")) != "") & (at > 0), at.cast("int") - 1)
 
 
-DIMENSIONS = ("faithfulness", "coverage", "coherence", "conciseness")
+DIMENSIONS = ("factual_consistency", "key_information_coverage", "conciseness", "overall_quality")
 
 
 def judgement(text: Column, dimensions: tuple[str, ...] = DIMENSIONS) -> Column:

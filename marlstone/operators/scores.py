@@ -158,6 +158,7 @@ def mode_deltas(scores: DataFrame, a: str = "text", b: str = "json_schema") -> D
     measures = ("accuracy", "macro_f1", "invalid_output_rate")
     wide = scores.groupBy("model", "language").pivot("mode", [a, b]).agg(*[F.max(m).alias(m) for m in measures], F.count(F.lit(1)).alias("n"))
     wide = wide.where(F.col(f"{a}_n").isNotNull() & F.col(f"{b}_n").isNotNull())
-    out = [F.col(f"{m}_{x}").alias(f"{y}_{x}") for m, y in ((a, "text"), (b, "json")) for x in measures]
-    deltas = [(F.col(f"{b}_{m}") - F.col(f"{a}_{m}")).alias(f"delta_{m}") for m in measures]
-    return wide.select("model", "language", *out, *deltas).orderBy(F.coalesce("delta_accuracy", F.lit(0.0)).desc(), "model", "language")
+    names = dict(zip(measures, ("accuracy", "macro_f1", "invalid_rate")))
+    out = [F.col(f"{m}_{x}").alias(f"{m}_{names[x]}") for m in (a, b) for x in measures]
+    deltas = [(F.col(f"{b}_{m}") - F.col(f"{a}_{m}")).alias(f"{names[m]}_delta") for m in measures]
+    return wide.select("model", "language", *out, *deltas).orderBy(F.coalesce("accuracy_delta", F.lit(0.0)).desc(), "model", "language")

@@ -180,12 +180,12 @@ def q_parse_single_label(spark, d):
     return table(spark, d, "documents").select("doc_id", parsers.single_label(reply, F.array(*[F.lit(x) for x in ("de", "en", "fr")])).cast("bigint").alias("label"))
 
 
-@query("""SELECT doc_id, doc_id % 5 + 1 AS faithfulness, CASE WHEN doc_id % 6 BETWEEN 1 AND 5 THEN doc_id % 6 END AS coverage FROM documents WHERE doc_id % 6 BETWEEN 1 AND 5""")
+@query("""SELECT doc_id, doc_id % 5 + 1 AS consistency, doc_id % 6 AS coverage FROM documents WHERE doc_id % 6 BETWEEN 1 AND 5""")
 def q_parse_judgement(spark, d):
     c = F.col("doc_id")
-    value = F.struct((c % 5 + 1).alias("faithfulness"), (c % 6 + 0.5).alias("coverage"), F.lit(3).alias("coherence"), F.lit(4).alias("conciseness"), F.lit("fine").alias("rationale"))
+    value = F.struct((c % 5 + 1).alias("factual_consistency"), (c % 6 + 0.5).alias("key_information_coverage"), F.lit(3).alias("conciseness"), F.lit(4).alias("overall_quality"), F.lit("fine").alias("rationale"))
     found = parsers.judgement(F.concat(F.lit("```json\n"), F.to_json(value), F.lit("\n```")))
-    return table(spark, d, "documents").select("doc_id", found.alias("j")).where("j is not null").select("doc_id", F.col("j.faithfulness").cast("bigint").alias("faithfulness"), F.col("j.coverage").cast("bigint").alias("coverage"))
+    return table(spark, d, "documents").select("doc_id", found.alias("j")).where("j is not null").select("doc_id", F.col("j.factual_consistency").cast("bigint").alias("consistency"), F.col("j.key_information_coverage").cast("bigint").alias("coverage"))
 
 
 # --- samples ---
@@ -366,13 +366,13 @@ def q_fact_aggregate(spark, d):
     return rounded(facts.aggregate_support(rows, "turn"))
 
 
-@query(r"""SELECT doc_id, list_transform(regexp_extract_all(t, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), lambda x: CAST(x AS DOUBLE)) AS found
+@query(r"""SELECT doc_id, list_sum(list_transform(regexp_extract_all(t, '([0-9]+(?:\.[0-9]+)?)\s*%', 1), lambda x: CAST(x AS DOUBLE))) AS total
 FROM (SELECT doc_id, 'up ' || (doc_id % 90) || '.5% and ' || (doc_id % 7) || ' % of it' AS t FROM documents)""")
 def q_facts_percent(spark, d):
     c = F.col("doc_id")
     said = F.concat(F.lit("up "), (c % 90).cast("string"), F.lit(".5% and "), (c % 7).cast("string"), F.lit(" % of it"))
     found = F.filter(facts.extract(said), lambda f: f["category"] == "percentage")
-    return table(spark, d, "documents").select("doc_id", F.transform(found, lambda f: f["value"]).alias("found"))
+    return table(spark, d, "documents").select("doc_id", F.aggregate(F.transform(found, lambda f: f["value"]), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("SELECT doc_id, ['lima ' || doc_id % 5, 'oslo'] AS found FROM (SELECT doc_id FROM documents)".replace("'lima ' || doc_id % 5", "'lima' || chr(CAST(97 + doc_id % 5 AS INTEGER))"))
@@ -380,7 +380,7 @@ def q_facts_entities(spark, d):
     name = F.concat(F.lit("Lima"), F.chr(F.lit(97) + F.col("doc_id") % 5))
     said = F.concat(F.lit("The road from "), name, F.lit(" to Oslo. It was on Monday. Oslo again."))
     found = F.filter(facts.extract(said), lambda f: f["category"] == "entity")
-    return table(spark, d, "documents").select("doc_id", F.transform(found, lambda f: f["normalized"]).alias("found"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(found, lambda f: f["normalized"]), ",").alias("found"))
 
 
 @query(f"""WITH {CASES} SELECT language, count(*) AS judged, count(*) FILTER (k = 0) AS invalid, round(avg(CASE WHEN k > 0 THEN k END), 6) AS faithfulness, round(avg(CASE WHEN k > 0 THEN 6 - k END), 6) AS coverage
@@ -420,12 +420,12 @@ MODES = f"""both_ AS (SELECT sample_id, language, model, gold, predicted, status
 
 @query(f"""WITH {CASES}, {MODES}, s AS (SELECT model, language, mode, CAST(count(*) FILTER (predicted = gold) AS DOUBLE) / count(*) AS accuracy,
     CAST(count(*) FILTER (predicted IS NULL) AS DOUBLE) / count(*) AS invalid_output_rate FROM both_ GROUP BY ALL)
-SELECT a.model, a.language, round(a.accuracy, 6) AS text_accuracy, round(b.accuracy, 6) AS json_accuracy, round(b.accuracy - a.accuracy, 6) AS delta_accuracy,
-  round(b.invalid_output_rate - a.invalid_output_rate, 6) AS delta_invalid_output_rate
+SELECT a.model, a.language, round(a.accuracy, 6) AS text_accuracy, round(b.accuracy, 6) AS json_schema_accuracy, round(b.accuracy - a.accuracy, 6) AS accuracy_delta,
+  round(b.invalid_output_rate - a.invalid_output_rate, 6) AS invalid_rate_delta
 FROM s a JOIN s b ON a.model = b.model AND a.language = b.language AND a.mode = 'text' AND b.mode = 'json_schema'""")
 def q_mode_deltas(spark, d):
     made = scores.mode_deltas(_mode_scores(spark, d))
-    return rounded(made.select("model", "language", "text_accuracy", "json_accuracy", "delta_accuracy", "delta_invalid_output_rate"))
+    return rounded(made.select("model", "language", "text_accuracy", "json_schema_accuracy", "accuracy_delta", "invalid_rate_delta"))
 
 
 @query(f"""WITH {CASES} SELECT model, count(*) AS cases, round(CAST(count(*) FILTER (predicted = gold) AS DOUBLE) / count(*), 6) AS accuracy,
