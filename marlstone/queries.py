@@ -334,7 +334,7 @@ t AS (SELECT conv_id, turn, output, (SELECT {TEXT_TOKENS} FROM (SELECT source AS
 SELECT turn, count(*) AS cases, count(*) FILTER (status = 'SUCCESS') AS scored_cases, count(*) FILTER (status <> 'SUCCESS') AS failed_cases,
   round(coalesce(avg(CAST(own AS DOUBLE) / nullif(src, 0)) FILTER (status = 'SUCCESS' AND trim(output) <> ''), 0.0), 6) AS compression_ratio,
   round(coalesce(avg(own) FILTER (status = 'SUCCESS'), 0.0), 6) AS output_tokens_mean, round(coalesce(avg(length(output)) FILTER (status = 'SUCCESS'), 0.0), 6) AS output_chars_mean,
-  round(CAST(count(*) FILTER (status = 'SUCCESS' AND trim(output) = '') AS DOUBLE) / count(*), 6) AS empty_output_rate, 0.0 AS refusal_rate
+  round(CAST(count(*) FILTER (status = 'SUCCESS' AND trim(output) = '') AS DOUBLE) / count(*), 6) AS empty_output_rate, CAST(0 AS DOUBLE) AS refusal_rate
 FROM t GROUP BY turn""")
 def q_summ_aggregate(spark, d):
     rows = generations(spark, d).select(
@@ -375,7 +375,7 @@ def q_facts_percent(spark, d):
     return table(spark, d, "documents").select("doc_id", F.aggregate(F.transform(found, lambda f: f["value"]), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("SELECT doc_id, ['lima ' || doc_id % 5, 'oslo'] AS found FROM (SELECT doc_id FROM documents)".replace("'lima ' || doc_id % 5", "'lima' || chr(CAST(97 + doc_id % 5 AS INTEGER))"))
+@query("SELECT doc_id, 'lima' || chr(CAST(97 + doc_id % 5 AS INTEGER)) || ',oslo' AS found FROM documents")
 def q_facts_entities(spark, d):
     name = F.concat(F.lit("Lima"), F.chr(F.lit(97) + F.col("doc_id") % 5))
     said = F.concat(F.lit("The road from "), name, F.lit(" to Oslo. It was on Monday. Oslo again."))

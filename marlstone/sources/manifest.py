@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def canonical_lines(records: DataFrame) -> DataFrame:
     """(ordinal, line): each record in canonical JSON; payload is a struct or JSON text."""
-    import pandas as pd
-
     own = records if dict(records.dtypes)["payload"] == "string" else records.withColumn("payload", F.to_json("payload", {"ignoreNullFields": "false"}))
 
     @F.pandas_udf("string")
