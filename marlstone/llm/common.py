@@ -19,19 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one where the session names none (tests)."""
     held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
-        spark.conf.set("spark.checkpoint.dir", held)
-    return held
+    if held:
+        return held
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
+    return _own_dirs[app]
 
 
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to avoid doing work twice.
 
-    ``put`` writes and rereads; ``drop`` removes what is no longer needed.
+    ``put`` writes and rereads; ``drop`` removes what is no longer needed, and
+    the end of the session removes the rest, as results may still read it.
     A lost executor costs nothing that was put here.
     """
 
@@ -39,6 +45,13 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/marlstone-{uuid.uuid4().hex}"
         self.n = 0
+        path, fs = self._hadoop(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _hadoop(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -51,8 +64,8 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch", None)
         if path:
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            hadoop, fs = self._hadoop(path)
+            fs.delete(hadoop, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

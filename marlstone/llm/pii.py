@@ -163,7 +163,8 @@ def with_spans(documents: DataFrame) -> DataFrame:
         if not k.base:
             own = F.filter(own, lambda x: (x["score"] >= LEAST_SCORE) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         arrays.append(own)
-    return out.withColumn("_pii", F.concat(*arrays)).drop(*[f"_s_{k.name}" for k in KINDS])
+    # Through the explode no later filter on the spans is pushed down, where it would be evaluated again.
+    return out.select(*documents.columns, F.explode_outer(F.array(F.concat(*arrays))).alias("_pii"))
 
 
 def redact(documents: DataFrame) -> DataFrame:

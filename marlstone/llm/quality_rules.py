@@ -55,9 +55,10 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     base = base.withColumn("_l", lines)
     glued = F.array_join("_w", "")
     count_of = lambda cls: F.length(F.regexp_replace(t, f"[^{cls}]+", "")).cast("bigint")
+    # Through the explode no later filter on these counts is pushed down, where it would be evaluated again inside the lambdas above.
     return base.select(
         *documents.columns,
-        F.struct(
+        F.explode_outer(F.array(F.struct(
             F.col("_n").alias("n_words"),
             F.length(glued).cast("bigint").alias("word_chars"),
             count_of(r"#*$%&|<>").alias("n_symbols"),
@@ -67,8 +68,8 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
             count_of("A-Z").alias("n_upper"),
             count_of("!?").alias("n_marks"),
             F.size(F.filter("_w", lambda x: F.length(x) == 1)).cast("bigint").alias("n_bare"),
-        ).alias("_q"),
-    )
+        ))).alias("_q"),
+    )
 
 
 def feature_columns() -> dict[str, Column]:
