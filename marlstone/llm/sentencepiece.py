@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +29,15 @@ from .common import bounded_batches, table
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept between batches in a worker; when so many are held, the store is emptied.
-KEPT_WORDS = 200_000
-#: A longer word is encoded by itself, without states for each of its prefixes.
+KEPT_WORDS = 800_000
+#: A longer word of a BPE model is merged by itself, without a state for each of its prefixes.
 LONG_WORD = 512
 
 UNIGRAM, BPE = 1, 2
 
+#: A worker's encoders by model, so that what it has met serves its next task too.
+_encoders: dict[str, Encoder] = {}
+
 
 @dataclass
 class Model:
@@ -84,39 +88,81 @@ class Encoder:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in model.ids):
             raise ValueError("pieces cross words")
         self.m = model
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         held = {i: b for b, i in model.byte_ids.items()}
         self.octets = [bytes([held[i]]) if i in held else p.encode() for i, p in enumerate(model.pieces)]
-
-    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        split = []
-        fresh: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append([])
-                continue
-            line = (MARK if self.m.dummy_prefix else "") + text.replace(" ", MARK)
-            own = self.WORD.findall(line)
-            split.append(own)
-            fresh.update(own)
-        fresh.difference_update(self.kept)
+        #: Lengths of the pieces that end with two characters.
+        self.ends: dict[str, tuple[int, ...]] = {}
+        for p in model.ids:
+            if len(p) > 1 and len(p) not in self.ends.get(p[-2:], ()):
+                self.ends[p[-2:]] = (*self.ends.get(p[-2:], ()), len(p))
+        self.packed = {p: i.to_bytes(4, "little") for p, i in model.ids.items()}
+
+    def words(self, text: str) -> list[str]:
+        if MARK in text or "  " in text or text[-1] == " " or text[0] == " " or not self.m.dummy_prefix:
+            return self.WORD.findall((MARK if self.m.dummy_prefix else "") + text.replace(" ", MARK))
+        return (MARK + text.replace(" ", " " + MARK)).split(" ")
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit little-endian integers."""
+        split = [self.words(t) if t else [] for t in texts]
+        fresh = set().union(*split).difference(self.kept)
         if len(self.kept) + len(fresh) > KEPT_WORDS:
             self.kept = {}
-            fresh = {w for own in split for w in own}
-        self.walk(sorted(fresh))
-        kept = self.kept
-        return [[i for w in own for i in kept[w]] for own in split]
-
-    def walk(self, words: list[str]) -> None:
-        """Depth-first over the trie of sorted words; states[k] is the forward state of the first k characters."""
+            fresh = set().union(*split)
+        (self._walk_bpe if self.m.kind == BPE else self._walk_unigram)(sorted(fresh))
+        get = self.kept.__getitem__
+        return [b"".join(map(get, own)) for own in split]
+
+    def _walk_bpe(self, words: list[str]) -> None:
+        """Depth-first over the trie of sorted words; starts[k] and pieces[k] tell the last piece of the first k characters.
+
+        Of the suffix pieces of a prefix, that is the one which its merges
+        leave beside the last piece before it; if no longer one is, it is the last character.
+        """
+        ids, fits, ends, m = self.m.ids, self.fits, self.ends, self.m
+        starts, pieces, last = [0], [""], ""
+        for word in words:
+            n = len(word)
+            if n > LONG_WORD:
+                self.kept[word] = self._bytes(_merge(word, m))
+                continue
+            k = 0
+            for a, b in zip(word, last):
+                if a != b:
+                    break
+                k += 1
+            del starts[k + 1 :], pieces[k + 1 :]
+            for end in range(k + 1, n + 1):
+                for size in ends.get(word[end - 2 : end], ()) if end > 1 else ():
+                    start = end - size
+                    if start < 0 or (piece := word[start:end]) not in ids:
+                        continue
+                    before = pieces[start]
+                    ok = fits.get((before, piece))
+                    if ok is None:
+                        if len(fits) > KEPT_WORDS:
+                            fits.clear()
+                        ok = fits[before, piece] = _merge(before + piece, m) == ([before, piece] if before else [piece])
+                    if ok:
+                        break
+                else:
+                    start, piece = end - 1, word[end - 1]
+                starts.append(start)
+                pieces.append(piece)
+            last = word
+            out, end = [], n
+            while end:
+                out.append(pieces[end])
+                end = starts[end]
+            self.kept[word] = self._bytes(out[::-1])
+
+    def _walk_unigram(self, words: list[str]) -> None:
+        """Depth-first over the trie of sorted words; states[k] is the best score, start and last piece of the first k characters."""
         states: list[tuple] = [(0.0, 0, "")]
         last = ""
-        step = self._bpe_step if self.m.kind == BPE else self._viterbi_step
         for word in words:
-            if len(word) > LONG_WORD:
-                self.kept[word] = self._ids(_merge(word, self.m) if self.m.kind == BPE else self._long(word, step))
-                continue
             k = 0
             for a, b in zip(word, last):
                 if a != b:
@@ -124,15 +170,9 @@ class Encoder:
                 k += 1
             del states[k + 1 :]
             for end in range(k + 1, len(word) + 1):
-                states.append(step(word, end, states))
+                states.append(self._viterbi_step(word, end, states))
             last = word
-            self.kept[word] = self._ids(_backtrack(word, states))
-
-    def _long(self, word: str, step) -> list[str]:
-        states: list[tuple] = [(0.0, 0, "")]
-        for end in range(1, len(word) + 1):
-            states.append(step(word, end, states))
-        return _backtrack(word, states)
+            self.kept[word] = self._bytes(_backtrack(word, states))
 
     def _viterbi_step(self, word: str, end: int, states: list[tuple]) -> tuple:
         """Best score over all last pieces; an unknown character costs ten more than the worst piece."""
@@ -147,38 +187,20 @@ class Encoder:
                 best = (score, start, piece)
         return best
 
-    def _bpe_step(self, word: str, end: int, states: list[tuple]) -> tuple:
-        """The last piece of the prefix's encoding: the suffix piece that stays apart from the piece before it."""
-        ids, fits = self.m.ids, self.fits
-        for start in range(max(0, end - self.m.longest), end):
-            piece = word[start:end]
-            if piece not in ids and end - start > 1:
-                continue
-            if not start:
-                if _whole(piece, self.m):
-                    return (0.0, 0, piece)
-                continue
-            before = states[start][2]
-            ok = fits.get((before, piece))
-            if ok is None:
-                if len(fits) > 4 * KEPT_WORDS:
-                    fits.clear()
-                ok = fits[before, piece] = _merge(before + piece, self.m) == [before, piece]
-            if ok:
-                return (0.0, start, piece)
-        raise AssertionError("every prefix has one last piece")
-
-    def _ids(self, pieces: list[str]) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            i = self.m.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.m.byte_ids:
-                out += [self.m.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-            elif not out or out[-1] != self.m.unk:
-                out.append(self.m.unk)
-        return out
+    def _bytes(self, pieces: list[str]) -> bytes:
+        packed = self.packed
+        try:
+            return b"".join([packed[p] for p in pieces])
+        except KeyError:
+            out: list[int] = []
+            for p in pieces:
+                if p in self.m.ids:
+                    out.append(self.m.ids[p])
+                elif self.m.byte_ids:
+                    out += [self.m.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
+                elif not out or out[-1] != self.m.unk:
+                    out.append(self.m.unk)
+            return np.array(out, dtype="<i4").tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text again: byte pieces joined, marks as spaces, without the first one if the model adds it."""
@@ -195,10 +217,6 @@ def _backtrack(word: str, states: list[tuple]) -> list[str]:
     return out[::-1]
 
 
-def _whole(piece: str, m: Model) -> bool:
-    return len(piece) == 1 or _merge(piece, m) == [piece]
-
-
 def _merge(word: str, m: Model) -> list[str]:
     """BPE by its rule: merge the adjacent pair whose piece scores best, leftmost first, until none is a piece."""
     import heapq
@@ -240,16 +258,18 @@ def encoded(documents: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     model = load_model(model_path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = _encoders.get(model_path) or _encoders.setdefault(model_path, Encoder(model))
         for b in batches:
             texts = b.column(1).to_pylist()
-            ids = encoder.encode_batch(texts)
-            again = [encoder.decode(x) for x in ids]
+            ids = [np.frombuffer(x, dtype="<i4") for x in encoder.encode_batch(texts)]
+            again = [encoder.decode(x.tolist()) for x in ids]
+            sizes = np.array([len(x) for x in ids], dtype=np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, "<i4"), *ids]))),
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in again]),
                     pa.array([t == (x or "") for t, x in zip(again, texts)]),
                 ],
