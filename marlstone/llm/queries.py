@@ -50,7 +50,23 @@ SELECT conv_id,
 FROM lengths GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op10_chat_format": CHAT_SQL}
+REPEATS_SQL = """
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT id, s, md5(substr(h, CAST(2 * s + 1 AS BIGINT), 400)) AS w FROM (SELECT id, h, unnest(range(0, length(h) // 2 - 199)) AS s FROM docs WHERE length(h) >= 400)),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+marked AS (SELECT id, s, s - lag(s, 1, -1000) OVER (PARTITION BY id ORDER BY s) > 200 AS new FROM windows JOIN again USING (w)),
+islands AS (SELECT id, s, sum(CAST(new AS INTEGER)) OVER (PARTITION BY id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+spans AS (SELECT id, k, min(s) AS a, max(s) + 200 AS b FROM islands GROUP BY id, k),
+gaps AS (SELECT id, k, a, b, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY a) AS kept_from FROM spans),
+removed AS (
+  SELECT id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, CAST(2 * kept_from + 1 AS BIGINT), CAST(2 * (a - kept_from) AS BIGINT)), '' ORDER BY a) AS before
+  FROM gaps JOIN docs USING (id) GROUP BY id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(before, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (id)
+"""
+
+ORACLES: dict[str, str] = {"op9_substring_dedup": REPEATS_SQL, "op10_chat_format": CHAT_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
