@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,22 +134,91 @@ def runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.where(F.octet_length("text") >= length).select("text", "_k1", "_k2").mapInArrow(each, _RUNS)
 
 
-def windows(held: DataFrame, length: int) -> DataFrame:
-    """(window, context, off, twice): hashes of all windows of the listed runs of each text (text, list of context, first, last, n)."""
+def packed(documents: DataFrame) -> DataFrame:
+    """(doc_id, _k1, _k2, z) with texts compressed, for the two joins that move them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for text, listed in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                data = np.frombuffer(text, dtype=np.uint8)
-                out = []
-                for x in listed:
-                    h = Hasher(data[x["first"] : x["last"] + length])
-                    n = x["last"] - x["first"] + 1
-                    out.append((h.each(slice(0, n), slice(length, length + n)), np.full(n, x["context"]), np.arange(n, dtype=np.int32), np.full(n, x["n"] > 1)))
-                window, context, off, twice = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([_signed(window), pa.array(context), pa.array(off), pa.array(twice)], names=["window", "context", "off", "twice"])
+            z = [squeeze(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(z, pa.binary())], names=["doc_id", "_k1", "_k2", "z"])
 
-    return held.mapInArrow(each, "window bigint, context bigint, off int, twice boolean")
+    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *text_key(F.col("text")))
+    return own.mapInArrow(each, "doc_id bigint, _k1 bigint, _k2 int, z binary")
+
+
+def surroundings(held: DataFrame, length: int) -> DataFrame:
+    """(name, context, twice, bytes): what the listed runs cover, from (z, _k1, _k2, listed); equal texts in a task speak once."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        seen: set = set()
+        for b in batches:
+            out = []
+            for z, k1, k2, listed in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if (k1, k2) not in seen:
+                    seen.add((k1, k2))
+                    text = open_(z)
+                    out += [(x["name"], x["context"], x["n"] > 1, text[x["first"] : x["last"] + length]) for x in listed]
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["name", "context", "twice", "bytes"])
+
+    return held.select("z", "_k1", "_k2", "listed").mapInArrow(each, "name bigint, context bigint, twice boolean, bytes binary")
+
+
+def _window_hashes(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index of the text, offset) of every window of every text."""
+    hashes, sizes = [], []
+    for text in texts:
+        n = len(text) - length + 1
+        hashes.append(Hasher(np.frombuffer(text, dtype=np.uint8)).each(slice(0, n), slice(length, length + n)))
+        sizes.append(n)
+    offsets = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+    return np.concatenate(hashes), np.repeat(np.arange(len(texts)), sizes), offsets
+
+
+def single_by_group(rows: DataFrame, length: int) -> DataFrame:
+    """(context, single): offsets of windows that occur once, comparing the contexts of a name with each other where they meet."""
+
+    def compared(held: list[tuple]) -> pa.RecordBatch:
+        by_context = {c: (c, twice, text) for _, c, twice, text in held}  # equal rows from copies of a text count once
+        contexts, twice, texts = zip(*by_context.values())
+        window, index, offset = _window_hashes(list(texts), length)
+        _, back, n = np.unique(window, return_inverse=True, return_counts=True)
+        alone = (n[back] == 1) & ~np.array(twice)[index]
+        cuts, chosen = np.searchsorted(index[alone], np.arange(len(texts) + 1)), offset[alone]
+        parts = [chosen[a:b] for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(contexts, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["context", "single"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(4))))
+            held += rows
+            if held[0][0] != rows[-1][0]:
+                last = rows[-1][0]
+                yield compared([r for r in held if r[0] != last])
+                held = [r for r in held if r[0] == last]
+        if held:
+            yield compared(held)
+
+    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(each, "context bigint, single array<int>")
+
+
+def single_by_window(rows: DataFrame, length: int) -> DataFrame:
+    """The same for names with very many contexts: windows are counted by hash, so that no task holds a name's contexts together."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, contexts, twice, texts = (b.column(k).to_pylist() for k in range(4))
+            window, index, offset = _window_hashes(texts, length)
+            yield pa.RecordBatch.from_arrays([_signed(window), pa.array(np.array(contexts)[index]), pa.array(offset), pa.array(np.array(twice)[index])], names=["window", "context", "off", "twice"])
+
+    one = F.struct("context", "off")
+    made = rows.mapInArrow(each, "window bigint, context bigint, off int, twice boolean")
+    counted = made.groupBy("window").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("twice").alias("twice"))
+    return counted.where("a = b and not twice").groupBy("a.context").agg(F.sort_array(F.collect_list("a.off")).alias("single"))
 
 
 def removed_bytes(text: bytes, listed: list[dict], length: int = LENGTH) -> np.ndarray:
@@ -163,29 +233,38 @@ def removed_bytes(text: bytes, listed: list[dict], length: int = LENGTH) -> np.n
     return np.cumsum(steps[:-1]) > 0
 
 
-def repeated_runs(documents: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
+#: Names with more contexts than this are compared window by window over all machines.
+MANY = 2_000
+
+
+def repeated_runs(documents: DataFrame, texts: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """(_k1, _k2, runs: array of (first, last, single)) for each text that has a repeated window.
 
     Runs with a name that occurs once cannot repeat and are left out. Where
     all runs of a name have one context, their windows repeat without being
-    looked at. Where contexts differ, each different context is written out
-    once, and windows are counted; what comes back are the windows that occur
-    once, each of which has one owner. So copies cost one row each, however many there are.
+    looked at. Where contexts differ, each different one is written out once
+    and its windows are compared; what comes back are the windows that occur
+    once. So copies cost one row each, however many there are.
     """
-    bounded_batches(documents.sparkSession)
-    texts = documents.select("text", *text_key(F.col("text")))
-    own = runs(texts, length)
-    per_name = own.groupBy("name").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("varied")).where("n > 1").select("name", "varied")
-    hits = scratch.put(own.join(per_name, "name").groupBy("name", "context", "varied", "_k1", "_k2", "first", "last").agg(F.count("*").alias("n")))
-    contexts = hits.where("varied").groupBy("context").agg(F.sum("n").alias("n"), F.min(F.struct("_k1", "_k2", "first", "last")).alias("o"))
-    listed = contexts.groupBy("o._k1", "o._k2").agg(F.collect_list(F.struct("context", F.col("o.first").alias("first"), F.col("o.last").alias("last"), "n")).alias("listed"))
-    held = texts.join(listed, ["_k1", "_k2"]).select("text", "listed")
-    one = F.struct("context", "off")
-    counted = windows(held, length).groupBy("window").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.max("twice").alias("twice"))
-    single = counted.where("a = b and not twice").groupBy("a.context").agg(F.sort_array(F.collect_list("a.off")).alias("single"))
+    own = runs(documents.select("text", *text_key(F.col("text"))), length)
+    often = own.groupBy("name").count().where("count > 1").select("name")
+    hits = scratch.put(own.join(often, "name", "left_semi"))
+    contexts = scratch.put(hits.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "last")).alias("o")))
+    groups = contexts.groupBy("name").agg(F.count("*").alias("many")).where("many > 1")
+    varied = contexts.join(groups, "name")
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        item = F.struct("name", "context", "n", F.col("o.first").alias("first"), F.col("o.last").alias("last"))
+        listed = chosen.groupBy(F.col("o._k1").alias("_k1"), F.col("o._k2").alias("_k2")).agg(F.collect_list(item).alias("listed"))
+        return surroundings(texts.join(listed, ["_k1", "_k2"]), length)
+
+    single = single_by_group(rows_of(varied.where(F.col("many") <= MANY)), length)
+    if groups.where(F.col("many") > MANY).head(1):
+        single = single.union(single_by_window(rows_of(varied.where(F.col("many") > MANY)), length))
+    single = single.where("size(single) > 0")
     named = hits.join(single, "context", "left").where("single is null or size(single) <= last - first")
     run = F.struct("first", "last", F.coalesce("single", F.array().cast("array<int>")).alias("single"))
-    return named.groupBy("_k1", "_k2").agg(F.collect_list(run).alias("runs"))
+    return named.groupBy("_k1", "_k2").agg(F.collect_set(run).alias("runs"))
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
@@ -196,16 +275,17 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, keep_text: bool = T
     that are null count as empty; repeated rows remove each other if they
     have ``length`` bytes. ``kept`` is the remaining bytes, null if not asked for.
     """
-    scratch = Scratch(documents.sparkSession)
-    found = repeated_runs(documents, scratch, length)
-    own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *text_key(F.col("text")))
-    joined = own.join(found, ["_k1", "_k2"], "left").select("doc_id", "text", "runs")
+    bounded_batches(documents.sparkSession)
+    texts = packed(documents)
+    found = repeated_runs(documents, texts, Scratch(documents.sparkSession), length)
+    joined = texts.join(found, ["_k1", "_k2"], "left").select("doc_id", "z", "runs")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for text, listed in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                text = text or b""
+            for z, listed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                text = open_(z)
                 gone = removed_bytes(text, listed, length) if listed else np.zeros(len(text), bool)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1))
