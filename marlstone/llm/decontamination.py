@@ -135,8 +135,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         one = one.select("_k1", "_k2", "item_id", F.col("n_matched").cast("bigint").alias("n_matched"), "n_windows", F.exists("slots", lambda x: x["b"] != x["d"]).alias("changed"))
         found = one if found is None else found.union(one)
     if found is None:
-        spark = documents.sparkSession
-        return spark.createDataFrame([], "_k1 bigint, _k2 int, item_id bigint, n_matched bigint, n_windows bigint, changed boolean")
+        kinds = {"_k1": "bigint", "_k2": "int", "item_id": "bigint", "n_matched": "bigint", "n_windows": "bigint", "changed": "boolean"}
+        return documents.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
     return scratch.put(found)
 
 
