@@ -64,7 +64,7 @@ def batches(df: DataFrame, size: int, groups: list[str], key: str) -> DataFrame:
     return made.select(*groups, "batch", F.transform("_items", lambda x: x["item"]).alias("items"))
 
 
-def cases(df: DataFrame, own_order: str, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Two rows or more of each: ``pairs`` of (label, column of the candidate), numbered in their order."""
+def cases(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Two rows or more of each: ``pairs`` of (label, column of the candidate), numbered in their order by case_no."""
     made = F.array(*[F.struct(F.lit(k).alias("case_no"), F.lit(label).alias("gold_label"), F.col(c).alias("candidate")) for k, (label, c) in enumerate(pairs)])
-    return df.select("*", F.inline(made)).orderBy(own_order, "case_no")
+    return df.select("*", F.inline(made))

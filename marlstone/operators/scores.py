@@ -47,6 +47,8 @@ def macro_f1(rows: DataFrame, *keys: str) -> DataFrame:
 
 def classification(rows: DataFrame, *keys: str, label_space: int | None = None) -> DataFrame:
     """Scorecard of rows (gold, predicted, status) for each group of keys."""
+    if not keys:
+        return classification(rows.withColumn("_all", F.lit(1)), "_all", label_space=label_space).drop("_all")
     right = F.col("predicted").eqNullSafe(F.col("gold"))
     n = F.count("*")
     basic = rows.groupBy(*keys).agg(
@@ -59,7 +61,7 @@ def classification(rows: DataFrame, *keys: str, label_space: int | None = None)
         F.countDistinct("gold").alias("label_space_size") if label_space is None else F.lit(label_space).alias("label_space_size"),
     )
     mean = macro_f1(rows, *keys)
-    joined = basic.join(F.broadcast(mean), [basic[k].eqNullSafe(mean[k]) for k in keys], "left") if keys else basic.crossJoin(mean)
+    joined = basic.join(mean, [basic[k].eqNullSafe(mean[k]) for k in keys], "left")
     return joined.select(*[basic[k] for k in keys], *[basic[c] for c in basic.columns if c not in keys], F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1"))
 
 

@@ -60,7 +60,7 @@ def prepare_hallucination_ko(rows: DataFrame, wanted: int, revision: str, split:
 
 def _two_cases(own: DataFrame, pairs: list[tuple[str, str]], name: str, revision: str, split: str, settings: Settings, more: list[str]) -> DataFrame:
     own = own.drop("split").withColumn("t", text.truncate_to_tokens(F.col("source"), settings.judged_source_tokens))
-    both = sampling.cases(own, "id", pairs)
+    both = sampling.cases(own, pairs)
     payload = F.struct(F.col("id").alias("document_id"), F.col("t.text").alias("source"), F.col("candidate").alias("candidate_summary"), "gold_label", F.col("t.truncated").alias("truncated"), keys.text_hash(F.col("candidate")).alias("candidate_hash"), text.token_estimate(F.col("t.text")).alias("source_tokens_est"), *more)
     made = both.select("language", F.lit(split).alias("split"), F.concat_ws(":", F.lit(name), "id", F.lower("gold_label")).alias("sample_id"), keys.text_hash(F.col("t.text")).alias("source_hash"), keys.text_hash(F.col("candidate")).alias("reference_hash"), payload.alias("payload"), F.col("gold_label").alias("label"), "id", "case_no")
     return _frozen(made, "hallucination", revision, ["id", "case_no"])

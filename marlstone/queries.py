@@ -222,7 +222,7 @@ def q_batching(spark, d):
 FROM documents, range(0, 2) t(c)""")
 def q_two_case_expand(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    return sampling.cases(docs, "doc_id", [("SUPPORTED", "lang"), ("HALLUCINATED", "source")]).select("doc_id", "case_no", "gold_label", "candidate")
+    return sampling.cases(docs, [("SUPPORTED", "lang"), ("HALLUCINATED", "source")]).select("doc_id", "case_no", "gold_label", "candidate")
 
 
 @query("""WITH e AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'en'), f AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'fr')
