@@ -247,7 +247,8 @@ def repeated_runs(documents: DataFrame, texts: DataFrame, scratch: Scratch, leng
     once. So copies cost one row each, however many there are.
     """
     own = runs(documents.select("text", *text_key(F.col("text"))), length)
-    often = own.groupBy("name").count().where("count > 1").select("name")
+    # Written out, it meets the runs through a shuffle of its own, whose large partitions can be split; a name may hold a third of all runs.
+    often = scratch.put(own.groupBy("name").count().where("count > 1").select("name"))
     hits = scratch.put(own.join(often, "name", "left_semi"))
     contexts = scratch.put(hits.groupBy("name", "context").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "last")).alias("o")))
     groups = contexts.groupBy("name").agg(F.count("*").alias("many")).where("many > 1")
