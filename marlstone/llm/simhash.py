@@ -165,7 +165,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -
     classes = scratch.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(classes.select("fp"), distance), scratch)
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written out, so that a component's members are met through a shuffle whose large partitions can be split.
+    first = scratch.put(named.groupBy("component").agg(F.min("least").alias("component_id")))
     ids = named.join(first, "component").select("fp", "component", "component_id")
     return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "_k1", "_k2")
 
@@ -189,7 +190,7 @@ def one_of_each_group(documents: DataFrame, shingle: int = 3, distance: int = 2)
     scratch = Scratch(documents.sparkSession)
     key = ["doc_id", "_k1", "_k2"]
     rows = scratch.put(near_duplicates(documents, shingle, distance).groupBy("component", *key).agg(F.count("*").alias("n")))
-    least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("least"))
+    least = scratch.put(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("least")))
     marked = scratch.put(rows.join(least, "component").select(*key, "n", F.struct(*key).eqNullSafe(F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("stays")))
     gone, twice = marked.where("not stays").select(*key), marked.where("stays and n > 1").select(*key)
     own = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
