@@ -13,7 +13,12 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return np.array([_digest(w) for w in text.lower().split()], dtype=np.uint64) if text else np.empty(0, np.uint64)
 
 
+def joined_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two in order."""
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + (b >> np.uint64(29)))
+    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def pair_hashes(h: np.ndarray) -> np.ndarray:
     """A hash of each two neighbours."""
-    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + (h[1:] >> np.uint64(29)))
-    return (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return joined_hashes(h[:-1], h[1:])

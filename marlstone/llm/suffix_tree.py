@@ -1,15 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The root is a unigram model of every training token. A context of one or two
-words becomes a state if its share of the training tokens reaches LEAST and
-its next-symbol distribution diverges from that of its suffix; a state lists
-the symbols whose probability it changes and leaves the rest to its suffix.
-A text is scored from the longest state that its last words end with.
-
-LEAST bounds the tree by 1 / LEAST states and as many listed symbols, at any
-corpus size, so the tree may be sent to every task. The root's counts grow with
-the corpus; only words with a share of LEAST go along with the tree, the
-counts of all others are joined to the texts by word.
+The root is a unigram model of every training token. A context of up to DEPTH
+words becomes a state if its next-symbol distribution diverges from that of
+its suffix, as seen in symbols that followed it LEAST_COUNT times at least; a
+state lists the symbols whose probability it changes and leaves the rest to its
+suffix. A text is scored from the longest state that its last words end with.
+
+States and symbols grow with the corpus. A token's log probability is a sum over
+the word strings that end with it: for each state its log weight left to the
+suffix, for each listed symbol what it adds to that. So the tree is a table of
+values by the hash of a word string, and a text's score a sum of joined rows.
+Strings with a share of LEAST_SENT, which are boundedly many, go along with
+every task; the others are joined by hash, like the counts of rare words.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, table
-from .hashing import word_hashes
+from .hashing import joined_hashes, pair_hashes, word_hashes
 
-#: Share of the training tokens that a state's context, a listed symbol's word and the two together must reach.
+#: Words with this share of the training tokens are sent to every task; all others are joined.
 LEAST = 2e-6
-#: A context must also make up this share for its next symbols to be counted.
-LEAST_CONTEXT = 1e-4
+#: The same for strings with a value in the tree. The scores do not depend on either.
+LEAST_SENT = 2e-7
 #: Fewer occurrences than this are no evidence, in a corpus of any size.
 LEAST_COUNT = 5
 #: A symbol is listed if its probability changes by this factor at least,
@@ -37,7 +39,9 @@ RATIO = 1.5
 #: and a state is kept if its listed symbols bring this divergence, in nats for each use.
 DIVERGENCE = 0.02
 #: Words that a context has at most.
-DEPTH = 2
+DEPTH = 3
+#: Bits of a filter on string hashes, as a power of two, at most; it spares rows a shuffle and leaves none out.
+FILTER_BITS = 28
 
 #: Stands for the end of a text; no word holds a space.
 END = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -52,36 +56,67 @@ def is_training() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
 
 
-def _counts(texts: DataFrame, keys_of, flush: int = 2_000_000) -> DataFrame:
-    """(key, n): how often keys_of(tokens) gives each key; each task adds up before it sends."""
+def _counts(texts: DataFrame, keys_of, columns: tuple[str, ...] = ("key",), flush: int = 2_000_000) -> DataFrame:
+    """(*columns, n): how often keys_of(tokens) gives each key; each task adds up before it sends.
+
+    ``keys_of`` gives an array of keys and, where other columns stand for a key, one array for each of them.
+    """
     bounded_batches(texts.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        none = [np.empty(0, np.int64)] * (1 if columns == ("key",) else 1 + len(columns))
+        keys, n = none, np.empty(0, np.int64)
 
         def added():
-            every, back = np.unique(np.concatenate((keys, *held)), return_inverse=True)
+            every = [np.concatenate(x) for x in zip(keys, *held)]
+            _, first, back = np.unique(every[0], return_index=True, return_inverse=True)
             weights = np.concatenate((n, np.ones(rows, np.int64)))
-            return every, np.bincount(back, weights=weights, minlength=len(every)).astype(np.int64)
+            return [x[first] for x in every], np.bincount(back, weights=weights, minlength=len(first)).astype(np.int64)
+
+        def sent():
+            for k in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (*keys[-len(columns) :], n)], names=[*columns, "n"])
 
         for b in batches:
             for text in b.column(0).cast(pa.binary()).to_pylist():
                 own = keys_of(tokens_of(text))
-                if len(own):
+                if len(own[0]):
                     held.append(own)
-                    rows += len(own)
+                    rows += len(own[0])
             if rows > flush:
                 keys, n = added()
                 held, rows = [], 0
-                if len(keys) > flush:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
-                    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+                if len(n) > flush:
+                    yield from sent()
+                    keys, n = none, np.empty(0, np.int64)
         keys, n = added()
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(n[k : k + 100_000])], names=["key", "n"])
+        yield from sent()
+
+    return texts.select("text").mapInArrow(each, ", ".join(f"{c} bigint" for c in (*columns, "n"))).groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
+def strings(tokens: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Hashes of all strings of 1 to depth + 1 words, by length; that of a string is of its two parts without the last or first word."""
+    out = [tokens]
+    for _ in range(depth):
+        out.append(pair_hashes(out[-1]))
+    return out
+
+
+def _filter_of(table_: DataFrame) -> np.ndarray:
+    """Bits that are set for every key of the table, and for few others."""
+    bits = min(max((16 * table_.count()).bit_length(), 16), FILTER_BITS)
+    at = F.shiftrightunsigned("key", 64 - bits)
+    rows = table_.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63).cast("bigint")).cast("int")))).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return out
+
 
-    return texts.select("text").mapInArrow(each, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def _in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - (len(words).bit_length() + 5))
+    return (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _lookup(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -94,136 +129,114 @@ def _lookup(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """Sorted arrays: frequent words with counts; states of each depth with the log weight left to the suffix; listed symbols with log probabilities.
+    """Sorted arrays: frequent words with counts; frequent strings with the log weight that they leave as states and the log that they add as listed symbols.
 
-    A state of depth one is the index of its word; of depth two, the index
-    of a state of depth one times the number of words, plus that of the last word.
+    ``states`` has the frequent states of each depth, ``known`` the filter of all strings, rare ones too.
     """
 
     total: int
     distinct: int
     words: np.ndarray
     counts: np.ndarray
+    keys: np.ndarray
+    back: np.ndarray
+    more: np.ndarray
     states: list[np.ndarray]
-    back: list[np.ndarray]
-    listed: list[np.ndarray]
-    logs: list[np.ndarray]
+    known: np.ndarray
 
     def base_log(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
+    def gains_of(self, tokens: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum over the tokens of the log10 ratio of the tree's probability to the root's, as far as frequent strings give it; the other strings, as far as the filter knows them."""
+        gain, others = 0.0, []
+        for keys in strings(tokens, DEPTH):
+            place = np.flatnonzero(_in_filter(self.known, keys))
+            at = _lookup(self.keys, keys[place])
+            hit = at >= 0
+            gain += self.more[at[hit]].sum() + self.back[at[hit & (place < len(keys) - 1)]].sum()
+            others.append(keys[place[~hit]])
+        return float(gain), np.concatenate(others)
+
     def gains(self, at: np.ndarray) -> float:
-        """Sum over the tokens of the log10 ratio of the tree's probability to the root's; at: each token's index among words or -1."""
-        n = len(at)
-        if n < 2 or not self.states:
-            return 0.0
-        base = np.zeros(n)
-        known = at >= 0
-        base[known] = self.base_log(self.counts[at[known]])
-        gain = np.zeros(n)
-        done = np.zeros(n, bool)
-        done[0] = True
-        width = len(self.words) + 1
-        context = [np.full(n, -1), np.full(n, -1)]
-        context[0][1:] = at[:-1]
-        keys = [context[0], np.full(n, -1)]
-        if len(self.states) > 1:
-            ok = np.zeros(n, bool)
-            ok[2:] = (at[:-2] >= 0) & (at[1:-1] >= 0)
-            keys[1] = np.where(ok, np.concatenate(([0, 0], at[:-2])) * width + np.maximum(context[0], 0), -1)
-        for depth in range(len(self.states) - 1, -1, -1):
-            state = np.where(keys[depth] >= 0, _lookup(self.states[depth], keys[depth]), -1)
-            inside = ~done & (state >= 0)
-            if not inside.any():
-                continue
-            symbol = np.where(inside & known, _lookup(self.listed[depth], state * width + np.maximum(at, 0)), -1)
-            hit = inside & (symbol >= 0)
-            gain[hit] += self.logs[depth][symbol[hit]] - base[hit]
-            done |= hit
-            miss = inside & ~hit
-            gain[miss] += self.back[depth][state[miss]]
-        return float(gain.sum())
-
-
-def _grown(states: np.ndarray, pairs: list, counts_of_state: np.ndarray, parent_log, width: int) -> tuple:
-    """Divergence tests for one depth: (kept states, log back-off weights, listed keys, log probabilities), all in log10.
-
-    ``pairs``: arrays state, symbol, n; ``parent_log`` gives the suffix's log10 probability of each pair.
-    """
-    state, symbol, n = pairs
-    total = counts_of_state[state]
-    p, q = (n - 0.5) / (total + 1.0), 10.0 ** parent_log(state, symbol)
-    lists = (n >= LEAST_COUNT) & (np.maximum(p / q, q / p) >= RATIO)
-    state, symbol, p, q = state[lists], symbol[lists], p[lists], q[lists]
-    own_p = np.bincount(state, weights=p, minlength=len(states))
-    own_q = np.bincount(state, weights=q, minlength=len(states))
-    rest_p, rest_q = np.maximum(1 - own_p, 1e-6), np.maximum(1 - own_q, 1e-6)
-    divergence = np.bincount(state, weights=p * np.log(p / q), minlength=len(states)) + rest_p * np.log(rest_p / rest_q)
-    keep = divergence >= DIVERGENCE
-    new = np.cumsum(keep) - 1
-    use = keep[state]
-    keys = new[state[use]] * width + symbol[use]
-    order = np.argsort(keys)
-    return states[keep], np.log10(rest_p / rest_q)[keep], keys[order], np.log10(p[use])[order]
-
-
-def fit(training: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
-    """The tree and the table (key, n) of all training tokens' counts."""
-    unigrams = scratch.put(_counts(training, lambda t: t.view(np.int64)))
+        """The same sum for tokens given by their index among words."""
+        return self.gains_of(self.words[at])[0]
+
+
+def fit(training: DataFrame, scratch: Scratch) -> tuple[Tree, tuple[DataFrame, DataFrame]]:
+    """The tree's frequent part; the table (key, n) of all training tokens' counts and the table (key, value) of the other strings."""
+    unigrams = scratch.put(_counts(training, lambda t: [t.view(np.int64)]))
     total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     floor = max(LEAST * total, LEAST_COUNT)
     top = unigrams.where(F.col("n") >= floor).toArrow()
     words, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
-    tree = Tree(total, distinct, words, counts, [], [], [], [])
-    width = len(words) + 1
-    frequent = np.flatnonzero(counts >= max(LEAST_CONTEXT * total, LEAST_COUNT))
-    states, of_state = frequent[words[frequent] != END], None
-    if not len(states):
-        return tree, unigrams
-    of_state = counts[states]
-
-    def first_keys(tokens: np.ndarray) -> np.ndarray:
-        at = _lookup(words, tokens)
-        s = _lookup(states, at[:-1])
-        ok = (s >= 0) & (at[1:] >= 0)
-        return (s[ok] * width + at[1:][ok]).astype(np.int64)
-
-    pairs = _counts(training, first_keys).where(F.col("n") >= floor).toArrow()
-    key, n = pairs.column(0).to_numpy(), pairs.column(1).to_numpy()
-    one = _grown(states, [key // width, key % width, n], of_state, lambda s, w: tree.base_log(counts[w]), width)
-    enough = n >= max(LEAST_CONTEXT * total, LEAST_COUNT)
-    deeper = np.unique(states[key[enough] // width] * width + key[enough] % width)
-    deeper = deeper[words[deeper % width] != END]
-    tree.states, tree.back, tree.listed, tree.logs = [[x] for x in one]
-    if DEPTH < 2 or not len(deeper):
-        return tree, unigrams
-    by_key = dict(zip((states[key // width] * width + key % width).tolist(), n.tolist()))
-    of_deeper = np.array([by_key[int(k)] for k in deeper])
-
-    def second_keys(tokens: np.ndarray) -> np.ndarray:
-        at = _lookup(words, tokens)
-        if len(at) < 3:
-            return np.empty(0, np.int64)
-        s = np.where((at[:-2] >= 0) & (at[1:-1] >= 0), _lookup(deeper, at[:-2] * width + at[1:-1]), -1)
-        ok = (s >= 0) & (at[2:] >= 0)
-        return (s[ok] * width + at[2:][ok]).astype(np.int64)
-
-    triples = _counts(training, second_keys).where(F.col("n") >= floor).toArrow()
-    key, n = triples.column(0).to_numpy(), triples.column(1).to_numpy()
-
-    def suffix_log(s: np.ndarray, w: np.ndarray) -> np.ndarray:
-        state = _lookup(tree.states[0], deeper[s] % width)
-        base = tree.base_log(counts[w])
-        symbol = np.where(state >= 0, _lookup(tree.listed[0], state * width + w), -1)
-        out = np.where(state >= 0, base + tree.back[0][np.maximum(state, 0)] if len(tree.back[0]) else base, base)
-        return np.where(symbol >= 0, tree.logs[0][np.maximum(symbol, 0)] if len(tree.logs[0]) else out, out)
-
-    two = _grown(deeper, [key // width, key % width, n], of_deeper, suffix_log, width)
-    for held, x in zip((tree.states, tree.back, tree.listed, tree.logs), two):
-        held.append(x)
-    return tree, unigrams
+    zero = F.lit(0.0)
+    # Strings that occur often enough, with the log10 probability that the tree so far gives to their last word.
+    level = unigrams.where(F.col("n") >= LEAST_COUNT).select("key", "n", F.log10((F.col("n") + 0.5) / float(total + 0.5 * (distinct + 1))).alias("log"))
+    parts = [level.select("key", "n", F.lit(0).alias("depth"), zero.alias("back"), zero.alias("more")).limit(0)]
+    for depth in range(1, DEPTH + 1):
+        known = _filter_of(level)
+        grams = scratch.put(_with_key(_counts(training, _followed(depth, known), ("ctx", "suffix")).where(F.col("n") >= LEAST_COUNT)))
+        if not grams.head(1):
+            break
+        both = grams.join(level.select(F.col("key").alias("suffix"), F.col("log").alias("q")), "suffix").join(level.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
+        both = both.withColumn("p", F.log10((F.col("n") - 0.5) / (F.col("total") + 1.0)))
+        both = scratch.put(both.withColumn("listed", F.abs(F.col("p") - F.col("q")) >= float(np.log10(RATIO))))
+        states = scratch.put(_states(both.where("listed")))
+        known_by = both.join(states.select("ctx", "back"), "ctx", "left")
+        log = F.when(F.col("listed") & F.col("back").isNotNull(), F.col("p")).otherwise(F.col("q") + F.coalesce("back", zero))
+        level = scratch.put(known_by.select("key", "n", log.alias("log"), (log - F.col("q") - F.coalesce("back", zero)).alias("more"), (F.col("listed") & F.col("back").isNotNull()).alias("listed")))
+        scratch.drop(grams)
+        scratch.drop(both)
+        parts.append(states.select(F.col("ctx").alias("key"), F.col("total").alias("n"), F.lit(depth).alias("depth"), "back", zero.alias("more")))
+        parts.append(level.where("listed").select("key", "n", F.lit(0).alias("depth"), zero.alias("back"), "more"))
+    model = parts[0]
+    for part in parts[1:]:
+        model = model.union(part)
+    model = scratch.put(model.groupBy("key").agg(F.max("n").alias("n"), F.max("depth").alias("depth"), F.sum("back").alias("back"), F.sum("more").alias("more")))
+    floor = max(LEAST_SENT * total, LEAST_COUNT)
+    head = model.where(F.col("n") >= floor).toArrow()
+    key, depths, back, more = (head.column(c).to_numpy() for c in ("key", "depth", "back", "more"))
+    order = np.argsort(key.view(np.uint64))
+    key, depths, back, more = key.view(np.uint64)[order], depths[order], back[order], more[order]
+    tree = Tree(total, distinct, words, counts, key, back, more, [key[depths == k] for k in range(1, DEPTH + 1)], _filter_of(model))
+    return tree, (unigrams, scratch.put(model.where(F.col("n") < floor).select("key", (F.col("back") + F.col("more")).alias("value"))))
+
+
+def _followed(depth: int, known: np.ndarray):
+    """(key, ctx, suffix) of strings of depth + 1 words whose two parts may occur often enough."""
+
+    def keys_of(tokens: np.ndarray) -> list[np.ndarray]:
+        part = strings(tokens, depth - 1)[-1]
+        if len(part) < 2:
+            return [np.empty(0, np.int64)] * 3
+        ok = _in_filter(known, part)
+        ok = ok[:-1] & ok[1:]
+        ctx, suffix = part[:-1][ok], part[1:][ok]
+        return [x.view(np.int64) for x in (pair_hashes(part)[ok], ctx, suffix)]
+
+    return keys_of
+
+
+def _with_key(grams: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, suffix = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            key = joined_hashes(ctx, suffix).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "ctx", "suffix", "n"])
+
+    return grams.mapInArrow(each, "key bigint, ctx bigint, suffix bigint, n bigint")
+
+
+def _states(listed: DataFrame) -> DataFrame:
+    """(ctx, total, back): contexts whose listed symbols bring enough divergence, with the log10 weight left to the suffix."""
+    p, q = F.pow(F.lit(10.0), F.col("p")), F.pow(F.lit(10.0), F.col("q"))
+    own = listed.groupBy("ctx").agg(F.max("total").alias("total"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * (F.col("p") - F.col("q"))).alias("d"))
+    rest_p, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-6)), F.greatest(1 - F.col("q"), F.lit(1e-6))
+    back = F.log10(rest_p / rest_q)
+    return own.where((F.col("d") + rest_p * back) * float(np.log(10)) >= DIVERGENCE).select("ctx", "total", back.alias("back"))
 
 
 def scored(documents: DataFrame) -> DataFrame:
@@ -236,7 +249,7 @@ def scored(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark)
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    tree, unigrams = fit(own.where(is_training()), scratch)
+    tree, (unigrams, tail) = fit(own.where(is_training()), scratch)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,28 +259,30 @@ def scored(documents: DataFrame) -> DataFrame:
                 at = _lookup(tree.words, tokens)
                 known = at >= 0
                 logs = tree.base_log(tree.counts[at[known]])
-                rows.append((len(tokens), int(known.sum()), float(logs.sum()), tree.gains(at), tokens[~known].view(np.int64)))
-            n, known, base, gain, rare = zip(*rows)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            arrays = [pa.array(x, k) for x, k in zip((n, known, base, gain, rare), kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *arrays], names=["doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare"])
+                gain, others = tree.gains_of(tokens)
+                rows.append((len(tokens), int(known.sum()), float(logs.sum()), gain, tokens[~known].view(np.int64), others.view(np.int64)))
+            n, known, base, gain, rare, others = zip(*rows)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            arrays = [pa.array(x, k) for x, k in zip((n, known, base, gain, rare, others), kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *arrays], names=["doc_id", "held_out", "n_tokens", "known", "base", "gain", "rare", "others"])
 
     bounded_batches(spark)
-    shape = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, gain double, rare array<bigint>"
+    shape = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, gain double, rare array<bigint>, others array<bigint>"
     made = own.select("doc_id", "text", (~is_training()).alias("held_out")).mapInArrow(each, shape)
     held = scratch.put(made.withColumn("row", F.monotonically_increasing_id()))
     bottom = float(tree.total + 0.5 * (tree.distinct + 1))
     rare = held.select("row", F.explode("rare").alias("key")).join(unigrams, "key", "left")
     rare = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / bottom)).alias("rest"))
-    zero = F.coalesce("rest", F.lit(0.0))
-    return held.join(rare, "row", "left").select(
+    deep = held.select("row", F.explode("others").alias("key")).join(tail, "key").groupBy("row").agg(F.sum("value").alias("deep"))
+    zero, deeper = F.coalesce("rest", F.lit(0.0)), F.coalesce("deep", F.lit(0.0))
+    return held.drop("rare", "others").join(rare, "row", "left").join(deep, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(int(tree.total)).cast("bigint").alias("train_tokens"),
         (F.col("base") + zero).alias("base_score"),
-        (F.col("base") + zero + F.col("gain")).alias("score"),
+        (F.col("base") + zero + F.col("gain") + deeper).alias("score"),
     )
 
 

@@ -103,6 +103,27 @@ def test_lm_odd_rows(spark):
     assert suffix_tree.scored(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_states_depend_on_counts_not_on_shares(spark, monkeypatch):
+    rng = random.Random(6)
+    noise = [" ".join(f"n{rng.randrange(3000)}" for _ in range(2000)) for _ in range(20)]
+    seen = "zeta eta theta iota " * 9
+    rows = docs(spark, *noise, seen, seen, seen, "zeta eta theta iota", "iota theta eta zeta")
+
+    def scores():
+        got = suffix_tree.scored(rows).collect()
+        return {r["doc_id"]: (r["score"], r["score"] - r["base_score"]) for r in got}
+
+    want = scores()
+    assert want[23][1] > 4 and want[24][1] < 1
+    # "eta theta iota" is far below these shares: joined strings give what sent ones give.
+    monkeypatch.setattr(suffix_tree, "LEAST", 1e-2)
+    monkeypatch.setattr(suffix_tree, "LEAST_SENT", 1e-2)
+    tree, (_, tail) = suffix_tree.fit(rows.where(suffix_tree.is_training()), suffix_tree.Scratch(spark))
+    assert tree.total > 20_000 and not len(tree.keys) and tail.count() > 0
+    got = scores()
+    assert all(got[k][0] == pytest.approx(v[0], abs=1e-6) for k, v in want.items())
+
+
 # --- byte strings ---
 
 
