@@ -1,8 +1,12 @@
-"""SimHash near-duplicates: pigeonhole blocks, then a check of the Hamming distance."""
+"""Near-duplicates.
+
+op3_simhash_dedup: SimHash fingerprints, pigeonhole blocks, then a check of the Hamming distance.
+The pipeline's stage: sets of five-word shingles, pairs that share a rare one, then a check of the exact similarity.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, table, text_key
 from .components import components
+from .hashing import pair_hashes, word_hashes
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -150,8 +155,8 @@ def _grow(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return edges
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id, _k1, _k2): groups of documents linked by near fingerprints.
+def fingerprint_groups(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id, component, _k1, _k2): groups of documents linked by near fingerprints.
 
     Rows with equal fingerprints are collapsed before anything is compared,
     so copies cost one comparison. component_id is the smallest doc_id
@@ -162,24 +167,187 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -
     """
     scratch = Scratch(documents.sparkSession)
     own = scratch.put(fingerprints(documents, shingle))
+    return _grouped(own, lambda classes: links(classes, distance), scratch).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+
+
+def _grouped(own: DataFrame, links_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """``own`` (doc_id, fp, _k1, _k2) with component and component_id, from the edges that ``links_of`` finds among distinct fp."""
     classes = scratch.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(links(classes.select("fp"), distance), scratch)
+    linked = components(links_of(classes.select("fp")), scratch)
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # Written out, so that a component's members are met through a shuffle whose large partitions can be split.
     first = scratch.put(named.groupBy("component").agg(F.min("least").alias("component_id")))
     ids = named.join(first, "component").select("fp", "component", "component_id")
-    return own.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "_k1", "_k2")
+    return own.join(ids, "fp")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return fingerprint_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 #: Ids of at most this many dropped rows may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Words of a shingle in the pipeline's stage.
+WORDS = 5
+#: Two texts are near-duplicates if their sets of shingles have this similarity (Jaccard), as a fraction.
+SIMILAR = (4, 5)
+#: Shingles are ordered by how often their cell of 2**CELL_BITS occurs, then by hash; any order would do, this one leaves the common ones aside.
+CELL_BITS = 20
+
+
+def shingles_of(text: bytes | None) -> np.ndarray:
+    """The sorted set of hashes of WORDS words in a row; a shorter text is one shingle, a text without words has none."""
+    h = word_hashes(text)
+    for _ in range(min(WORDS, len(h)) - 1):
+        h = pair_hashes(h)
+    return np.unique(h)
+
+
+def _class(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _over_texts(documents: DataFrame, make, shape: str) -> DataFrame:
+    """Rows that ``make`` gives, as columns, for a batch's sets of shingles."""
+    bounded_batches(documents.sparkSession)
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(make([shingles_of(t) for t in b.column(0).cast(pa.binary()).to_pylist()], b), names=names)
+
+    return documents.mapInArrow(each, shape)
+
+
+def _signed(values) -> pa.Array:
+    return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
+
+
+def _counted(documents: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall in each cell; the array's size is fixed."""
+    bounded_batches(documents.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(n, (shingles_of(t) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(n[at[k : k + 100_000]])], names=["cell", "n"])
+
+    rows = documents.select("text").mapInArrow(each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out
+
+
+def similar(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): edges between sets of shingles, by their hash, that connect just what links at SIMILAR or more.
+
+    Sets that similar share one of the first shingles of each in any order of
+    all shingles, if the first are those beyond the least overlap, and one;
+    so the members of a shared first shingle's group hold every pair. First one
+    member of each group is compared with the others, which joins large
+    groups of near copies; then every two that are not yet joined.
+    """
+    few, of = SIMILAR
+    counts = _counted(documents)
+
+    def firsts(sets: list[np.ndarray], b: pa.RecordBatch) -> list[pa.Array]:
+        first = [s[np.lexsort((s, counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))][: len(s) + few * -len(s) // of + 1] if len(s) else s for s in sets]
+        n = [len(x) for x in first]
+        each = [np.repeat(np.array(x, dtype=np.uint64), n) for x in ([_class(s) for s in sets], [len(s) for s in sets])]
+        return [_signed(np.concatenate(first) if first else []), *map(_signed, each)]
+
+    members = _over_texts(documents.select("text"), firsts, "key bigint, fp bigint, size bigint").distinct()
+    members = scratch.put(members)
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = scratch.put(members.join(shared, "key"))
+    ids = members.select("fp").distinct()
+    whole = _over_texts(documents.select("text"), lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>")
+    sets = scratch.put(whole.join(ids, "fp", "left_semi").dropDuplicates(["fp"]))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return scratch.put(both.where(of * common >= few * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+    edges = checked(_pairs(members.withColumn("component", F.col("fp")), False))
+    linked = components(edges, scratch)
+    rest = members.join(linked, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
+    apart = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return edges.union(checked(_pairs(rest.join(apart, "key"), True)))
+
+
+def _pairs(members: DataFrame, every: bool) -> DataFrame:
+    """(a, b) within each key, of different components and sizes that allow SIMILAR: every such pair, or those with one member of the key."""
+    few, of = SIMILAR
+    rows = members.select("key", "fp", "size", "component").repartition("key").sortWithinPartitions("key", "fp")
+
+    def within(key: int, fp: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+        chosen = range(len(fp) - 1) if every else [int(np.argmin((fp.view(np.uint64) ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)))]
+        for k in chosen:
+            start = k + 1 if every else 0
+            ok = (component[start:] != component[k]) & (of * np.minimum(size[start:], size[k]) >= few * np.maximum(size[start:], size[k]))
+            other = fp[start:][ok]
+            if len(other):
+                yield np.minimum(other, fp[k]), np.maximum(other, fp[k])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, n = [], [], 0
+
+        def groups(last: bool):
+            nonlocal held
+            key, *rest = (np.concatenate(x) for x in zip(*held))
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[: None if last else -1], cuts[1 : None if last else -1]):
+                yield from within(int(key[a].view(np.uint64)), *(x[a:b] for x in rest))
+            held = [] if last else [[x[cuts[-2] :] for x in (key, *rest)]]
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(k).to_numpy() for k in range(4)]
+            goes_on = held and own[0][-1] == held[0][0][-1]
+            held.append(own)
+            if goes_on:
+                continue
+            for pair in groups(False):
+                out.append(pair)
+                n += len(pair[0])
+                if n > 100_000:
+                    yield sent()
+                    out, n = [], 0
+        if held:
+            for pair in groups(True):
+                out.append(pair)
+                n += len(pair[0])
+                if n > 100_000:
+                    yield sent()
+                    out, n = [], 0
+        if out:
+            yield sent()
+
+    return rows.mapInArrow(each, "a bigint, b bigint")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """(doc_id, fp, component, component_id, _k1, _k2) for every row: groups of documents linked at SIMILAR or more.
+
+    Texts of the same shingles are one class, so copies cost one comparison;
+    texts that are null, empty or all white space are a class of their own.
+    """
+    scratch = Scratch(documents.sparkSession)
+    own = documents.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")))
+    own = scratch.put(_over_texts(own, lambda sets, b: [b.column(1), _signed([_class(s) for s in sets]), b.column(2), b.column(3)], "doc_id bigint, fp bigint, _k1 bigint, _k2 int"))
+    return _grouped(own, lambda _: similar(documents, scratch), scratch)
 
 
-def one_of_each_group(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+def one_of_each_group(documents: DataFrame) -> DataFrame:
     """``documents`` with one row for each group of near-duplicates.
 
     The row with the group's smallest doc_id stays (a null one only where no
@@ -189,7 +357,7 @@ def one_of_each_group(documents: DataFrame, shingle: int = 3, distance: int = 2)
     """
     scratch = Scratch(documents.sparkSession)
     key = ["doc_id", "_k1", "_k2"]
-    rows = scratch.put(near_duplicates(documents, shingle, distance).groupBy("component", *key).agg(F.count("*").alias("n")))
+    rows = scratch.put(near_duplicates(documents).groupBy("component", *key).agg(F.count("*").alias("n")))
     least = scratch.put(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("least")))
     marked = scratch.put(rows.join(least, "component").select(*key, "n", F.struct(*key).eqNullSafe(F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("stays")))
     gone, twice = marked.where("not stays").select(*key), marked.where("stays and n > 1").select(*key)

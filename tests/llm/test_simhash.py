@@ -110,3 +110,36 @@ def test_one_of_each_group(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 1), (False, 2), (False, 8), (True, None)]
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
     assert F
+
+
+def test_stage_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rng = random.Random(8)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    for k in range(40):
+        texts[10**7 + k] = " ".join(f"x{k}" if rng.random() < 0.02 else w for w in base)
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII))
+        return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
+
+    ids, sets = list(texts), [grams(t) for t in texts.values()]
+    parent = list(range(len(ids)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[root(i)] = min(d, least.get(root(i), d))
+    want = {d: least[root(i)] for i, d in enumerate(ids)}
+    got = simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
