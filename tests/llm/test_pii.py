@@ -64,6 +64,13 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert [s[0] for s in e] == ["national_phone"] and f == []
 
 
+def test_iban_ends_by_its_country(spark):
+    own = "GB82WEST12345698765432"
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 Thanks", f"{own} The rest", f"{own} 2024 paid", f"pay {own} NOW", f"{own} DE89 3704 0044 0532 0130 00 A", f"{own}7", f"x{own}", "NO93 8601 1117 947 Oslo"]
+    found = [[(x[1], x[2]) for x in s if x[0] == "iban"] for s in spans(spark, texts)]
+    assert found == [[(5, 32)], [(0, 22)], [(0, 22)], [(4, 26)], [(0, 22), (23, 50)], [], [], [(0, 18)]]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é a@b.com or 1.2.3.4.", 5), (2, None, 5), (3, "clean 12 text", 5)], "doc_id int, text string, start int")
     got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
