@@ -51,7 +51,7 @@ def template(line: Column) -> Column:
 
 
 def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) -> DataFrame:
-    """``documents`` with ``_win``: array of (pos, hash, raw) over windows of template tokens with enough literal ones.
+    """``documents`` with ``_win``: array of (pos, hash, raw, rich) over windows of template tokens; rich ones have enough literal tokens.
 
     ``wanted`` is a filter on hashes that is applied before the windows' own
     tokens are copied. Explode the result with explode_outer: for a plain
@@ -72,7 +72,7 @@ def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) ->
     own = own.withColumn("_hit", hits)
     own = own.withColumn("_raw", F.when(F.size("_hit") > 0, _tokens(F.col("_line"))))
     full = F.transform("_hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.slice("_raw", x["pos"] + 1, size).alias("raw")))
-    full = F.filter(full, lambda x: F.size(F.filter(x["raw"], lambda w: F.ascii(w) > 3)) >= least)
+    full = F.transform(full, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["raw"].alias("raw"), (F.size(F.filter(x["raw"], lambda w: F.ascii(w) > 3)) >= least).alias("rich")))
     # Named twice, _raw is computed once for a row; named only inside the lambda, the optimizer would move it in there.
     return own.withColumn("_win", F.when(F.size("_raw") > 0, full)).drop("_line", "_tok", "_h", "_all", "_hit", "_raw")
 
@@ -96,10 +96,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_k1, _k2, item_id, n_matched, n_windows, changed): which text holds which benchmark item.
 
     Texts are named by a hash, so repeated rows and null ids do no harm. An
-    item counts as held if COVERAGE of its windows are found and, along the
+    item counts as held if COVERAGE of its rich windows are found and, along the
     best alignment, every value of the item stands for one value of the text;
-    or if COVERAGE of its windows are found word for word. changed tells
-    whether a value differs. Items of under WINDOW tokens are one window of
+    or if COVERAGE of all its windows are found word for word. An item without
+    a rich window is held if its whole template is found in a row, with values
+    as above. changed tells whether a value differs. Items of under WINDOW tokens are one window of
     their own length; items without a token, or null, are never found.
     """
     scratch = Scratch(documents.sparkSession)
@@ -109,30 +110,35 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for size in sizes:
         own = windows_of(items.where(F.col("_size") == size), size).select("item_id", F.explode_outer("_win").alias("w")).where("w is not null")
-        own = scratch.put(own.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw")))
+        own = scratch.put(own.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
         rows = own.count()
         if not rows:
             continue
         hits = windows_of(documents.select("text", *text_key(F.col("text"))), size, _filter_words(own)).select("_k1", "_k2", F.explode_outer("_win").alias("w")).where("w is not null")
         hits = hits.select("_k1", "_k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("raw"))
-        total = own.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+        total = own.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
         own, total = (F.broadcast(own), F.broadcast(total)) if rows <= BROADCAST_ROWS else (own, total)
         met = hits.join(own, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
         slots = F.filter(F.arrays_zip(F.col("item_raw").alias("b"), F.col("raw").alias("d")), lambda x: F.ascii(x["b"]) <= 3)
-        met = met.select("_k1", "_k2", "item_id", "item_pos", "shift", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
+        met = met.select("_k1", "_k2", "item_id", "item_pos", "shift", "rich", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
         by_shift = met.groupBy("_k1", "_k2", "item_id", "shift").agg(
             F.collect_set("item_pos").alias("at"),
+            F.collect_set(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_at"),
             F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"),
             F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
         )
         union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-        by_item = by_shift.groupBy("_k1", "_k2", "item_id").agg(union("at").alias("n_matched"), union("plain_at").alias("n_plain"), F.max_by("slots", F.struct(F.size("at"), -F.col("shift"))).alias("slots"))
+        by_item = by_shift.groupBy("_k1", "_k2", "item_id").agg(union("at").alias("n_any"), union("rich_at").alias("n_rich_at"), F.max(F.size("at")).alias("n_run"), union("plain_at").alias("n_plain"), F.max_by("slots", F.struct(F.size("rich_at"), F.size("at"), -F.col("shift"))).alias("slots"))
         by_item = by_item.join(total, "item_id")
         values = F.array_distinct(F.transform("slots", lambda x: x["b"]))
         steady = F.size(values) == F.size("slots")
-        enough = lambda c: F.col(c) >= COVERAGE * F.col("n_windows")
-        one = by_item.where((enough("n_matched") & steady) | enough("n_plain"))
-        one = one.select("_k1", "_k2", "item_id", F.col("n_matched").cast("bigint").alias("n_matched"), "n_windows", F.exists("slots", lambda x: x["b"] != x["d"]).alias("changed"))
+        plain = F.col("n_plain") >= COVERAGE * F.col("n_all")
+        # An item without a rich window is held if all of its template is found in a row.
+        like = F.when(F.col("n_rich") > 0, F.col("n_rich_at") >= COVERAGE * F.col("n_rich")).otherwise(F.col("n_run") == F.col("n_all"))
+        one = by_item.where((like & steady) | plain)
+        by_rich = like & (F.col("n_rich") > 0)
+        n_matched, n_windows = F.when(by_rich, F.col("n_rich_at")).otherwise(F.col("n_any")), F.when(by_rich, F.col("n_rich")).otherwise(F.col("n_all"))
+        one = one.select("_k1", "_k2", "item_id", n_matched.cast("bigint").alias("n_matched"), n_windows.alias("n_windows"), F.exists("slots", lambda x: x["b"] != x["d"]).alias("changed"))
         found = one if found is None else found.union(one)
     if found is None:
         kinds = {"_k1": "bigint", "_k2": "int", "item_id": "bigint", "n_matched": "bigint", "n_windows": "bigint", "changed": "boolean"}

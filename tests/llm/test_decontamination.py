@@ -24,6 +24,12 @@ def test_slots_must_be_consistent(spark):
     assert found(spark, [same, mixed], [item]) == [True, False]
 
 
+def test_items_of_numbers(spark):
+    items = ["What is 12 + 34 * 5 - 7 / 2?", "Compute 17 * 23 - 45 + 8 / 2 and 3 * 9 - 14."]
+    docs = [f"{FILL}. {x} {FILL}" for x in items] + [f"{FILL}. What is 13 + 35 * 6 - 8 / 3? {FILL}", f"{FILL} is 12 34 {FILL}", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    assert found(spark, docs, items) == [True, True, True, False, False]
+
+
 def test_short_and_empty_items(spark):
     assert found(spark, ["so unique phrase here it is", "nothing", None], ["unique phrase here", None, "", "..."]) == [True, False, False]
     assert found(spark, ["any text"], []) == [False] and found(spark, [], [ITEM]) == []
