@@ -34,9 +34,12 @@ BETWEEN = r"[^\p{L}\p{N}\x01-\x03.,:/]+|[.,:/](?:(?![0-9])|(?<=[^0-9][.,:/]))"
 
 
 def marked(text: Column) -> Column:
-    """The lower-cased text with a mark before each name, number and unit."""
+    """The lower-cased text with a mark before each name, number and unit.
+
+    A capitalised word is a name wherever it stands, as names begin sentences too.
+    """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;]\s)", NAME)
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])", NAME)
     t = F.regexp_replace(F.lower(t), r"(?=[0-9])(?:(?<![\p{L}\p{N}.,:/])|(?<=[^0-9][.,:/]))", NUMBER)
     return F.regexp_replace(t, rf"(\x02[0-9.,:/]+) ?({'|'.join(UNITS)})(?=\s|$)", f"$1 {UNIT}$2")
 
@@ -109,14 +112,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("_size").distinct().collect() if r[0] > 0)
     found = None
     for size in sizes:
-        own = windows_of(items.where(F.col("_size") == size), size).select("item_id", F.explode_outer("_win").alias("w")).where("w is not null")
-        own = scratch.put(own.select("item_id", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
+        # Without case there are no names, so copies in another case are met by a second form of the item.
+        forms = items.where(F.col("_size") == size).select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.lower("text").alias("text")))).alias("f")).select("item_id", "f.*")
+        own = windows_of(forms, size).select("item_id", "form", F.explode_outer("_win").alias("w")).where("w is not null")
+        own = scratch.put(own.select("item_id", "form", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
+        rich = own.groupBy("item_id", "item_pos").agg(F.coalesce(F.max(F.when(F.col("form") == 0, F.col("rich"))), F.lit(False)).alias("rich"))
+        own = scratch.put(own.drop("form", "rich").distinct().join(rich, ["item_id", "item_pos"]))
         rows = own.count()
         if not rows:
             continue
         hits = windows_of(documents.select("text", *text_key(F.col("text"))), size, _filter_words(own)).select("_k1", "_k2", F.explode_outer("_win").alias("w")).where("w is not null")
         hits = hits.select("_k1", "_k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("raw"))
-        total = own.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
+        total = rich.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
         own, total = (F.broadcast(own), F.broadcast(total)) if rows <= BROADCAST_ROWS else (own, total)
         met = hits.join(own, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
         slots = F.filter(F.arrays_zip(F.col("item_raw").alias("b"), F.col("raw").alias("d")), lambda x: F.ascii(x["b"]) <= 3)

@@ -30,6 +30,18 @@ def test_items_of_numbers(spark):
     assert found(spark, docs, items) == [True, True, True, False, False]
 
 
+def test_names_at_the_start_of_sentences(spark):
+    items = [
+        "Tom has 5 apples. Jane gives him 3 more. Tom eats 2 of them. How many apples does he have?",
+        "Natalia sold 48 clips in April. Maria sold half as many. Natalia then bought 12 clips. How many clips does she have now?",
+    ]
+    changed = [items[0].replace("Tom", "Ben").replace("Jane", "Sue").replace("5", "7"), items[1].replace("Natalia", "Ines").replace("Maria", "Olga").replace("48", "60")]
+    mixed = items[0].replace("Tom", "Ben", 1)
+    docs = [f"{FILL}. {x}" for x in changed] + [f"{FILL} {items[0].lower()} {FILL}", items[1].upper(), f"({items[0]})", f"{FILL}. Ben has a dog. Sue gives him food."]
+    assert found(spark, docs, items) == [True, True, True, True, True, False]
+    assert found(spark, [mixed.replace("5", "7").replace("2", "4").replace("Jane", "Sue")], items) == [False]
+
+
 def test_short_and_empty_items(spark):
     assert found(spark, ["so unique phrase here it is", "nothing", None], ["unique phrase here", None, "", "..."]) == [True, False, False]
     assert found(spark, ["any text"], []) == [False] and found(spark, [], [ITEM]) == []
