@@ -258,20 +258,27 @@ def similar(documents: DataFrame, scratch: Scratch) -> DataFrame:
         first = [s[np.lexsort((s, counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))][: len(s) + few * -len(s) // of + 1] if len(s) else s for s in sets]
         n = [len(x) for x in first]
         each = [np.repeat(np.array(x, dtype=np.uint64), n) for x in ([_class(s) for s in sets], [len(s) for s in sets])]
-        return [_signed(np.concatenate(first) if first else []), *map(_signed, each)]
+        place = np.concatenate([np.arange(k) for k in n]) if n else []
+        return [_signed(np.concatenate(first) if first else []), *map(_signed, each), _signed(place)]
 
-    members = _over_texts(documents.select("text"), firsts, "key bigint, fp bigint, size bigint").distinct()
-    members = scratch.put(members)
+    members = _over_texts(documents.select("text"), firsts, "key bigint, fp bigint, size bigint, place bigint").distinct()
+    every = members = scratch.put(members)
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = scratch.put(members.join(shared, "key"))
-    ids = members.select("fp").distinct()
+    scratch.drop(every)
     whole = _over_texts(documents.select("text"), lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>")
-    sets = scratch.put(whole.join(ids, "fp", "left_semi").dropDuplicates(["fp"]))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        both = pairs.distinct().join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs = scratch.put(pairs.distinct())
+        ids = scratch.put(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
+        # Sets of pairs alone are kept; a bounded list of them spares all others the shuffle.
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        sets = scratch.put(whole.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return scratch.put(both.where(of * common >= few * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        out = scratch.put(both.where(of * common >= few * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        scratch.drop(sets)
+        return out
 
     edges = checked(_pairs(members.withColumn("component", F.col("fp")), False))
     linked = components(edges, scratch)
@@ -281,15 +288,20 @@ def similar(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _pairs(members: DataFrame, every: bool) -> DataFrame:
-    """(a, b) within each key, of different components and sizes that allow SIMILAR: every such pair, or those with one member of the key."""
+    """(a, b) within each key, of different components and with sizes and places that allow SIMILAR: every such pair, or those with one member of the key.
+
+    If the key is the first that two sets share, they share at most what comes after it in both; so a pair passes at its first shared key.
+    """
     few, of = SIMILAR
-    rows = members.select("key", "fp", "size", "component").repartition("key").sortWithinPartitions("key", "fp")
+    rows = members.select("key", "fp", "size", "place", "component").repartition("key").sortWithinPartitions("key", "fp")
 
-    def within(key: int, fp: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def within(key: int, fp: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
         chosen = range(len(fp) - 1) if every else [int(np.argmin((fp.view(np.uint64) ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)))]
         for k in chosen:
             start = k + 1 if every else 0
             ok = (component[start:] != component[k]) & (of * np.minimum(size[start:], size[k]) >= few * np.maximum(size[start:], size[k]))
+            most = np.minimum(size[start:] - place[start:], size[k] - place[k])
+            ok &= (few + of) * most >= few * (size[start:] + size[k])
             other = fp[start:][ok]
             if len(other):
                 yield np.minimum(other, fp[k]), np.maximum(other, fp[k])
@@ -311,7 +323,7 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            own = [b.column(k).to_numpy() for k in range(4)]
+            own = [b.column(k).to_numpy() for k in range(5)]
             goes_on = held and own[0][-1] == held[0][0][-1]
             held.append(own)
             if goes_on:
