@@ -71,57 +71,145 @@ def test_toxicity_odd_rows(spark):
 # --- language model ---
 
 
-def test_base_scores_equal_brute_force(spark):
+def brute_tree(texts):
+    """States and listed symbols by plain dictionaries: {context: (weight left to the suffix, {symbol: log10 p})}, and the root's log10 p."""
+    c = Counter(w for t in texts for w in t)
+    total, distinct = sum(c.values()), len(c)
+    base = lambda w: math.log10((c[w] + 0.5) / (total + 0.5 * (distinct + 1)))
+    level = {(w,): (n, base(w), True) for w, n in c.items() if n >= suffix_tree.LEAST_COUNT}
+    states, depth = {}, 0
+    while True:
+        depth += 1
+        grams = Counter(tuple(t[i - depth : i + 1]) for t in texts for i in range(depth, len(t)))
+        rows = {}
+        for g, n in grams.items():
+            ctx, suffix = level.get(g[:-1]), level.get(g[1:])
+            if n >= suffix_tree.LEAST_COUNT and ctx and ctx[0] >= suffix_tree.LEAST_CONTEXT and suffix and suffix[2]:
+                rows[g] = (n, math.log10((n - 0.5) / (ctx[0] + 1)), suffix[1])
+        by = {}
+        for g, (n, p, q) in rows.items():
+            if abs(p - q) >= math.log10(suffix_tree.RATIO):
+                by.setdefault(g[:-1], {})[g[-1]] = (p, q)
+        own = {}
+        for ctx, listed in by.items():
+            left = [max(1 - sum(10 ** x[k] for x in listed.values()), 1e-6) for k in (0, 1)]
+            back = math.log10(left[0] / left[1])
+            if math.log(10) * (sum(10**p * (p - q) for p, q in listed.values()) + left[0] * back) >= suffix_tree.DIVERGENCE:
+                own[ctx] = (back, {w: p for w, (p, _) in listed.items()})
+        if not own:
+            return states, base
+        states |= own
+        level = {g: (n, own[g[:-1]][1].get(g[-1], q + own[g[:-1]][0]) if g[:-1] in own else q, g[:-1] in own) for g, (n, p, q) in rows.items()}
+
+
+def brute_score(text, states, base):
+    out = 0.0
+    for i, w in enumerate(text):
+        log = base(w)
+        for d in range(1, i + 1):
+            if (state := states.get(tuple(text[i - d : i]))) is None:
+                break
+            log = state[1].get(w, log + state[0])
+        out += log
+    return out
+
+
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), b" "]
+
+
+@pytest.mark.parametrize("sent", [None, (50, 50)])
+def test_scores_equal_brute_force(spark, monkeypatch, sent):
+    if sent:
+        monkeypatch.setattr(suffix_tree, "SENT", sent)
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    tokens = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b" "] for r in rows}
+    tokens = {r["doc_id"]: lm_tokens(r["text"]) for r in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    c = Counter(w for i, t in tokens.items() if not held[i] for w in t)
-    total = sum(c.values())
+    training = [t for i, t in tokens.items() if not held[i]]
+    states, base = brute_tree(training)
+    known = {w for t in training for w in t}
+    assert max(map(len, states)) >= 3 and len(states) > 500
     got = suffix_tree.op4_lm_scoring(spark, SF).collect()
+    assert len(got) == len(rows)
     for r in got:
         t = tokens[r["doc_id"]]
-        base = sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in t)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(c[w] > 0 for w in t), total)
-        assert r["base_score"] == pytest.approx(base, abs=1e-6)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(w in known for w in t), sum(map(len, training)))
+        assert r["base_score"] == pytest.approx(sum(map(base, t)), abs=1e-6)
+        assert r["score"] == pytest.approx(brute_score(t, states, base), abs=1e-3 if sent else 1e-6)
     unseen = [r for r in got if r["held_out"]]
-    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+    assert sum(r["score"] - r["base_score"] for r in unseen) > 0.05 * sum(r["n_tokens"] for r in unseen)
 
 
 def test_tree_gives_a_distribution(spark):
     text = " ".join(random.Random(1).choices(["a", "b", "c d", "c e"], [5, 3, 2, 1], k=4000))
-    training = docs(spark, text, text)
-    tree, _ = suffix_tree.fit(training, suffix_tree.Scratch(spark))
-    assert len(tree.states[0])
-    at = suffix_tree._lookup(tree.words, suffix_tree.word_hashes(b"c"))[0]
-    p = sum(10 ** (tree.base_log(tree.counts[[w]])[0] + tree.gains(np.array([at, w]))) for w in range(len(tree.words)))
-    assert p == pytest.approx(1, abs=0.01)
+    rows = docs(spark, text, text, *(f"c {w}" for w in "abcde"), "c", "c zz").withColumn("doc_id", F.col("doc_id") * 0)
+    got = [r["score"] for r in suffix_tree.scored(rows.withColumn("doc_id", F.lit(0))).orderBy("n_tokens").collect()]
+    assert len(got) == 9
+    states, base = brute_tree([lm_tokens(t) for t in (text, text, *(f"c {w}" for w in "abcde"), "c", "c zz")])
+    ctx = (b"c",)
+    words = [b"a", b"b", b"c", b"d", b"e", b" ", b"zz", b"never seen"]
+    logs = [states[ctx][1].get(w, base(w) + states[ctx][0]) for w in words]
+    assert sum(10**x for x in logs) == pytest.approx(1, abs=1e-3)
 
 
 def test_lm_odd_rows(spark):
     got = suffix_tree.scored(docs(spark, None, "", "a b c", "a b c").withColumn("doc_id", F.when(F.col("doc_id") < 3, F.col("doc_id")))).collect()
     assert len(got) == 4 and sorted(r["n_tokens"] for r in got) == [1, 1, 4, 4]
     assert suffix_tree.scored(docs(spark, "a").limit(0)).count() == 0
+    # With the only row held out, nothing trains.
+    held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
+    alone = spark.createDataFrame([(held, "a b " * 40_000, 7, "x")], "doc_id bigint, text string, n_tokens int, score string")
+    row = suffix_tree.scored(alone).first()
+    assert (row["train_tokens"], row["n_tokens"], row["n_known"], row["base_score"], row["score"]) == (0, 80_001, 0, 0.0, 0.0)
+    long = suffix_tree.scored(docs(spark, "a b " * 400_000, "x" * 200_000, "a b")).collect()
+    assert [r["n_tokens"] for r in sorted(long, key=lambda r: r["doc_id"])] == [800_001, 2, 3]
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """Twice the corpus, of other words, has twice the states; their depth is not bounded beforehand."""
 
+    def states_of(*texts):
+        scratch = suffix_tree.Scratch(spark)
+        return suffix_tree.fit(docs(spark, *texts).select("text"), scratch)[2]
 
-def test_states_depend_on_counts_not_on_shares(spark, monkeypatch):
-    rng = random.Random(6)
-    noise = [" ".join(f"n{rng.randrange(3000)}" for _ in range(2000)) for _ in range(20)]
-    seen = "zeta eta theta iota " * 9
-    rows = docs(spark, *noise, seen, seen, seen, "zeta eta theta iota", "iota theta eta zeta")
-
-    def scores():
-        got = suffix_tree.scored(rows).collect()
-        return {r["doc_id"]: (r["score"], r["score"] - r["base_score"]) for r in got}
-
-    want = scores()
-    assert want[23][1] > 4 and want[24][1] < 1
-    # "eta theta iota" is far below these shares: joined strings give what sent ones give.
-    monkeypatch.setattr(suffix_tree, "LEAST", 1e-2)
-    monkeypatch.setattr(suffix_tree, "LEAST_SENT", 1e-2)
-    tree, (_, tail) = suffix_tree.fit(rows.where(suffix_tree.is_training()), suffix_tree.Scratch(spark))
-    assert tree.total > 20_000 and not len(tree.keys) and tail.count() > 0
-    got = scores()
-    assert all(got[k][0] == pytest.approx(v[0], abs=1e-6) for k, v in want.items())
+    def corpus(seed):
+        rng, own, out = random.Random(seed), {}, []
+        for _ in range(40_000):
+            factors = [own.setdefault(tuple(out[-d:]), [0.1 + rng.random() ** 2 for _ in "abcd"]) for d in range(1, 5)]
+            out += rng.choices("abcd", [math.prod(x) for x in zip(*factors)])
+        return [" ".join(f"{w}{seed}" for w in out)]
+
+    one, two = states_of(*corpus(1)), states_of(*corpus(1), *corpus(2))
+    assert one.agg(F.max("depth")).first()[0] >= 4
+    assert two.count() >= 1.9 * one.count()
+
+
+def test_batches_of_words():
+    import pyarrow as pa
+
+    from marlstone.llm import hashing
+
+    rng = random.Random(1)
+    texts = [None, "", "  ", "A b\tc\x0bd", "x" * 5000 + " y " + "X" * 5000, "é漢 É", "a\x1cb \x85 z q", " lead trail ", "w " * 200_000, "q" * 4096 + " " + "q" * 4097 + " " + "Q" * 4097]
+    texts += ["".join(rng.choice("ab C\n é") for _ in range(rng.randrange(50))) for _ in range(500)]
+    found, n = hashing.batch_words(pa.array(texts))
+    words = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert n.tolist() == [len((t or "").encode().lower().split()) for t in texts] and len(found) == len(words)
+    of = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(words, found.tolist())) and len(set(of.values())) == len(of)
+    assert hashing.batch_words(pa.array(texts)[3:10])[0].tolist() == found[n[:3].sum() : n[:10].sum()].tolist()
+
+
+def test_blobs_keep_their_rows():
+    from marlstone.llm import blobs
+
+    rng = np.random.default_rng(1)
+    key, small, value = rng.integers(0, 2**64 - 1, 1000, dtype=np.uint64), rng.integers(-5, 5, 1000).astype(np.int32), rng.random(1000).astype(np.float32)
+    for rows in (slice(0, 0), slice(0, 1), slice(0, 1000)):
+        columns = [c[rows] for c in (key, small, value)]
+        got = blobs.gathered([blobs.batch(x) for x in [list(blobs.dealt(blobs.part_of(columns[0], 7), 3, *columns))] if x])
+        back = got[3] if rows.stop else [np.empty(0)] * 3
+        assert sorted(zip(*(c.tolist() for c in back))) == sorted(zip(*(c.tolist() for c in columns)))
 
 
 # --- byte strings ---
