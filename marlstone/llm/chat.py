@@ -106,31 +106,43 @@ def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(F.col(key), turns.cast(TURNS).alias("turns"))
 
 
+def json_paths(column: str) -> Column:
+    """Field paths of a JSON text as ``field_paths`` gives them for a schema: its keys, and in place of an array of messages the keys of all its elements.
+
+    Keys count as they are written. Null where the text is no JSON object.
+    """
+    keys = F.json_object_keys(column)
+    arrays = sorted({x.items[0] for x in LAYOUTS if x.items})
+    inner = []
+    for name in arrays:
+        elements = F.from_json(column, f"`{name}` array<string>")[name]
+        fields = F.array_distinct(F.flatten(F.transform(F.filter(elements, lambda e: e.isNotNull()), lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>")))))
+        inner.append(F.coalesce(F.transform(fields, lambda f: F.concat(F.lit(f"{name}[]."), f)), F.array().cast("array<string>")))  # noqa: B023
+    return F.concat(F.array_except(keys, F.array(*[F.lit(n) for n in arrays])), *inner)
+
+
 def from_json_rows(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, turns) from JSON texts of mixed layouts: each row's own fields choose its mapping.
+    """(key, turns) from JSON texts of mixed layouts: a hash of each row's own field paths selects its mapping.
 
-    The fingerprint is taken from the names and types that the parsed value
-    has, reduced to its paths. A text that is no JSON or has an unknown
-    layout gives null turns.
+    Paths that no layout has are left out before the hash, so further keys do not matter; of several layouts that a row's paths
+    contain, the one with most paths is taken. A text that is no JSON object, or whose paths, inner ones too, make no layout,
+    gives null turns. Elements that are no objects give no turn; a field that is null or missing in some elements is empty.
     """
-    value = F.try_parse_json(column)
+    own = df.select(key, F.col(column).alias("_raw"), json_paths(column).alias("_paths"))
     out = None
-    for x in LAYOUTS:
-        if x.rows:
-            continue
-        tops = {p.split("[]")[0].split(".")[0] for p in x.paths}
-        names = F.array_sort(F.json_object_keys(column))
-        test = value.isNotNull() & (names == F.array(*[F.lit(n) for n in sorted(tops)]))
+    for x in sorted((x for x in LAYOUTS if not x.rows), key=lambda x: -len(x.paths)):
+        held = F.array_intersect("_paths", F.array(*[F.lit(p) for p in sorted(x.paths)]))
+        test = F.substring(F.sha2(F.array_join(F.array_sort(held), "\n"), 256), 1, 16) == fingerprint(list(x.paths))
         if x.items:
             name, role, text = x.items
-            parsed = F.from_json(column, f"{name} array<struct<`{role}`:string,`{text}`:string>>")[name]
-            turns = F.transform(F.filter(parsed, lambda i: i.isNotNull()), lambda i: F.struct(_role(i[role]).alias("role"), _text(i[text]).alias("text")))  # noqa: B023
+            elements = F.filter(F.from_json("_raw", f"`{name}` array<string>")[name], lambda e: F.json_object_keys(e).isNotNull())
+            turns = F.transform(elements, lambda e: F.struct(_role(F.get_json_object(e, f"$.{role}")).alias("role"), _text(F.get_json_object(e, f"$.{text}")).alias("text")))  # noqa: B023
         else:
-            parts = [F.when(F.get_json_object(column, f"$.{f}").isNotNull(), F.struct(F.lit(r).alias("role"), F.get_json_object(column, f"$.{f}").alias("text"))) for r, f in x.turns]
+            parts = [F.when(F.get_json_object("_raw", f"$.{f}").isNotNull(), F.struct(F.lit(r).alias("role"), F.get_json_object("_raw", f"$.{f}").alias("text"))) for r, f in x.turns]
             turns = F.filter(F.array(*parts), lambda i: i.isNotNull())
         turns = turns.cast(TURNS)
         out = F.when(test, turns) if out is None else out.when(test, turns)
-    return df.select(key, out.alias("turns"))
+    return own.select(key, out.alias("turns"))
 
 
 def _role(role: Column) -> Column:
@@ -203,29 +215,33 @@ def _mask(pieces: str) -> Column:
 
 
 def read_back(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, turns, loss_texts) from ``formatted`` and ``loss`` alone.
+    """(key, formatted, turns, loss_texts) from ``formatted`` and ``loss`` alone.
 
     The text is split at its end marks, which no escaped text contains, so
-    it is read once however long it is. A turn is under the loss where a
-    span of the mask begins at its text.
+    it is read once however long it is. What is under the loss is told by the
+    mask, not by roles: spans and pieces are put in one order by their starts, and a span
+    that begins where a piece's text does and has its length is that text; any other
+    span is cut out of the formatted text.
     """
-    parts = F.transform(
-        F.slice(F.split("formatted", r"<\|im_end\|>\n"), 1, F.greatest(F.size(F.split("formatted", r"<\|im_end\|>\n")) - 1, F.lit(0))),
-        lambda x: F.struct(
-            _unescape_role(F.substring(F.substring_index(x, "\n", 1), len(START) + 1, 2**31 - 1)).alias("role"),
-            F.substr(x, F.length(F.substring_index(x, "\n", 1)) + 2).alias("body"),
-        ),
+    cut = F.split("formatted", r"<\|im_end\|>\n")
+    split = df.select(key, "formatted", "loss", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0))).alias("cut"))
+    pieces = F.transform("cut", lambda x: F.struct(F.concat(F.substring_index(x, "\n", 1), F.lit("\n")).alias("head"), F.substr(x, F.length(F.substring_index(x, "\n", 1)) + 2).alias("body"), F.lit(True).alias("loss")))
+    split = split.select(key, "formatted", "loss", pieces.alias("p")).withColumn("own", _mask("p"))
+    marks = (
+        "array_sort(concat(transform(loss, s -> named_struct('at', s.start, 'kind', 0, 'n', s.length, 'body', '')), "
+        "transform(own, (s, i) -> named_struct('at', s.start, 'kind', 1, 'n', s.length, 'body', get(p, i).body))))"
+    )
+    split = split.withColumn("m", F.expr(marks))
+    texts = (
+        "transform(filter(sequence(0, greatest(size(m) - 1, 0)), i -> get(m, i).kind = 0), i -> "
+        "case when get(m, i + 1).kind = 1 and get(m, i + 1).at = get(m, i).at and get(m, i + 1).n = get(m, i).n then get(m, i + 1).body "
+        "else substr(formatted, int(get(m, i).at) + 1, int(get(m, i).n)) end)"
     )
-    split = df.select(key, "formatted", "loss", parts.alias("p"))
-    masked = F.filter("p", lambda x: x["role"] == F.lit("assistant"))
-    spans_fit = F.transform("loss", lambda s: s["length"]) == F.transform(masked, lambda x: F.length(x["body"]).cast("bigint"))
     return split.select(
         key,
         "formatted",
-        F.transform("p", lambda x: F.struct(x["role"].alias("role"), unescape(x["body"]).alias("text"))).alias("turns"),
-        F.when(spans_fit, F.transform(masked, lambda x: unescape(x["body"])))
-        .otherwise(F.transform("loss", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))))
-        .alias("loss_texts"),
+        F.transform("p", lambda x: F.struct(_unescape_role(F.substr(x["head"], F.lit(len(START) + 1), F.length(x["head"]) - len(START) - 1)).alias("role"), unescape(x["body"]).alias("text"))).alias("turns"),
+        F.transform(F.expr(texts), unescape).alias("loss_texts"),
     )
 
 

@@ -62,6 +62,46 @@ def test_mixed_json_rows(spark):
     assert got == {1: [("user", "p"), ("assistant", "r")], 2: [("user", "u")], 3: [("user", "i"), ("assistant", "o")], 4: None, 5: None, 6: None}
 
 
+def test_json_rows_with_further_keys_and_foreign_fields(spark):
+    rows = [
+        {"id": 7, "meta": {"prompt": "no", "deep": [{"a": 1}]}, "prompt": "p", "response": "r"},
+        {"messages": [{"role": "user", "content": "u", "n": 1}, {"content": "alone"}, None], "meta": [1, 2]},
+        {"messages": [{"speaker": "user", "body": "u"}]},
+        {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}], "score": 0.5, "tags": []},
+        {"instruction": "i", "input": "x", "output": "o", "k": {}},
+        {"meta": {"prompt": "p", "response": "r"}},
+        {"messages": []},
+        [{"role": "user", "content": "u"}],
+        {"messages": [{"role": "user", "content": "u", "tool": {"name": "t", "calls": [{"x": [1]}]}}, "odd"]},
+        {"Prompt": "p", "Response": "r"},
+        {"messages": "text", "prompt": "p", "response": "r"},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(v), 1) for k, v in enumerate(rows)], "conv_id bigint, raw string, turns int")
+    got = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.from_json_rows(df, "raw", "conv_id").collect()}
+    assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("user", "u"), ("", "alone")], 2: None, 3: [("user", "q"), ("assistant", "a")], 4: [("user", "i"), ("user", "x"), ("assistant", "o")], 5: None, 6: None, 7: None, 8: [("user", "u")], 9: None, 10: [("user", "p"), ("assistant", "r")]}
+
+
+def test_loss_is_read_under_the_mask(spark):
+    rows = [(0, 0, "user", "question <|x|>"), (0, 1, "assistant", "first\\answer"), (0, 2, "user", ""), (0, 3, "assistant", "second"), (0, 4, "assistant", "")]
+    made = chat.format_turns(chat.canonical(spark.createDataFrame(rows, TURNS)))
+    assert chat.read_back(made).first()["loss_texts"] == ["first\\answer", "second", ""]
+    shifted = made.withColumn("loss", F.transform("loss", lambda s: F.struct((s["start"] - 2).alias("start"), s["length"].alias("length"))))
+    assert chat.read_back(shifted).first()["loss_texts"] != ["first\\answer", "second", ""]
+    others = made.withColumn("loss", F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(16).cast("bigint").alias("length")), F.get("loss", F.lit(1))))
+    assert chat.read_back(others).first()["loss_texts"] == ["<|im_start|>user", "second"]
+    users = made.withColumn("loss", F.array(F.struct(F.lit(len("<|im_start|>user\n")).cast("bigint").alias("start"), F.lit(len("question <\\|x|>")).cast("bigint").alias("length"))))
+    assert chat.read_back(users).first()["loss_texts"] == ["question <|x|>"]
+    none = made.withColumn("loss", F.slice("loss", 1, 0))
+    assert chat.read_back(none).first()["loss_texts"] == []
+
+
+def test_long_texts_and_null_turns(spark):
+    long = "word <|é " * 200_000
+    rows = [(0, 0, "user", long), (0, None, None, None), (0, 1, "assistant", long), (1, 0, "assistant", None)]
+    got = through(spark, rows)
+    assert [t["text"] for t in got[0]["turns"]] == ["", long, long] and got[0]["loss_texts"] == [long] and got[1]["loss_texts"] == [""]
+
+
 def test_query(spark):
     got = {r["conv_id"]: r for r in chat.op10_chat_format(spark, "/root/testdata/sf0.001").collect()}
     said = "<|im_end|><|im_start|>assistant ok"
