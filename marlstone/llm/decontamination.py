@@ -53,8 +53,8 @@ def template(line: Column) -> Column:
     return F.regexp_replace(line, r"([\x01-\x03])[\p{L}\p{N}]*(?:(?<=[0-9])[.,:/][0-9][\p{L}\p{N}]*)*", "$1")
 
 
-def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) -> DataFrame:
-    """``documents`` with ``_win``: array of (pos, hash, raw, rich) over windows of template tokens; rich ones have enough literal tokens.
+def windows_of(documents: DataFrame, sizes: list[int], wanted: Column | None = None) -> DataFrame:
+    """``documents`` with ``_win``: array of (size, pos, hash, raw, rich) over windows of so many template tokens; rich ones have enough literal tokens.
 
     ``wanted`` is a filter on hashes that is applied before the windows' own
     tokens are copied. Explode the result with explode_outer: for a plain
@@ -63,21 +63,22 @@ def windows_of(documents: DataFrame, size: int, wanted: Column | None = None) ->
     """
     own = documents.withColumn("_line", marked(F.col("text"))).withColumn("_tok", _tokens(template(F.col("_line"))))
     own = own.withColumn("_h", F.transform("_tok", lambda x: F.xxhash64(x)))
-    hashes = F.when(
-        F.size("_h") >= size,
-        F.transform(F.sequence(F.lit(0), F.size("_h") - size), lambda i: F.xxhash64(F.slice("_h", i + 1, F.lit(size)))),
-    ).otherwise(F.array().cast("array<bigint>"))
-    own = own.withColumn("_all", hashes)
-    positions = F.sequence(F.lit(0), F.size("_all") - 1)
-    held = F.filter(positions, lambda i: _in_filter(F.get("_all", i), wanted)) if wanted is not None else positions
-    hits = F.transform(F.when(F.size("_all") > 0, held).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.get("_all", i).alias("hash")))
-    least = min(LEAST_LITERAL, size)
-    own = own.withColumn("_hit", hits)
+    hits = []
+    for size in sizes:
+        name = f"_all{size}"
+        hashes = F.transform(F.sequence(F.lit(0), F.size("_h") - size), lambda i: F.xxhash64(F.lit(size), F.slice("_h", i + 1, F.lit(size))))  # noqa: B023
+        own = own.withColumn(name, F.when(F.size("_h") >= size, hashes).otherwise(F.array().cast("array<bigint>")))
+        positions = F.sequence(F.lit(0), F.size(name) - 1)
+        held = F.filter(positions, lambda i: _in_filter(F.get(name, i), wanted)) if wanted is not None else positions  # noqa: B023
+        places = F.when(F.size(name) > 0, held).otherwise(F.array().cast("array<int>"))
+        hits.append(F.transform(places, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.get(name, i).alias("hash"))))  # noqa: B023
+    own = own.withColumn("_hit", F.concat(*hits))
     own = own.withColumn("_raw", F.when(F.size("_hit") > 0, _tokens(F.col("_line"))))
-    full = F.transform("_hit", lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.slice("_raw", x["pos"] + 1, size).alias("raw")))
-    full = F.transform(full, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), x["raw"].alias("raw"), (F.size(F.filter(x["raw"], lambda w: F.ascii(w) > 3)) >= least).alias("rich")))
+    full = F.transform("_hit", lambda x: F.struct(x["size"].alias("size"), x["pos"].alias("pos"), x["hash"].alias("hash"), F.slice("_raw", x["pos"] + 1, x["size"]).alias("raw")))
+    rich = lambda x: F.size(F.filter(x["raw"], lambda w: F.ascii(w) > 3)) >= F.least(F.lit(LEAST_LITERAL), x["size"])
+    full = F.transform(full, lambda x: F.struct(*[x[c].alias(c) for c in ("size", "pos", "hash", "raw")], rich(x).alias("rich")))
     # Named twice, _raw is computed once for a row; named only inside the lambda, the optimizer would move it in there.
-    return own.withColumn("_win", F.when(F.size("_raw") > 0, full)).drop("_line", "_tok", "_h", "_all", "_hit", "_raw")
+    return own.withColumn("_win", F.when(F.size("_raw") > 0, full)).drop("_line", "_tok", "_h", "_hit", "_raw", *[f"_all{size}" for size in sizes])
 
 
 def _in_filter(h: Column, words: Column) -> Column:
@@ -99,58 +100,72 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(_k1, _k2, item_id, n_matched, n_windows, changed): which text holds which benchmark item.
 
     Texts are named by a hash, so repeated rows and null ids do no harm. An
-    item counts as held if COVERAGE of its rich windows are found and, along the
-    best alignment, every value of the item stands for one value of the text;
+    item counts as held if COVERAGE of its rich windows are found in places where
+    every value of the item stands for one value of the text: the alignment with most windows counts if its
+    values are consistent, and any further one whose values agree with those counted so far;
     or if COVERAGE of all its windows are found word for word. An item without
     a rich window is held if its whole template is found in a row, with values
     as above. changed tells whether a value differs. Items of under WINDOW tokens are one window of
-    their own length; items without a token, or null, are never found.
+    their own length; items without a token, or null, are never found; an item that is listed twice counts once.
     """
     scratch = Scratch(documents.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     items = items.withColumn("_size", F.least(F.size(_tokens(template(marked(F.col("text"))))), F.lit(WINDOW)))
     sizes = sorted(r[0] for r in items.select("_size").distinct().collect() if r[0] > 0)
-    found = None
-    for size in sizes:
-        # Without case there are no names, so copies in another case are met by a second form of the item.
-        forms = items.where(F.col("_size") == size).select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.lower("text").alias("text")))).alias("f")).select("item_id", "f.*")
-        own = windows_of(forms, size).select("item_id", "form", F.explode_outer("_win").alias("w")).where("w is not null")
-        own = scratch.put(own.select("item_id", "form", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
-        rich = own.groupBy("item_id", "item_pos").agg(F.coalesce(F.max(F.when(F.col("form") == 0, F.col("rich"))), F.lit(False)).alias("rich"))
-        own = scratch.put(own.drop("form", "rich").distinct().join(rich, ["item_id", "item_pos"]))
-        rows = own.count()
-        if not rows:
-            continue
-        hits = windows_of(documents.select("text", *text_key(F.col("text"))), size, _filter_words(own)).select("_k1", "_k2", F.explode_outer("_win").alias("w")).where("w is not null")
-        hits = hits.select("_k1", "_k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("raw"))
-        total = rich.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
-        own, total = (F.broadcast(own), F.broadcast(total)) if rows <= BROADCAST_ROWS else (own, total)
-        met = hits.join(own, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
-        slots = F.filter(F.arrays_zip(F.col("item_raw").alias("b"), F.col("raw").alias("d")), lambda x: F.ascii(x["b"]) <= 3)
-        met = met.select("_k1", "_k2", "item_id", "item_pos", "shift", "rich", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
-        by_shift = met.groupBy("_k1", "_k2", "item_id", "shift").agg(
-            F.collect_set("item_pos").alias("at"),
-            F.collect_set(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_at"),
-            F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"),
-            F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-        )
-        union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-        by_item = by_shift.groupBy("_k1", "_k2", "item_id").agg(union("at").alias("n_any"), union("rich_at").alias("n_rich_at"), F.max(F.size("at")).alias("n_run"), union("plain_at").alias("n_plain"), F.max_by("slots", F.struct(F.size("rich_at"), F.size("at"), -F.col("shift"))).alias("slots"))
-        by_item = by_item.join(total, "item_id")
-        values = F.array_distinct(F.transform("slots", lambda x: x["b"]))
-        steady = F.size(values) == F.size("slots")
-        plain = F.col("n_plain") >= COVERAGE * F.col("n_all")
-        # An item without a rich window is held if all of its template is found in a row.
-        like = F.when(F.col("n_rich") > 0, F.col("n_rich_at") >= COVERAGE * F.col("n_rich")).otherwise(F.col("n_run") == F.col("n_all"))
-        one = by_item.where((like & steady) | plain)
-        by_rich = like & (F.col("n_rich") > 0)
-        n_matched, n_windows = F.when(by_rich, F.col("n_rich_at")).otherwise(F.col("n_any")), F.when(by_rich, F.col("n_rich")).otherwise(F.col("n_all"))
-        one = one.select("_k1", "_k2", "item_id", n_matched.cast("bigint").alias("n_matched"), n_windows.alias("n_windows"), F.exists("slots", lambda x: x["b"] != x["d"]).alias("changed"))
-        found = one if found is None else found.union(one)
-    if found is None:
+    if not sizes:
         kinds = {"_k1": "bigint", "_k2": "int", "item_id": "bigint", "n_matched": "bigint", "n_windows": "bigint", "changed": "boolean"}
         return documents.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
-    return scratch.put(found)
+    # Without case there are no names, so copies in another case are met by a second form of the item.
+    forms = F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.lower("text").alias("text")))
+    forms = items.where("_size > 0").select("item_id", "_size", F.explode(forms).alias("f")).select("item_id", "_size", "f.*")
+    own = windows_of(forms, sizes).select("item_id", "_size", "form", F.explode_outer("_win").alias("w")).where("w.size = _size")
+    own = scratch.put(own.select("item_id", "form", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
+    rich = own.groupBy("item_id", "item_pos").agg(F.coalesce(F.max(F.when(F.col("form") == 0, F.col("rich"))), F.lit(False)).alias("rich"))
+    own = scratch.put(own.drop("form", "rich").distinct().join(rich, ["item_id", "item_pos"]))
+    rows = own.count()
+    hits = windows_of(documents.select("text", *text_key(F.col("text"))), sizes, _filter_words(own)).select("_k1", "_k2", F.explode_outer("_win").alias("w")).where("w is not null")
+    hits = hits.select("_k1", "_k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("raw"))
+    total = rich.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
+    own, total = (F.broadcast(own), F.broadcast(total)) if rows <= BROADCAST_ROWS else (own, total)
+    met = hits.join(own, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    slots = F.filter(F.arrays_zip(F.col("item_raw").alias("b"), F.col("raw").alias("d")), lambda x: F.ascii(x["b"]) <= 3)
+    met = met.select("_k1", "_k2", "item_id", "item_pos", "shift", "rich", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
+    by_shift = met.groupBy("_k1", "_k2", "item_id", "shift").agg(
+        F.collect_set("item_pos").alias("at"),
+        F.collect_set(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_at"),
+        F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    )
+    run = F.struct(F.size("rich_at").alias("n_rich"), F.size("at").alias("n"), (-F.col("shift")).alias("shift"), "at", "rich_at", "slots")
+    by_item = by_shift.groupBy("_k1", "_k2", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("plain_at")))).alias("n_plain"),
+        F.sort_array(F.collect_list(F.when(_steady(F.col("slots")), run)), asc=False).alias("runs"),
+        F.max("slots").alias("any_slots"),
+    )
+    held = F.aggregate(
+        F.when(F.size("runs") > 0, F.slice("runs", 2, F.size("runs"))).otherwise(F.col("runs")),
+        F.struct(F.coalesce(F.get("runs", F.lit(0))["at"], F.array().cast("array<int>")).alias("at"), F.coalesce(F.get("runs", F.lit(0))["rich_at"], F.array().cast("array<int>")).alias("rich_at"), F.coalesce(F.get("runs", F.lit(0))["slots"], F.slice("any_slots", 1, 0)).alias("slots")),
+        lambda a, x: F.when(
+            _steady(F.array_union(a["slots"], x["slots"])),
+            F.struct(F.array_union(a["at"], x["at"]).alias("at"), F.array_union(a["rich_at"], x["rich_at"]).alias("rich_at"), F.array_union(a["slots"], x["slots"]).alias("slots")),
+        ).otherwise(a),
+    )
+    by_item = by_item.select("_k1", "_k2", "item_id", "n_plain", F.coalesce(F.get("runs", F.lit(0))["n"], F.lit(0)).alias("n_run"), held.alias("held")).join(total, "item_id")
+    by_item = by_item.withColumns({"n_any": F.size("held.at"), "n_rich_at": F.size("held.rich_at")})
+    plain = F.col("n_plain") >= COVERAGE * F.col("n_all")
+    # An item without a rich window is held if all of its template is found in a row.
+    like = F.when(F.col("n_rich") > 0, F.col("n_rich_at") >= COVERAGE * F.col("n_rich")).otherwise(F.col("n_run") == F.col("n_all"))
+    one = by_item.where(like | plain)
+    by_rich = like & (F.col("n_rich") > 0)
+    n_matched = F.when(by_rich, F.col("n_rich_at")).when(like, F.col("n_any")).otherwise(F.col("n_plain"))
+    changed = like & F.exists("held.slots", lambda x: x["b"] != x["d"])
+    one = one.select("_k1", "_k2", "item_id", n_matched.cast("bigint").alias("n_matched"), F.when(by_rich, F.col("n_rich")).otherwise(F.col("n_all")).alias("n_windows"), changed.alias("changed"))
+    return scratch.put(one)
+
+
+def _steady(slots: Column) -> Column:
+    """Each value of the item stands for one value of the text."""
+    return F.size(F.array_distinct(F.transform(slots, lambda x: x["b"]))) == F.size(slots)
 
 
 def per_text(found: DataFrame) -> DataFrame:
@@ -163,12 +178,12 @@ def per_text(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose text holds a benchmark item. Clean rows stay, repeated and null ones too."""
+    """``documents`` without the rows whose text holds a benchmark item. Clean rows stay, repeated and null ones too, with columns of any name."""
     found = per_text(leaks(documents, benchmark)).select("_k1", "_k2")
-    own = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
+    own = documents.select(F.struct(*documents.columns).alias("_row"), *text_key(F.col("text")))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return own.join(found, ["_k1", "_k2"], "left_anti").select(*documents.columns)
+    return own.join(found, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,63 @@ def test_changed_is_told(spark):
     assert sorted(r["changed"] for r in rows) == [False, True] and {r["item_id"] for r in rows} == {7}
 
 
+def test_windows_that_count_agree_on_the_values(spark):
+    words = "If someone has 5 red apples then with two more green apples and a few ripe pears plus 5 plums how many fruits are there now".split()
+    halves = lambda x, y: f"{FILL} {' '.join(words[:15]).replace('5', x)} {FILL} {' '.join(words[11:]).replace('5', y)}"
+    alone = [f"{FILL} {' '.join(words[:15]).replace('5', '8')}", f"{FILL} {' '.join(words[11:]).replace('5', '3')}"]
+    assert found(spark, [halves("8", "3"), halves("8", "8"), *alone], [" ".join(words)]) == [False, True, False, False]
+
+
+def test_items_of_many_lengths_at_once(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = [" ".join(words[:k]) for k in range(1, 10)]
+    got = d.leaks(
+        spark.createDataFrame([(0, f"so {' '.join(words[:5])} end"), (1, " ".join(words))], "doc_id bigint, text string"),
+        spark.createDataFrame([(k, t) for k, t in enumerate(items)] * 2, "item_id bigint, text string"),
+    )
+    rows = sorted((r["_k1"], r["item_id"]) for r in got.collect())
+    by = {}
+    for k1, item in rows:
+        by.setdefault(k1, []).append(item)
+    assert sorted(by.values(), key=len) == [[0, 1, 2, 3, 4], list(range(9))]
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "filler words here " * 100_000 + ITEM
+    df = spark.createDataFrame([(1, "clean text of no item", 4, 5, "w"), (2, long, 6, 7, "x"), (2, long, 6, 7, "x"), (None, None, None, None, None)], "doc_id bigint, text string, _k1 int, _k2 int, hash string")
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM)], "item_id bigint, text string")
+    got = d.decontaminate(df, bench)
+    assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=str) == [(1, "clean text of no item", 4, 5, "w"), (None,) * 5]
+
+
+SUBJECTS = ["bakery", "museum", "garden", "factory", "library", "harbour", "theatre", "village"]
+
+
+def made_item(rng, k):
+    """A question of three sentences over a frame of its own words, with its names and numbers as parameters."""
+    place, thing, other = rng.choice(SUBJECTS), f"item{k}", f"part{k % 37}"
+    verbs = rng.sample(["packs", "sells", "paints", "counts", "moves", "stores", "repairs", "collects"], 3)
+
+    def text(name, friend, a, b, c):
+        return f"{name} works in a {place} and {verbs[0]} {a} {thing} every morning. {friend} {verbs[1]} {b} more {other} than {name} during the week. After {c} days they {verbs[2]} everything, so how many {thing} are left over for {friend} in the end?"
+
+    return text
+
+
+def test_recall_of_items_with_other_parameters(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["Natalia", "Weng", "Betty", "Julie", "Ken", "Alexis", "Tobias", "Mina", "Carlos", "Ines", "Olga", "Pavel"]
+    makers = [made_item(rng, k) for k in range(60)]
+    draw = lambda: (*rng.sample(names, 2), *rng.sample(range(2, 900), 3))
+    items = [m(*draw()) for m in makers]
+    again = [f"{FILL}. {m(*draw())} {FILL}" for m in makers]
+    clean = [f"{FILL}. {made_item(rng, k)(*draw())}" for k in range(1000, 1060)]
+    got = found(spark, again + clean, items)
+    assert sum(got[:60]) >= 0.9 * 60 and sum(got[60:]) == 0
+
+
 def test_query_catches_every_planted_passage(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
