@@ -20,47 +20,51 @@ MAX_RULES, MAX_CONDITIONS, MIN_COVER = 12, 4, 8
 FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "bare_share", "line_words"]
 
 
-def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` and a struct ``_q`` of whole-text counts, in one row-local pass of built-in functions.
+#: Words from which windows are sorted by whole hashes and not by ones packed with their position.
+LONG_TEXT = 20_000
 
-    n_repeat_words counts the words in any 3-word window whose words occur
-    twice or more in the text. Windows are compared by a hash taken modulo
-    2**63 / n_words, packed with the position so that one sort of a long
-    array finds the repeats; two different windows of a 20,000-word text fall
-    together with a probability under 1e-6.
+
+def _repeated() -> Column:
+    """Positions, in order, of the 3-word windows of ``_w`` that occur twice or more.
+
+    Windows are sorted by hash, packed with the position in one integer or, in a text of over
+    LONG_TEXT words, as whole 64 bits beside it; neighbours of equal hash are compared word for word.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = documents.withColumn("_w", words(F.col(text)))
-    base = base.withColumn("_n", F.size("_w").cast("bigint"))
-    room = F.expr("9223372036854775807 div greatest(_n, 1L)")
-    base = base.withColumn("_room", room)
-    packed = F.when(
-        F.col("_n") > 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(1).cast("bigint"), F.col("_n") - 2),
-                lambda i: F.pmod(F.xxhash64(*[F.get("_w", (i + k).cast("int")) for k in (-1, 0, 1)]), F.col("_room")) * F.col("_n") + i - 1,
-            )
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    base = base.withColumn("_p", packed)
-    repeated = F.expr(
-        "case when size(_p) > 1 then sort_array(transform(filter(sequence(0, size(_p) - 1), i -> "
-        "(i > 0 and get(_p, i) div _n = get(_p, i - 1) div _n) or (i < size(_p) - 1 and get(_p, i) div _n = get(_p, i + 1) div _n)), "
-        "i -> get(_p, i) % _n)) else cast(array() as array<bigint>) end"
+    window = "xxhash64(get(_w, int(i)), get(_w, int(i) + 1), get(_w, int(i) + 2))"
+    places = "transform(sequence(0L, _n - 3), i -> {})"
+    packed = "sort_array(" + places.format(f"pmod({window}, 9223372036854775807 div _n) * _n + i") + ")"
+    whole = "array_sort(" + places.format(f"named_struct('h', {window}, 'i', i)") + ")"
+    same = " and ".join(f"get(_w, int({{0}}) + {k}) = get(_w, int({{1}}) + {k})" for k in range(3))
+
+    def again(rows: str, hash_of: str, at: str) -> str:
+        def meets(j: str) -> str:
+            x, y = "get(s, k)", f"get(s, {j})"
+            return f"({hash_of.format(x)} = {hash_of.format(y)} and {same.format(at.format(x), at.format(y))})"
+
+        found = f"filter(sequence(0, size(s) - 1), k -> (k > 0 and {meets('k - 1')}) or (k < size(s) - 1 and {meets('k + 1')}))"
+        # One element: the sorted array has a name, and is made once.
+        return f"sort_array(flatten(transform(array({rows}), s -> transform({found}, k -> {at.format('get(s, k)')}))))"
+
+    return F.expr(
+        f"case when _n > {LONG_TEXT} then {again(whole, '{}.h', '{}.i')} when _n > 3 then {again(packed, '({} div _n)', '({} % _n)')} else cast(array() as array<bigint>) end"
     )
-    base = base.withColumn("_r", repeated)
+
+
+def _counted(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, _q): each whole row, and the counts of its text."""
+    base = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t")))
+    base = base.withColumn("_n", F.size("_w").cast("bigint"))
+    base = base.withColumn("_r", _repeated())
     covered = F.expr("case when size(_r) = 0 then 0L else aggregate(sequence(1, size(_r)), 0L, (s, i) -> s + least(3L, coalesce(get(_r, i) - get(_r, i - 1), 3L))) end")
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.withColumn("_l", lines)
-    glued = F.array_join("_w", "")
-    count_of = lambda cls: F.length(F.regexp_replace(t, f"[^{cls}]+", "")).cast("bigint")
+    count_of = lambda cls: F.length(F.regexp_replace("_t", f"[^{cls}]+", "")).cast("bigint")
     # Through the explode no later filter on these counts is pushed down, where it would be evaluated again inside the lambdas above.
     return base.select(
-        *documents.columns,
+        "_row",
         F.explode_outer(F.array(F.struct(
             F.col("_n").alias("n_words"),
-            F.length(glued).cast("bigint").alias("word_chars"),
+            F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
             count_of(r"#*$%&|<>").alias("n_symbols"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
             covered.alias("n_repeat_words"),
@@ -72,6 +76,15 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``documents`` and a struct ``_q`` of whole-text counts, in one row-local pass of built-in functions.
+
+    n_repeat_words counts the words in any 3-word window whose words occur
+    twice or more in the text. A null text is empty. Columns of any name but ``_q`` do no harm.
+    """
+    return _counted(documents, text).select("_row.*", "_q")
+
+
 def feature_columns() -> dict[str, Column]:
     """The features a rule may test, each a double; 0 where a text has no word."""
     q = lambda name: F.col(f"_q.{name}").cast("double")
@@ -209,11 +222,13 @@ def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null text has no words and fails. A repeated row is judged like its
     twin. Without labels the list is empty and the fixed rule alone decides.
-    Columns that begin with an underscore are this operator's own.
     """
-    rules = fit(documents, labels)
-    found = with_statistics(documents)
-    return found.withColumn("_kept", ~base_failed() & verdict(rules))
+    return with_statistics(documents).withColumn("_kept", ~base_failed() & verdict(fit(documents, labels)))
+
+
+def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that the fixed rule and the learned list keep, whatever their columns' names."""
+    return _counted(documents).where(~base_failed() & verdict(fit(documents, labels))).select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

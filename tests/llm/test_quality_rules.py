@@ -27,6 +27,25 @@ def test_statistics_equal_brute_force(spark):
         assert r["n_words"] == r["doc_id"]
 
 
+def test_very_long_texts_are_exact(spark):
+    many = " ".join(f"{i:x}" for i in range(3_000_000))
+    planted = " ".join(f"{i:x}" for i in range(30_000)) + " one two three four " + " ".join(f"y{i}" for i in range(30_000)) + " two three four five " + "z z z z " * 5
+    repeats = " ".join(f"{i % 40_000:x}" for i in range(90_000))
+    texts = [many, planted, repeats]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r["_q"]["n_repeat_words"] for r in q.with_statistics(df).select("doc_id", "_q").collect()}
+    assert got == {0: 0, 1: brute(planted)[-1], 2: brute(repeats)[-1]} and 0 < got[1] < 60
+
+
+def test_columns_of_clashing_names(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long, 5, 6, "r"), (2, "a b", 7, 8, "s")], "doc_id bigint, text string, _w int, _n int, _row string")
+    empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert [tuple(r) for r in q.kept(df, empty).collect()] == [(1, long, 5, 6, "r")]
+    got = q.with_statistics(df).where("doc_id = 2").first()
+    assert (got["_w"], got["_n"], got["_q"]["n_words"]) == (7, 8, 2)
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -67,7 +86,9 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "w " * 60 + "x"), (None, None)], "doc_id bigint, text string")
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = q.judged(docs, empty).collect()
-    assert {r["_kept"] for r in got} == {False} or len(got) == 2
+    assert {r["doc_id"]: r["_kept"] for r in got} == {1: False, None: False}
+    good = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)))], "doc_id bigint, text string")
+    assert q.judged(good, empty).first()["_kept"] and q.kept(good, empty).count() == 1
     assert q.judged(docs.limit(0), empty).count() == 0
 
 
