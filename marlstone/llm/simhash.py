@@ -15,9 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blobs
 from .common import Scratch, bounded_batches, table, text_key
 from .components import components
-from .hashing import pair_hashes, word_hashes
+from .hashing import batch_words, mixed, pair_hashes
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -193,14 +194,29 @@ WORDS = 5
 SIMILAR = (4, 5)
 #: Shingles are ordered by how often their cell of 2**CELL_BITS occurs, then by hash; any order would do, this one leaves the common ones aside.
 CELL_BITS = 20
-
-
-def shingles_of(text: bytes | None) -> np.ndarray:
-    """The sorted set of hashes of WORDS words in a row; a shorter text is one shingle, a text without words has none."""
-    h = word_hashes(text)
-    for _ in range(min(WORDS, len(h)) - 1):
-        h = pair_hashes(h)
-    return np.unique(h)
+#: Shingles of a cell with so many are dealt out by text as well, as one of them may be in a large part of all texts.
+HOT_CELL = 1_000_000
+#: Rows that a task adds up before it sends them.
+HELD = 1_000_000
+
+
+def sets_of(column: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted set of hashes of WORDS words in a row; a shorter text is one shingle, a text without words has none."""
+    hashes, n = batch_words(column)
+    ends = np.cumsum(n)
+    long = hashes
+    for _ in range(min(WORDS - 1, max(len(hashes) - 1, 0))):
+        long = pair_hashes(long)
+    out = []
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        if b - a >= WORDS:
+            out.append(np.unique(long[a : b - WORDS + 1]))
+        else:
+            h = hashes[a:b]
+            while len(h) > 1:
+                h = pair_hashes(h)
+            out.append(h)
+    return out
 
 
 def _class(shingles: np.ndarray) -> int:
@@ -214,7 +230,7 @@ def _over_texts(documents: DataFrame, make, shape: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(make([shingles_of(t) for t in b.column(0).cast(pa.binary()).to_pylist()], b), names=names)
+            yield pa.RecordBatch.from_arrays(make(sets_of(b.column(0)), b), names=names)
 
     return documents.mapInArrow(each, shape)
 
@@ -223,86 +239,146 @@ def _signed(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.uint64).view(np.int64))
 
 
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _counted(documents: DataFrame) -> np.ndarray:
     """How many texts' shingles fall in each cell; the array's size is fixed."""
     bounded_batches(documents.sparkSession)
+    parts = blobs.parts_for(documents.sparkSession)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                np.add.at(n, (shingles_of(t) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+            n += np.bincount(_cells(np.concatenate([np.empty(0, np.uint64), *sets_of(b.column(0))])), minlength=len(n))
         at = np.flatnonzero(n)
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000]), pa.array(n[at[k : k + 100_000]])], names=["cell", "n"])
-
-    rows = documents.select("text").mapInArrow(each, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        key = at.astype(np.uint64) << np.uint64(64 - CELL_BITS)
+        yield from blobs.batches_of(blobs.dealt(blobs.part_of(key, parts), 0, key, n[at]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = blobs.gathered(batches)
+        if found:
+            n = np.zeros(1 << CELL_BITS, np.int64)
+            np.add.at(n, _cells(found[0][0]), found[0][1])
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+
+    rows = blobs.met(documents.select("text").mapInArrow(count, blobs.SHAPE), parts).mapInArrow(add, "cell bigint, n bigint").toArrow()
     out = np.zeros(1 << CELL_BITS, np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return out
+    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
 
 
-def similar(documents: DataFrame, scratch: Scratch) -> DataFrame:
+def _members(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, fp, size, place): the first shingles of each set that another set has among its first too.
+
+    A set is named by its hash. A task sends each of its sets once; shingles of hot cells are dealt out by set and all kept.
+    """
+    few, of = SIMILAR
+    bounded_batches(documents.sparkSession)
+    parts, most, hot = blobs.parts_for(documents.sparkSession), HELD, HOT_CELL
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, seen = [], 0, set()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, fp, size, place = (np.concatenate(c) for c in zip(*held))
+            to = np.where(counts[_cells(key)] >= hot, blobs.part_of(mixed(key ^ fp), parts), blobs.part_of(key, parts))
+            return blobs.batches_of(blobs.dealt(to, 0, key, fp, size, place))
+
+        for b in batches:
+            for s in sets_of(b.column(0)):
+                fp = _class(s)
+                if len(s) and fp not in seen:
+                    seen.add(fp)
+                    first = s[np.lexsort((s, counts[_cells(s)]))][: len(s) + few * -len(s) // of + 1]
+                    held.append((first, np.full(len(first), fp, np.uint64), np.full(len(first), len(s), np.uint32), np.arange(len(first), dtype=np.uint32)))
+                    rows += len(first)
+            if rows > most:
+                yield from sent()
+                held, rows, seen = [], 0, set()
+        if rows:
+            yield from sent()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = blobs.gathered(batches)
+        if not found:
+            return
+        order = np.lexsort((found[0][1], found[0][0]))
+        key, fp, size, place = (c[order] for c in found[0])
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        once = new | np.concatenate(([True], fp[1:] != fp[:-1]))
+        key, fp, size, place = (c[once] for c in (key, fp, size, place))
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(new, len(key)))
+        kept = (np.repeat(n, n) > 1) | (counts[_cells(key)] >= hot)
+        out = [x[kept].astype(t).view(np.int64) for x, t in ((key, np.uint64), (fp, np.uint64), (size, np.int64), (place, np.int64))]
+        for k in range(0, len(out[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in out], names=["key", "fp", "size", "place"])
+
+    return blobs.met(documents.select("text").mapInArrow(firsts, blobs.SHAPE), parts).mapInArrow(shared, "key bigint, fp bigint, size bigint, place bigint")
+
+
+def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): edges between sets of shingles, by their hash, that connect just what links at SIMILAR or more.
 
-    Sets that similar share one of the first shingles of each in any order of
+    ``classes`` has (fp, _k1, _k2) for each set: its hash and one of its texts. Sets that similar share one of the first shingles of each in any order of
     all shingles, if the first are those beyond the least overlap, and one;
-    so the members of a shared first shingle's group hold every pair. First one
+    so the members of a shared first shingle's group hold every pair. First the least
     member of each group is compared with the others, which joins large
     groups of near copies; then every two that are not yet joined.
     """
     few, of = SIMILAR
-    counts = _counted(documents)
-
-    def firsts(sets: list[np.ndarray], b: pa.RecordBatch) -> list[pa.Array]:
-        first = [s[np.lexsort((s, counts[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))][: len(s) + few * -len(s) // of + 1] if len(s) else s for s in sets]
-        n = [len(x) for x in first]
-        each = [np.repeat(np.array(x, dtype=np.uint64), n) for x in ([_class(s) for s in sets], [len(s) for s in sets])]
-        place = np.concatenate([np.arange(k) for k in n]) if n else []
-        return [_signed(np.concatenate(first) if first else []), *map(_signed, each), _signed(place)]
-
-    members = _over_texts(documents.select("text"), firsts, "key bigint, fp bigint, size bigint, place bigint").distinct()
-    every = members = scratch.put(members)
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = scratch.put(members.join(shared, "key"))
-    scratch.drop(every)
-    whole = _over_texts(documents.select("text"), lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>")
+    members = scratch.put(_members(documents, _counted(documents)))
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = scratch.put(pairs.distinct())
-        ids = scratch.put(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
-        # Sets of pairs alone are kept; a bounded list of them spares all others the shuffle.
-        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        sets = scratch.put(whole.join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        few_pairs = pairs.count() <= BROADCAST_ROWS
+        sent = F.broadcast if few_pairs else (lambda df: df)
+        # Texts of pairs alone are read; a bounded list of them spares all others the work, and their sets a shuffle.
+        ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        wanted = scratch.put(classes.join(ids, "fp").select("_k1", "_k2"))
+        texts = documents.select("text", *text_key(F.col("text"))).join(sent(wanted), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("text")
+        whole = _over_texts(texts, lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>")
+        sets = scratch.put(whole)
+        others = sets.join(sent(pairs.select(F.col("a").alias("fp")).distinct()), "fp", "left_semi").select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+        both = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")).join(sent(pairs), "b").join(others, "a")
         common = F.size(F.array_intersect("x", "y"))
         out = scratch.put(both.where(of * common >= few * (F.size("x") + F.size("y") - common)).select("a", "b"))
         scratch.drop(sets)
         return out
 
-    edges = checked(_pairs(members.withColumn("component", F.col("fp")), False))
+    # Written out, so that the rows of a hot key can be split in the join.
+    least = scratch.put(members.groupBy("key").agg(F.min(F.struct("fp", "size", "place")).alias("x")).select("key", F.col("x.fp").alias("fp_x"), F.col("x.size").alias("size_x"), F.col("x.place").alias("place_x")))
+    overlap = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
+    fits = (of * F.least("size", "size_x") >= few * F.greatest("size", "size_x")) & ((few + of) * overlap >= few * (F.col("size") + F.col("size_x")))
+    first = members.join(least, "key").where((F.col("fp") != F.col("fp_x")) & fits).select(F.col("fp_x").alias("a"), F.col("fp").alias("b"))
+    edges = checked(first)
     linked = components(edges, scratch)
     rest = members.join(linked, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
-    apart = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return edges.union(checked(_pairs(rest.join(apart, "key"), True)))
+    rest = scratch.put(rest)
+    apart = scratch.put(rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
+    return edges.union(checked(_pairs(rest.join(apart, "key"))))
 
 
-def _pairs(members: DataFrame, every: bool) -> DataFrame:
-    """(a, b) within each key, of different components and with sizes and places that allow SIMILAR: every such pair, or those with one member of the key.
+def _pairs(members: DataFrame) -> DataFrame:
+    """(a, b) within each key, of different components and with sizes and places that allow SIMILAR.
 
     If the key is the first that two sets share, they share at most what comes after it in both; so a pair passes at its first shared key.
+    The members outside a key's largest component are each compared with all.
     """
     few, of = SIMILAR
-    rows = members.select("key", "fp", "size", "place", "component").repartition("key").sortWithinPartitions("key", "fp")
-
-    def within(key: int, fp: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[pa.RecordBatch]:
-        chosen = range(len(fp) - 1) if every else [int(np.argmin((fp.view(np.uint64) ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)))]
-        for k in chosen:
-            start = k + 1 if every else 0
-            ok = (component[start:] != component[k]) & (of * np.minimum(size[start:], size[k]) >= few * np.maximum(size[start:], size[k]))
-            most = np.minimum(size[start:] - place[start:], size[k] - place[k])
-            ok &= (few + of) * most >= few * (size[start:] + size[k])
-            other = fp[start:][ok]
+    rows = members.select("key", "fp", "size", "place", "component").repartition("key").sortWithinPartitions("key", "component", "fp")
+
+    def within(fp: np.ndarray, size: np.ndarray, place: np.ndarray, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1])))
+        n = np.diff(np.append(starts, len(fp)))
+        largest = component[starts[np.argmax(n)]]
+        for k in np.flatnonzero(component != largest).tolist():
+            ok = (component != component[k]) & (of * np.minimum(size, size[k]) >= few * np.maximum(size, size[k]))
+            ok &= (few + of) * np.minimum(size - place, size[k] - place[k]) >= few * (size + size[k])
+            other = fp[ok]
             if len(other):
                 yield np.minimum(other, fp[k]), np.maximum(other, fp[k])
 
@@ -314,11 +390,12 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
             key, *rest = (np.concatenate(x) for x in zip(*held))
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, b in zip(cuts[: None if last else -1], cuts[1 : None if last else -1]):
-                yield from within(int(key[a].view(np.uint64)), *(x[a:b] for x in rest))
+                yield from within(*(x[a:b] for x in rest))
             held = [] if last else [[x[cuts[-2] :] for x in (key, *rest)]]
 
         def sent():
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*out)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -356,7 +433,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     own = documents.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")))
     own = scratch.put(_over_texts(own, lambda sets, b: [b.column(1), _signed([_class(s) for s in sets]), b.column(2), b.column(3)], "doc_id bigint, fp bigint, _k1 bigint, _k2 int"))
-    return _grouped(own, lambda _: similar(documents, scratch), scratch)
+    one = scratch.put(own.groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*"))
+    return _grouped(own, lambda _: similar(documents, one, scratch), scratch)
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
@@ -365,7 +443,7 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     The row with the group's smallest doc_id stays (a null one only where no
     member has an id); of rows with that id but other texts, one, and of
     rows that repeat it whole, one. What goes is found from ids and hashes
-    alone; the texts are read once more to leave it out.
+    alone; the texts are read once more to leave it out. Other columns may have any names.
     """
     scratch = Scratch(documents.sparkSession)
     key = ["doc_id", "_k1", "_k2"]
@@ -373,12 +451,12 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     least = scratch.put(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *key)).alias("least")))
     marked = scratch.put(rows.join(least, "component").select(*key, "n", F.struct(*key).eqNullSafe(F.struct(*[F.col(f"least.{k}").alias(k) for k in key])).alias("stays")))
     gone, twice = marked.where("not stays").select(*key), marked.where("stays and n > 1").select(*key)
-    own = documents.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
+    own = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")))
     if not twice.head(1):
-        return _without(own, gone, key).select(*documents.columns)
+        return _without(own, gone, key).select("_row.*")
     single = _without(own, gone.union(twice), key)
     same = [own[k].eqNullSafe(twice[k]) for k in key]
-    return single.unionByName(own.join(twice, same, "left_semi").dropDuplicates(key)).select(*documents.columns)
+    return single.unionByName(own.join(twice, same, "left_semi").dropDuplicates(key)).select("_row.*")
 
 
 def _without(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:

@@ -109,7 +109,19 @@ def test_one_of_each_group(spark):
     assert got.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 1), (False, 2), (False, 8), (True, None)]
     assert simhash.one_of_each_group(df.limit(0)).count() == 0
-    assert F
+    clash = df.withColumns({"_k1": F.lit(4), "_k2": F.lit("k"), "fp": F.lit(2.5)})
+    got = simhash.one_of_each_group(clash)
+    assert got.columns == clash.columns and {(r["_k1"], r["_k2"], r["fp"]) for r in got.collect()} == {(4, "k", 2.5)} and got.count() == 4
+
+
+def test_hot_shingles_are_dealt_by_text(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(f"x{k}" if rng.random() < 0.01 else w for w in base) for k in range(60)] + [" ".join(f"o{k}-{i}" for i in range(50)) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    monkeypatch.setattr(simhash, "HOT_CELL", 5)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == want and len(set(want.values())) < 60
 
 
 def test_stage_equals_brute_force(spark):
