@@ -151,44 +151,49 @@ def _is_kind(name: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == name
 
 
-def with_spans(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``_pii``: array of (kind, start, end, score) in order of kind, then start.
-
-    A base kind's span is reported if its check holds; other kinds need
-    LEAST_SCORE, which some reach only with a context word in the NEARBY code
-    points before them, and do not overlap a base span. A null or empty text
-    has no spans. Each row is judged by itself.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = documents
+def _spans(documents: DataFrame) -> DataFrame:
+    """(_row, _pii): each whole row, and the spans of its text."""
+    out = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     for k in KINDS:
-        out = out.withColumn(f"_s_{k.name}", F.filter(matches(text, k.pattern), _confirms(k)))
+        out = out.withColumn(f"_s_{k.name}", F.filter(matches(F.col("_t"), k.pattern), _confirms(k)))
     base = F.concat(*[F.col(f"_s_{n}") for n in BASE])
     arrays = []
     for k in KINDS:
-        own = F.transform(f"_s_{k.name}", _scores(k, text))
+        own = F.transform(f"_s_{k.name}", _scores(k, F.col("_t")))
         if not k.base:
             own = F.filter(own, lambda x: (x["score"] >= LEAST_SCORE) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         arrays.append(own)
     # Through the explode no later filter on the spans is pushed down, where it would be evaluated again.
-    return out.select(*documents.columns, F.explode_outer(F.array(F.concat(*arrays))).alias("_pii"))
+    return out.select("_row", F.explode_outer(F.array(F.concat(*arrays))).alias("_pii"))
+
+
+def with_spans(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``_pii``: array of (kind, start, end, score) in order of kind, then start.
+
+    A base kind's span is reported if its check holds; other kinds need
+    LEAST_SCORE, which some reach only with a context word in the NEARBY code
+    points before them, and do not overlap a base span. A null or empty text
+    has no spans. Each row is judged by itself; columns of any name but ``_pii`` do no harm.
+    """
+    return _spans(documents).select("_row.*", "_pii")
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with each span replaced by its kind in angle brackets; overlapping spans are replaced as one, by the first's kind."""
-    own = with_spans(documents)
+    text = F.col("_row.text")
     merged = F.aggregate(
         F.array_sort(F.transform("_pii", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))),
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda a, x: F.when(x["start"] < a["at"], F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))).otherwise(
             F.struct(
                 x["end"].alias("at"),
-                F.concat(a["out"], F.array(F.substr("text", (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), x["kind"], F.lit(">")))).alias("out"),
+                F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.concat(F.lit("<"), x["kind"], F.lit(">")))).alias("out"),
             )
         ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substr("text", (a["at"] + 1).cast("int"))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))),
     )
-    return own.withColumn("text", F.when(F.size("_pii") > 0, merged).otherwise(F.col("text"))).drop("_pii")
+    clean = F.when(F.size("_pii") > 0, merged).otherwise(text).alias("text")
+    return _spans(documents).select(*[clean if c == "text" else F.col(f"_row.`{c}`") for c in documents.columns])
 
 
 def _line(spans: Column) -> Column:

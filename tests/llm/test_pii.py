@@ -85,3 +85,11 @@ def test_query_equals_brute_force(spark):
         want = brute(texts[r["doc_id"]])
         line = ",".join("%s:%d:%d" % s for s in want)
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and [r[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in want) for k in PATTERNS]
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "nothing to see " * 100_000 + "mail a.b@c.de now"
+    df = spark.createDataFrame([(1, long, 5, "x", "y"), (2, None, 6, None, None)], "doc_id bigint, text string, _s_email int, _row string, _t string")
+    got = pii.redact(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, long.replace("a.b@c.de", "<email>"), 5, "x", "y"), (2, None, 6, None, None)]
+    assert {r["doc_id"]: len(r["_pii"]) for r in pii.with_spans(df).select("doc_id", "_pii").collect()} == {1: 1, 2: 0}
