@@ -198,6 +198,8 @@ CELL_BITS = 20
 HOT_CELL = 1_000_000
 #: Rows that a task adds up before it sends them.
 HELD = 1_000_000
+#: A shingle that more sets have among their first is not paired off: its sets are compared in blocks of BLOCK_SETS, held by a task, with chunks of CHUNK_SETS that pass by.
+HOT_KEY, BLOCK_SETS, CHUNK_SETS = 128, 4096, 50_000
 
 
 def sets_of(column: pa.Array) -> list[np.ndarray]:
@@ -332,16 +334,17 @@ def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     few, of = SIMILAR
     members = scratch.put(_members(documents, _counted(documents)))
 
+    def sets_for(ids: DataFrame) -> DataFrame:
+        """(fp, shingles) of the listed sets; texts of these alone are read, and a bounded list of them spares the others the shuffle."""
+        wanted = scratch.put(classes.join(ids, "fp").select("_k1", "_k2"))
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        texts = documents.select("text", *text_key(F.col("text"))).join(wanted, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("text")
+        return scratch.put(_over_texts(texts, lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>"))
+
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = scratch.put(pairs.distinct())
-        few_pairs = pairs.count() <= BROADCAST_ROWS
-        sent = F.broadcast if few_pairs else (lambda df: df)
-        # Texts of pairs alone are read; a bounded list of them spares all others the work, and their sets a shuffle.
-        ids = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        wanted = scratch.put(classes.join(ids, "fp").select("_k1", "_k2"))
-        texts = documents.select("text", *text_key(F.col("text"))).join(sent(wanted), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("text")
-        whole = _over_texts(texts, lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>")
-        sets = scratch.put(whole)
+        sent = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda df: df)
+        sets = sets_for(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
         others = sets.join(sent(pairs.select(F.col("a").alias("fp")).distinct()), "fp", "left_semi").select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
         both = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")).join(sent(pairs), "b").join(others, "a")
         common = F.size(F.array_intersect("x", "y"))
@@ -358,8 +361,97 @@ def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     linked = components(edges, scratch)
     rest = members.join(linked, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
     rest = scratch.put(rest)
-    apart = scratch.put(rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"))
-    return edges.union(checked(_pairs(rest.join(apart, "key"))))
+    apart = scratch.put(rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n"))
+    edges = edges.union(checked(_pairs(rest.join(apart.where(F.col("n") <= HOT_KEY), "key").drop("n"))))
+    hot = apart.where(F.col("n") > HOT_KEY)
+    if not hot.head(1):
+        return edges
+    hot_rows = scratch.put(rest.join(hot, "key").select("key", "fp", "component"))
+    return edges.union(_links_in_blocks(hot_rows, sets_for, scratch))
+
+
+def _links_in_blocks(rows: DataFrame, sets_for: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """(a, b): links among the sets of each key of ``rows`` (key, fp, component) that join different components; a forest, not all links.
+
+    Keys that share sets make one cluster. Its largest component is taken as joined;
+    the other sets are cut into blocks, and each block is compared with all sets of the cluster, chunk by
+    chunk: a task holds one block and an index of its shingles, and the chunk passes by.
+    """
+    least = scratch.put(rows.groupBy("key").agg(F.min("fp").alias("a")))
+    linked = components(rows.join(least, "key").select("a", F.col("fp").alias("b")), scratch)
+    own = scratch.put(rows.select("fp", "component").distinct().join(linked.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp"))
+    sizes = own.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    sizes = scratch.put(sizes.select("cluster", F.col("most.component").alias("joined"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK_SETS).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK_SETS).cast("int").alias("chunks")))
+    own = own.join(sizes, "cluster").where("blocks > 0")
+    place = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "fp"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = own.where("component <> joined").select("cluster", place("blocks", 1).alias("block"), F.explode(every("chunks")).alias("chunk"), F.lit(0).alias("kind"), "fp", "component")
+    passing = own.select("cluster", F.explode(every("blocks")).alias("block"), place("chunks", 2).alias("chunk"), F.lit(1).alias("kind"), "fp", "component")
+    sets = sets_for(own.select("fp"))
+    by = ["cluster", "block", "chunk", "kind"]
+    dealt = held.union(passing).join(sets, "fp").select(*by, "fp", "component", "shingles").repartition(*by[:3]).sortWithinPartitions(*by)
+    bounded_batches(rows.sparkSession)
+    few, of = SIMILAR
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, index = None, [], None
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        for b in batches:
+            names = list(zip(*(b.column(k).to_pylist() for k in range(4))))
+            fps, of_component = b.column(4).to_pylist(), b.column(5).to_pylist()
+            lists = b.column(6)
+            flat, offsets = lists.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            edges = []
+            for i, (*group, kind) in enumerate(names):
+                if group != at:
+                    at, block, index = group, [], None
+                s = flat[offsets[i] : offsets[i + 1]]
+                if kind == 0:
+                    block.append((fps[i], of_component[i], s))
+                    continue
+                if index is None:
+                    index = _Index([x[2] for x in block]) if block else False
+                if not index:
+                    continue
+                common = index.common(s)
+                near = np.flatnonzero(of * common >= few * (index.sizes + len(s) - common))
+                for k in near.tolist():
+                    x, y = root(block[k][1]), root(of_component[i])
+                    if x != y:
+                        parent[x] = y
+                        edges.append((block[k][0], fps[i]))
+            if edges:
+                out = np.array(edges, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+
+    return scratch.put(dealt.mapInArrow(each, "a bigint, b bigint"))
+
+
+class _Index:
+    """Which of a block's sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.keys, self.starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(self.starts, len(flat))
+
+    def common(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of these shingles each set has."""
+        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
+        at = at[self.keys[at] == shingles]
+        n = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1] if len(n) else 0) + np.repeat(self.starts[at] - (ends - n), n)
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
 
 
 def _pairs(members: DataFrame) -> DataFrame:
