@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over hashed words and word beginnings.
 
 P(grade <= k) is the logistic function of a threshold less one score, which
-all thresholds share; an L1 penalty leaves few words with a weight. The
-result is the expected grade.
+all thresholds share; an L1 penalty leaves few words with a weight, and none is
+negative, so that no clean text around a telling word hides it. The result is the expected grade.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ STEMS = (4, 5, 6, 7, 8)
 SAMPLE_ROWS = 4_000
 #: Grades of severity above none.
 GRADES = 3
-L1, STEPS, RATE = 0.001, 250, 0.05
-#: A grade counts as reached at this probability: less than half, as the classes train in like numbers and some labels have no telling word.
-CUT = 0.35
+L1, STEPS, RATE = 0.0003, 250, 0.05
+#: A grade counts as reached at this probability: less than half, as some toxic documents hold few telling words.
+CUT = 0.25
+#: Least distance of neighbouring thresholds.
+GAP = 1e-4
 
 _digest = xxhash.xxh64_intdigest
 
@@ -57,9 +59,10 @@ class Model:
 
 
 def grades_of(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Severity of each labelled row: 0 if not toxic, else 1 to GRADES by the share of its features that mark toxic rows.
+    """Severity of each labelled row: 0 if not toxic, else 1 to GRADES by how many of its features mark toxic rows.
 
-    The labels tell toxic from not; the order among toxic rows is by thirds of that share.
+    The labels tell toxic from not and nothing of severity, so the order among toxic rows, by
+    thirds of that number, is this operator's own; it comes from the features that the model then weighs.
     """
     toxic = np.array([t for _, t in rows]) > 0
     n = [np.zeros(SLOTS), np.zeros(SLOTS)]
@@ -67,9 +70,23 @@ def grades_of(rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
         n[int(t)][x] += 1
     odds = np.log((n[1] + 0.5) / (toxic.sum() + 1)) - np.log((n[0] + 0.5) / ((~toxic).sum() + 1))
     marks = (odds > np.log(10)) & (n[1] >= 3)
-    share = np.array([marks[x].mean() if len(x) else 0.0 for x, _ in rows])
-    cuts = np.quantile(share[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
-    return np.where(toxic, 1 + np.searchsorted(cuts, share, side="left"), 0)
+    told = np.array([marks[x].sum() for x, _ in rows])
+    cuts = np.quantile(told[toxic], np.arange(1, GRADES) / GRADES) if toxic.any() else np.zeros(GRADES - 1)
+    return np.where(toxic, 1 + np.searchsorted(cuts, told, side="left"), 0)
+
+
+def loss_and_gradient(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, w: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the grades and its gradient by weights and thresholds; (rows, slots) are the features that are present."""
+    n, k = len(y), np.arange(len(y))
+    score = np.bincount(rows, weights=w[slots], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -60, 60)))
+    cdf = np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1)
+    a, b = cdf[k, y + 1], cdf[k, y]
+    p = np.maximum(a - b, 1e-12)
+    by_weight = np.bincount(slots, weights=((1 - a - b) / n)[rows], minlength=len(w))
+    slope = below * (1 - below) / p[:, None] / n
+    by_threshold = np.array([slope[y == j + 1, j].sum() - slope[y == j, j].sum() for j in range(len(theta))])
+    return float(-np.log(p).mean()), by_weight, by_threshold
 
 
 def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Model:
@@ -77,32 +94,23 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Model:
     if not rows or not any(t for _, t in rows):
         return Model(np.zeros(SLOTS), np.full(GRADES, 50.0))
     y = grades_of(rows)
-    used, flat = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
-    sizes = np.array([len(x) for x, _ in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
-    common = np.bincount(flat, minlength=len(used)) >= 3
+    used, flat, n = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    # Features of under three rows tell nothing and keep a weight of 0.
+    kept = n[flat] >= 3
+    used, flat, row = used[n >= 3], (np.cumsum(n >= 3) - 1)[flat[kept]], row[kept]
     w, theta = np.zeros(len(used)), np.linspace(1.0, 3.0, GRADES)
+    gaps = GAP * np.arange(GRADES)
     state = [np.zeros(len(used) + GRADES), np.zeros(len(used) + GRADES)]
     for step in range(1, STEPS + 1):
-        score = np.bincount(row, weights=w[flat], minlength=len(rows))
-        below = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -60, 60)))
-        cdf = np.concatenate((np.zeros((len(rows), 1)), below, np.ones((len(rows), 1))), axis=1)
-        a, b = cdf[np.arange(len(y)), y + 1], cdf[np.arange(len(y)), y]
-        p = np.maximum(a - b, 1e-12)
-        slope = (1 - a - b) / len(y)
-        g_w = np.bincount(flat, weights=slope[row], minlength=len(used)) * common
-        g_t = np.zeros(GRADES)
-        for k in range(GRADES):
-            d = below[:, k] * (1 - below[:, k]) / p / len(y)
-            g_t[k] = -(d[y == k].sum() - d[y == k + 1].sum())
-        g = np.concatenate((g_w, g_t))
+        g = np.concatenate(loss_and_gradient(row, flat, y, w, theta)[1:])
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.999 * state[1] + 0.001 * g * g
         scale = RATE / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-6)
         move = scale * state[0] / (1 - 0.9**step)
         w = w - move[: len(used)]
-        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(scale[: len(used)], 1e3) * L1, 0)
-        theta = np.maximum.accumulate(theta - move[len(used) :] + 1e-4 * np.arange(GRADES))
+        w = np.maximum(w - np.minimum(scale[: len(used)], 1e3) * L1, 0)
+        theta = np.maximum.accumulate(theta - move[len(used) :] - gaps) + gaps
     weights = np.zeros(SLOTS)
     weights[used] = w
     return Model(weights, theta)

@@ -57,10 +57,51 @@ def test_held_out_toxicity(spark):
     test = documents.join(F.broadcast(labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "label")), "doc_id")
     n = {(r["label"], r["toxic"]): r["count"] for r in toxicity.scored(test, model).join(test.select("doc_id", "label"), "doc_id").groupBy("label", "toxic").count().collect()}
     # Some documents labelled toxic hold no telling word, and some words stand in no training document.
-    assert n[1, True] >= 0.8 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.02 * n[0, False]
+    assert n[1, True] >= 0.9 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.02 * n[0, False]
     assert np.all(np.diff(model.thresholds) >= 0)
 
 
+def test_toxicity_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 4, 40)
+    present = [rng.choice(12, rng.integers(1, 6), replace=False) for _ in y]
+    rows, slots = np.repeat(np.arange(len(y)), [len(x) for x in present]), np.concatenate(present)
+    w, theta = rng.normal(size=12), np.array([-0.5, 0.4, 1.3])
+
+    def plain(w, theta):
+        total = 0.0
+        for grade, x in zip(y, present):
+            cdf = [0.0, *(1 / (1 + math.exp(-(t - w[x].sum()))) for t in theta), 1.0]
+            total -= math.log(cdf[grade + 1] - cdf[grade])
+        return total / len(y)
+
+    loss, by_weight, by_threshold = toxicity.loss_and_gradient(rows, slots, y, w, theta)
+    assert loss == pytest.approx(plain(w, theta))
+    for k in range(12):
+        e = np.eye(12)[k] * 1e-5
+        assert by_weight[k] == pytest.approx((plain(w + e, theta) - plain(w - e, theta)) / 2e-5, abs=1e-6)
+    for k in range(3):
+        e = np.eye(3)[k] * 1e-5
+        assert by_threshold[k] == pytest.approx((plain(w, theta + e) - plain(w, theta - e)) / 2e-5, abs=1e-6)
+
+
+def test_severity_is_the_expected_grade(spark):
+    rng = random.Random(2)
+    clean = [" ".join(f"c{rng.randrange(300)}" for _ in range(40)) for _ in range(200)]
+    toxic = [f"{c} {' '.join(rng.sample(['vile', 'nasty', 'awful', 'gross'], 1 + k % 4))}" for k, c in enumerate(clean[:100])]
+    rows = [(toxicity.features_of(t.encode()), 0) for t in clean] + [(toxicity.features_of(t.encode()), 1) for t in toxic]
+    model = toxicity.fit_rows(rows)
+    assert np.all(np.diff(model.thresholds) > 0)
+    texts = ["c1 c2", "c1 vile", "c1 vile nasty", "c1 vile nasty awful gross", "c1 vile nasty awful gross"]
+    got = toxicity.scored(docs(spark, *texts).withColumnRenamed("score", "severity"), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        weight = sum(model.weights[k] for k in toxicity.features_of(t.encode()))
+        above = [1 / (1 + math.exp(x - weight)) for x in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(above)) and r["grade"] == sum(p >= toxicity.CUT for p in above) and r["toxic"] == (above[0] >= toxicity.CUT)
+    assert got[0]["severity"] < got[1]["severity"] < got[2]["severity"] < got[3]["severity"] == got[4]["severity"]
+    assert not got[0]["toxic"] and got[3]["grade"] == 3 and toxicity.scored(docs(spark, "a").limit(0), model).count() == 0
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(docs(spark, "a b"), labels)
