@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, labelled_sample, table, texts_of
-from .hashing import pair_hashes, word_hashes
+from .hashing import batch_words, pair_hashes
 
 #: Buckets of the hashed n-grams.
 BUCKETS = 1 << 14
@@ -29,9 +29,13 @@ SEED = 7
 DIGIT, KEY_BITS = 16, 48
 
 
-def buckets_of(text: bytes | None) -> np.ndarray:
-    h = word_hashes(text)
-    return (np.concatenate((h, pair_hashes(h))) >> np.uint64(40)).astype(np.int64) % BUCKETS
+def buckets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words and pairs of a batch of texts, the text that each is of, and how many words each text has."""
+    words, n = batch_words(column)
+    row = np.repeat(np.arange(len(column)), n)
+    inside = row[1:] == row[:-1]
+    both = np.concatenate((words, pair_hashes(words)[inside]))
+    return (both >> np.uint64(40)).astype(np.int64) % BUCKETS, np.concatenate((row, row[1:][inside])), n
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
@@ -44,8 +48,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                total += np.bincount(buckets_of(text), minlength=BUCKETS)
+            total += np.bincount(buckets_of(b.column(0))[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -68,11 +71,8 @@ def weighted(documents: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [buckets_of(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([(len(x) + 1) // 2 for x in found], pa.int64()), pa.array([float(ratios[x].sum()) for x in found], pa.float64())],
-                names=["doc_id", "n_words", "log_weight"],
-            )
+            bucket, row, n = buckets_of(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.bincount(row, ratios[bucket], b.num_rows), pa.float64())], names=["doc_id", "n_words", "log_weight"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(each, "doc_id bigint, n_words bigint, log_weight double")
 

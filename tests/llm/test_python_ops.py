@@ -39,6 +39,43 @@ def test_resampling_prefers_the_target(spark):
     assert got.where("kept").count() == round(share * got.count())
 
 
+def test_weights_and_selection_equal_brute_force(spark):
+    from marlstone.llm.hashing import joined_hashes, word_hashes
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+
+    def grams(text):
+        h = word_hashes((text or "").encode())
+        pairs = [joined_hashes(h[i : i + 1], h[i + 1 : i + 2])[0] for i in range(len(h) - 1)]
+        return [int(x >> np.uint64(40)) % importance.BUCKETS for x in [*h, *pairs]]
+
+    texts = {r["doc_id"]: grams(r["text"]) for r in rows}
+    counts = [Counter(), Counter()]
+    for i, g in texts.items():
+        counts[1].update(g)
+        if i in good:
+            counts[0].update(g)
+    total = [sum(c.values()) + importance.ALPHA * importance.BUCKETS for c in counts]
+    weight = lambda g: sum(math.log((counts[0][x] + importance.ALPHA) / total[0]) - math.log((counts[1][x] + importance.ALPHA) / total[1]) for x in g)
+    got = importance.op2_quality_classifier(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["log_weight"] == pytest.approx(weight(texts[r["doc_id"]]), abs=1e-6) and 2 * r["n_words"] - 1 == max(len(texts[r["doc_id"]]), 2 * r["n_words"] - 1)
+    keys = sorted((r["gumbel_key"] for r in got), reverse=True)
+    kept = [r["gumbel_key"] for r in got if r["kept"]]
+    assert sorted(kept, reverse=True) == pytest.approx(keys[: len(kept)])
+    noise = [r["gumbel_key"] - r["log_weight"] for r in got]
+    assert abs(np.mean(noise) - 0.5772) < 0.15 and abs(np.std(noise) - 1.2825) < 0.15
+
+
+def test_resampling_repeated_rows_and_clashing_columns(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    rows = spark.createDataFrame([(0, "good words", 1.0, True), (0, "good words", 2.0, False), (1, "bad", 3.0, True)], "doc_id bigint, text string, gumbel_key double, kept boolean")
+    got = importance.resampled(rows, labels, share=0.5).collect()
+    assert len(got) == 3 and len({(r["doc_id"], r["log_weight"], r["gumbel_key"], r["kept"]) for r in got}) == 2
+
+
 def test_resampling_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, None)], "doc_id bigint, quality int")
     got = importance.resampled(docs(spark, "good words here", "bad", None, "", "x " * 9999), labels, share=1.0).collect()
@@ -289,13 +326,22 @@ def test_removed_strings_equal_brute_force(spark, many, monkeypatch):
 
 
 def test_pieces_do_not_change_the_result(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "PIECE", 300)
     rng = random.Random(9)
     p = "".join(rng.choices("abcdefgh", k=900))
     texts = [p, "12345" + p[100:800] + "6", "".join(rng.choices("abcdefgh", k=1200))]
     want = brute(texts, 200)
-    made = [substring_dedup.runs_of(t.encode()) for t in texts]
-    assert sum(len(x[0]) for x in made) > 0 and want[0][1] == 700
+    whole = substring_dedup.runs_of(texts[0].encode())
+    monkeypatch.setattr(substring_dedup, "PIECE", 300)
+    cut = substring_dedup.runs_of(texts[0].encode())
+    assert len(cut[0]) > len(whole[0]) and want[0][1] == 700
+    # Every start of a 200-byte string is in one run, whatever the pieces.
+    for names, _, first, last in (whole, cut):
+        assert sorted(x for a, b in zip(first, last) for x in range(int(a), int(b) + 1)) == list(range(701))
+    # A text of several pieces of the production size.
+    long = "".join(rng.choices("abcdefgh", k=(1 << 20) + 700))
+    texts = [long, long[(1 << 20) - 300 : (1 << 20) + 400], "q" + long[5000:5900]]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in substring_dedup.deduplicated(docs(spark, *texts)).collect()}
+    assert got == {0: (1600, 2), 1: (700, 1), 2: (900, 1)}
 
 
 def test_no_rows(spark):
