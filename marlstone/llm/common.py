@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; ``bytes.split()`` uses the same set.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-#: Rows of an Arrow batch handed to a Python worker; bounds a worker's memory when texts are long.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to a Python worker, whichever comes first; they bound a worker's memory when texts are many or long.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,16 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir, which all machines share.
+
+    Where the session names none, a local session gets a temporary folder of
+    its own; a cluster, whose machines would not see it, raises ValueError.
+    """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
@@ -69,8 +75,15 @@ class Scratch:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Hand texts to Python workers in small batches; smaller ones that the session sets hold.
+
+    The plans that follow are made lazily, so the settings stay.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = int(str(spark.conf.get(key, "0")).rstrip("b") or 0)
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
 
 
 def words(text: Column) -> Column:

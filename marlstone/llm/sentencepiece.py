@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
@@ -35,8 +36,8 @@ LONG_WORD = 512
 
 UNIGRAM, BPE = 1, 2
 
-#: A worker's encoders by model, so that what it has met serves its next task too.
-_encoders: dict[str, Encoder] = {}
+#: A worker's encoders by the model's digest, so that what it has met serves its next task too.
+_encoders: dict[bytes, Encoder] = {}
 
 
 @dataclass
@@ -55,6 +56,9 @@ class Model:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
 
+    def digest(self) -> bytes:
+        return hashlib.sha256(repr((self.kind, self.pieces, self.scores, sorted(self.ids.items()), self.unk, self.byte_ids, self.dummy_prefix)).encode()).digest()
+
 
 def load_model(path: str) -> Model:
     """The pieces of a model file, read on the driver; executors get them with the task."""
@@ -256,9 +260,10 @@ def encoded(documents: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     """
     bounded_batches(documents.sparkSession)
     model = load_model(model_path)
+    digest = model.digest()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(model_path) or _encoders.setdefault(model_path, Encoder(model))
+        encoder = _encoders.get(digest) or _encoders.setdefault(digest, Encoder(model))
         for b in batches:
             texts = b.column(1).to_pylist()
             ids = [np.frombuffer(x, dtype="<i4") for x in encoder.encode_batch(texts)]
@@ -276,7 +281,7 @@ def encoded(documents: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(each, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(each, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,3 +387,31 @@ def test_encoded_rows(spark):
     got = {r["doc_id"]: r for r in sentencepiece.encoded(docs(spark, None, "", "hello world", "a▁b")).collect()}
     assert [got[i]["n_tokens"] for i in (0, 1)] == [0, 0] and got[2]["round_trip"] and not got[3]["round_trip"]
     assert sentencepiece.encoded(docs(spark, "a").limit(0)).count() == 0
+
+
+def test_encoded_odd_rows(spark, tmp_path):
+    import shutil
+
+    long = "the quick brown fox é " * 100_000
+    rows = spark.createDataFrame([("7", long, 1, "x"), ("7", long, 2, "y"), (None, "a b", 3, "z"), ("no number", "a b", 4, None)], "doc_id string, text string, n_tokens int, ids string")
+    got = sentencepiece.encoded(rows.where("doc_id is null or doc_id = '7'")).collect()
+    assert len(got) == 3 and all(r["round_trip"] for r in got) and [r["doc_id"] for r in got].count(7) == 2
+    path = str(tmp_path / "copy.model")
+    shutil.copy(sentencepiece.DEFAULT_MODEL, path)
+    want = sentencepiece.load_model(path).digest()
+    model = sentencepiece.load_model(path)
+    model.scores[300] -= 1
+    assert model.digest() != want == sentencepiece.load_model(sentencepiece.DEFAULT_MODEL).digest()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from marlstone.llm import common
+
+    fake = lambda master, held: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: held), sparkContext=SimpleNamespace(master=master, applicationId="app"))
+    assert common.shared_dir(fake("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
+    assert common.shared_dir(fake("local[4]", None)).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(fake(master, None))
