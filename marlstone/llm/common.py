@@ -81,7 +81,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        held = int(str(spark.conf.get(key, "0")).rstrip("b") or 0)
+        held = int(str(spark.conf.get(key)).rstrip("b"))
         if not 0 < held <= most:
             spark.conf.set(key, str(most))
 
