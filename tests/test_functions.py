@@ -114,12 +114,33 @@ def test_facts():
     assert by["date"][0] == "2024-05-03" and "1234" in by["number"] and {"acme corp", "서울대학교"} <= set(by["entity"])
 
 
-def test_support():
-    got = facts.support("up 12 % in 2021.", "up 21 %.")
-    assert got["percentage_mismatch"] == 1 and got["precision"] == 0.0
-    assert facts.support("x", "nothing here")["precision"] is None
-    assert facts.support("In 2021-03-04 it fell.", "It fell in 2021.")["precision"] == 1.0
-    assert facts.support(None, None)["facts_total"] == 0
+def test_support(spark):
+    pairs = [
+        ("up 12 % in 2021.", "up 21 %."),
+        ("x", "nothing here"),
+        ("In 2021-03-04 it fell.", "It fell in 2021."),
+        (None, None),
+        ("Acme Corp sold 1,000 units for $5 on May 3, 2024.", "ACME CORP sold 1000 units for 5 dollars on 2024-05-04; 7 were lost, Beta Inc said."),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = [r["f"] for r in df.select("i", facts.check_support(F.col("a"), F.col("b")).alias("f")).orderBy("i").collect()]
+    assert got[0]["percentage_mismatch"] == 1 and got[0]["precision"] == 0.0
+    assert got[1]["precision"] is None
+    assert got[2]["precision"] == 1.0
+    assert got[3]["facts_total"] == 0
+    # 1000 and $5 are borne out, and the date by its year; 7 and Beta Inc are not.
+    assert (got[4]["currency_total"], got[4]["currency_supported"], got[4]["number_total"], got[4]["number_supported"]) == (1, 1, 2, 1)
+    assert [f["normalized"] for f in got[4]["unsupported_examples"]] == ["7", "beta inc"] and got[4]["date_supported"] == got[4]["date_total"] == 2
+    near = df.where("i = 0").select(facts.check_support(F.lit("about 100 people"), F.lit("102 people"), tolerance=0.05).alias("f")).first()["f"]
+    assert near["number_supported"] == 1
+
+
+def test_aggregate_support_equals_sums(spark):
+    rows = spark.createDataFrame([(1, "12% of 5", "12% of 6"), (1, "x", "y"), (2, "in 1999", "in 1999 and 2001")], "k int, a string, b string")
+    made = rows.select("k", facts.check_support(F.col("a"), F.col("b")).alias("f")).select("k", "f.*")
+    got = {r["k"]: r.asDict() for r in facts.aggregate_support(made, "k").collect()}
+    assert (got[1]["facts_total"], got[1]["facts_supported"], got[1]["summaries_with_facts"], got[1]["number_mismatch"], got[1]["percentage_support_rate"]) == (2, 1, 1, 1, 1.0)
+    assert (got[2]["facts_total"], got[2]["date_support_rate"], got[2]["entity_support_rate"]) == (2, 0.5, None)
 
 
 def test_rouge_and_chrf():
