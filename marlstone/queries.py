@@ -225,11 +225,12 @@ def q_two_case_expand(spark, d):
     return sampling.cases(docs, [("SUPPORTED", "lang"), ("HALLUCINATED", "source")]).select("doc_id", "case_no", "gold_label", "candidate")
 
 
-@query("""WITH e AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'en'), f AS (SELECT doc_id // 2 AS id, source FROM documents WHERE lang = 'fr')
+@query("""WITH e AS (SELECT DISTINCT conv_id AS id, role AS source FROM conversations WHERE turn = 0), f AS (SELECT DISTINCT conv_id AS id, role AS source FROM conversations WHERE turn % 3 = 1 OR length(text) % 2 = 0)
 SELECT e.id, e.source FROM e WHERE EXISTS (SELECT 1 FROM f WHERE f.id = e.id AND f.source = e.source)""")
 def q_pair_ids(spark, d):
-    docs = table(spark, d, "documents").select(F.expr("doc_id div 2").alias("id"), "source", "lang")
-    return joins.paired(docs.where("lang = 'en'"), docs.where("lang = 'fr'"), "id", "source").select("id", "source")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("role").alias("source"), "turn", "text")
+    left, right = turns.where("turn = 0"), turns.where("turn % 3 = 1 or length(text) % 2 = 0")
+    return joins.paired(left.select("id", "source").distinct(), right.select("id", "source").distinct(), "id", "source").select("id", "source")
 
 
 # --- text and filters ---
@@ -243,15 +244,18 @@ def q_est_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT 'latin' AS profile, count(*) AS n FROM documents")
+@query("""WITH t AS (SELECT CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, 'e', '한', 'g') ELSE regexp_replace(text, 't', '漢', 'g') END AS t FROM documents),
+c AS (SELECT length(t) - length(replace(t, '한', '')) AS h, length(t) - length(replace(t, '漢', '')) AS k, greatest(length(regexp_replace(t, '\\s', '', 'g')), 1) AS n FROM t)
+SELECT CASE WHEN h / n > 0.15 THEN 'ko' WHEN k / n > 0.15 THEN 'cjk' ELSE 'latin' END AS profile, count(*) AS n FROM c GROUP BY ALL""")
 def q_script_profile(spark, d):
-    return table(spark, d, "documents").groupBy(text.script_profile(F.col("text")).alias("profile")).agg(F.count("*").alias("n"))
+    said = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("e"), F.lit("한"))).otherwise(F.replace("text", F.lit("t"), F.lit("漢")))
+    return table(spark, d, "documents").groupBy(text.script_profile(said).alias("profile")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT conv_id, turn, t <> '' AND tokens <= 80 AND regexp_matches(lower(t), '\\bi cannot\\b|\\bi''m sorry\\b') AS refusal
-FROM (SELECT conv_id, turn, text AS t, {TEXT_TOKENS} AS tokens FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'I''m sorry, I cannot do that. ' || substr(text, 1, 400) ELSE text END AS text FROM conversations))""")
+FROM (SELECT conv_id, turn, text AS t, {TEXT_TOKENS} AS tokens FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'I''m sorry, I cannot do that. ' || text ELSE text END AS text FROM conversations))""")
 def q_refusal(spark, d):
-    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("I'm sorry, I cannot do that. "), F.substring("text", 1, 400))).otherwise(F.col("text"))
+    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("I'm sorry, I cannot do that. "), F.col("text"))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", text.is_refusal(said).alias("refusal"))
 
 
@@ -579,19 +583,19 @@ def _configured(spark):
 
 
 def _snapshots(spark, d):
-    own = table(spark, d, "events").where("user_id < 5")
+    own = table(spark, d, "events").where("event_type = 'purchase' and user_id % 3 <> 0")
     return own.select(
         F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"), F.col("event_id").alias("id"), F.col("ts").alias("retrieved_at"), (F.col("user_id") / 4).alias("input_per_million"),
         F.when(F.col("user_id") % 2 == 0, F.col("user_id") * 2.0).alias("output_per_million"), F.lit(None).cast("double").alias("cached_input_per_million"),
     )
 
 
-@query(f"""WITH {PRICES}, models AS (SELECT DISTINCT 'm' || user_id AS model_id, user_id FROM events WHERE user_id < 8)
+@query(f"""WITH {PRICES}, models AS (SELECT 'm' || user_id AS model_id, user_id, bool_or(event_type = 'purchase' AND user_id % 3 <> 0) AS s FROM events GROUP BY user_id)
 SELECT m.model_id, CASE WHEN s AND user_id % 2 = 0 THEN user_id / 4.0 WHEN c.i IS NOT NULL AND c.o IS NOT NULL THEN CAST(c.i AS DOUBLE) WHEN s THEN user_id / 4.0 ELSE CAST(c.i AS DOUBLE) END AS input_per_million,
   CASE WHEN s AND user_id % 2 = 0 THEN 'snapshot' WHEN c.i IS NOT NULL AND c.o IS NOT NULL THEN 'config' WHEN s THEN 'snapshot' ELSE 'unknown' END AS price_source
-FROM (SELECT *, user_id < 5 AS s FROM models) m LEFT JOIN cfg c USING (model_id)""")
+FROM models m LEFT JOIN cfg c USING (model_id)""")
 def q_price_chain(spark, d):
-    models = table(spark, d, "events").where("user_id < 8").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"))
+    models = table(spark, d, "events").select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"))
     return money.resolve_prices(models, _snapshots(spark, d), _configured(spark)).select("model_id", "input_per_million", "price_source")
 
 
