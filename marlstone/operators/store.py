@@ -77,8 +77,8 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _exists(self, name: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        path, fs = self._hadoop(name)
+        return fs.exists(path)
 
     def all_rows(self, name: str) -> DataFrame:
         """Every row ever written, with written_at."""
@@ -114,13 +114,72 @@ class Store:
     def compact(self, name: str) -> None:
         self._rewrite(name, self.rows(name).withColumn("written_at", F.current_timestamp()))
 
+    def _hadoop(self, name: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _rewrite(self, name: str, rows: DataFrame) -> None:
+        """The new table is written whole, the old one moved aside, the new one moved in, the old one deleted: at any moment one of them is whole."""
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        old, new = path(f"{self.path}/{name}"), path(f"{self.path}/{name}.new")
-        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        (now, fs), (new, _), (old, _) = (self._hadoop(x) for x in (name, f"{name}.new", f"{name}.old"))
+        fs.delete(old, True)
+        fs.rename(now, old)
+        fs.rename(new, now)
         fs.delete(old, True)
-        fs.rename(new, old)
+
+    def repair(self, name: str) -> None:
+        """Ends a rewrite that was cut short: without a table under its own name, the new one takes its place, else the old one."""
+        now, fs = self._hadoop(name)
+        for end in (".new", ".old"):
+            left, _ = self._hadoop(name + end)
+            if not fs.exists(now) and fs.exists(left) and (end == ".old" or self._exists(f"{name}.new/_SUCCESS")):
+                fs.rename(left, now)
+
+    # --- replies that are not in the tables yet ---
+
+    def stage(self, label: str, rows: DataFrame) -> DataFrame:
+        """Writes replies once, as they were paid for, and reads them back."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/staged/{label}")
+        return self.spark.read.parquet(f"{self.path}/staged/{label}")
+
+    def settle(self) -> int:
+        """Moves staged replies into results and attempts, those of an earlier run that was lost too; how many folders there were.
+
+        A folder is deleted once its rows are in both tables; rows that are there already are not added again.
+        """
+        top, fs = self._hadoop("staged")
+        labels = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        for label in labels:
+            if self._exists(f"staged/{label}/_SUCCESS"):
+                rows = self.spark.read.parquet(f"{self.path}/staged/{label}")
+                for name, own, key in (("inference_results", rows.where("last"), ["run_id", "cache_key"]), ("inference_attempts", rows, ["run_id", "cache_key", "attempt_no"])):
+                    self.append(name, own.join(self.all_rows(name).select(*key).distinct(), key, "left_anti"))
+            fs.delete(self._hadoop(f"staged/{label}")[0], True)
+        return len(labels)
+
+    # --- reads by key and lists ---
+
+    def result(self, cache_key: str, successful: bool = False) -> dict | None:
+        """The current result of a key, or null; of successes alone if asked for."""
+        own = self.rows("inference_results").where(F.col("cache_key") == cache_key)
+        row = (own.where("status = 'SUCCESS'") if successful else own).first()
+        return row.asDict() if row else None
+
+    def one(self, name: str, **key: object) -> dict | None:
+        """The current row of a table under its key, or null."""
+        own = self.rows(name)
+        for k, v in key.items():
+            own = own.where(F.col(k) == v)
+        row = own.first()
+        return row.asDict() if row else None
+
+    def listed(self, name: str, **wanted: object) -> DataFrame:
+        """Current rows with these values; a value that is None is not asked for, a list stands for any of its values."""
+        own = self.rows(name)
+        for k, v in wanted.items():
+            if v is not None:
+                own = own.where(F.col(k).isin(*v) if isinstance(v, (list, tuple)) else F.col(k) == v)
+        return own
 
     def finish_run(self, run_id: str, **changes: object) -> None:
         """A new version of the run's row; finished_at is now if it was null."""

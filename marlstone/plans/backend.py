@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -28,6 +30,9 @@ class Stub:
     def __init__(self, labels: int = 4, fails: int = 0, price: float = 1e-6):
         self.labels, self.fails, self.price = labels, fails, price
 
+    def pause(self, seconds: float) -> None:
+        """Nothing is gained by waiting for a stub."""
+
     def respond(self, task: dict) -> dict:
         n = int(hashlib.sha256(task["cache_key"].encode()).hexdigest()[:8], 16)
         if self.fails and n % self.fails == 0:
@@ -49,18 +54,49 @@ class Stub:
 BACKENDS = {"stub": Stub}
 
 
-def infer(tasks: DataFrame, backend: Backend, run_id: str, dry_run: bool = False, parallel: int = 8) -> DataFrame:
-    """Responses of the tasks as rows of inference_results; at most ``parallel`` tasks call the backend at once."""
-    if dry_run:
-        raise DryRunViolation("inference in a dry run")
+# Statuses of a reply that are worth another try.
+RETRYABLE = {408, 409, 425, 429, 500, 502, 503, 504, 520, 522, 524}
+
+
+def wait(attempt: int, initial: float, longest: float, jitter: float, retry_after: float | None = None) -> float:
+    """Seconds before the next try: what the server asks for, else doubled each time and spread at random; never more than ``longest`` and the spread."""
+    return min(retry_after, longest) if retry_after is not None else min(initial * 2 ** (attempt - 1), longest) + random.uniform(0, jitter)
+
+
+def ask(tasks: DataFrame, backend: Backend, run_id: str, most: int = 1, delays: tuple[float, float, float] = (1.0, 30.0, 0.5), parallel: int = 8) -> DataFrame:
+    """A row for each attempt, in the columns of inference_results, with attempt_no and ``last``.
+
+    A reply with a retryable status is asked for again, ``most`` times in all. At most ``parallel`` tasks call the backend at once.
+    Every evaluation of the result asks again, so write it before it is used twice.
+    """
     names = [f.name for f in tasks.schema.fields]
 
+    def tried(task: dict) -> Iterator[tuple[int, str, float, bool]]:
+        for n in range(1, most + 1):
+            began = time.perf_counter()
+            reply = backend.respond(task)
+            error = reply.get("error")
+            code = error.get("code") if isinstance(error, dict) else None
+            last = n == most or not str(code).isdigit() or int(code) not in RETRYABLE
+            yield n, json.dumps(reply), 1e3 * (time.perf_counter() - began), last
+            if last:
+                return
+            getattr(backend, "pause", time.sleep)(wait(n, *delays, retry_after=error.get("retry_after")))
+
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["raw_response_json"] = [json.dumps(backend.respond(r)) for r in frame.to_dict("records")]
-            yield frame[["cache_key", "raw_response_json"]]
+            for task in frame.to_dict("records"):
+                rows = [(task["cache_key"], *x) for x in tried(task)]
+                yield pd.DataFrame(rows, columns=["cache_key", "attempt_no", "raw_response_json", "latency_ms", "last"])
 
     asked = tasks.select("cache_key", "benchmark", "model_id", "cases", "user_prompt", "est_input_tokens").repartition(parallel)
-    replies = asked.mapInPandas(call, "cache_key string, raw_response_json string")
+    replies = asked.mapInPandas(call, "cache_key string, attempt_no bigint, raw_response_json string, latency_ms double, last boolean")
     own = normalized(replies.join(tasks.select(*[n for n in names if n != "error"]), "cache_key"))
-    return own.withColumns({"run_id": F.lit(run_id), "requested_model": F.col("model_id"), "attempts": F.lit(1).cast("bigint"), "latency_ms": F.lit(0.0), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    return own.withColumns({"run_id": F.lit(run_id), "requested_model": F.col("model_id"), "attempts": F.col("attempt_no"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+
+
+def infer(tasks: DataFrame, backend: Backend, run_id: str, dry_run: bool = False, parallel: int = 8) -> DataFrame:
+    """Responses of the tasks as rows of inference_results, each asked for once."""
+    if dry_run:
+        raise DryRunViolation("inference in a dry run")
+    return ask(tasks, backend, run_id, parallel=parallel).where("last").drop("last", "attempt_no")

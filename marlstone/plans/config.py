@@ -73,6 +73,9 @@ class Settings:
     max_failure_rate: float = 0.5
     attempts_before_rate: int = 20
     max_attempts: int = 4
+    initial_backoff: float = 1.0
+    longest_backoff: float = 30.0
+    backoff_jitter: float = 0.5
     reconciliation_usd: float = 5e-6
     reconciliation_relative: float = 0.02
     judge_samples: int = 100
@@ -103,3 +106,13 @@ def by_id(models: list[Model], model_id: str) -> Model:
 def slug(model_id: str) -> str:
     """A model's name as a file name."""
     return model_id.replace("/", "__")
+
+
+def load_folder(path: str) -> dict:
+    """The settings trees of a folder's .yaml, .yml and .json files, merged in order of their names."""
+    import pathlib
+
+    tree: dict = {}
+    for f in sorted(x for x in pathlib.Path(path).iterdir() if x.suffix in (".yaml", ".yml", ".json")):
+        tree = merged(tree, load(f.read_text(encoding="utf-8")))
+    return tree

@@ -91,33 +91,83 @@ class Plan:
     tasks: DataFrame
     pending: DataFrame
     estimate: DataFrame
+    model: Model
 
 
 def plan(tasks: DataFrame, store: Store, model: Model, retry_failed: bool = False, force: bool = False) -> Plan:
+    store.settle()
     results = store.rows("inference_results")
     marked = joins.marked_cached(tasks, results) if not force else tasks.withColumn("cached", F.lit(False))
     pending = joins.pending(tasks, results, retry_failed, force)
-    return Plan(marked, pending, money.estimate(marked, model.input_per_million or 0.0, model.output_per_million or 0.0))
+    return Plan(marked, pending, money.estimate(marked, model.input_per_million or 0.0, model.output_per_million or 0.0), model)
 
 
-def execute(p: Plan, store: Store, backend: backends.Backend, run_id: str, settings: Settings, dry_run: bool = False) -> DataFrame:
-    """Runs what is pending and stores results and attempts. Guards look at the replies in order of task.
-
-    Rows that a guard would have kept from being asked are not stored, so
-    that a later run picks them up. A second run has nothing to do.
+@dataclass
+class Guards:
+    """What a run has asked, how it went, and why it stops; a run is a sequence of cases."""
+
+    settings: Settings
+    asked: int = 0
+    failures: int = 0
+    run: int = 0
+    spent: float = 0.0
+    reason: str | None = None
+
+    def room(self) -> int:
+        """Cases that may be asked together: the failure guard can trip at the last of them at the soonest."""
+        s = self.settings
+        by_rate = max((s.max_failure_rate * self.asked - self.failures) / (1 - s.max_failure_rate), 0) if s.max_failure_rate < 1 else float("inf")
+        return int(min(s.max_consecutive_failures - self.run, max(by_rate // 1 + 1, s.attempts_before_rate - self.asked)))
+
+    def affordable(self, estimates: list[float]) -> int:
+        """How many cases, in order, what was spent and their estimates allow."""
+        total, limit = self.spent, self.settings.budget_usd * self.settings.stop_margin
+        for k, x in enumerate(estimates):
+            total += x
+            if total > limit:
+                self.reason = "budget"
+                return k
+        return len(estimates)
+
+    def saw(self, ok: bool, cost: float) -> None:
+        s = self.settings
+        self.asked, self.spent = self.asked + 1, self.spent + cost
+        self.failures, self.run = (self.failures, 0) if ok else (self.failures + 1, self.run + 1)
+        if not ok and self.run >= s.max_consecutive_failures:
+            self.reason = "consecutive"
+        elif not ok and self.asked >= s.attempts_before_rate and self.failures / self.asked > s.max_failure_rate:
+            self.reason = "rate"
+
+
+def execute(p: Plan, store: Store, backend: backends.Backend, run_id: str, settings: Settings, dry_run: bool = False) -> Guards:
+    """Asks what is pending, in waves, and stores results and attempts; tells how it went.
+
+    Guards act before a request: a wave is no longer than the failure guard allows to be sure
+    that nothing is asked after it trips, and holds no case whose estimate would pass the budget. A wave's replies are
+    written once before anything reads them, so a lost executor or driver asks for none again: ``plan`` settles
+    what a lost run has left. What was not asked is found by a later run; a second run has nothing to do.
     """
-    replies = backends.infer(p.pending, backend, run_id, dry_run)
-    replies = replies.withColumn("ok", F.col("status") == "SUCCESS").persist()
-    guard = money.failure_guard(replies, "model_id", ["task_id"], settings.max_consecutive_failures, settings.max_failure_rate, settings.attempts_before_rate)
+    if dry_run:
+        raise backends.DryRunViolation("inference in a dry run")
+    price_in, price_out = p.model.input_per_million or 0.0, p.model.output_per_million or 0.0
     order = Window.partitionBy("model_id").orderBy("task_id")
-    placed = replies.withColumn("_n", F.row_number().over(order)).join(guard.select("model_id", "tripped_at"), "model_id")
-    asked = placed.where("tripped_at is null or _n <= tripped_at")
-    spent = money.budget_guard(asked.withColumns({"billed": F.col("usage_cost"), "estimate": F.lit(0.0)}), "model_id", ["task_id"], settings.budget_usd, settings.stop_margin)
-    kept = spent.where("allowed").withColumn("attempt_no", F.lit(1).cast("bigint"))
-    store.append("inference_results", kept)
-    store.append("inference_attempts", kept)
-    replies.unpersist()
-    return guard
+    cost = (F.col("est_input_tokens") * price_in + F.col("est_output_tokens") * price_out) / 1e6
+    placed = p.pending.withColumns({"_n": F.row_number().over(order), "_cost": cost}).persist()
+    total, guards = placed.count(), Guards(settings)
+    delays = (settings.initial_backoff, settings.longest_backoff, settings.backoff_jitter)
+    while guards.asked < total and guards.reason is None:
+        first = guards.asked
+        wave = placed.where((F.col("_n") > first) & (F.col("_n") <= first + guards.room()))
+        n = guards.affordable([r[0] for r in wave.orderBy("_n").select("_cost").collect()])
+        if n == 0:
+            break
+        replies = store.stage(f"{run_id}-{first:09d}", backends.ask(wave.where(F.col("_n") <= first + n), backend, run_id, settings.max_attempts, delays))
+        by_task = replies.groupBy("_n").agg(F.max(F.col("last") & (F.col("status") == "SUCCESS")).alias("ok"), F.sum(F.coalesce("usage_cost", F.lit(0.0))).alias("cost"))
+        for row in by_task.orderBy("_n").collect():  # a wave's cases, bounded by room()
+            guards.saw(row["ok"], row["cost"])
+        store.settle()
+    placed.unpersist()
+    return guards
 
 
 # --- score ---
@@ -163,8 +213,9 @@ def aggregate(summaries: DataFrame | None = None, hallucinations: DataFrame | No
     return out
 
 
-def judgeable(records: DataFrame, results: DataFrame, wanted: int) -> DataFrame:
-    """Samples with a readable summary, the first of the manifest."""
+def judgeable(records: DataFrame, results: DataFrame, wanted: int, language: str | None = None) -> DataFrame:
+    """Samples, of one language if asked for, with a readable summary, the first of the manifest."""
+    records = records.where(F.col("language") == language) if language else records
     own = joins.with_results(records, results.where("status = 'SUCCESS'").select("sample_id", "output_text"))
     return own.where(~text.is_blank(F.col("output_text"))).orderBy("ordinal").limit(wanted)
 

@@ -175,3 +175,119 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     want = {r["model_id"]: (r["attempts"], r["failures"], r["tripped_at"]) for r in failure_guard(rows.withColumn("ok", F.col("status") == "SUCCESS"), "model_id", ["ts", "event_id"], consecutive=3).collect()}
     assert {r["model_id"]: (r["attempts"], r["failures"], r["tripped_at"]) for r in state.collect()} == want
+
+
+class Counting:
+    """Fails as told by the case's number in order of task; notes each call in a folder that all workers see."""
+
+    def __init__(self, folder, bad, code=400, cost=0.01, heals_after=0):
+        self.folder, self.bad, self.code, self.cost, self.heals_after = str(folder), bad, code, cost, heals_after
+
+    def pause(self, seconds):
+        assert 0 <= seconds <= 31
+
+    def respond(self, task):
+        import os
+        import pathlib
+        import uuid
+
+        n = int(task["user_prompt"])
+        name = pathlib.Path(self.folder) / f"{n:04d}-{uuid.uuid4().hex}"
+        tries = len([x for x in os.listdir(self.folder) if x.startswith(f"{n:04d}-")])
+        name.write_text("")
+        if n in self.bad and not (self.heals_after and tries >= self.heals_after):
+            return {"error": {"code": self.code, "message": "told to fail"}}
+        return {"choices": [{"message": {"content": "x"}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1, "cost": self.cost}}
+
+
+def cases(spark, n, model):
+    rows = spark.range(n).select(
+        F.format_string("t%04d", "id").alias("task_id"), F.format_string("key%04d", "id").alias("cache_key"), F.col("id").cast("string").alias("user_prompt"), F.lit(model.model_id).alias("model_id"),
+        F.lit("summarization").alias("benchmark"), F.lit("en").alias("language"), F.lit(1).cast("bigint").alias("cases"), F.lit(1000).cast("bigint").alias("est_input_tokens"), F.lit(0).cast("bigint").alias("est_output_tokens"),
+    )
+    return rows.withColumn("sample_id", F.col("task_id"))
+
+
+def called(folder):
+    return sorted(int(x.name[:4]) for x in folder.iterdir())
+
+
+@pytest.mark.parametrize(("bad", "want", "reason"), [(range(12, 99), range(17), "consecutive"), ({k for k in range(99) if k % 4}, range(20), "rate"), (range(0), range(30), None)])
+def test_nothing_is_asked_after_a_guard_trips(spark, tmp_path, bad, want, reason):
+    settings, model = config.Settings(max_consecutive_failures=5, max_failure_rate=0.5, attempts_before_rate=20, max_attempts=1), config.Model("v/m")
+    if reason == "rate":
+        settings = config.Settings(max_consecutive_failures=50, max_failure_rate=0.5, attempts_before_rate=20, max_attempts=1)
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    got = pipeline.execute(pipeline.plan(cases(spark, 30, model), store, model), store, Counting(tmp_path / "calls", set(bad)), "r", settings)
+    assert called(tmp_path / "calls") == list(want) and (got.reason, got.asked) == (reason, len(want))
+    assert store.rows("inference_results").count() == store.rows("inference_attempts").count() == len(want)
+
+
+def test_the_budget_stops_before_a_request(spark, tmp_path):
+    settings, model = config.Settings(budget_usd=0.05, stop_margin=1.0), config.Model("v/m", input_per_million=10.0, output_per_million=0.0)
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    plan = pipeline.plan(cases(spark, 30, model), store, model)
+    got = pipeline.execute(plan, store, Counting(tmp_path / "calls", set(), cost=0.01), "r", settings)
+    assert called(tmp_path / "calls") == list(range(5)) and got.reason == "budget" and got.spent == pytest.approx(0.05)
+    more = pipeline.execute(pipeline.plan(cases(spark, 30, model), store, model), store, Counting(tmp_path / "calls", set(), cost=0.01), "s", settings)
+    assert called(tmp_path / "calls") == list(range(10)) and more.asked == 5
+
+
+def test_failures_are_tried_again_and_every_attempt_is_kept(spark, tmp_path):
+    settings, model = config.Settings(max_attempts=4, initial_backoff=0.0, backoff_jitter=0.0), config.Model("v/m")
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    got = pipeline.execute(pipeline.plan(cases(spark, 6, model), store, model), store, Counting(tmp_path / "calls", {2, 3}, code=503, heals_after=2), "r", settings)
+    assert got.failures == 0 and called(tmp_path / "calls") == [0, 1, 2, 2, 2, 3, 3, 3, 4, 5]
+    attempts = {(r["cache_key"], r["attempt_no"]): r["status"] for r in store.rows("inference_attempts").collect()}
+    assert len(attempts) == 10 and attempts["key0002", 1] == "OPENROUTER_ERROR" and attempts["key0002", 3] == "SUCCESS"
+    assert {r["cache_key"]: r["attempts"] for r in store.rows("inference_results").where("status = 'SUCCESS'").collect()}["key0003"] == 3
+
+
+def test_replies_of_a_lost_run_are_settled(spark, tmp_path):
+    from marlstone.plans import backend
+
+    settings, model = config.Settings(max_attempts=1), config.Model("v/m")
+    (tmp_path / "calls").mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    tasks_ = cases(spark, 8, model)
+    store.stage("lost-000000000", backend.ask(tasks_.where("task_id < 't0005'"), Counting(tmp_path / "calls", set()), "lost"))
+    plan = pipeline.plan(tasks_, store, model)
+    assert plan.pending.count() == 3 and store.settle() == 0 and store.rows("inference_attempts").count() == 5
+    pipeline.execute(plan, store, Counting(tmp_path / "calls", set()), "r", settings)
+    assert called(tmp_path / "calls") == list(range(8))
+    assert store.result("key0001")["run_id"] == "lost" and store.result("nothing") is None and store.one("runs", run_id="r") is None
+    assert store.listed("inference_results", run_id=["r"], benchmark=None).count() == 3
+
+
+def test_a_rewrite_cut_short_loses_nothing(spark, tmp_path):
+    import shutil
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.append("runs", spark.createDataFrame([("r1", "m"), ("r1", "n"), ("r2", "o")], "run_id string, model_id string"))
+    shutil.copytree(tmp_path / "store" / "runs", tmp_path / "store" / "runs.old")
+    shutil.rmtree(tmp_path / "store" / "runs")
+    store.repair("runs")
+    assert store.all_rows("runs").count() == 3
+    store.compact("runs")
+    store.repair("runs")
+    assert store.all_rows("runs").count() == 2 and not (tmp_path / "store" / "runs.old").exists() and not (tmp_path / "store" / "runs.new").exists()
+
+
+def test_aliases_and_labels(spark, tmp_path):
+    rows = [
+        {"doc_id": "d", "sample_id": "s", "passage": "p", "summary": "w", "gold_summary": "r", "label": ["type5", " type1 "]},
+        {"문서번호": 7, "본문": "p", "오류요약": "w", "교정요약": "r"},
+        {"Sample ID": "x", "text": "t", "article": "a", "wrong_summary": "w", "수정문": "r", "errorType": "type5"},
+        {"id": "y", "source": "", "document": "d", "summary": "w", "fixed_summary": "r"},
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(rows, ensure_ascii=False))
+    made = {"original_text": "원문", "annotation": {"target": "h", "original_summary": {"h": {"text": "w"}}, "corrected_summary": {"corrected_type5": {"text": "a"}, "corrected_type1": {"text": "b"}, "corrected_all": {"text": "both"}}}}
+    (tmp_path / "b.json").write_text(json.dumps(made, ensure_ascii=False))
+    got = {r["id"]: r for r in readers.read_factuality(spark, str(tmp_path)).collect()}
+    assert set(got) == {"s", "7", "x", "b-000000"}
+    assert (got["s"]["source"], got["s"]["error_types"]) == ("p", ["type5", "type1"]) and got["x"]["source"] == "t" and got["x"]["is_factual_error"]
+    assert got["b-000000"]["corrected_summary"] == "both" and got["b-000000"]["summary_kind"] == "human"
+    assert got["b-000000"]["correction_labels"] == [readers.ERROR_TYPES["type1"], readers.ERROR_TYPES["type5"]]
