@@ -85,15 +85,20 @@ class Settings:
             raise ConfigError("a batch holds one item or more and a budget is not negative")
 
 
-def load(text: str) -> dict:
-    """A settings tree from YAML, or from JSON where PyYAML is absent."""
+def parsed(text: str) -> dict:
+    """A tree from YAML, or from JSON where PyYAML is absent."""
     try:
         import yaml
     except ImportError:
         import json
 
-        return with_defaults(json.loads(text))
-    return with_defaults(yaml.safe_load(text))
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def load(text: str) -> dict:
+    """A settings tree with its defaults laid under every model."""
+    return with_defaults(parsed(text))
 
 
 def by_id(models: list[Model], model_id: str) -> Model:
@@ -109,10 +114,10 @@ def slug(model_id: str) -> str:
 
 
 def load_folder(path: str) -> dict:
-    """The settings trees of a folder's .yaml, .yml and .json files, merged in order of their names."""
+    """The settings trees of a folder's .yaml, .yml and .json files, merged in order of their names, with defaults laid under every model."""
     import pathlib
 
     tree: dict = {}
     for f in sorted(x for x in pathlib.Path(path).iterdir() if x.suffix in (".yaml", ".yml", ".json")):
-        tree = merged(tree, load(f.read_text(encoding="utf-8")))
-    return tree
+        tree = merged(tree, parsed(f.read_text(encoding="utf-8")))
+    return with_defaults(tree)
