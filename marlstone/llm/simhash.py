@@ -69,23 +69,33 @@ def blocks_for(distance: int) -> tuple[list[tuple[int, int]], int]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])], 2
 
 
-def links(classes: DataFrame, distance: int = 2) -> DataFrame:
+def links(classes: DataFrame, scratch: Scratch, distance: int = 2) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect just what links at ``distance`` or fewer bits.
 
     ``classes`` has a column fp without repeats. Every fingerprint goes to one
-    block for each pair of bit ranges; a task reads its blocks in order and
+    block for each pair of bit ranges, one of more than SPLIT_ROWS to finer ones; a task reads its blocks in order and
     emits a spanning forest of each, at most one edge for each member, not its pairs.
     """
     ranges, take = blocks_for(distance)
-    keys = []
+    keys, finer = [], []
     for k, chosen in enumerate(combinations(ranges, take)):
         key = F.lit(k).cast("bigint")
         for shift, width in chosen:
             part = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
             key = F.shiftleft(key, width).bitwiseOR(part)
         keys.append(key)
+        rest = [i for x in ranges if x not in chosen for i in range(x[0], x[0] + x[1])]
+        masks = np.array([sum(1 << int(i) for i in part) for part in np.array_split(rest, distance + 1)], dtype=np.uint64).view(np.int64)
+        finer.append(F.array(*[F.xxhash64(F.lit(k), F.lit(j), key, F.col("fp").bitwiseAND(F.lit(int(m)))) for j, m in enumerate(masks)]))
     bounded_batches(classes.sparkSession)
-    rows = classes.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key", "fp")
+    rows = classes.select("fp", F.posexplode(F.array(*keys)).alias("block", "key"))
+    large = scratch.put(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS).select("key"))
+    if large.head(1):
+        # Members of a block differ in its other bits alone: near ones agree in one of ``distance + 1`` parts of those, so none is lost where they are dealt out by each part.
+        split = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+        parts = F.get(F.array(*finer), F.col("block"))
+        rows = rows.join(split, "key", "left_anti").select("fp", "key").union(rows.join(split, "key", "left_semi").select("fp", F.explode(parts).alias("key")))
+    rows = rows.select("fp", "key").repartition("key").sortWithinPartitions("key", "fp")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -168,7 +178,7 @@ def fingerprint_groups(documents: DataFrame, shingle: int = 3, distance: int = 2
     """
     scratch = Scratch(documents.sparkSession)
     own = scratch.put(fingerprints(documents, shingle))
-    return _grouped(own, lambda classes: links(classes, distance), scratch).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    return _grouped(own, lambda classes: links(classes, scratch, distance), scratch).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
 def _grouped(own: DataFrame, links_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:

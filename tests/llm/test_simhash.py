@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,12 +84,16 @@ def test_spanning_forest_links_what_brute_force_links():
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({root(f) for f in fps})
 
 
-def test_links_through_blocks(spark):
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_links_through_blocks(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", limit)
     rng = random.Random(3)
     fps = list({rng.getrandbits(63) for _ in range(300)})
     fps += [f ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for f in fps[:100]]
     fps = list(dict.fromkeys(fps))
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), 2)
+    near = [fps[0] ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i)]
+    fps = list(dict.fromkeys([*fps, *near]))
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp bigint"), Scratch(spark), 2)
     got = {r["node"]: r["component"] for r in components(edges, Scratch(spark)).collect()}
     want = brute_components(fps, fps, 2)
     assert all(got.get(f, f) == w for f, w in zip(fps, want))
