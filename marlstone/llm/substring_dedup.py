@@ -1,13 +1,10 @@
-"""Removal of byte strings that occur twice: cover, names, merge, comparison of equal neighbours.
-
-The shape is that of the difference-cover suffix algorithm: a cover of
-sampled positions is chosen so that equal strings are sampled alike, the
-samples' tuples are named, names are refined by their surroundings, and
-positions outside the cover are compared through the sample that covers them.
-Two things differ, see the README. Only equality of the next 200 bytes is
-asked for, so names are hashes and no order beyond equal neighbours is built;
-and the cover is chosen by content (the least 32-byte tuple of each 200-byte
-string), which samples one position in 85 in place of two in three.
+"""Removal of byte strings that occur twice: sampled positions, names, comparison of what shares a name.
+
+Positions are sampled by content (the least 32-byte tuple of each 200-byte
+string, one position in 85), so equal strings are sampled alike. Samples are
+named by a hash of their tuple, and strings are compared through the sample that covers
+them, where its name occurs twice. No suffix is sorted: only equality of the
+next 200 bytes is asked for. The README says why, with figures.
 """
 
 from __future__ import annotations
