@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op11_tokenizer_alignment
 from .chat import op10_chat_format
 from .decontamination import op7_decontamination
+from .embedding_dedup import op12_embedding_dedup
 from .importance import op2_quality_classifier
 from .pii import op5_pii
 from .quality_rules import op6_quality_rules
@@ -17,6 +19,7 @@ from .simhash import op3_simhash_dedup
 from .substring_dedup import op9_substring_dedup
 from .suffix_tree import op4_lm_scoring
 from .toxicity import op8_toxicity
+from .whitening import op13_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 CHAT_SQL = r"""
