@@ -371,7 +371,7 @@ def _answered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
                 at = lookup(key, asked)
                 hit = at >= 0
                 columns = [c[hit] for c in (chunk, index, times)]
-                yield from blobs.dealt(blobs.part_of(mixed(columns[0].view(np.uint64)), parts), kind, *columns, value[at[hit]].astype(np.float32 if kind == STRINGS else np.int64))
+                yield from blobs.dealt(blobs.part_of(mixed(columns[0].view(np.uint64)), parts), kind, *columns, value[at[hit]].astype(np.float64 if kind == STRINGS else np.int64))
         if TEXTS in found:
             yield from blobs.dealt(blobs.part_of(mixed(found[TEXTS][0].view(np.uint64)), parts), TEXTS, *found[TEXTS])
 
@@ -390,7 +390,7 @@ def scored(documents: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     own = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (~is_training()).alias("held_out"))
     tree, rest, _ = fit(own.where("not held_out").select("text"), scratch)
-    parts = blobs.parts_for(spark, tree.total // 2)
+    parts = blobs.parts_for(spark, tree.total // 2 * (1 + tree.depth))  # a word and a string of each depth may be asked for at each token
     bounded_batches(spark)
     made = _asked(own, tree, parts).union(_table_blobs(rest.words, WORDS, parts)).union(_table_blobs(rest.strings, STRINGS, parts))
     answers = blobs.met(blobs.met(made, parts).mapInArrow(lambda batches: _answered(batches, parts), blobs.SHAPE), parts)
