@@ -54,31 +54,55 @@ KINDS = [
 ]
 BASE = [k.name for k in KINDS if k.base]
 
-_SPANS = "array<struct<start:bigint,end:bigint,found:string>>"
+_SPANS = "array<struct<start:bigint,end:bigint,found:string,near:string>>"
+_GAPS = "array<struct<gap:string,found:string>>"
 #: Matches whose starts are summed together; more are summed in blocks, then over blocks.
 BLOCK = 256
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches of a pattern: array of (start, end, found) in code points, end exclusive.
+def gaps_of(text: Column, pattern: str) -> Column:
+    """What lies before each leftmost non-overlapping match of a pattern, and the match: array of (gap, found)."""
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(gap.alias("gap"), found.alias("found")))
+    return F.when(text.rlike(pattern), F.filter(pairs, lambda x: x["found"].isNotNull())).otherwise(F.array().cast(_GAPS))
+
+
+def _blocks(array: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(array), F.lit(1)) - 1) / BLOCK).cast("int"))
+
+
+def _tail(gaps: Column, i: Column) -> Column:
+    """The NEARBY code points before the i-th match. A match has a character at least, and those that need words nearby have eleven: a few gaps hold them."""
+    back = F.least(i, F.lit(NEARBY // 11 + 1))
+    before = F.transform(F.slice(gaps, i - back + 1, back), lambda x: F.concat(x["gap"], x["found"]))
+    return F.right(F.concat(F.array_join(before, ""), F.get(gaps, i)["gap"]), F.lit(NEARBY))
+
+
+def matches(gaps: Column, context: str = "") -> Column:
+    """``gaps_of`` a text as array of (start, end, found, near) in code points, end exclusive; near is what precedes, if a context is asked for.
 
     The lengths of the matches and of the gaps between them give the starts,
     summed in blocks so that a text with very many matches costs little more than in proportion.
+    ``gaps`` must be a column of its own: it is named outside the lambdas too, or the optimizer would compute it again for each block.
     """
-    pairs = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, found: F.struct(F.length(gap).cast("bigint").alias("gap"), F.length(found).cast("bigint").alias("size"), found.alias("found")),
-    )
-    pairs = F.filter(pairs, lambda x: x["found"].isNotNull())
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.greatest(F.size(pairs), F.lit(1)) - 1) / BLOCK).cast("int")),
+        _blocks(gaps),
         lambda b: F.aggregate(
-            F.slice(pairs, b * BLOCK + 1, BLOCK),
-            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out")),
+            F.slice(gaps, b * BLOCK + 1, BLOCK),
+            F.struct(F.lit(0).cast("bigint").alias("at"), (b * BLOCK).alias("i"), F.array().cast(_SPANS).alias("out")),
             lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["size"]).alias("at"),
-                F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["found"].alias("found")))).alias("out"),
+                (a["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
+                (a["i"] + 1).alias("i"),
+                F.concat(
+                    a["out"],
+                    F.array(
+                        F.struct(
+                            (a["at"] + F.length(x["gap"])).alias("start"),
+                            (a["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("end"),
+                            x["found"].alias("found"),
+                            (_tail(gaps, a["i"]) if context else F.lit(None).cast("string")).alias("near"),
+                        )
+                    ),
+                ).alias("out"),
             ),
         ),
     )
@@ -87,11 +111,42 @@ def matches(text: Column, pattern: str) -> Column:
         F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")),
         lambda a, g: F.struct(
             (a["at"] + g["at"]).alias("at"),
-            F.concat(a["out"], F.array(F.transform(g["out"], lambda s: F.struct((a["at"] + s["start"]).alias("start"), (a["at"] + s["end"]).alias("end"), s["found"].alias("found"))))).alias("out"),
+            F.concat(a["out"], F.array(F.transform(g["out"], lambda s: F.struct((a["at"] + s["start"]).alias("start"), (a["at"] + s["end"]).alias("end"), s["found"].alias("found"), s["near"].alias("near"))))).alias("out"),
         ),
         lambda a: F.flatten(a["out"]),
     )
-    return F.when(text.rlike(pattern), whole).otherwise(F.array().cast(_SPANS))
+    return F.when(F.size(gaps) > 0, whole).otherwise(F.array().cast(_SPANS))
+
+
+def _events(own: Column, base: Column) -> Column:
+    """Both kinds of spans in one order: a span of ``own`` by its end, after the spans of ``base`` that start before that."""
+    mine = F.transform(own, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("base"), x["start"].alias("other"), x.alias("span")))
+    others = F.transform(base, lambda x: F.struct(x["start"].alias("at"), F.lit(1).alias("base"), x["end"].alias("other"), F.get(own, F.lit(-1)).alias("span")))
+    return F.when((F.size(own) > 0) & (F.size(base) > 0), F.array_sort(F.concat(mine, others)))
+
+
+def _clear(own: Column, events: Column) -> Column:
+    """``own`` without the spans that overlap one of the others.
+
+    A span overlaps one if, of those that start before its end, the greatest
+    end lies beyond its start. The greatest end so far is carried along the
+    sorted events, in blocks as in ``matches``.
+    """
+    none = F.lit(-1).cast("bigint")
+    tops = F.transform(_blocks(events), lambda b: F.array_max(F.transform(F.slice(events, b * BLOCK + 1, BLOCK), lambda e: F.when(e["base"] == 1, e["other"]).otherwise(none))))
+    before = F.aggregate(tops, F.array(none), lambda a, top: F.concat(a, F.array(F.greatest(F.element_at(a, -1), top))))
+    kept = F.transform(
+        F.arrays_zip(_blocks(events).alias("b"), F.slice(before, 1, F.size(_blocks(events))).alias("top")),
+        lambda z: F.aggregate(
+            F.slice(events, z["b"] * BLOCK + 1, BLOCK),
+            F.struct(z["top"].alias("top"), F.slice(own, 1, 0).alias("out")),
+            lambda a, e: F.when(e["base"] == 1, F.struct(F.greatest(a["top"], e["other"]).alias("top"), a["out"].alias("out")))
+            .when(a["top"] > e["other"], a)
+            .otherwise(F.struct(a["top"].alias("top"), F.concat(a["out"], F.array(e["span"])).alias("out"))),
+            lambda a: a["out"],
+        ),
+    )
+    return F.when(events.isNull(), own).otherwise(F.flatten(kept))
 
 
 def luhn(digits: Column) -> Column:
@@ -138,10 +193,9 @@ def _confirms(k: Kind) -> Callable[[Column], Column]:
     return lambda x: confirmed(k.name, x["found"])
 
 
-def _scores(k: Kind, text: Column) -> Callable[[Column], Column]:
+def _scores(k: Kind) -> Callable[[Column], Column]:
     def scored(x: Column) -> Column:
-        near = F.substr(text, F.greatest(x["start"] - NEARBY + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(NEARBY)).cast("int"))
-        more = F.when(near.rlike(k.context), F.lit(CONTEXT)).otherwise(F.lit(0.0)) if k.context else F.lit(0.0)
+        more = F.when(x["near"].rlike(k.context), F.lit(CONTEXT)).otherwise(F.lit(0.0)) if k.context else F.lit(0.0)
         return F.struct(F.lit(k.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (F.lit(k.score) + more).alias("score"))
 
     return scored
@@ -153,16 +207,15 @@ def _is_kind(name: str) -> Callable[[Column], Column]:
 
 def _spans(documents: DataFrame) -> DataFrame:
     """(_row, _pii): each whole row, and the spans of its text."""
-    out = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    for k in KINDS:
-        out = out.withColumn(f"_s_{k.name}", F.filter(matches(F.col("_t"), k.pattern), _confirms(k)))
-    base = F.concat(*[F.col(f"_s_{n}") for n in BASE])
-    arrays = []
-    for k in KINDS:
-        own = F.transform(f"_s_{k.name}", _scores(k, F.col("_t")))
-        if not k.base:
-            own = F.filter(own, lambda x: (x["score"] >= LEAST_SCORE) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        arrays.append(own)
+    text = documents.select(F.struct(*documents.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    out = text.select("_row", *[gaps_of(F.col("_t"), k.pattern).alias(f"_g_{k.name}") for k in KINDS])
+    spans = [F.transform(F.filter(matches(F.col(f"_g_{k.name}"), k.context), _confirms(k)), _scores(k)) for k in KINDS]
+    spans = [s if k.base else F.filter(s, lambda x: x["score"] >= LEAST_SCORE) for k, s in zip(KINDS, spans)]
+    out = out.select("_row", *[s.alias(f"_s_{k.name}") for k, s in zip(KINDS, spans)])
+    out = out.withColumn("_base", F.concat(*[F.col(f"_s_{n}") for n in BASE]))
+    added = [k.name for k in KINDS if not k.base]
+    out = out.withColumns({f"_e_{n}": _events(F.col(f"_s_{n}"), F.col("_base")) for n in added})
+    arrays = [F.col("_base"), *[_clear(F.col(f"_s_{n}"), F.col(f"_e_{n}")) for n in added]]
     # Through the explode no later filter on the spans is pushed down, where it would be evaluated again.
     return out.select("_row", F.explode_outer(F.array(F.concat(*arrays))).alias("_pii"))
 

@@ -93,3 +93,51 @@ def test_clashing_columns_and_very_long_texts(spark):
     got = pii.redact(df)
     assert got.columns == df.columns and [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, long.replace("a.b@c.de", "<email>"), 5, "x", "y"), (2, None, 6, None, None)]
     assert {r["doc_id"]: len(r["_pii"]) for r in pii.with_spans(df).select("doc_id", "_pii").collect()} == {1: 1, 2: 0}
+
+
+ADDED = {
+    "national_phone": r"(?<![0-9A-Za-z+().-])(?<![0-9+)] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])",
+    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
+}
+
+
+def brute_added(text):
+    """Every match of the kinds that need a word nearby, every base span looked at for each."""
+    context = {k.name: (k.context, k.score) for k in pii.KINDS}
+    out = []
+    for kind, pattern in ADDED.items():
+        words, score = context[kind]
+        for m in re.finditer(pattern, text):
+            near = text[max(0, m.start() - pii.NEARBY) : m.start()]
+            if score + pii.CONTEXT * bool(re.search(words.removeprefix("(?i)"), near, re.I)) >= pii.LEAST_SCORE and not any(a < m.end() and m.start() < b for _, a, b in brute(text)):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+PIECES = ["call ", "555-123-4567 ", "ssn ", "123-45-6789 ", "(555) 123-4567 ", "tax id: ", "+1 555 123 4567 ", "a@b.org ", "4111 1111 1111 1111 ", "123-45-6789@b.org ", "é😀 ", "1.2.3.4 ", "so it goes on and on with many words ", "\n"]
+
+
+def test_added_spans_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(PIECES, k=rng.choice([3, 30, 300]))) for _ in range(60)]
+    for block in (256, 7):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        for text, found in zip(texts, spans(spark, texts)):
+            assert base(found) == brute(text) and [x for x in found if x[0] in ADDED] == brute_added(text), text
+
+
+def test_time_grows_with_the_spans(spark):
+    import time
+
+    def took(n):
+        text = "".join(f"mail a{k}@b.org and call 555-123-4567, iban DE89 3704 0044 0532 0130 00.\n" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.perf_counter()
+        assert pii.with_spans(df).selectExpr("size(_pii)").first()[0] >= 3 * n
+        return time.perf_counter() - began
+
+    took(500)
+    few, many = took(4_000), took(16_000)
+    assert many < 9 * few + 2  # in proportion 4 times
