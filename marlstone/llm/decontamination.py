@@ -24,24 +24,34 @@ BROADCAST_ROWS = 200_000
 #: Bits of the filter that spares most windows of clean documents the join.
 FILTER_BITS = 20
 
-NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+#: Marks before values, and what joins the parts of a value of several words.
+NAME, NUMBER, UNIT, JOIN = "\u0001", "\u0002", "\u0003", "\u0004"
+#: Words that stand for numbers, and those that may stand between the parts of a name.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+PARTICLES = "van von de der den del da di la le bin ibn al".split()
 #: Units that count as such after a number.
 UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "miles", "mile", "meters", "metres", "dollars", "euros", "cents", "pounds"]
 
 
 #: What stands between tokens; a point, comma, colon or slash between digits does not.
-BETWEEN = r"[^\p{L}\p{N}\x01-\x03.,:/]+|[.,:/](?:(?![0-9])|(?<=[^0-9][.,:/]))"
+BETWEEN = r"[^\p{L}\p{N}\x01-\x04.,:/]+|[.,:/](?:(?![0-9])|(?<=[^0-9][.,:/]))"
 
 
 def marked(text: Column) -> Column:
-    """The lower-cased text with a mark before each name, number and unit.
+    """The lower-cased text with a mark before each name, number and unit; a name or number of several words is one.
 
-    A capitalised word is a name wherever it stands, as names begin sentences too.
+    A capitalised word is a name wherever it stands, as names begin sentences
+    too; capitalised words in a row, particles between them included, are one.
+    Numbers are written in digits, their groups set apart by spaces or not, or in words.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04]", " ")
     t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])", NAME)
+    t = F.regexp_replace(t, rf"(\x01\p{{L}}++) ({'|'.join(PARTICLES)}) \x01", f"$1{JOIN}$2 {NAME}")
+    t = F.regexp_replace(t, r"((?:\x01|\G(?!^))[\p{L}\x04]++) \x01", f"$1{JOIN}")
     t = F.regexp_replace(F.lower(t), r"(?=[0-9])(?:(?<![\p{L}\p{N}.,:/])|(?<=[^0-9][.,:/]))", NUMBER)
-    return F.regexp_replace(t, rf"(\x02[0-9.,:/]+) ?({'|'.join(UNITS)})(?=\s|$)", f"$1 {UNIT}$2")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}\x01\x04])(?=[efhmnst])(?=(?:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{N}}]))", NUMBER)
+    t = F.regexp_replace(t, r"(\x02[0-9]{1,3}|\G(?!^)[0-9]{3}|(?:\x02|\G(?!^))[a-z]++) \x02(?=[0-9]{3}(?![0-9\p{L}])|[a-z])", f"$1{JOIN}")
+    return F.regexp_replace(t, rf"(\x02(?:[0-9\x04][0-9.,:/\x04]*|[a-z\x04]++)) ?({'|'.join(UNITS)})(?=\s|$)", f"$1 {UNIT}$2")
 
 
 def _tokens(line: Column) -> Column:
@@ -50,7 +60,7 @@ def _tokens(line: Column) -> Column:
 
 def template(line: Column) -> Column:
     """The marked text with the values behind the marks left out; it has the same tokens."""
-    return F.regexp_replace(line, r"([\x01-\x03])[\p{L}\p{N}]*(?:(?<=[0-9])[.,:/][0-9][\p{L}\p{N}]*)*", "$1")
+    return F.regexp_replace(line, r"([\x01-\x03])[\p{L}\p{N}\x04]*(?:(?<=[0-9])[.,:/][0-9][\p{L}\p{N}\x04]*)*", "$1")
 
 
 def windows_of(documents: DataFrame, sizes: list[int], wanted: Column | None = None) -> DataFrame:
@@ -115,29 +125,30 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not sizes:
         kinds = {"_k1": "bigint", "_k2": "int", "item_id": "bigint", "n_matched": "bigint", "n_windows": "bigint", "changed": "boolean"}
         return documents.sparkSession.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])
-    # Without case there are no names, so copies in another case are met by a second form of the item.
-    forms = F.array(F.struct(F.lit(0).alias("form"), "text"), F.struct(F.lit(1).alias("form"), F.lower("text").alias("text")))
-    forms = items.where("_size > 0").select("item_id", "_size", F.explode(forms).alias("f")).select("item_id", "_size", "f.*")
-    own = windows_of(forms, sizes).select("item_id", "_size", "form", F.explode_outer("_win").alias("w")).where("w.size = _size")
-    own = scratch.put(own.select("item_id", "form", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich")))
-    rich = own.groupBy("item_id", "item_pos").agg(F.coalesce(F.max(F.when(F.col("form") == 0, F.col("rich"))), F.lit(False)).alias("rich"))
-    own = scratch.put(own.drop("form", "rich").distinct().join(rich, ["item_id", "item_pos"]))
+    # Without case there are no names, so copies in another case are met by a second form of the item. Each form of each text counts by itself.
+    forms = F.array(F.struct(F.lit(0).alias("n"), "text"), F.struct(F.lit(1).alias("n"), F.lower("text").alias("text")))
+    forms = items.where("_size > 0").select("item_id", F.explode(F.when(marked(F.col("text")) == marked(F.lower("text")), F.slice(forms, 1, 1)).otherwise(forms)).alias("f"), F.xxhash64("text").alias("form"))
+    forms = forms.select("item_id", F.xxhash64("form", "f.n").alias("form"), "f.text").withColumn("_size", F.least(F.size(_tokens(template(marked(F.col("text"))))), F.lit(WINDOW)))
+    own = windows_of(forms, list(range(1, WINDOW + 1)) if min(sizes) < WINDOW else sizes).select("item_id", "_size", "form", F.explode_outer("_win").alias("w")).where("w.size = _size")
+    own = scratch.put(own.select("item_id", "form", F.col("w.pos").alias("item_pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("item_raw"), F.col("w.rich").alias("rich"), "_size").distinct())
+    sizes = sorted(r[0] for r in own.select("_size").distinct().collect())
+    own = own.drop("_size")
     rows = own.count()
     hits = windows_of(documents.select("text", *text_key(F.col("text"))), sizes, _filter_words(own)).select("_k1", "_k2", F.explode_outer("_win").alias("w")).where("w is not null")
     hits = hits.select("_k1", "_k2", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.raw").alias("raw"))
-    total = rich.groupBy("item_id").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
+    total = own.groupBy("item_id", "form").agg(F.count("*").alias("n_all"), F.count_if("rich").alias("n_rich"))
     own, total = (F.broadcast(own), F.broadcast(total)) if rows <= BROADCAST_ROWS else (own, total)
     met = hits.join(own, "hash").withColumn("shift", F.col("pos") - F.col("item_pos"))
     slots = F.filter(F.arrays_zip(F.col("item_raw").alias("b"), F.col("raw").alias("d")), lambda x: F.ascii(x["b"]) <= 3)
-    met = met.select("_k1", "_k2", "item_id", "item_pos", "shift", "rich", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
-    by_shift = met.groupBy("_k1", "_k2", "item_id", "shift").agg(
+    met = met.select("_k1", "_k2", "item_id", "form", "item_pos", "shift", "rich", (F.col("raw") == F.col("item_raw")).alias("plain"), slots.alias("slots"))
+    by_shift = met.groupBy("_k1", "_k2", "item_id", "form", "shift").agg(
         F.collect_set("item_pos").alias("at"),
         F.collect_set(F.when(F.col("rich"), F.col("item_pos"))).alias("rich_at"),
         F.collect_set(F.when(F.col("plain"), F.col("item_pos"))).alias("plain_at"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
     run = F.struct(F.size("rich_at").alias("n_rich"), F.size("at").alias("n"), (-F.col("shift")).alias("shift"), "at", "rich_at", "slots")
-    by_item = by_shift.groupBy("_k1", "_k2", "item_id").agg(
+    by_item = by_shift.groupBy("_k1", "_k2", "item_id", "form").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("plain_at")))).alias("n_plain"),
         F.sort_array(F.collect_list(F.when(_steady(F.col("slots")), run)), asc=False).alias("runs"),
         F.max("slots").alias("any_slots"),
@@ -150,7 +161,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.struct(F.array_union(a["at"], x["at"]).alias("at"), F.array_union(a["rich_at"], x["rich_at"]).alias("rich_at"), F.array_union(a["slots"], x["slots"]).alias("slots")),
         ).otherwise(a),
     )
-    by_item = by_item.select("_k1", "_k2", "item_id", "n_plain", F.coalesce(F.get("runs", F.lit(0))["n"], F.lit(0)).alias("n_run"), held.alias("held")).join(total, "item_id")
+    by_item = by_item.select("_k1", "_k2", "item_id", "form", "n_plain", F.coalesce(F.get("runs", F.lit(0))["n"], F.lit(0)).alias("n_run"), held.alias("held")).join(total, ["item_id", "form"])
     by_item = by_item.withColumns({"n_any": F.size("held.at"), "n_rich_at": F.size("held.rich_at")})
     plain = F.col("n_plain") >= COVERAGE * F.col("n_all")
     # An item without a rich window is held if all of its template is found in a row.
@@ -159,8 +170,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     by_rich = like & (F.col("n_rich") > 0)
     n_matched = F.when(by_rich, F.col("n_rich_at")).when(like, F.col("n_any")).otherwise(F.col("n_plain"))
     changed = like & F.exists("held.slots", lambda x: x["b"] != x["d"])
-    one = one.select("_k1", "_k2", "item_id", n_matched.cast("bigint").alias("n_matched"), F.when(by_rich, F.col("n_rich")).otherwise(F.col("n_all")).alias("n_windows"), changed.alias("changed"))
-    return scratch.put(one)
+    windows = F.when(by_rich, F.col("n_rich")).otherwise(F.col("n_all"))
+    row = F.struct(n_matched.cast("bigint").alias("n_matched"), windows.alias("n_windows"), changed.alias("changed"))
+    best = one.groupBy("_k1", "_k2", "item_id").agg(F.max_by(row, F.struct(n_matched / windows, ~changed, n_matched)).alias("r"))
+    return scratch.put(best.select("_k1", "_k2", "item_id", "r.*"))
 
 
 def _steady(slots: Column) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from marlstone.llm import decontamination as d
 
 ITEM = "A train leaves the old station in Lyon at 8 and travels 120 km to reach the coast before the evening ferry departs."
@@ -110,6 +112,68 @@ def test_recall_of_items_with_other_parameters(spark):
     assert sum(got[:60]) >= 0.9 * 60 and sum(got[60:]) == 0
 
 
+FRAMES = [
+    lambda n, m, a, b, c, o: f"{n} works in a {o[0]} and {o[1]} {a} {o[2]} every morning. {m} {o[3]} {b} more of them than {n} during the week. After {c} days they clean everything, so how many are left over for {m} in the end?",
+    lambda n, m, a, b, c, o: f"A {o[0]} owned by {n} {o[1]} boxes of {o[2]} at {a} dollars each. When {m} asks for {b} boxes, the price falls by {c} percent. What does {m} pay to {n} for all of the {o[2]} together?",
+    lambda n, m, a, b, c, o: f"Every week {n} {o[3]} {a} km along the old road while {m} takes the train for {b} km. If both begin at the {o[0]} and stop for {c} minutes to look at the {o[2]}, how much longer is the trip of {m}?",
+]
+OTHER_FRAMES = [
+    lambda n, m, a, b, c, o: f"The {o[0]} opened by {n} has room for {a} visitors. On the first day {b} people came to see the {o[2]}, and {m} sold tickets to {c} of them. How many places stayed empty until {n} closed the doors?",
+    lambda n, m, a, b, c, o: f"{n} reads {a} pages about the {o[2]} before lunch. If {m} reads {b} pages an hour and {o[3]} for {c} hours, by how many pages is {n} ahead when the {o[0]} shuts?",
+]
+FIRST, MIDDLE, LAST = ["Natalia", "Weng", "Betty", "Ken", "Tobias", "Ines", "Olga", "Pavel"], ["Ann", "Lee", "Maria", "van", "de"], ["Smith", "Dyke", "Bell", "Pan", "Okafor", "Silva"]
+
+
+def any_name(rng):
+    parts = rng.choice([1, 2, 3])
+    if parts == 1:
+        return rng.choice(FIRST)
+    return " ".join([rng.choice(FIRST), *([rng.choice(MIDDLE)] if parts == 3 else []), rng.choice(LAST)])
+
+
+def any_number(rng):
+    return rng.choice([str(rng.randrange(2, 990)), f"{rng.randrange(1, 99)} {rng.randrange(100, 999)}", f"{rng.randrange(1, 99)},{rng.randrange(100, 999)}", rng.choice(["twelve", "sixty", "twenty five", "three hundred"])])
+
+
+def test_recall_of_names_and_numbers_of_several_words(spark):
+    """One- to three-word names, grouped numbers and numbers in words, three frames; each changed copy draws all of them again."""
+    import random
+
+    rng = random.Random(11)
+    things = lambda k: (rng.choice(SUBJECTS), rng.choice(["packs", "sells", "paints", "counts"]), f"item{k} and part{k % 37}", rng.choice(["moves", "stores", "repairs", "collects"]))
+    made = [(FRAMES[k % 3], things(k)) for k in range(90)]
+
+    def drawn(frame, own):
+        n, m = any_name(rng), any_name(rng)
+        while n == m:
+            m = any_name(rng)
+        a, b, c = any_number(rng), any_number(rng), any_number(rng)
+        return frame(n, m, a, b, c, own)
+
+    items = [drawn(*x) for x in made]
+    again = [f"{FILL}. {drawn(*x)} {FILL}" for x in made]
+    clean = [f"{FILL}. {drawn(OTHER_FRAMES[k % 2], things(k))}" for k in range(90)]
+    got = found(spark, again + clean, items)
+    assert sum(got[:90]) >= 0.9 * 90 and sum(got[90:]) == 0
+
+
+def test_values_of_several_words_are_one_token(spark):
+    texts = {
+        "Mary Ann Smith sold 12 000 clips to Vincent van Gogh.": ["\1", "sold", "\2", "clips", "to", "\1"],
+        "it took twenty five km and 12,500 km": ["it", "took", "\2", "\3", "and", "\2", "\3"],
+        "He paid 5 700 or 99 1000, x12 34": ["\1", "paid", "\2", "or", "\2", "\2", "x12", "\2"],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", d._tokens(d.template(d.marked(F.col("t")))).alias("k"), F.size(d._tokens(d.marked(F.col("t")))).alias("n"))
+    for r in rows.collect():
+        assert r["k"] == texts[r["t"]] and r["n"] == len(r["k"])
+
+
+def test_repeated_ids_and_items(spark):
+    bench = spark.createDataFrame([(1, ITEM), (1, "other words " * 6), (1, None), (None, ITEM)], "item_id bigint, text string")
+    df = spark.createDataFrame([(7, ITEM), (7, "clean"), (7, ITEM)], "doc_id bigint, text string")
+    assert [r["text"] for r in d.decontaminate(df, bench).collect()] == ["clean"]
+
+
 def test_query_catches_every_planted_passage(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
