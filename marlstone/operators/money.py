@@ -117,17 +117,55 @@ def global_stats(results: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("usage_cost"), F.lit(0.0)).alias("cost"))
 
 
-def failure_guard(attempts: DataFrame, key: str, order: list[str], consecutive: int = 10, rate: float = 0.5, least: int = 20) -> DataFrame:
+#: Rows of a log that a segment of it should hold, and the most segments that it is cut into.
+SEGMENT_ROWS, MOST_SEGMENTS = 2_000_000, 256
+
+
+def segmented(rows: DataFrame, order: str, per: int = SEGMENT_ROWS) -> tuple[DataFrame, int]:
+    """``rows`` with ``_seg``: which range of ``order`` a row lies in, and how many ranges there are.
+
+    The cuts are approximate quantiles of the whole log, so that ranges hold
+    like numbers of rows; rows of equal order share one. An order that is no number or time gives one range.
+    """
+    kind = rows.schema[order].dataType.typeName()
+    value = F.col(order).cast("timestamp").cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else F.col(order).cast("double")
+    numeric = kind in ("timestamp", "timestamp_ntz", "date", "long", "integer", "short", "byte", "double", "float", "decimal")
+    n = min(-(-rows.count() // per), MOST_SEGMENTS) if numeric else 1
+    if n <= 1:
+        return rows.withColumn("_seg", F.lit(0)), 1
+    cuts = rows.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 10_000)).first()[0]
+    cuts = sorted(set(cuts or []))
+    place = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda a, c: a + (value > c).cast("int"))
+    return rows.withColumn("_seg", F.when(value.isNull(), F.lit(-1)).otherwise(place)), len(cuts) + 1
+
+
+def failure_guard(attempts: DataFrame, key: str, order: list[str], consecutive: int = 10, rate: float = 0.5, least: int = 20, per: int = SEGMENT_ROWS) -> DataFrame:
     """(key, attempts, failures, tripped_at, reason): the first attempt at which the guard of each key trips.
 
     A guard trips on a failure that makes a run of ``consecutive``, or a
     failure rate over ``rate`` after ``least`` attempts. Attempts of one key
-    are a sequence, so they are read in order by one task, which holds no more than a row.
+    are a sequence; it is scanned in segments of the order, each by a task of
+    its own, so that one key may hold most of the log. What a segment needs of
+    those before it - attempts, failures, the failures since the last success - comes from a table with a row for each key and segment.
     """
-    own = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = attempts.withColumns({"_bad": (~F.col("ok")).cast("int"), "_n": F.count("*").over(own), "_good": F.sum(F.col("ok").cast("int")).over(own)})
-    island = Window.partitionBy(key, "_good").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut, segments = segmented(attempts, order[0], per)
+    own = Window.partitionBy(key, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = cut.withColumns({"_bad": (~F.col("ok")).cast("int"), "_n": F.count("*").over(own), "_good": F.sum(F.col("ok").cast("int")).over(own)})
+    island = Window.partitionBy(key, "_seg", "_good").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = seen.withColumns({"_f": F.col("_n") - F.col("_good"), "_run": F.sum("_bad").over(island)})
+    if segments > 1:
+        each = cut.groupBy(F.col(key).alias("_key"), F.col("_seg").alias("_s")).agg(F.count("*").alias("_n0"), F.count_if(~F.col("ok")).alias("_f0"), F.max_by(F.col("ok"), F.struct(*order)).alias("_end"))
+        # Failures up to and with the segment's last success; what comes after it runs on into the next segment.
+        last = cut.where("ok").groupBy(F.col(key).alias("_key"), F.col("_seg").alias("_s")).agg(F.max(F.struct(*order)).alias("_at"))
+        since = cut.select(F.col(key).alias("_key"), F.col("_seg").alias("_s"), "ok", F.struct(*order).alias("_o")).join(last, ["_key", "_s"])
+        tail = since.groupBy("_key", "_s").agg(F.count_if(~F.col("ok") & (F.col("_o") > F.col("_at"))).alias("_tail"))
+        before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        with_ = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        table = each.join(tail, ["_key", "_s"], "left").withColumn("_upto", F.sum("_f0").over(with_) - F.col("_tail"))
+        zero = F.lit(0)
+        carried = table.select("_key", "_s", F.coalesce(F.sum("_n0").over(before), zero).alias("_n1"), F.coalesce(F.sum("_f0").over(before), zero).alias("_f1"), (F.coalesce(F.sum("_f0").over(before), zero) - F.coalesce(F.max("_upto").over(before), zero)).alias("_run1"))
+        seen = seen.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_seg") == F.col("_s")))
+        seen = seen.withColumns({"_run": F.col("_run") + F.when(F.col("_good") == 0, F.col("_run1")).otherwise(0), "_n": F.col("_n") + F.col("_n1"), "_f": F.col("_f") + F.col("_f1")})
     run, share = F.col("_run") >= consecutive, (F.col("_n") >= least) & (F.col("_f") / F.col("_n") > rate)
     trips = (F.col("_bad") == 1) & (run | share)
     why = F.when(run, F.lit("consecutive")).otherwise(F.lit("rate"))
@@ -139,12 +177,29 @@ def failure_guard(attempts: DataFrame, key: str, order: list[str], consecutive:
     )
 
 
-def budget_guard(requests: DataFrame, key: str, order: list[str], budget: float, margin: float = 0.98) -> DataFrame:
-    """``requests`` with ``allowed``: until the first whose estimate would take what was billed before over budget x margin; none after it."""
-    own = Window.partitionBy(key).orderBy(*order)
-    before = F.coalesce(F.sum(F.coalesce("billed", F.lit(0.0))).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    over = requests.withColumn("_over", (before + F.col("estimate") > budget * margin).cast("int"))
-    return over.withColumn("allowed", F.max("_over").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0).drop("_over")
+def budget_guard(requests: DataFrame, key: str, order: list[str], budget: float, margin: float = 0.98, per: int = SEGMENT_ROWS) -> DataFrame:
+    """``requests`` with ``allowed``: until the first whose estimate would take what was billed before over budget x margin; none after it.
+
+    A key's requests are scanned in segments of the order, as in ``failure_guard``: what was billed before a
+    segment, and whether the budget was passed before it, come from a row for each key and segment.
+    """
+    cut, segments = segmented(requests, order[0], per)
+    own = Window.partitionBy(key, "_seg").orderBy(*order)
+    billed = F.coalesce("billed", F.lit(0.0))
+    cut = cut.withColumn("_before", F.coalesce(F.sum(billed).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    if segments > 1:
+        each = cut.groupBy(F.col(key).alias("_key"), F.col("_seg").alias("_s")).agg(F.sum(billed).alias("_sum"))
+        before = Window.partitionBy("_key").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        spent = each.select("_key", "_s", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_spent"))
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_seg") == F.col("_s"))
+        cut = cut.join(spent, same).drop("_key", "_s").withColumn("_before", F.col("_before") + F.col("_spent")).drop("_spent")
+        over = cut.withColumn("_over", (F.col("_before") + F.col("estimate") > budget * margin).cast("int"))
+        passed = over.groupBy(F.col(key).alias("_key"), F.col("_seg").alias("_s")).agg(F.max("_over").alias("_any"))
+        passed = passed.select("_key", "_s", F.coalesce(F.max("_any").over(before), F.lit(0)).alias("_gone"))
+        over = over.join(passed, same).drop("_key", "_s")
+        return over.withColumn("allowed", (F.col("_gone") == 0) & (F.max("_over").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0)).drop("_over", "_gone", "_before", "_seg")
+    over = cut.withColumn("_over", (F.col("_before") + F.col("estimate") > budget * margin).cast("int"))
+    return over.withColumn("allowed", F.max("_over").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0).drop("_over", "_before", "_seg")
 
 
 def top_errors(attempts: DataFrame, n: int, *keys: str) -> DataFrame:

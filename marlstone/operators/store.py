@@ -2,11 +2,21 @@
 
 A write appends, and a read takes one row for each key, so runs on many
 machines never rewrite each other's files and a run that was lost can be
-repeated. ``compact`` rewrites a table to its current rows.
+repeated.
+
+A table's rows lie in the folder of a version. ``compact`` and ``delete`` write
+a new version whole and then add a pointer to it: a small file, numbered, that is created once
+and never changed. The pointer with the greatest number says which version is
+read. A rewrite that is cut short at any step leaves the old version current
+and whole, and readers that began on it go on reading it, until ``vacuum`` removes it.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +80,24 @@ def absent(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
+#: The folder of a table's first version, and that of the pointers.
+FIRST, POINTERS = "v0000000000", "_versions"
+
+
+@dataclass(frozen=True)
+class Version:
+    """A table's version: its pointer's number, its folder, the folder that it was made from, and the files of that one which went into it."""
+
+    number: int
+    folder: str
+    previous: str = ""
+    taken: tuple[str, ...] = ()
+
+
+class ConcurrentRewrite(RuntimeError):
+    """Another rewrite of the table came first."""
+
+
 class Store:
     """Tables under one path."""
 
@@ -80,14 +108,44 @@ class Store:
         path, fs = self._hadoop(name)
         return fs.exists(path)
 
-    def all_rows(self, name: str) -> DataFrame:
-        """Every row ever written, with written_at."""
+    def _children(self, name: str) -> list[str]:
+        path, fs = self._hadoop(name)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def version(self, name: str) -> Version:
+        """What is read now: the version of the last pointer that was written whole."""
+        if name in SCHEMAS:
+            self.repair(name)
+        numbers = sorted((int(x) for x in self._children(f"{name}/{POINTERS}") if x.isdigit()), reverse=True)
+        for n in numbers:
+            path, fs = self._hadoop(f"{name}/{POINTERS}/{n:010d}")
+            stream = fs.open(path)
+            said = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if said.endswith("\n"):
+                folder, previous, *taken = said.split()
+                return Version(numbers[0], folder, previous, tuple(taken))
+        return Version(numbers[0] if numbers else 0, FIRST)
+
+    def _files(self, name: str, version: Version) -> list[str]:
+        """The version's files, with those that were appended to the one before when its rewrite had already looked."""
+        here = [f"{version.folder}/{x}" for x in self._children(f"{name}/{version.folder}") if x.startswith("part-")]
+        late = [f"{version.previous}/{x}" for x in self._children(f"{name}/{version.previous}") if x.startswith("part-")] if version.previous else []
+        return here + [x for x in late if x.rpartition("/")[2] not in version.taken]
+
+    def _read(self, name: str, files: list[str]) -> DataFrame:
         schema = f"{SCHEMAS[name]}, written_at timestamp"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{x}" for x in files]) if files else self.spark.createDataFrame([], schema)
+
+    def all_rows(self, name: str) -> DataFrame:
+        """Every row of the current version, with written_at."""
+        return self._read(name, self._files(name, self.version(name)))
 
     def rows(self, name: str) -> DataFrame:
         """The current rows."""
-        own = self.all_rows(name)
+        return self._current(name, self.all_rows(name))
+
+    def _current(self, name: str, own: DataFrame) -> DataFrame:
         if name == "inference_results":
             return sticky_success(own, order=["updated_at", "written_at"]).drop("written_at")
         return last_wins(own, KEYS[name], ["written_at"]).drop("written_at") if name in KEYS else own.drop("written_at")
@@ -97,7 +155,7 @@ class Store:
         fields = [f.split()[0] for f in _fields(SCHEMAS[name])]
         kinds = dict(f.split(None, 1) for f in _fields(SCHEMAS[name]))
         own = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in fields])
-        own.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/{name}")
+        own.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/{name}/{self.version(name).folder}")
 
     def add_absent(self, name: str, rows: DataFrame) -> int:
         """Rows with new keys; how many there were."""
@@ -109,31 +167,64 @@ class Store:
 
     def delete(self, name: str, keys: DataFrame) -> None:
         """Rewrites the table without these keys."""
-        self._rewrite(name, self.all_rows(name).join(keys, KEYS[name], "left_anti"))
+        self._rewrite(name, lambda rows: rows.join(keys, KEYS[name], "left_anti"))
 
     def compact(self, name: str) -> None:
-        self._rewrite(name, self.rows(name).withColumn("written_at", F.current_timestamp()))
+        self._rewrite(name, lambda rows: self._current(name, rows).withColumn("written_at", F.current_timestamp()))
 
     def _hadoop(self, name: str) -> tuple:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _rewrite(self, name: str, rows: DataFrame) -> None:
-        """The new table is written whole, the old one moved aside, the new one moved in, the old one deleted: at any moment one of them is whole."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        (now, fs), (new, _), (old, _) = (self._hadoop(x) for x in (name, f"{name}.new", f"{name}.old"))
-        fs.delete(old, True)
-        fs.rename(now, old)
-        fs.rename(new, now)
-        fs.delete(old, True)
+    def _rewrite(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes ``make`` of the current rows as the next version and points to it.
+
+        The pointer names the files that were read, so that rows which others
+        append meanwhile still count: readers take the files of the version
+        before that the rewrite had not seen. Of two rewrites at once the first to
+        set its pointer wins and the other raises ConcurrentRewrite, having changed nothing.
+        """
+        old = self.version(name)
+        files = self._files(name, old)
+        folder = f"v{old.number + 1:010d}_{uuid.uuid4().hex}"
+        make(self._read(name, files)).write.parquet(f"{self.path}/{name}/{folder}")
+        self._point(name, old.number + 1, [folder, old.folder, *[x.rpartition("/")[2] for x in files if x.startswith(f"{old.folder}/")]])
+
+    def _point(self, name: str, number: int, said: list[str]) -> None:
+        """Makes a folder the current version. The file system lets one writer create a number; one cut short before its last line end doesn't count."""
+        path, fs = self._hadoop(f"{name}/{POINTERS}/{number:010d}")
+        try:
+            stream = fs.create(path, False)
+        except Exception as e:
+            raise ConcurrentRewrite(f"another rewrite of {name} came first") from e
+        stream.write(bytearray(("\n".join(said) + "\n").encode()))
+        stream.close()
+
+    def vacuum(self, name: str) -> list[str]:
+        """Removes the folders of other versions, those of rewrites that were cut short too; what was removed. Call it when nobody reads, appends to or rewrites the table."""
+        now = self.version(name)
+        if any(not x.startswith(f"{now.folder}/") for x in self._files(name, now)):
+            self._rewrite(name, lambda rows: rows)
+            now = self.version(name)
+        gone = [x for x in self._children(name) if x not in (now.folder, POINTERS)]
+        for x in gone:
+            path, fs = self._hadoop(f"{name}/{x}")
+            fs.delete(path, True)
+        return gone
 
     def repair(self, name: str) -> None:
-        """Ends a rewrite that was cut short: without a table under its own name, the new one takes its place, else the old one."""
+        """Puts back a table that an earlier layout had moved aside when its rewrite was cut short; done whenever a table is opened."""
         now, fs = self._hadoop(name)
         for end in (".new", ".old"):
             left, _ = self._hadoop(name + end)
             if not fs.exists(now) and fs.exists(left) and (end == ".old" or self._exists(f"{name}.new/_SUCCESS")):
                 fs.rename(left, now)
+        own, _ = self._hadoop(f"{name}/{FIRST}")
+        flat = [x for x in self._children(name) if x.startswith("part-")]
+        if flat:  # files of the earlier layout lie beside the versions' folders
+            fs.mkdirs(own)
+            for x in flat:
+                fs.rename(self._hadoop(f"{name}/{x}")[0], self._hadoop(f"{name}/{FIRST}/{x}")[0])
 
     # --- replies that are not in the tables yet ---
 
