@@ -22,7 +22,7 @@ from ..operators.store import Store
 from ..reports import summary
 from ..sources import manifest, readers
 from . import backend as backends
-from . import config, pipeline, tasks
+from . import capabilities, config, evaluators, pipeline, provenance, tasks
 
 BENCHMARKS = ("summarization", "hallucination", "classification")
 MANIFESTS = ("summarization", "hallucination_en", "hallucination_ko", "classification")
@@ -146,14 +146,33 @@ def estimate(spark: SparkSession, tree: dict, model: str | None = None, benchmar
     return out
 
 
-def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backends.Backend | None = None, benchmark: str | None = None, language: str | None = None, dry_run: bool = False, retry_failed: bool = False, force: bool = False) -> dict:
-    """Asks what is pending, scores what is there, and writes the run's summary; its tree. A dry run plans and asks nothing."""
+def _provenance(spark: SparkSession, tree: dict, model: config.Model, settings: config.Settings, at: str) -> dict:
+    """The block of what the run depends on; manifests under benchmark:language, as report tables name them."""
+    metas: dict[str, dict | None] = {}
+    for name, path in tree.get("manifests", {}).items():
+        meta = manifest.read_meta(spark, path) if manifest.exists(spark, path) else None
+        benchmark, _, language = name.partition("_")
+        metas[f"{benchmark}:{language}" if language else benchmark] = meta
+    prices = {"input_per_million": model.input_per_million, "output_per_million": model.output_per_million, "cached_input_per_million": model.cached_input_per_million}
+    return provenance.block(model, settings, metas, evaluators.standard(), at, prices)
+
+
+def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backends.Backend | None = None, benchmark: str | None = None, language: str | None = None, dry_run: bool = False, retry_failed: bool = False, force: bool = False, listing: str | None = None) -> dict:
+    """Asks what is pending, scores what is there, and writes the run's summary; its tree. A dry run plans and asks nothing.
+
+    With a listing, a run that would send what the model does not take is
+    refused before anything is asked. Metrics of summaries come through the store's cache of values.
+    """
     settings, m, store = _settings(tree), models_of(tree, model)[0], Store(spark, tree["store"])
+    verdict = None
+    if listing is not None:
+        held = readers.model_metadata(spark, listing, [m.model_id])
+        verdict = capabilities.check(spark, m, settings, held, m.structured_output and benchmark in (None, "classification"))
     own = plans(spark, tree, m, benchmark, language, retry_failed, force)
     if not own:
         raise config.ConfigError("no manifest is there yet: prepare them first")
     if dry_run:
-        return {"dry_run": True, "pending": {name: plan.pending.count() for name, (plan, _, _) in own.items()}}
+        return {"dry_run": True, "capabilities": verdict, "pending": {name: plan.pending.count() for name, (plan, _, _) in own.items()}}
     began, reasons, spent, left = datetime.now(UTC), {}, 0.0, settings.budget_usd
     for name, (plan, _, _) in own.items():
         guards = pipeline.execute(plan, store, backend or backends.Stub(), f"{run_id}-{name}", config.Settings(**{**vars(settings), "budget_usd": left}))
@@ -165,11 +184,11 @@ def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backe
         if name == "classification":
             scored["classes"] = pipeline.score_classification(plan.tasks, results, records, labels)
         else:
-            scored["summaries" if name == "summarization" else "hallucinations"] = getattr(pipeline, f"score_{name}")(records, results)
+            scored["summaries" if name == "summarization" else "hallucinations"] = pipeline.score_summarization(records, results, store) if name == "summarization" else pipeline.score_hallucination(records, results)
     used = money.usage_totals(results, "model_id").first()
     status = "STOPPED" if reasons else "COMPLETED"
     mode = tasks.output_mode(m)
-    made = summary.build(m, run_id, status, mode, pipeline.aggregate(**scored), {"fresh_cost_this_run": spent}, used.asDict() if used else {}, began.isoformat(), stopped=reasons)
+    made = summary.build(m, run_id, status, mode, pipeline.aggregate(**scored), {"fresh_cost_this_run": spent}, used.asDict() if used else {}, began.isoformat(), stopped=reasons, capabilities=verdict, reproducibility=_provenance(spark, tree, m, settings, began.isoformat()))
     runs = [(run_id, m.model_id, list(own), status, False, settings.budget_usd, spent, began, datetime.now(UTC))]
     store.append("runs", spark.createDataFrame(runs, "run_id string, model_id string, benchmarks array<string>, status string, dry_run boolean, budget_usd double, fresh_cost_usd double, started_at timestamp, finished_at timestamp"))
     if tree.get("results"):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+from ..functions.keys import hash_of
+
 
 class ConfigError(ValueError):
     """Settings that cannot hold."""
@@ -31,6 +33,67 @@ def known(kind: type, tree: dict) -> Any:
     return kind(**tree)
 
 
+@dataclass(frozen=True)
+class Routing:
+    """How a provider is chosen; the same model may be served by different ones, so all of it is part of a key."""
+
+    mode: str = "default"
+    provider_order: tuple[str, ...] | None = None
+    allow_fallbacks: bool = True
+    only: tuple[str, ...] | None = None
+    ignore: tuple[str, ...] | None = None
+    require_parameters: bool = True
+    data_collection: str = "allow"
+    sort: str | None = None
+    quantizations: tuple[str, ...] | None = None
+
+    def __post_init__(self) -> None:
+        for name, allowed in (("mode", ("default", "pinned", "restricted")), ("data_collection", ("allow", "deny")), ("sort", (None, "price", "throughput", "latency"))):
+            if getattr(self, name) not in allowed:
+                raise ConfigError(f"routing.{name} is none of {allowed}")
+        if self.mode == "pinned" and not self.provider_order:
+            raise ConfigError("pinned routing needs a provider_order")
+        if self.mode == "restricted" and not (self.only or self.ignore):
+            raise ConfigError("restricted routing needs only or ignore")
+
+    def material(self) -> dict[str, Any]:
+        """Every setting with its default filled in, an empty list as none, so that one meaning has one hash."""
+        return {f.name: (list(v) or None) if isinstance(v := getattr(self, f.name), (list, tuple)) else v for f in fields(self)}
+
+    def payload(self) -> dict[str, Any]:
+        """The request's ``provider`` field."""
+        lists = {"order": self.provider_order, "only": self.only, "ignore": self.ignore, "quantizations": self.quantizations}
+        held: dict[str, Any] = {k: list(v) for k, v in lists.items() if v}
+        if self.sort:
+            held["sort"] = self.sort
+        return held | {k: getattr(self, k) for k in ("allow_fallbacks", "require_parameters", "data_collection")}
+
+
+@dataclass(frozen=True)
+class Reasoning:
+    """Thinking, off unless it is asked for. Headroom and the estimate are in no key: the first shows in the output limit, the other is never sent."""
+
+    enabled: bool = False
+    effort: str | None = None
+    max_tokens: int | None = None
+    exclude: bool = True
+    output_token_headroom: int = 0
+    estimated_output_tokens: int = 0
+
+    def __post_init__(self) -> None:
+        if self.effort not in (None, "low", "medium", "high"):
+            raise ConfigError("reasoning.effort is low, medium or high")
+
+    def material(self) -> dict[str, Any]:
+        return {k: getattr(self, k) for k in ("enabled", "effort", "max_tokens", "exclude")}
+
+    def payload(self) -> dict[str, Any]:
+        """The request's ``reasoning`` field; a model that may think is told not to."""
+        if not self.enabled:
+            return {"enabled": False, "exclude": True}
+        return {"enabled": True, "exclude": self.exclude} | {k: v for k in ("effort", "max_tokens") if (v := getattr(self, k))}
+
+
 @dataclass(frozen=True)
 class Model:
     model_id: str
@@ -42,6 +105,8 @@ class Model:
     decisions: bool = False
     reasons: bool = False
     structured_output: bool = False
+    routing: Routing = field(default_factory=Routing)
+    reasoning: Reasoning = field(default_factory=Reasoning)
     routing_config_hash: str = ""
     supported_parameters: tuple[str, ...] = ()
     input_per_million: float | None = None
@@ -51,6 +116,13 @@ class Model:
     def __post_init__(self) -> None:
         if "/" not in self.model_id:
             raise ConfigError(f"{self.model_id!r} has no vendor before a slash")
+        for name, kind in (("routing", Routing), ("reasoning", Reasoning)):
+            if isinstance(tree := getattr(self, name), dict):
+                object.__setattr__(self, name, known(kind, {k: tuple(v) if isinstance(v, list) else v for k, v in tree.items()}))
+        if self.reasons and not self.reasoning.enabled:
+            object.__setattr__(self, "reasoning", replace(self.reasoning, enabled=True))
+        if not self.routing_config_hash:
+            object.__setattr__(self, "routing_config_hash", hash_of(self.routing.material()))
 
 
 @dataclass(frozen=True)
@@ -67,6 +139,7 @@ class Settings:
     output_ceiling: int = 4096
     temperature: float | None = 0.0
     top_p: float | None = 1.0
+    request_seed: int | None = None
     budget_usd: float = 1.0
     stop_margin: float = 0.98
     max_consecutive_failures: int = 10

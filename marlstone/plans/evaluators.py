@@ -195,13 +195,15 @@ def shape_of(evaluator: Evaluator, rows: DataFrame) -> str:
 
 
 def hits_by_evaluator(rows: DataFrame, stored: DataFrame, evaluators: Iterable[Evaluator], scope: str = "sample") -> DataFrame:
-    """(evaluator, rows, hits, misses): what a run would read and what it would compute, without computing it."""
+    """(evaluator, evaluator_version, evaluator_config_hash, rows, hits, misses, least_key, greatest_key): what a run would read and what it would compute, without computing it."""
     made = None
     for e in evaluators:
-        own = probe(rows, stored, e, scope).groupBy("evaluator").agg(
+        own = probe(rows, stored, e, scope).groupBy("evaluator", "evaluator_version", "evaluator_config_hash").agg(
             F.count("*").alias("rows"),
             F.count_if(F.col("value_json").isNotNull()).alias("hits"),
             F.countDistinct(F.when(F.col("value_json").isNull(), F.col("metric_cache_key"))).alias("misses"),
+            F.min("metric_cache_key").alias("least_key"),
+            F.max("metric_cache_key").alias("greatest_key"),
         )
         made = own if made is None else made.unionByName(own)
     return made

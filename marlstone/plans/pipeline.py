@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import facts, keys, parsers, similarity, text
+from ..functions import facts, keys, parsers, text
 from ..operators import filters, joins, money, sampling, scores
 from ..operators.store import Store
 from . import backend as backends
-from . import tasks as task_rows
+from . import evaluators
 from .config import Model, Settings
 
 # --- prepare: records of manifests, with their ordinal ---
@@ -173,14 +173,19 @@ def execute(p: Plan, store: Store, backend: backends.Backend, run_id: str, setti
 # --- score ---
 
 
-def score_summarization(records: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each sample with a result, with its metrics."""
+def score_summarization(records: DataFrame, results: DataFrame, store: Store | None = None) -> DataFrame:
+    """A row for each sample with a result, with its metrics; with a store, values that it holds are read and the others are added to it."""
     own = joins.with_results(records, results.select("sample_id", "status", "output_text", "cache_key"))
-    source, reference, out = F.get_json_object("payload", "$.source"), F.get_json_object("payload", "$.reference"), F.coalesce("output_text", F.lit(""))
-    scored = own.withColumns({"r": similarity.rouge(reference, out), "chrf": similarity.chrf(reference, out), "f": facts.check_support(source, out), "refusal": text.is_refusal(out)})
+    own = own.withColumns({"source": F.get_json_object("payload", "$.source"), "reference": F.get_json_object("payload", "$.reference"), "source_tokens_est": F.get_json_object("payload", "$.source_tokens_est").cast("bigint")})
+    chosen = evaluators.standard().chosen()
+    if store is not None:
+        scored = evaluators.score(own, store, chosen).rows
+    else:
+        against = lambda e: F.coalesce(e.against, F.lit(""))
+        scored = own.withColumns({e.name: e.value(against(e), F.coalesce("output_text", F.lit(""))) for e in chosen})
     return scored.select(
-        "sample_id", "language", "status", "output_text", "refusal", "r.*", "chrf", F.lit(None).cast("double").alias("bertscore_f1"), "f.*",
-        text.token_estimate(out).alias("output_tokens_est"), F.get_json_object("payload", "$.source_tokens_est").cast("bigint").alias("source_tokens_est"),
+        "sample_id", "language", "status", "output_text", F.col("length.refusal").alias("refusal"), "rouge.*", "chrf.chrf", F.col("bertscore.bertscore_f1").alias("bertscore_f1"), "surface_facts.*",
+        F.coalesce("length.output_tokens_est", F.lit(0)).alias("output_tokens_est"), "source_tokens_est",
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,8 @@ def make(rows: DataFrame, model: Model, settings: Settings, benchmark: str) -> D
     limit = output_budget(F.lit(answer), F.lit(model.reasons), settings.reasoning_headroom, settings.output_ceiling)
     own = rows.withColumns(
         {
-            "benchmark": F.lit(benchmark), "benchmark_version": F.lit(settings.benchmark_version), "model_id": F.lit(model.model_id), "api_provider": F.lit("openrouter"),
-            "routing_config_hash": F.lit(model.routing_config_hash), "sample_id": F.col("task_id"), "prompt_template_version": F.lit(VERSION), "temperature": F.lit(settings.temperature).cast("double"),
+            "benchmark": F.lit(benchmark), "benchmark_version": F.lit(settings.benchmark_version), "model_id": F.lit(model.model_id), "api_provider": F.lit(model.api_provider),
+            "routing_config_hash": F.lit(model.routing_config_hash), "reasoning": F.lit(json.dumps(model.reasoning.material(), sort_keys=True)), "seed": F.lit(settings.request_seed).cast("bigint"), "sample_id": F.col("task_id"), "prompt_template_version": F.lit(VERSION), "temperature": F.lit(settings.temperature).cast("double"),
             "top_p": F.lit(settings.top_p).cast("double"), "max_output_tokens": limit.cast("bigint"), "tools_enabled": F.lit(False), "web_search_enabled": F.lit(False),
             "structured_output_schema_version": F.lit(f"so-1:{output_mode(model)}" if benchmark == "classification" else "so-1"), "truncation_policy_version": F.lit("trunc-1"), "generation_config_version": F.lit("gen-1"),
             "est_input_tokens": token_estimate(F.concat("system_prompt", F.lit("\n"), "user_prompt"), overhead=8), "est_output_tokens": limit.cast("bigint"), "cases": F.size("sample_ids").cast("bigint"),

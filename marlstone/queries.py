@@ -599,12 +599,41 @@ def q_price_chain(spark, d):
     return money.resolve_prices(models, _snapshots(spark, d), _configured(spark)).select("model_id", "input_per_million", "price_source")
 
 
-@query(f"""WITH {PRICES}, live(model_id, i, o) AS (VALUES ('m1', 0.15, 0.4), ('m2', 0.2, 0.9), ('m4', 0.5, 1.0), ('m5', NULL, 1.0))
-SELECT model_id, CAST(c.i AS DOUBLE) AS config_input, CAST(l.i AS DOUBLE) AS live_input, round(CAST(l.i - c.i AS DOUBLE), 6) AS input_delta, CAST(c.o AS DOUBLE) AS config_output, CAST(l.o AS DOUBLE) AS live_output,
-  round(CAST(l.o - c.o AS DOUBLE), 6) AS output_delta, CASE WHEN l.i IS NOT NULL AND l.o IS NOT NULL THEN l.i <= 0.25 AND l.o <= 1.5 END AS within_constraints FROM live l LEFT JOIN cfg c USING (model_id)""")
+@query("""WITH cfg AS (SELECT 'm' || user_id AS model_id, max(value) / 401 AS i, CASE WHEN user_id % 4 <> 0 THEN max(value) / 67 END AS o FROM events WHERE event_type = 'view' GROUP BY user_id),
+live AS (SELECT 'm' || user_id AS model_id, max(value) / 307 AS i, CASE WHEN user_id % 5 <> 0 THEN max(value) / 53 END AS o FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT model_id, round(c.i, 6) AS config_input, round(l.i, 6) AS live_input, round(l.i - c.i, 6) AS input_delta, round(c.o, 6) AS config_output, round(l.o, 6) AS live_output, round(l.o - c.o, 6) AS output_delta,
+  CASE WHEN l.i IS NOT NULL AND l.o IS NOT NULL THEN l.i <= 0.25 AND l.o <= 1.5 END AS within_constraints FROM live l LEFT JOIN cfg c USING (model_id)""")
 def q_price_compare(spark, d):
-    live = spark.createDataFrame([("m1", 0.15, 0.4), ("m2", 0.2, 0.9), ("m4", 0.5, 1.0), ("m5", None, 1.0)], "model_id string, input_per_million double, output_per_million double")
-    return rounded(money.compare_prices(live, _configured(spark), 0.25, 1.5))
+    def priced(kind: str, low: int, high: int, gap: int) -> DataFrame:
+        rows = table(spark, d, "events").where(F.col("event_type") == kind).groupBy("user_id").agg(F.max("value").alias("v"))
+        out = F.when(F.col("user_id") % gap != 0, F.col("v") / high)
+        return rows.select(F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"), (F.col("v") / low).alias("input_per_million"), out.alias("output_per_million"))
+
+    return rounded(money.compare_prices(priced("purchase", 307, 53, 5), priced("view", 401, 67, 4), 0.25, 1.5))
+
+
+GROUPS = {"temperature": ("click",), "reasoning": ("error", "purchase"), "seed": ("signup", "view")}
+
+
+@query("""WITH own AS (SELECT user_id, max(value) > 60 AS temperature, count(*) % 2 = 0 AS reasoning, min(value) < 5 AS seed, count(*) % 3 = 0 AS sends_seed, user_id % 6 = 0 AS structured FROM events GROUP BY user_id),
+listed AS (SELECT user_id, bool_or(event_type = 'click') AS t, bool_or(event_type IN ('error', 'purchase')) AS r, bool_or(event_type IN ('signup', 'view')) AS s FROM events WHERE event_id % 5 = 0 AND user_id % 7 <> 0 GROUP BY user_id),
+e AS (SELECT o.*, l.user_id IS NOT NULL AS checked, coalesce(l.t, false) AS t, coalesce(l.r, false) AS r, coalesce(l.s, false) AS s FROM own o LEFT JOIN listed l USING (user_id)),
+v AS (SELECT *, list_filter([CASE WHEN checked AND temperature AND NOT t THEN 'temperature' END, CASE WHEN checked AND seed AND NOT s AND sends_seed THEN 'seed' END], lambda x: x IS NOT NULL) AS blocking,
+  list_filter([CASE WHEN checked AND temperature AND NOT t THEN 'temperature' END, CASE WHEN checked AND reasoning AND NOT r THEN 'reasoning' END, CASE WHEN checked AND seed AND NOT s THEN 'seed' END], lambda x: x IS NOT NULL) AS errors,
+  list_filter([CASE WHEN checked AND NOT temperature AND t THEN 'temperature' END, CASE WHEN checked AND NOT reasoning AND r THEN 'reasoning' END, CASE WHEN checked AND NOT seed AND s THEN 'seed' END], lambda x: x IS NOT NULL) AS warnings FROM e)
+SELECT 'm' || user_id AS model_id, checked, CASE WHEN NOT checked THEN 'm' || user_id || ' is not listed' END AS reason, array_to_string(list_sort(blocking), ',') AS blocking,
+  array_to_string(list_sort(list_filter(errors || warnings, lambda x: NOT list_contains(blocking, x))), ',') AS informational FROM v""")
+def q_capabilities(spark, d):
+    from .plans.capabilities import preflight
+
+    rows = table(spark, d, "events").select("event_id", "event_type", "value", "user_id", F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model_id"))
+    flag = lambda test, name: F.when(test, F.lit(name))
+    configured = F.array_compact(F.array(flag(F.max("value") > 60, "temperature"), flag(F.count("*") % 2 == 0, "reasoning"), flag(F.min("value") < 5, "seed")))
+    sends = F.array_compact(F.array(F.lit("temperature"), flag(F.count("*") % 3 == 0, "seed")))
+    models = rows.groupBy("model_id").agg(configured.alias("configured"), sends.alias("sending"), F.max(F.col("user_id") % 6 == 0).alias("structured"))
+    listing = rows.where("event_id % 5 = 0 and user_id % 7 <> 0").groupBy("model_id").agg(F.collect_set(F.upper("event_type")).alias("supported_parameters"))
+    line = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return preflight(models, listing, GROUPS).select("model_id", "checked", "reason", line("blocking"), line("informational"))
 
 
 @query("""WITH r AS (SELECT user_id, sum(value) AS billed, sum(value) * (1 + (user_id % 5) * 0.01) AS recomputed FROM events GROUP BY user_id)
@@ -681,3 +710,40 @@ def q_manifest_counts(spark, d):
 def q_newest_stamp(spark, d):
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     return table(spark, d, "events").agg(F.max(F.nullif(stamp, F.lit(""))).alias("newest"))
+
+
+# --- evaluators ---
+
+
+def _normal_sql(column: str) -> str:
+    """What ``normalize_text`` makes of a text without characters of white space beyond ASCII's."""
+    lines = f"string_split(replace(replace(nfc_normalize({column}), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+    return f"regexp_replace(array_to_string(list_transform({lines}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), chr(10)), '^\\s+|\\s+$', '', 'g')"
+
+
+EMPTY_HASH, PLAIN_HASH = keys.hash_of({}), keys.hash_of({"refusals": False})
+
+
+def _key_sql(version: str, config: str) -> str:
+    return (
+        f"sha256('{{\"evaluator\":\"length\",\"evaluator_config_hash\":\"{config}\",\"evaluator_version\":\"{version}\",\"inference_result_hash\":\"' || identity "
+        f"|| '\",\"key_schema_version\":\"{keys.KEY_SCHEMA}\",\"reference_hash\":\"' || against || '\",\"scope\":\"sample\"}}')"
+    )
+
+
+@query(f"""WITH g AS (SELECT u.conv_id, a.turn, u.text AS source, a.text AS said FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+h AS (SELECT conv_id, turn, sha256(coalesce({_normal_sql('source')}, '')) AS against, sha256('{{"inference_cache_key":"k' || conv_id || ':' || turn || '","output_hash":"' || sha256(coalesce({_normal_sql('said')}, '')) || '"}}') AS identity FROM g),
+stored AS (SELECT DISTINCT {_key_sql('1', EMPTY_HASH)} AS key FROM h WHERE conv_id % 3 = 0 UNION SELECT {_key_sql('1', PLAIN_HASH)} FROM h WHERE conv_id % 5 = 0),
+asked AS (SELECT '1' AS evaluator_version, '{EMPTY_HASH}' AS evaluator_config_hash, {_key_sql('1', EMPTY_HASH)} AS key FROM h UNION ALL SELECT '1', '{PLAIN_HASH}', {_key_sql('1', PLAIN_HASH)} FROM h UNION ALL SELECT '2', '{EMPTY_HASH}', {_key_sql('2', EMPTY_HASH)} FROM h)
+SELECT 'length' AS evaluator, evaluator_version, evaluator_config_hash, count(*) AS rows, count(*) FILTER (key IN (SELECT key FROM stored)) AS hits, count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM stored)) AS misses,
+  min(key) AS least_key, max(key) AS greatest_key FROM asked GROUP BY ALL""")
+def q_metric_cache(spark, d):
+    from .plans import evaluators
+
+    rows = generations(spark, d).withColumn("cache_key", F.concat(F.lit("k"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")))
+    first = evaluators.standard()["length"]
+    plain = first.changed(refusals=False)
+    newer = evaluators.Evaluator(first.name, "2", first.score, first.shape, first.against)
+    held = lambda own, e: evaluators.keyed(own, e).select("metric_cache_key", F.to_json(F.struct(F.length("output_text").alias("output_chars"))).alias("value_json"), F.current_timestamp().alias("created_at"))
+    stored = held(rows.where("conv_id % 3 = 0"), first).unionByName(held(rows.where("conv_id % 5 = 0"), plain))
+    return evaluators.hits_by_evaluator(rows, stored, [first, plain, newer])

@@ -53,8 +53,8 @@ def build(model: Model, run_id: str, status: str, mode: str, tables: dict[str, D
 
 
 def file_name(model: Model, mode: str) -> str:
-    """The baseline condition's file has the plain name."""
-    return f"{slug(model.model_id)}/summary{'' if mode == 'text' else f'_{mode}'}.json"
+    """The baseline condition's file has the plain name, that of another names the condition."""
+    return f"{slug(model.model_id)}/summary{'' if mode == 'text' else f'.classification-{mode}'}.json"
 
 
 def as_text(summary: dict) -> str:

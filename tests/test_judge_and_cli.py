@@ -32,7 +32,7 @@ def test_summary_file(spark):
     got = summary.build(local, "r", "COMPLETED", "text", {"classification": cls}, {"judge_cost": 1.0, "reconciliation": {}, "pricing_snapshot": {}}, {}, "now", _private=1)
     assert got["cost"] == {"judge_cost": None, "pricing_snapshot": {}} and "_private" not in got
     assert got["metrics"]["classification"]["overall"]["accuracy"] == 0.5
-    assert summary.file_name(local, "text") == "local__x/summary.json" and summary.file_name(local, "json_schema").endswith("_json_schema.json")
+    assert summary.file_name(local, "text") == "local__x/summary.json" and summary.file_name(local, "json_schema") == "local__x/summary.classification-json_schema.json"
     assert json.loads(summary.as_text(got)) == got
     assert summary.shortened(spark.range(1).select(F.sha2(F.lit("a"), 256).alias("h")), "h").first()[0] == "ca978112ca1b"
 
