@@ -54,7 +54,8 @@ def clustered(rng, n, dims, group, noise):
 @pytest.mark.parametrize("dims,noise", [(4, 0.3), (16, 0.2), (64, 0.16)])
 def test_links_and_groups_equal_brute_force(spark, dims, noise):
     rng = np.random.default_rng(dims)
-    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(400), clustered(rng, 400, dims, 12, noise))]
+    n = 400 if dims < 64 else 160
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(n), clustered(rng, n, dims, 12, noise))]
     got, want = groups(spark, rows), brute_links(rows)
     assert got == want and sum(r[1] for r in got) > 100
 
