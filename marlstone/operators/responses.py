@@ -37,12 +37,18 @@ def usage(raw: Column) -> Column:
     )
 
 
+def _choice(v: Column) -> Column:
+    """What a decision's only answer chooses, empty if it does not; null for other replies."""
+    answers = F.map_values(_get(v, "$.answers", "map<string, variant>"))
+    return F.when(answers.isNotNull(), F.coalesce(F.when(F.size(answers) == 1, _get(F.get(answers, F.lit(0)), "$.choice", "string")), F.lit("")))
+
+
 def output_text(raw: Column) -> Column:
-    """A decision's choice, a message's content, its text parts joined, or a completion's text; empty if there is none."""
+    """The choice of a decision's only answer, a message's content, its text parts joined, or a completion's text; empty if there is none."""
     v = F.try_parse_json(raw)
     parts = F.transform(_get(v, "$.choices[0].message.content", "array<variant>"), lambda p: F.coalesce(_get(p, "$.text", "string"), F.lit("")))
     whole = F.when(F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant")) == "STRING", _get(v, "$.choices[0].message.content", "string"))
-    return F.coalesce(_get(v, "$.answers.answer.choice", "string"), whole, F.array_join(parts, ""), _get(v, "$.choices[0].text", "string"), F.lit(""))
+    return F.coalesce(_choice(v), whole, F.array_join(parts, ""), _get(v, "$.choices[0].text", "string"), F.lit(""))
 
 
 def status(raw: Column, http_status: Column | None = None) -> Column:
@@ -61,7 +67,7 @@ def normalized(df: DataFrame, raw: str = "raw_response_json") -> DataFrame:
             "_u": usage(F.col(raw)),
             "status": status(F.col(raw), F.col("http_status") if "http_status" in df.columns else None),
             "output_text": output_text(F.col(raw)),
-            "finish_reason": _get(v, "$.choices[0].finish_reason", "string"),
+            "finish_reason": F.coalesce(F.when(_choice(v).isNotNull(), F.lit("decision")), _get(v, "$.choices[0].finish_reason", "string")),
             "request_id": _get(v, "$.id", "string"),
             "resolved_model": _get(v, "$.model", "string"),
             "upstream_provider": _get(v, "$.provider", "string"),

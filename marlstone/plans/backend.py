@@ -38,6 +38,8 @@ class Stub:
         if self.fails and n % self.fails == 0:
             return {"error": {"code": 500, "message": "stub failure"}}
         match task["benchmark"]:
+            case "hallucination" | "classification" if task.get("request"):
+                return self._typed(task, n)
             case "hallucination":
                 said = ("SUPPORTED", "HALLUCINATED")[n % 2]
             case "classification":
@@ -46,10 +48,25 @@ class Stub:
                 said = json.dumps({d: n % 5 + 1 for d in ("factual_consistency", "key_information_coverage", "conciseness", "overall_quality")} | {"rationale": "stub"})
             case _:
                 said = task["user_prompt"].rstrip().rsplit(". ", 1)[-1][:400]
+        return self._message(task, n, said)
+
+    def _message(self, task: dict, n: int, said: str) -> dict:
         used = {"prompt_tokens": int(task["est_input_tokens"]), "completion_tokens": len(said) // 4 + 1}
         cost = self.price * sum(used.values())
         return {"id": f"stub-{n}", "model": task["model_id"], "provider": "stub", "choices": [{"index": 0, "finish_reason": "stop", "message": {"role": "assistant", "content": said}}], "usage": used | {"cost": cost}}
 
+    def _typed(self, task: dict, n: int) -> dict:
+        """A reply in the shape that the request asks for: a choice, a JSON object, or a bare label."""
+        asked = json.loads(task["request"])
+        if "questions" in asked:
+            options = list(asked["questions"]["answer"]["criteria"])
+            used = {"input_tokens": int(task["est_input_tokens"]), "output_tokens": 1, "cost": self.price * (int(task["est_input_tokens"]) + 1)}
+            return {"id": f"stub-{n}", "model": task["model_id"], "provider": "stub", "answers": {"answer": {"choice": options[n % len(options)]}}, "usage": used}
+        if "candidates" in asked:
+            return self._message(task, n, asked["candidates"][n % len(asked["candidates"])])
+        labels = asked["response_format"]["json_schema"]["schema"]["properties"]["answers"]["items"]["enum"]
+        return self._message(task, n, json.dumps({"answers": [labels[(n >> i) % len(labels)] for i in range(int(task["cases"]))]}))
+
 
 BACKENDS = {"stub": Stub}
 
@@ -89,7 +106,7 @@ def ask(tasks: DataFrame, backend: Backend, run_id: str, most: int = 1, delays:
                 rows = [(task["cache_key"], *x) for x in tried(task)]
                 yield pd.DataFrame(rows, columns=["cache_key", "attempt_no", "raw_response_json", "latency_ms", "last"])
 
-    asked = tasks.select("cache_key", "benchmark", "model_id", "cases", "user_prompt", "est_input_tokens").repartition(parallel)
+    asked = tasks.select("cache_key", "benchmark", "model_id", "cases", "user_prompt", "est_input_tokens", *[c for c in names if c == "request"]).repartition(parallel)
     replies = asked.mapInPandas(call, "cache_key string, attempt_no bigint, raw_response_json string, latency_ms double, last boolean")
     own = normalized(replies.join(tasks.select(*[n for n in names if n != "error"]), "cache_key"))
     return own.withColumns({"run_id": F.lit(run_id), "requested_model": F.col("model_id"), "attempts": F.col("attempt_no"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})

@@ -182,7 +182,7 @@ def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backe
     results, scored = store.rows("inference_results").where(F.col("model_id") == m.model_id), {}
     for name, (plan, records, labels) in own.items():
         if name == "classification":
-            scored["classes"] = pipeline.score_classification(plan.tasks, results, records, labels)
+            scored["classes"] = pipeline.score_classification(plan.tasks, results, records, labels, tasks.output_mode(m))
         else:
             scored["summaries" if name == "summarization" else "hallucinations"] = pipeline.score_summarization(records, results, store) if name == "summarization" else pipeline.score_hallucination(records, results)
     used = money.usage_totals(results, "model_id").first()

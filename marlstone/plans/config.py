@@ -105,6 +105,8 @@ class Model:
     decisions: bool = False
     reasons: bool = False
     structured_output: bool = False
+    prompt_style: str = "chat"
+    max_label_tokens: int = 16
     routing: Routing = field(default_factory=Routing)
     reasoning: Reasoning = field(default_factory=Reasoning)
     routing_config_hash: str = ""
@@ -116,6 +118,8 @@ class Model:
     def __post_init__(self) -> None:
         if "/" not in self.model_id:
             raise ConfigError(f"{self.model_id!r} has no vendor before a slash")
+        if self.prompt_style not in ("chat", "state"):
+            raise ConfigError("prompt_style is chat or state")
         for name, kind in (("routing", Routing), ("reasoning", Reasoning)):
             if isinstance(tree := getattr(self, name), dict):
                 object.__setattr__(self, name, known(kind, {k: tuple(v) if isinstance(v, list) else v for k, v in tree.items()}))

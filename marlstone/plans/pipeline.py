@@ -13,6 +13,7 @@ from ..operators.store import Store
 from . import backend as backends
 from . import evaluators
 from .config import Model, Settings
+from .tasks import SINGLE_MODES
 
 # --- prepare: records of manifests, with their ordinal ---
 
@@ -194,11 +195,17 @@ def score_hallucination(records: DataFrame, results: DataFrame) -> DataFrame:
     return own.select("sample_id", "language", "status", F.col("label").alias("gold"), parsers.hallucination_label(F.col("output_text")).alias("predicted"))
 
 
-def score_classification(tasks: DataFrame, results: DataFrame, records: DataFrame, label_space: list[str]) -> DataFrame:
-    """A row for each utterance: its batch's reply is read and zipped with its items."""
+def score_classification(tasks: DataFrame, results: DataFrame, records: DataFrame, label_space: list[str], mode: str = "text") -> DataFrame:
+    """A row for each utterance: its request's reply is read as its mode writes it and zipped with the request's items."""
     labels = F.array(*[F.lit(x) for x in label_space])
     own = tasks.select("cache_key", "language", F.col("sample_ids").alias("items")).join(results.select("cache_key", "status", "output_text"), "cache_key")
-    answers = parsers.batch_answers(F.when(F.col("status") == "SUCCESS", F.col("output_text")), F.size("items"), F.size(labels))
+    said = F.when(F.col("status") == "SUCCESS", F.col("output_text"))
+    if mode in SINGLE_MODES:
+        answers = F.array(parsers.single_label(said, labels))
+    elif mode == "json_schema":
+        answers = parsers.batch_json_answers(said, F.size("items"), labels)
+    else:
+        answers = parsers.batch_answers(said, F.size("items"), F.size(labels))
     flat = joins.unbatched(own, answers).select(F.col("item").alias("sample_id"), "status", F.get(labels, F.col("answer")).alias("predicted"))
     wide = records.select("sample_id", "language", F.col("label").alias("gold"), F.get_json_object("payload", "$.semantic_id").alias("semantic_id"))
     return wide.join(flat, "sample_id")

@@ -747,3 +747,117 @@ def q_metric_cache(spark, d):
     held = lambda own, e: evaluators.keyed(own, e).select("metric_cache_key", F.to_json(F.struct(F.length("output_text").alias("output_chars"))).alias("value_json"), F.current_timestamp().alias("created_at"))
     stored = held(rows.where("conv_id % 3 = 0"), first).unionByName(held(rows.where("conv_id % 5 = 0"), plain))
     return evaluators.hits_by_evaluator(rows, stored, [first, plain, newer])
+
+
+# --- plans: the same cases asked in each mode ---
+
+PLAN_MODELS = {"text": {}, "json_schema": {"structured_output": True}, "decisions": {"decisions": True}, "local_constrained": {"api_provider": "local"}}
+
+
+def _plan(spark, d):
+    """Documents as utterances whose intent is their source: records of a manifest, and the labels."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    payload = F.to_json(F.struct("text", F.col("doc_id").cast("string").alias("semantic_id")))
+    records = docs.select(
+        F.col("doc_id").alias("ordinal"), F.col("lang").alias("language"), F.lit("r").alias("dataset_revision"), F.lit("test").alias("split"), F.concat_ws(":", "source", "doc_id").alias("sample_id"),
+        F.sha2("text", 256).alias("source_hash"), payload.alias("payload"), F.col("source").alias("label"),
+    )
+    return records, [r[0] for r in docs.select("source").distinct().orderBy("source").collect()]
+
+
+def _planned(spark, d):
+    """By mode: its tasks; with them the records and the labels."""
+    from .plans import config, tasks
+
+    records, labels = _plan(spark, d)
+    made = {mode: tasks.classification(records, labels, config.Model("v/m", **more), config.Settings()) for mode, more in PLAN_MODELS.items()}
+    return made, records, labels
+
+
+_LABELS = "(SELECT {0} FROM (SELECT DISTINCT source FROM documents))"
+_INTENTS = _LABELS.format("string_agg(n || '. ' || source, chr(10) ORDER BY source)").replace("SELECT DISTINCT source FROM documents", "SELECT source, row_number() OVER (ORDER BY source) AS n FROM (SELECT DISTINCT source FROM documents)")
+_LISTED = _LABELS.format("string_agg('- ' || source, chr(10) ORDER BY source)")
+_OPTIONS = _LABELS.format("string_agg(source, ',' ORDER BY source)")
+
+
+@query(f"""WITH u AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents),
+b AS (SELECT lang, i // 20 AS batch, count(*) AS cases, string_agg((i % 20 + 1) || '. ' || text, chr(10) ORDER BY i) AS items FROM u GROUP BY ALL),
+p AS (SELECT 'text' AS mode, 'batch:' || lang || ':' || lpad(CAST(batch AS VARCHAR), 4, '0') AS task_id, cases, 'You assign intents to utterances.' AS system,
+    'Intents:' || chr(10) || {_INTENTS} || chr(10) || chr(10) || 'Utterances:' || chr(10) || items || chr(10) || chr(10) || 'For each utterance write its number, a colon, and the number of its intent.' AS said, '' AS options, '' AS state FROM b
+  UNION ALL SELECT 'json_schema', 'batch:' || lang || ':' || lpad(CAST(batch AS VARCHAR), 4, '0'), cases, 'You assign intents to utterances and reply with one JSON object.',
+    'Intents:' || chr(10) || {_LISTED} || chr(10) || chr(10) || 'Utterances:' || chr(10) || items || chr(10) || chr(10) || 'Reply with an object whose list answers holds the names of ' || cases || ' intents, one for each utterance, in their order.', {_OPTIONS}, '' FROM b
+  UNION ALL SELECT 'decisions', 'single:' || lang || ':' || doc_id, 1, 'Which of the intents does the utterance have?', text, {_OPTIONS}, text FROM u
+  UNION ALL SELECT 'local_constrained', 'single:' || lang || ':' || doc_id, 1, 'You assign an intent to one utterance. Reply with its name alone.' || chr(10) || chr(10) || 'Intents:' || chr(10) || {_LISTED},
+    text || chr(10) || chr(10) || 'The intent of this utterance:', {_OPTIONS}, '' FROM u)
+SELECT mode, task_id, cases, sha256(system) AS system_sha, sha256(said) AS user_sha, options, sha256(state) AS state_sha FROM p""")
+def q_request_shapes(spark, d):
+    """Requests by mode: their prompts, and options and state as read back from the request's JSON."""
+    out = None
+    for mode, rows in _planned(spark, d)[0].items():
+        v = F.try_parse_json("request")
+        listed = F.coalesce(F.try_variant_get(v, "$.response_format.json_schema.schema.properties.answers.items.enum", "array<string>"), F.try_variant_get(v, "$.candidates", "array<string>"))
+        options = F.coalesce(listed, F.map_keys(F.try_variant_get(v, "$.questions.answer.criteria", "map<string, string>")), F.array().cast("array<string>"))
+        state = F.coalesce(F.try_variant_get(v, "$.state.utterance", "string"), F.lit(""))
+        own = rows.select(F.lit(mode).alias("mode"), "task_id", "cases", F.sha2("system_prompt", 256).alias("system_sha"), F.sha2("user_prompt", 256).alias("user_sha"), F.array_join(F.array_sort(options), ",").alias("options"), F.sha2(state, 256).alias("state_sha"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _stub_replies(rows, mode, labels):
+    """Replies as a backend gives them: of ten cases six name the right label, three the next, one none."""
+    own = F.array(*[F.lit(x) for x in labels])
+
+    def at(sample):
+        k = stub(F.substring_index(sample, ":", -1), 10, f"{mode}:")
+        gold = F.array_position(own, F.substring_index(sample, ":", 1)).cast("int") - 1
+        return F.when(k < 6, gold).when(k < 9, (gold + 1) % len(labels)).otherwise(F.lit(len(labels) + 4))
+
+    name = lambda sample: F.coalesce(F.get(own, at(sample)), F.lit("none"))
+    if mode == "text":
+        said = F.array_join(F.transform("sample_ids", lambda x, i: F.concat_ws(": ", i + 1, at(x) + 1)), "\n")
+    elif mode == "json_schema":
+        said = F.to_json(F.struct(F.transform("sample_ids", name).alias("answers")))
+    else:
+        said = name(F.get("sample_ids", F.lit(0)))
+    if mode == "decisions":
+        raw = F.to_json(F.struct(F.struct(F.struct(said.alias("choice")).alias("answer")).alias("answers")))
+    else:
+        raw = F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("message"))).alias("choices")))
+    return responses.normalized(rows.select("cache_key", raw.alias("raw_response_json")))
+
+
+def _plan_scores(spark, d):
+    from .plans import pipeline
+
+    made, records, labels = _planned(spark, d)
+    out = None
+    for mode, rows in made.items():
+        own = pipeline.score_classification(rows, _stub_replies(rows, mode, labels), records, labels, mode).withColumns({"model": F.lit("v/m"), "mode": F.lit(mode)})
+        out = own if out is None else out.unionByName(own)
+    return scores.classification(out, "model", "language", "mode")
+
+
+_PLAN_MODES = "m AS (SELECT unnest(['text', 'json_schema', 'decisions', 'local_constrained']) AS mode)"
+_PLAN_STUB = "(CAST('0x' || substr(sha256(mode || ':' || doc_id), 1, 8) AS BIGINT) % 10)"
+_PLAN_RATES = f"""s AS (SELECT mode, lang AS language, count(*) AS cases, CAST(count(*) FILTER ({_PLAN_STUB} < 6) AS DOUBLE) / count(*) AS accuracy,
+  CAST(count(*) FILTER ({_PLAN_STUB} = 9) AS DOUBLE) / count(*) AS invalid_output_rate FROM documents CROSS JOIN m GROUP BY ALL)"""
+
+
+@query(f"WITH {_PLAN_MODES}, {_PLAN_RATES} SELECT mode, language, cases, round(accuracy, 6) AS accuracy, round(invalid_output_rate, 6) AS invalid_output_rate FROM s")
+def q_plan_modes(spark, d):
+    """One manifest planned, answered and scored in each mode."""
+    return rounded(_plan_scores(spark, d).select("mode", "language", "cases", "accuracy", "invalid_output_rate"))
+
+
+@query(f"""WITH {_PLAN_MODES}, {_PLAN_RATES} SELECT a.language, round(a.accuracy, 6) AS text_accuracy, round(b.accuracy, 6) AS json_schema_accuracy, round(b.accuracy - a.accuracy, 6) AS accuracy_delta
+FROM s a JOIN s b ON a.language = b.language AND a.mode = 'text' AND b.mode = 'json_schema'""")
+def q_plan_mode_deltas(spark, d):
+    own = _plan_scores(spark, d).where(F.col("mode").isin("text", "json_schema"))
+    return rounded(scores.mode_deltas(own).select("language", "text_accuracy", "json_schema_accuracy", "accuracy_delta"))
+
+
+@query("SELECT lang AS language, 'root ::= ' || string_agg('\"' || source || '\"', ' | ' ORDER BY source) AS grammar FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang")
+def q_label_grammar(spark, d):
+    from .plans import tasks
+
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(tasks.label_grammar(F.array_sort(F.collect_set("source"))).alias("grammar"))
