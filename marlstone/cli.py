@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
         made[name].add_argument("--benchmark", choices=commands.BENCHMARKS)
         made[name].add_argument("--language")
     made["run"].add_argument("--run-id")
+    made["run"].add_argument("--judge", help="the name of a judge in the settings")
+    made["run"].add_argument("--listing", help="a listing's JSON: refuse what the model doesn't take")
     made["run"].add_argument("--backend", choices=sorted(BACKENDS), default="stub")
     for flag in ("--dry-run", "--retry-failed", "--force"):
         made["run"].add_argument(flag, action="store_true")
@@ -73,7 +75,7 @@ def _settled(args: argparse.Namespace) -> None:
         case "estimate":
             commands.estimate(spark, tree, args.model, args.benchmark, args.language).show(truncate=False)
         case "run":
-            made = commands.run(spark, tree, args.model, args.run_id or uuid.uuid4().hex[:12], BACKENDS[args.backend](), args.benchmark, args.language, args.dry_run, args.retry_failed, args.force)
+            made = commands.run(spark, tree, args.model, args.run_id or uuid.uuid4().hex[:12], BACKENDS[args.backend](), args.benchmark, args.language, args.dry_run, args.retry_failed, args.force, args.listing, args.judge)
             print(json.dumps({k: made[k] for k in ("run_id", "status", "pending", "stopped", "cost") if k in made}, default=str))
 
 

@@ -111,6 +111,23 @@ def usage_totals(results: DataFrame, *keys: str) -> DataFrame:
     return ok.groupBy(*keys).agg(F.count("*").alias("requests"), *sums, F.coalesce(F.sum("usage_cost"), F.lit(0.0)).alias("usage_cost"))
 
 
+def judge_costs(judged: DataFrame) -> DataFrame:
+    """(target_model, judge_cost): what grading each model's outputs cost; a missing cost counts as 0."""
+    return judged.groupBy("target_model").agg(F.coalesce(F.sum("usage_cost"), F.lit(0.0)).alias("judge_cost"))
+
+
+def judge_cost(judged: DataFrame, target: str) -> float:
+    """The cost of grading one model's outputs, 0 if nothing was graded."""
+    row = judge_costs(judged.where(F.col("target_model") == target)).first()
+    return row["judge_cost"] if row else 0.0
+
+
+def last_http_status(attempts: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, http_status): the last status other than null and 0 that a case's attempts had, null if none had one."""
+    told = F.when(F.col("http_status") != 0, F.col("http_status"))
+    return attempts.groupBy(key).agg(F.max_by(told, F.when(told.isNotNull(), F.struct(*order))).alias("http_status"))
+
+
 def global_stats(results: DataFrame) -> DataFrame:
     """Counts and costs by (model, benchmark, status) and overall, in one pass."""
     sets = results.groupingSets([("model_id", "benchmark", "status"), ()], "model_id", "benchmark", "status")

@@ -236,15 +236,15 @@ class Store:
     def settle(self) -> int:
         """Moves staged replies into results and attempts, those of an earlier run that was lost too; how many folders there were.
 
-        A folder is deleted once its rows are in both tables; rows that are there already are not added again.
+        All folders are read at once, so a run of many waves appends once. They are deleted when their rows are in both tables; rows that are there already are not added again.
         """
         top, fs = self._hadoop("staged")
         labels = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        if whole := [f"{self.path}/staged/{x}" for x in labels if self._exists(f"staged/{x}/_SUCCESS")]:
+            rows = self.spark.read.option("mergeSchema", True).parquet(*whole)
+            for name, own, key in (("inference_results", rows.where("last"), ["run_id", "cache_key"]), ("inference_attempts", rows, ["run_id", "cache_key", "attempt_no"])):
+                self.append(name, own.join(self.all_rows(name).select(*key).distinct(), key, "left_anti"))
         for label in labels:
-            if self._exists(f"staged/{label}/_SUCCESS"):
-                rows = self.spark.read.parquet(f"{self.path}/staged/{label}")
-                for name, own, key in (("inference_results", rows.where("last"), ["run_id", "cache_key"]), ("inference_attempts", rows, ["run_id", "cache_key", "attempt_no"])):
-                    self.append(name, own.join(self.all_rows(name).select(*key).distinct(), key, "left_anti"))
             fs.delete(self._hadoop(f"staged/{label}")[0], True)
         return len(labels)
 

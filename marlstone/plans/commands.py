@@ -6,6 +6,7 @@
     raw: {xlsum: {en: path, ko: path}, halueval: path, factuality: path, massive: {en: path, ko: path}}
     manifests: {summarization: path, hallucination_en: path, hallucination_ko: path, classification: path}
     wanted: {summarization: 50, ...}                  how many cases of each
+    judges: {name: {model_id: a/b, samples: 100, languages: [en]}}   models that grade summaries, when a run asks for one
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import money
+from ..operators import filters, money
 from ..operators.store import Store
 from ..reports import summary
 from ..sources import manifest, readers
 from . import backend as backends
-from . import capabilities, config, evaluators, pipeline, provenance, tasks
+from . import capabilities, config, evaluators, judge as judging, pipeline, provenance, tasks
 
 BENCHMARKS = ("summarization", "hallucination", "classification")
 MANIFESTS = ("summarization", "hallucination_en", "hallucination_ko", "classification")
@@ -121,10 +122,20 @@ def _records(spark: SparkSession, tree: dict, benchmark: str, language: str | No
     return None if out is None else manifest.of_language(out, language)
 
 
+def skipped(spark: SparkSession, model: config.Model) -> dict[str, str]:
+    """Benchmarks that don't apply to a model, with the reason."""
+    names = spark.createDataFrame([(b,) for b in BENCHMARKS], "benchmark string")
+    why = names.withColumn("reason", filters.skip_reason(F.lit(model.api_provider), F.lit(model.decisions), F.col("benchmark")))
+    return {r["benchmark"]: r["reason"] for r in why.where("reason is not null").collect()}
+
+
 def plans(spark: SparkSession, tree: dict, model: config.Model, benchmark: str | None = None, language: str | None = None, retry_failed: bool = False, force: bool = False) -> dict[str, tuple[pipeline.Plan, DataFrame, list[str]]]:
-    """By benchmark: the plan, the records, and the labels of classification."""
+    """By benchmark that applies to the model: the plan, the records, and the labels of classification."""
     settings, store, out = _settings(tree), Store(spark, tree["store"]), {}
+    left_out = skipped(spark, model)
     for name in BENCHMARKS if benchmark is None else [benchmark]:
+        if name in left_out:
+            continue
         records = _records(spark, tree, name, language)
         if records is None:
             continue
@@ -146,6 +157,11 @@ def estimate(spark: SparkSession, tree: dict, model: str | None = None, benchmar
     return out
 
 
+def _judge_model(tree: dict, model_id: str) -> config.Model:
+    """A judge's settings, its own among the models or the defaults."""
+    return next((x for x in models_of(tree | {"models": [m | {"enabled": True} for m in tree.get("models", [])]}) if x.model_id == model_id), None) or config.Model(model_id, role="judge")
+
+
 def _provenance(spark: SparkSession, tree: dict, model: config.Model, settings: config.Settings, at: str) -> dict:
     """The block of what the run depends on; manifests under benchmark:language, as report tables name them."""
     metas: dict[str, dict | None] = {}
@@ -157,20 +173,25 @@ def _provenance(spark: SparkSession, tree: dict, model: config.Model, settings:
     return provenance.block(model, settings, metas, evaluators.standard(), at, prices)
 
 
-def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backends.Backend | None = None, benchmark: str | None = None, language: str | None = None, dry_run: bool = False, retry_failed: bool = False, force: bool = False, listing: str | None = None) -> dict:
+def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backends.Backend | None = None, benchmark: str | None = None, language: str | None = None, dry_run: bool = False, retry_failed: bool = False, force: bool = False, listing: str | None = None, judge: str | None = None) -> dict:
     """Asks what is pending, scores what is there, and writes the run's summary; its tree. A dry run plans and asks nothing.
 
     With a listing, a run that would send what the model does not take is
-    refused before anything is asked. Metrics of summaries come through the store's cache of values.
+    refused before anything is asked. With the name of a judge, the first summaries of the manifest are graded by its model, each once.
+    Benchmarks that don't apply to the model are left out and named in the summary. Metrics of summaries come through the store's cache of values.
     """
     settings, m, store = _settings(tree), models_of(tree, model)[0], Store(spark, tree["store"])
     verdict = None
     if listing is not None:
         held = readers.model_metadata(spark, listing, [m.model_id])
         verdict = capabilities.check(spark, m, settings, held, m.structured_output and benchmark in (None, "classification"))
+    grader = tree.get("judges", {}).get(judge) if judge else None
+    if judge and grader is None:
+        raise config.ConfigError(f"no judge {judge!r}; there are {sorted(tree.get('judges', {}))}")
+    left_out = {k: why for k, why in skipped(spark, m).items() if benchmark in (None, k)}
     own = plans(spark, tree, m, benchmark, language, retry_failed, force)
     if not own:
-        raise config.ConfigError("no manifest is there yet: prepare them first")
+        raise config.ConfigError("; ".join(f"{k}: {why}" for k, why in left_out.items()) or "no manifest is there yet: prepare them first")
     if dry_run:
         return {"dry_run": True, "capabilities": verdict, "pending": {name: plan.pending.count() for name, (plan, _, _) in own.items()}}
     began, reasons, spent, left = datetime.now(UTC), {}, 0.0, settings.budget_usd
@@ -179,18 +200,25 @@ def run(spark: SparkSession, tree: dict, model: str, run_id: str, backend: backe
         spent, left = spent + guards.spent, max(0.0, left - guards.spent)
         if guards.reason:
             reasons[name] = guards.reason
-    results, scored = store.rows("inference_results").where(F.col("model_id") == m.model_id), {}
+    results, scored, graded = store.rows("inference_results").where(F.col("model_id") == m.model_id), {}, {"enabled": False}
     for name, (plan, records, labels) in own.items():
+        held = pipeline.of_plan(results, plan.tasks)
         if name == "classification":
-            scored["classes"] = pipeline.score_classification(plan.tasks, results, records, labels, tasks.output_mode(m))
+            scored["classes"] = pipeline.score_classification(plan.tasks, held, records, labels, tasks.output_mode(m))
+        elif name == "hallucination":
+            scored["hallucinations"] = pipeline.score_hallucination(records, held)
         else:
-            scored["summaries" if name == "summarization" else "hallucinations"] = pipeline.score_summarization(records, results, store) if name == "summarization" else pipeline.score_hallucination(records, results)
+            scored["summaries"] = pipeline.score_summarization(records, held, store)
+            if grader:
+                spoken = records.where(F.col("language").isin(*grader["languages"])) if grader.get("languages") else records
+                samples = pipeline.judgeable(spoken, held, grader.get("samples", settings.judge_samples))
+                graded = judging.outcome(samples, _judge_model(tree, grader["model_id"]), m, store, backend or backends.Stub(), run_id, judge)
     used = money.usage_totals(results, "model_id").first()
     status = "STOPPED" if reasons else "COMPLETED"
     mode = tasks.output_mode(m)
-    made = summary.build(m, run_id, status, mode, pipeline.aggregate(**scored), {"fresh_cost_this_run": spent}, used.asDict() if used else {}, began.isoformat(), stopped=reasons, capabilities=verdict, reproducibility=_provenance(spark, tree, m, settings, began.isoformat()))
-    runs = [(run_id, m.model_id, list(own), status, False, settings.budget_usd, spent, began, datetime.now(UTC))]
-    store.append("runs", spark.createDataFrame(runs, "run_id string, model_id string, benchmarks array<string>, status string, dry_run boolean, budget_usd double, fresh_cost_usd double, started_at timestamp, finished_at timestamp"))
+    made = summary.build(m, run_id, status, mode, pipeline.aggregate(**scored), {"fresh_cost_this_run": spent, "judge_cost": graded.get("judge_cost_usd", 0.0)}, used.asDict() if used else {}, began.isoformat(), stopped=reasons, skipped=left_out, judge=graded, capabilities=verdict, reproducibility=_provenance(spark, tree, m, settings, began.isoformat()))
+    runs = [(run_id, m.model_id, list(own), status, False, settings.budget_usd, spent, graded.get("judge_cost_usd", 0.0), began, datetime.now(UTC))]
+    store.append("runs", spark.createDataFrame(runs, "run_id string, model_id string, benchmarks array<string>, status string, dry_run boolean, budget_usd double, fresh_cost_usd double, judge_cost_usd double, started_at timestamp, finished_at timestamp"))
     if tree.get("results"):
         path = pathlib.Path(tree["results"]) / summary.file_name(m, mode)
         path.parent.mkdir(parents=True, exist_ok=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, parsers
 from ..functions.text import token_estimate
+from ..operators import money, scores
 from ..operators.store import Store
 from . import backend as backends
 from .config import Model
@@ -43,3 +44,27 @@ def run(tasks_: DataFrame, store: Store, backend: backends.Backend, run_id: str)
     held = store.rows("judge_results").join(tasks_.select("cache_key"), "cache_key", "left_semi")
     g = F.from_json("scores_json", ", ".join(f"{d} int" for d in parsers.DIMENSIONS) + ", rationale string")
     return held.select("cache_key", "sample_id", "language", "status", "self_judge", g.alias("g")).select("cache_key", "sample_id", "language", "status", "self_judge", *[f"g.{d}" for d in parsers.DIMENSIONS])
+
+
+def outcome(samples: DataFrame, judge: Model, target: Model, store: Store, backend: backends.Backend, run_id: str, profile: str) -> dict:
+    """Grades samples with an output and tells how it went: the judge's block of a summary.
+
+    Means are over readable grades; a reply that can't be read counts as
+    invalid, one that failed as neither. Grades are advice: no metric is made of them.
+    """
+    own = judge.model_id == target.model_id
+    held = {"enabled": True, "profile": profile, "judge_model": judge.model_id, "target_model": target.model_id, "self_judge": own, "warnings": [], "scores": {}, "invalid_outputs": 0, "judge_cost_usd": 0.0}
+    if own:
+        held["warnings"].append(f"SELF_JUDGE_WARNING: {judge.model_id} grades its own output")
+    made = tasks(samples, judge, target).persist()
+    wanted = made.count()
+    known = made.join(store.rows("judge_results").where("status = 'SUCCESS'"), "cache_key", "left_semi").count()
+    held |= {"requested_samples": wanted, "cache_hits": known, "api_calls": wanted - known, "status": "COMPLETED" if wanted else "NO_SUMMARIES"}
+    if wanted:
+        rows = run(made, store, backend, run_id)
+        got = scores.judge(rows.where("status = 'SUCCESS'"), parsers.DIMENSIONS).first().asDict()
+        held["scores"] = {"judged_cases": got.pop("judged") - got.pop("invalid"), **got}
+        held["invalid_outputs"] = rows.where("status = 'PARSE_ERROR'").count()
+        held["judge_cost_usd"] = money.judge_cost(store.rows("judge_results"), target.model_id)
+    made.unpersist()
+    return held

@@ -145,8 +145,8 @@ def execute(p: Plan, store: Store, backend: backends.Backend, run_id: str, setti
 
     Guards act before a request: a wave is no longer than the failure guard allows to be sure
     that nothing is asked after it trips, and holds no case whose estimate would pass the budget. A wave's replies are
-    written once before anything reads them, so a lost executor or driver asks for none again: ``plan`` settles
-    what a lost run has left. What was not asked is found by a later run; a second run has nothing to do.
+    written once before anything reads them, so a driver lost between waves asks for none again: ``plan`` settles
+    what a lost run has left. (A task that is lost within a wave is run again and asks again.) All waves' replies go to the tables together at the end. What was not asked is found by a later run; a second run has nothing to do.
     """
     if dry_run:
         raise backends.DryRunViolation("inference in a dry run")
@@ -166,7 +166,7 @@ def execute(p: Plan, store: Store, backend: backends.Backend, run_id: str, setti
         by_task = replies.groupBy("_n").agg(F.max(F.col("last") & (F.col("status") == "SUCCESS")).alias("ok"), F.sum(F.coalesce("usage_cost", F.lit(0.0))).alias("cost"))
         for row in by_task.orderBy("_n").collect():  # a wave's cases, bounded by room()
             guards.saw(row["ok"], row["cost"])
-        store.settle()
+    store.settle()
     placed.unpersist()
     return guards
 
@@ -190,6 +190,11 @@ def score_summarization(records: DataFrame, results: DataFrame, store: Store | N
     )
 
 
+def of_plan(results: DataFrame, tasks: DataFrame) -> DataFrame:
+    """All stored results of a plan's requests, by key: those of another prompt, mode or setting for the same sample are not among them."""
+    return results.join(tasks.select("cache_key"), "cache_key", "left_semi")
+
+
 def score_hallucination(records: DataFrame, results: DataFrame) -> DataFrame:
     own = joins.with_results(records, results.select("sample_id", "status", "output_text"))
     return own.select("sample_id", "language", "status", F.col("label").alias("gold"), parsers.hallucination_label(F.col("output_text")).alias("predicted"))

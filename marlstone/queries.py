@@ -861,3 +861,18 @@ def q_label_grammar(spark, d):
     from .plans import tasks
 
     return table(spark, d, "documents").groupBy(F.col("lang").alias("language")).agg(tasks.label_grammar(F.array_sort(F.collect_set("source"))).alias("grammar"))
+
+
+@query("SELECT event_type AS target_model, round(coalesce(sum(CASE WHEN event_id % 7 <> 0 THEN value END), 0.0), 4) AS judge_cost FROM events GROUP BY event_type")
+def q_judge_cost(spark, d):
+    own = table(spark, d, "events").select(F.col("event_type").alias("target_model"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("usage_cost"))
+    return rounded(money.judge_costs(own), 4)
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 429 WHEN 'view' THEN 0 WHEN 'purchase' THEN 200 END AS http_status FROM events)
+SELECT u.user_id, l.http_status FROM (SELECT DISTINCT user_id FROM a) u LEFT JOIN
+  (SELECT user_id, http_status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM a WHERE http_status <> 0) WHERE k = 1) l USING (user_id)""")
+def q_last_http_status(spark, d):
+    e = F.col("event_type")
+    status = F.when(e == "click", 429).when(e == "view", 0).when(e == "purchase", 200)
+    return money.last_http_status(table(spark, d, "events").withColumn("http_status", status), "user_id", ["ts", "event_id"])
