@@ -273,7 +273,17 @@ def q_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query()
+def _tokens_sql(column: str) -> str:
+    return f"(SELECT {TEXT_TOKENS} FROM (SELECT {column} AS text))"
+
+
+@query(f"""WITH RECURSIVE own AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), long AS (SELECT doc_id, t FROM own WHERE {_tokens_sql('t')} > 100),
+cut AS (SELECT doc_id, t, 400 AS size FROM long
+  UNION ALL SELECT doc_id, t, CAST(floor(least(size, length(t)) * 0.95) AS INTEGER) FROM cut WHERE {_tokens_sql('substr(t, 1, size)')} > 100),
+least_ AS (SELECT doc_id, substr(any_value(t), 1, min(size)) AS c FROM cut GROUP BY doc_id),
+words AS (SELECT doc_id, CASE WHEN regexp_matches(c, '(?s)^.+ ') THEN regexp_extract(c, '(?s)^(.+) [^ ]*$', 1) ELSE c END AS c FROM least_),
+r AS (SELECT doc_id, true AS truncated, regexp_replace(c, '^\\s+|\\s+$', '', 'g') AS c FROM words UNION ALL SELECT doc_id, false, t FROM own WHERE {_tokens_sql('t')} <= 100)
+SELECT doc_id, truncated, length(c) AS n, sha256(c) AS sha FROM r""")
 def q_truncate(spark, d):
     cut = text.truncate_to_tokens(F.col("text"), 100)
     return table(spark, d, "documents").select("doc_id", cut.alias("t")).select("doc_id", F.col("t.truncated").alias("truncated"), F.length("t.text").alias("n"), F.sha2("t.text", 256).alias("sha"))
@@ -309,10 +319,10 @@ def q_set_union(spark, d):
     return docs.select(F.col("lang").alias("label")).union(docs.select("source")).distinct()
 
 
-@query("SELECT lang AS label, count(*) AS n FROM (SELECT lang FROM documents WHERE lang = 'en' UNION ALL SELECT lang FROM documents WHERE lang = 'fr') GROUP BY lang")
+@query("SELECT label, count(*) AS n FROM (SELECT lang AS label FROM documents UNION ALL SELECT source FROM documents) GROUP BY label")
 def q_set_concat(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("label"))
-    return docs.where("label = 'en'").unionByName(docs.where("label = 'fr'")).groupBy("label").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("lang").alias("label")).unionByName(docs.select(F.col("source").alias("label"))).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang IN ('en', 'fr') AS factual, source = 'src1' AS single FROM documents")
