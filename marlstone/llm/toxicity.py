@@ -27,8 +27,12 @@ SAMPLE_ROWS = 4_000
 #: Grades of severity above none.
 GRADES = 3
 L1, STEPS, RATE = 0.0003, 250, 0.05
-#: A grade counts as reached at this probability: less than half, as some toxic documents hold few telling words.
+#: A grade counts as reached at this probability unless the training rows choose another: less than half, as some toxic documents hold few telling words.
 CUT = 0.25
+#: Cuts that the training rows choose among, how many missed toxic shares a flagged clean share weighs as much as, and the most clean ones that may be flagged.
+CUTS, CLEAN_COST, CLEAN_SHARE = np.round(np.arange(0.05, 0.51, 0.01), 2), 2.0, 0.02
+#: With fewer training rows of either class the cut stays at CUT.
+LEAST_ROWS = 50
 #: Least distance of neighbouring thresholds.
 GAP = 1e-4
 
@@ -48,10 +52,11 @@ def features_of(text: bytes | None) -> np.ndarray:
 
 @dataclass
 class Model:
-    """One weight for each slot, and the ordered thresholds."""
+    """One weight for each slot, the ordered thresholds, and the probability at which a grade counts as reached."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    cut: float = CUT
 
     def above(self, score: float) -> np.ndarray:
         """P(grade >= k) for k from 1."""
@@ -116,8 +121,32 @@ def fit_rows(rows: list[tuple[np.ndarray, int]]) -> Model:
     return Model(weights, theta)
 
 
+def chosen_cut(rows: list[tuple[np.ndarray, int]]) -> float:
+    """The cut that tells toxic from clean best on training rows that the model which scores them has not seen.
+
+    Every second row of each class is scored by a model of the others. Of the cuts that flag at most CLEAN_SHARE of the
+    clean rows, the best has the greatest share of toxic rows flagged less CLEAN_COST times that of clean rows; of equal
+    ones it is the highest. If every cut flags more, it is the highest of all.
+    """
+    toxic = np.array([t for _, t in rows], dtype=bool)
+    if min(toxic.sum(), (~toxic).sum()) < LEAST_ROWS:
+        return CUT
+    fold = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) % 2
+    p = np.zeros(len(rows))
+    for k in (0, 1):
+        model = fit_rows([r for r, f in zip(rows, fold) if f != k])
+        for i in np.flatnonzero(fold == k):
+            p[i] = model.above(model.weights[rows[i][0]].sum())[0]
+    shares = [((p[toxic] >= c).mean(), (p[~toxic] >= c).mean(), float(c)) for c in CUTS]
+    return max(((hit - CLEAN_COST * clean, c) for hit, clean, c in shares if clean <= CLEAN_SHARE), default=(0.0, float(CUTS[-1])))[1]
+
+
 def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
-    """A model of at most ``bound`` labelled documents of each class."""
+    """A model of at most ``bound`` labelled documents of each class, with the cut that they choose.
+
+    A document that the labels list twice counts once, one that they give both labels once in each class; a null label does not count.
+    Of a doc_id with several texts the least one counts, so that no repeated id makes more rows than the bound.
+    """
     bounded_batches(documents.sparkSession)
     rows: list[tuple[np.ndarray, int]] = []
     for toxic in (0, 1):
@@ -128,32 +157,35 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Mo
                 found = [features_of(t).astype(np.int32) for t in b.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "slots"])
 
-        own = texts_of(documents, sample).select("doc_id", "text").mapInArrow(each, "doc_id bigint, slots array<int>").toArrow()
+        texts = texts_of(documents, sample).groupBy("doc_id").agg(F.min("text").alias("text"))
+        own = texts.mapInArrow(each, "doc_id bigint, slots array<int>").toArrow()
         order = np.argsort(own.column(0).to_numpy(), kind="stable")
         slots = own.column(1).combine_chunks()
         rows += [(slots[int(i)].values.to_numpy().astype(np.int64), toxic) for i in order]
-    return fit_rows(rows)
+    model = fit_rows(rows)
+    model.cut = chosen_cut(rows)
+    return model
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic) for every row's whole text.
 
     severity is the expected grade, grade the number of thresholds that are
-    passed with a probability of CUT or more, toxic whether the first is. A null or empty text has no feature and is
+    passed with a probability of the model's cut or more, toxic whether the first is. A null or empty text has no feature and is
     scored like one without a telling word.
     """
     bounded_batches(documents.sparkSession)
     at = np.flatnonzero(model.weights)
-    sparse, thresholds = (at, model.weights[at]), model.thresholds
+    sparse, thresholds, cut = (at, model.weights[at]), model.thresholds, model.cut
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(SLOTS)
         full[sparse[0]] = sparse[1]
-        own = Model(full, thresholds)
+        own = Model(full, thresholds, cut)
         for b in batches:
             p = np.array([own.above(full[features_of(t)].sum()) for t in b.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, GRADES)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= CUT).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= CUT)],
+                [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= cut).sum(axis=1).astype(np.int32)), pa.array(p[:, 0] >= cut)],
                 names=["doc_id", "severity", "p_toxic", "grade", "toxic"],
             )
 

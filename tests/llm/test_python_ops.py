@@ -98,6 +98,45 @@ def test_held_out_toxicity(spark):
     assert np.all(np.diff(model.thresholds) >= 0)
 
 
+@pytest.mark.parametrize("third", [0, 1, 2])
+def test_toxicity_of_each_third_held_out(spark, third):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(documents, labels.where(f"doc_id % 3 <> {third}"))
+    test = documents.join(F.broadcast(labels.where(f"doc_id % 3 = {third}").withColumnRenamed("toxic", "label")), "doc_id")
+    n = {(r["label"], r["toxic"]): r["count"] for r in toxicity.scored(test, model).join(test.select("doc_id", "label"), "doc_id").groupBy("label", "toxic").count().collect()}
+    assert n[1, True] >= 0.9 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.02 * n[0, False]
+    assert model.cut in toxicity.CUTS
+
+
+def test_cut_is_chosen_on_training_rows(spark):
+    rng = random.Random(8)
+    clean = [" ".join(f"c{rng.randrange(200)}" for _ in range(30)) for _ in range(240)]
+    rows = [(toxicity.features_of(t.encode()), 0) for t in clean[:160]]
+    rows += [(toxicity.features_of(f"{t} {rng.choice(['vile', 'nasty'])}".encode()), 1) for t in clean[160:]]
+    cut, model = toxicity.chosen_cut(rows), toxicity.fit_rows(rows)
+    p = lambda x: model.above(model.weights[x].sum())[0]
+    assert cut in toxicity.CUTS and all((p(x) >= cut) == bool(t) for x, t in rows)
+    assert toxicity.chosen_cut(rows[:40] + rows[-40:]) == toxicity.CUT == toxicity.chosen_cut(rows[:160])
+    # Words that tell nothing: no cut flags few clean rows, or one that flags none is taken.
+    mixed = [(x, k % 2) for k, (x, _) in enumerate(rows[:160])]
+    assert toxicity.chosen_cut(mixed) in toxicity.CUTS
+
+
+def test_toxicity_labels_and_documents_listed_twice(spark):
+    texts = [f"w{k % 7} fine {'vile' if k % 3 == 0 else 'good'}" for k in range(60)]
+    documents = docs(spark, *texts).withColumnRenamed("score", "toxic")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    once = toxicity.fit(documents, labels)
+    twice = toxicity.fit(documents.union(documents), labels.union(labels).union(spark.createDataFrame([(5, 1, None), (None, 1, 1), (999, 1, 1)], labels.schema)))
+    assert np.array_equal(once.weights, twice.weights) and np.array_equal(once.thresholds, twice.thresholds) and once.cut == twice.cut
+    more = documents.union(spark.createDataFrame([(0, "zz other", "x")] * 50, documents.schema))
+    assert np.array_equal(toxicity.fit(more, labels).weights, once.weights)
+    # Each row is scored, repeated ones alike, and a column named as the label does not clash.
+    got = toxicity.scored(documents.union(documents), once)
+    assert got.count() == 120 and got.distinct().count() == 60
+
+
 def test_toxicity_gradient_equals_differences():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 4, 40)
