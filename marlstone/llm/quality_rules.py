@@ -188,10 +188,14 @@ def _prune(rule: Rule, rows: list[tuple[dict[str, float], bool]]) -> Rule:
 
 
 def fit(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules learned from at most ``bound`` labelled documents (quality 0 is bad)."""
+    """Rules learned from at most ``bound`` labelled documents (quality 0 is bad).
+
+    Of a doc_id with several texts the least statistics count, so the rules do not depend on the order of rows and no repeated id passes the bound.
+    """
     sample = labelled_sample(documents.sparkSession, labels, F.col("quality").isNotNull(), bound, ["quality"])
     found = with_statistics(texts_of(documents, sample).select("doc_id", "text", "quality"))
-    rows = found.select("doc_id", "quality", *[c.alias(n) for n, c in feature_columns().items()]).collect()
+    features = F.struct(*[c.alias(n) for n, c in feature_columns().items()])
+    rows = found.select("doc_id", "quality", features.alias("f")).groupBy("doc_id", "quality").agg(F.min("f").alias("f")).select("doc_id", "quality", "f.*").collect()
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), r["doc_id"]))
     return learn_rules([({f: r[f] for f in FEATURES}, r["quality"] == 0) for r in rows])
 
