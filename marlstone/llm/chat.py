@@ -60,20 +60,29 @@ BY_FINGERPRINT = {fingerprint(list(x.paths)): x for x in LAYOUTS}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+def rivals(layout: Layout) -> list[Layout]:
+    """The layouts that say something which ``layout`` leaves out: where one of them fits too, it is not the layout."""
+    return [x for x in LAYOUTS if not set(x.paths) <= set(layout.paths)]
+
+
 def select_layout(schema: T.StructType, key: str | None) -> Layout:
     """The mapping whose fingerprint the schema has, the key column and unrelated ones left out.
 
-    Extra columns do not matter: if the whole schema is not known, the layout
-    with most paths among those that the schema contains is taken. An unknown
-    layout raises ValueError.
+    Extra columns do not matter: a layout fits if its fingerprint is that of
+    the paths which the schema shares with it, and of layouts that fit the one that holds all others is taken. An unknown
+    layout raises ValueError, and so do two that fit with neither holding the other (a prompt with a response and
+    a completion, say), as either would drop texts of the other.
     """
     paths = [p for p in field_paths(schema) if p != (key or "").lower() or "turn" in field_paths(schema)]
     if found := BY_FINGERPRINT.get(fingerprint(paths)):
         return found
-    inside = [x for x in LAYOUTS if set(x.paths) <= set(field_paths(schema))]
-    if not inside:
+    fitting = [x for x in LAYOUTS if fingerprint(list(set(x.paths) & set(field_paths(schema)))) == fingerprint(list(x.paths))]
+    if not fitting:
         raise ValueError(f"no layout has the fields {paths}")
-    return max(inside, key=lambda x: len(x.paths))
+    whole = [x for x in fitting if not any(y in fitting for y in rivals(x))]
+    if not whole:
+        raise ValueError(f"the fields {paths} fit several layouts: {', '.join(x.name for x in fitting)}")
+    return whole[0]
 
 
 def canonical(df: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -125,14 +134,23 @@ def from_json_rows(df: DataFrame, column: str, key: str) -> DataFrame:
     """(key, turns) from JSON texts of mixed layouts: a hash of each row's own field paths selects its mapping.
 
     Paths that no layout has are left out before the hash, so further keys do not matter; of several layouts that a row's paths
-    contain, the one with most paths is taken. A text that is no JSON object, or whose paths, inner ones too, make no layout,
-    gives null turns. Elements that are no objects give no turn; a field that is null or missing in some elements is empty.
+    contain, the one that holds all others is taken. A text that is no JSON object, or whose paths, inner ones too, make no layout
+    or two of which neither holds the other, gives null turns. Elements that are no objects give no turn; a field that is null or missing in some elements is empty.
+    A text that is itself an array or object (a message's content in parts, say) is kept as its JSON text.
     """
     own = df.select(key, F.col(column).alias("_raw"), json_paths(column).alias("_paths"))
-    out = None
-    for x in sorted((x for x in LAYOUTS if not x.rows), key=lambda x: -len(x.paths)):
+    nested = [x for x in LAYOUTS if not x.rows]
+
+    def fits(x: Layout) -> Column:
         held = F.array_intersect("_paths", F.array(*[F.lit(p) for p in sorted(x.paths)]))
-        test = F.substring(F.sha2(F.array_join(F.array_sort(held), "\n"), 256), 1, 16) == fingerprint(list(x.paths))
+        return F.substring(F.sha2(F.array_join(F.array_sort(held), "\n"), 256), 1, 16) == fingerprint(list(x.paths))
+
+    own = own.withColumn("_fits", F.struct(*[fits(x).alias(x.name) for x in nested]))
+    out = None
+    for x in nested:
+        test = F.col("_fits")[x.name]
+        for y in rivals(x):
+            test = test if y.rows else test & ~F.col("_fits")[y.name]
         if x.items:
             name, role, text = x.items
             elements = F.filter(F.from_json("_raw", f"`{name}` array<string>")[name], lambda e: F.json_object_keys(e).isNotNull())

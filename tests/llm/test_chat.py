@@ -81,6 +81,31 @@ def test_json_rows_with_further_keys_and_foreign_fields(spark):
     assert got == {0: [("user", "p"), ("assistant", "r")], 1: [("user", "u"), ("", "alone")], 2: None, 3: [("user", "q"), ("assistant", "a")], 4: [("user", "i"), ("user", "x"), ("assistant", "o")], 5: None, 6: None, 7: None, 8: [("user", "u")], 9: None, 10: [("user", "p"), ("assistant", "r")]}
 
 
+def test_layouts_that_neither_holds_the_other_are_refused(spark):
+    rows = [
+        {"prompt": "p", "response": "r", "completion": "c"},
+        {"messages": [{"role": "user", "content": "u"}], "prompt": "p", "response": "r"},
+        {"messages": [{"role": "user", "content": "u"}], "conversations": [{"from": "human", "value": "q"}]},
+        {"system": "s", "prompt": "p", "response": "r"},
+        {"system": "s", "prompt": "p", "completion": "c"},
+        {"instruction": "i", "input": "x", "output": "o", "prompt": "p"},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "u"}]}]},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(rows)], "conv_id bigint, raw string")
+    got = {r["conv_id"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.from_json_rows(df, "raw", "conv_id").collect()}
+    assert got[0] is None and got[1] is None and got[2] is None
+    assert got[3] == [("system", "s"), ("user", "p"), ("assistant", "r")] and got[4] == [("user", "p"), ("assistant", "c")]
+    assert got[5] == [("user", "i"), ("user", "x"), ("assistant", "o")] and got[6] == [("user", '[{"type":"text","text":"u"}]')]
+    for k in (0, 1, 2):
+        table = spark.read.json(spark.sparkContext.parallelize([json.dumps(rows[k] | {"conv_id": 1})]))
+        with pytest.raises(ValueError, match="several layouts"):
+            chat.canonical(table)
+    table = spark.createDataFrame([(1, "s", "p", "r", 3)], "conv_id bigint, system string, prompt string, response string, n int")
+    assert [tuple(t) for t in chat.canonical(table).first()["turns"]] == [("system", "s"), ("user", "p"), ("assistant", "r")]
+    with pytest.raises(ValueError, match="no layout"):
+        chat.canonical(spark.createDataFrame([(1, [{"a": 1}])], "conv_id bigint, messages array<map<string,int>>"))
+
+
 def test_loss_is_read_under_the_mask(spark):
     rows = [(0, 0, "user", "question <|x|>"), (0, 1, "assistant", "first\\answer"), (0, 2, "user", ""), (0, 3, "assistant", "second"), (0, 4, "assistant", "")]
     made = chat.format_turns(chat.canonical(spark.createDataFrame(rows, TURNS)))
