@@ -197,10 +197,15 @@ def failure_guard(attempts: DataFrame, key: str, order: list[str], consecutive:
 def budget_guard(requests: DataFrame, key: str, order: list[str], budget: float, margin: float = 0.98, per: int = SEGMENT_ROWS) -> DataFrame:
     """``requests`` with ``allowed``: until the first whose estimate would take what was billed before over budget x margin; none after it.
 
-    A key's requests are scanned in segments of the order, as in ``failure_guard``: what was billed before a
-    segment, and whether the budget was passed before it, come from a row for each key and segment.
+    A key of over ``per`` requests is scanned in segments of the order, as in ``failure_guard``: what was billed before a
+    segment, and whether the budget was passed before it, come from a row for each key and segment. Any other key is summed row by row,
+    as sums of doubles taken in another order can fall on the other side of the limit.
     """
-    cut, segments = segmented(requests, order[0], per)
+    hot = requests.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_many")).where(F.col("_many") > per)
+    cut, segments = segmented(requests, order[0], per) if hot.head(1) else (requests.withColumn("_seg", F.lit(0)), 1)
+    if segments > 1:
+        # Each of these has more than ``per`` rows, so they are few.
+        cut = cut.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_seg", F.when(F.col("_many").isNotNull(), F.col("_seg")).otherwise(0)).drop("_hot", "_many")
     own = Window.partitionBy(key, "_seg").orderBy(*order)
     billed = F.coalesce("billed", F.lit(0.0))
     cut = cut.withColumn("_before", F.coalesce(F.sum(billed).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))

@@ -55,6 +55,21 @@ def test_budget_guard_in_segments(spark, per):
     assert {r["at"]: r["allowed"] for r in made.collect()} == want
 
 
+def test_budgets_met_to_the_cent_do_not_depend_on_segments(spark):
+    rng = random.Random(3)
+    rows = [(key, i, rng.choice([0.1, 0.2, 0.3, 0.7])) for i in range(12) for key in range(200)]
+    want, spent, gone = {}, {}, set()
+    for key, at, billed in rows:
+        if spent.get(key, 0.0) + 0.1 > 1.5:
+            gone.add(key)
+        want[key, at] = key not in gone
+        spent[key] = spent.get(key, 0.0) + billed
+    df = spark.createDataFrame([*rows, *[(-1, i % 12, 0.0) for i in range(600)]], "model bigint, at bigint, billed double").withColumn("estimate", F.lit(0.1))
+    for per in (500, 10_000):
+        got = money.budget_guard(df, "model", ["at"], 1.5, 1.0, per).where("model >= 0").collect()
+        assert {(r["model"], r["at"]): r["allowed"] for r in got} == want
+
+
 def test_segments_hold_like_numbers_of_rows_and_a_hot_key_is_many_tasks(spark):
     df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("model"), (F.col("id") * F.col("id")).alias("at"))
     cut, n = money.segmented(df, "at", 2_000)
