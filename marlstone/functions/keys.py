@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import normalize_text
+from .text import normal_hash
 
 # The facts of each key.
 KEY_SCHEMA = "key-1"
@@ -58,7 +58,7 @@ def hash_of(value: Any) -> str:
 
 def text_hash(text: Column) -> Column:
     """sha256 of the normalized text."""
-    return F.sha2(normalize_text(text), 256)
+    return normal_hash(text)
 
 
 def short(h: Column, n: int = 12) -> Column:
@@ -75,6 +75,22 @@ def _row_value(v: Any) -> Any:
     return [_row_value(x) for x in v] if isinstance(v, list) else v
 
 
+def _written(fact: str, value: Any, written: dict[tuple[type, Any], str], is_json: bool) -> str:
+    """A fact as it stands in canonical JSON; ``written`` has what was written before."""
+    simple = value is None or isinstance(value, str | int | float)
+    out = written.get((type(value), value)) if simple else None
+    if out is None:
+        held = _row_value(value)
+        if is_json and isinstance(held, str):
+            held = json.loads(held)
+        if fact == "extra" and held is None:
+            held = {}
+        out = f"{json.dumps(fact, ensure_ascii=False)}:{canonical_json(held)}"
+        if simple:
+            written[type(value), value] = out
+    return out
+
+
 def with_key(df: DataFrame, facts: list[str], name: str, json_columns: tuple[str, ...] = ("reasoning", "extra")) -> DataFrame:
     """``df`` with ``name``: sha256 of the canonical JSON of the named columns, absent ones null.
 
@@ -85,16 +101,12 @@ def with_key(df: DataFrame, facts: list[str], name: str, json_columns: tuple[str
 
     @F.pandas_udf(T.StringType())
     def key(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for row in rows.to_dict("records"):
-            held = {f: _row_value(row.get(f)) for f in facts}
-            for c in json_columns:
-                if c in held and isinstance(held[c], str):
-                    held[c] = json.loads(held[c])
-            if "extra" in facts and held["extra"] is None:
-                held["extra"] = {}
-            out.append(hash_of(held))
-        return pd.Series(out, dtype=str)
+        # The canonical JSON of a row is that of its facts, in order; a fact's value is written once for all rows of a batch that have it.
+        columns = []
+        for f in sorted(set(facts)):
+            written: dict[tuple[type, Any], str] = {}
+            columns.append([_written(f, v, written, f in json_columns) for v in rows[f].tolist()] if f in have else [_written(f, None, written, False)] * len(rows))
+        return pd.Series([hashlib.sha256(f"{{{','.join(row)}}}".encode()).hexdigest() for row in zip(*columns)], dtype=str)
 
     # A null turns its column's integers into floats on the way; canonical JSON writes both alike.
     return df.withColumn(name, key(F.struct(*[F.col(c) for c in have])))

@@ -161,15 +161,24 @@ def hallucination(records: DataFrame, model: Model, settings: Settings) -> DataF
     return make(rows, model, settings, "hallucination", shape)
 
 
-def classification(records: DataFrame, label_space: list[str], model: Model, settings: Settings) -> DataFrame:
-    """Tasks in the shape of the model's mode: batches of utterances of a language in manifest order, answered by numbers (text) or in JSON, or one utterance each."""
-    return (_single if output_mode(model) in SINGLE_MODES else _batched)(records, label_space, model, settings)
+def classification(records: DataFrame, label_space: list[str], model: Model, settings: Settings, batched_: DataFrame | None = None) -> DataFrame:
+    """Tasks in the shape of the model's mode: batches of utterances of a language in manifest order, answered by numbers (text) or in JSON, or one utterance each.
+
+    ``batched_`` may hold what ``batched`` makes of the records, so that plans for several modes batch them once.
+    """
+    if output_mode(model) in SINGLE_MODES:
+        return _single(records, label_space, model, settings)
+    return _batched(batched(records, settings) if batched_ is None else batched_, label_space, model, settings)
 
 
-def _batched(records: DataFrame, label_space: list[str], model: Model, settings: Settings) -> DataFrame:
+def batched(records: DataFrame, settings: Settings) -> DataFrame:
+    """A row for each batch, its utterances in ``i``."""
     items = records.select("ordinal", *_BASE, "sample_id", "source_hash", F.get_json_object("payload", "$.text").alias("text"))
     made = batches(items, settings.batch_size, _BASE, "ordinal").select(*_BASE, "batch", F.posexplode("items").alias("place", "ordinal"))
-    held = made.join(items.select("ordinal", "sample_id", "source_hash", "text"), "ordinal").groupBy(*_BASE, "batch").agg(F.sort_array(F.collect_list(F.struct("place", "sample_id", "source_hash", "text"))).alias("i"))
+    return made.join(items.select("ordinal", "sample_id", "source_hash", "text"), "ordinal").groupBy(*_BASE, "batch").agg(F.sort_array(F.collect_list(F.struct("place", "sample_id", "source_hash", "text"))).alias("i"))
+
+
+def _batched(held: DataFrame, label_space: list[str], model: Model, settings: Settings) -> DataFrame:
     structured = output_mode(model) == "json_schema"
     own = F.array(*[F.lit(x) for x in label_space])
     values = {"labels": _listed(label_space) if structured else numbered(own), "items": numbered(F.col("i.text")), "count": F.size("i").cast("string")}

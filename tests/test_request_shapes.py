@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import keys
 from marlstone.operators import responses, scores
 from marlstone.operators.store import Store
 from marlstone.plans import config, pipeline, tasks
@@ -134,3 +135,21 @@ def test_batch_numbers_of_five_digits(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == 10_001
     made = tasks.classification(queries._plan(spark, str(tmp_path))[0], ["0", "1", "2"], MODELS["text"], config.Settings())
     assert made.select("task_id").distinct().count() == 10_001
+
+
+def test_plans_read_their_requests_once(spark, records):
+    """A plan's batches may be made beforehand; its tasks and keys are the same."""
+    held = tasks.batched(records, config.Settings(batch_size=3)).cache()
+    for mode in ("text", "json_schema"):
+        plain, given = (tasks.classification(records, LABELS, MODELS[mode], config.Settings(batch_size=3), x).select("task_id", "cache_key", "user_prompt").collect() for x in (None, held))
+        assert sorted(plain) == sorted(given) and len(plain) == 6
+
+
+def test_keys_of_odd_values(spark):
+    rows = [("a", 1.0, True, 3, None, '{"b": [1.0, 2.5], "a": null}'), ("é\u2028\"", float("nan"), None, None, "{}", None), ("", -0.0, False, 1, '"x"', '{"b":[1,2.5],"a":null}'), ("a", 0.30000000000000004, True, 0, "1", None), ("True", 1e300, True, 2**53, "null", "{}"), ("1", 2.0, False, 1, None, None)]
+    df = spark.createDataFrame(rows, "sample_id string, temperature double, tools_enabled boolean, seed bigint, reasoning string, extra string")
+    got = {r["sample_id"] + str(r["temperature"]): r["cache_key"] for r in keys.inference_key(df).collect()}
+    for sample, temperature, tools, seed, reasoning, extra in rows:
+        held = dict.fromkeys(keys.INFERENCE_FACTS) | {"key_schema_version": keys.KEY_SCHEMA, "sample_id": sample, "temperature": None if temperature != temperature else temperature, "tools_enabled": tools, "seed": seed}
+        held |= {"reasoning": reasoning and json.loads(reasoning), "extra": json.loads(extra) if extra else {}}
+        assert got[sample + str(temperature)] == keys.hash_of(held), sample
