@@ -37,6 +37,11 @@ UNITS = ["%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "s", "ms", "min
 BETWEEN = r"[^\p{L}\p{N}\x01-\x04.,:/]+|[.,:/](?:(?![0-9])|(?<=[^0-9][.,:/]))"
 
 
+#: Number words by their first letters, which most other words have not, and where a number in digits or words begins, in one pass.
+_WORDS = "|".join(f"{c}(?:{'|'.join(w[1:] for w in NUMBER_WORDS if w[0] == c)})" for c in sorted({w[0] for w in NUMBER_WORDS}))
+_NUMBER_STARTS = rf"(?=[0-9])(?:(?<![\p{{L}}\p{{N}}.,:/])|(?<=[^0-9][.,:/]))|(?<![\p{{L}}\p{{N}}\x01\x04])(?=(?:{_WORDS})(?![\p{{L}}\p{{N}}]))"
+
+
 def marked(text: Column) -> Column:
     """The lower-cased text with a mark before each name, number and unit; a name or number of several words is one.
 
@@ -44,13 +49,14 @@ def marked(text: Column) -> Column:
     too; capitalised words in a row, particles between them included, are one.
     Numbers are written in digits, their groups set apart by spaces or not, or in words.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04]", " ")
+    t = F.coalesce(text, F.lit(""))
+    held = t.contains(NAME) | t.contains(NUMBER) | t.contains(UNIT) | t.contains(JOIN)
+    t = F.when(held, F.regexp_replace(t, r"[\x01-\x04]", " ")).otherwise(t)
     t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])", NAME)
     t = F.regexp_replace(t, rf"(\x01\p{{L}}++) ({'|'.join(PARTICLES)}) \x01", f"$1{JOIN}$2 {NAME}")
     t = F.regexp_replace(t, r"((?:\x01|\G(?!^))[\p{L}\x04]++) \x01", f"$1{JOIN}")
-    t = F.regexp_replace(F.lower(t), r"(?=[0-9])(?:(?<![\p{L}\p{N}.,:/])|(?<=[^0-9][.,:/]))", NUMBER)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}\x01\x04])(?=[efhmnst])(?=(?:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{N}}]))", NUMBER)
-    t = F.regexp_replace(t, r"(\x02[0-9]{1,3}|\G(?!^)[0-9]{3}|(?:\x02|\G(?!^))[a-z]++) \x02(?=[0-9]{3}(?![0-9\p{L}])|[a-z])", f"$1{JOIN}")
+    t = F.regexp_replace(F.lower(t), _NUMBER_STARTS, NUMBER)
+    t = F.regexp_replace(t, r"(?:(?=\x02)|\G(?!^))(\x02[0-9]{1,3}|\G(?!^)[0-9]{3}|(?:\x02|\G(?!^))[a-z]++) \x02(?=[0-9]{3}(?![0-9\p{L}])|[a-z])", f"$1{JOIN}")
     return F.regexp_replace(t, rf"(\x02(?:[0-9\x04][0-9.,:/\x04]*|[a-z\x04]++)) ?({'|'.join(UNITS)})(?=\s|$)", f"$1 {UNIT}$2")
 
 
