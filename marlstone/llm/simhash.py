@@ -1,7 +1,8 @@
 """Near-duplicates.
 
 op3_simhash_dedup: SimHash fingerprints, pigeonhole blocks, then a check of the Hamming distance.
-The pipeline's stage: sets of five-word shingles, pairs that share a rare one, then a check of the exact similarity.
+The pipeline's stage: fingerprints of five words, the same blocks and distance check, then a check of the exact similarity;
+pairs as similar whose fingerprints lie further apart are met through rare shingles, so none is lost.
 """
 
 from __future__ import annotations
@@ -178,13 +179,13 @@ def fingerprint_groups(documents: DataFrame, shingle: int = 3, distance: int = 2
     """
     scratch = Scratch(documents.sparkSession)
     own = scratch.put(fingerprints(documents, shingle))
-    return _grouped(own, lambda classes: links(classes, scratch, distance), scratch).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    classes = scratch.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _grouped(own, classes, links(classes.select("fp"), scratch, distance), scratch).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
 
 
-def _grouped(own: DataFrame, links_of: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """``own`` (doc_id, fp, _k1, _k2) with component and component_id, from the edges that ``links_of`` finds among distinct fp."""
-    classes = scratch.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(links_of(classes.select("fp")), scratch)
+def _grouped(own: DataFrame, classes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``own`` (doc_id, fp, _k1, _k2) with component and component_id, from the edges among distinct fp; ``classes`` has each fp once, with its least doc_id."""
+    linked = components(edges, scratch)
     named = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     # Written out, so that a component's members are met through a shuffle whose large partitions can be split.
     first = scratch.put(named.groupBy("component").agg(F.min("least").alias("component_id")))
@@ -202,6 +203,8 @@ BROADCAST_ROWS = 500_000
 WORDS = 5
 #: Two texts are near-duplicates if their sets of shingles have this similarity (Jaccard), as a fraction.
 SIMILAR = (4, 5)
+#: Fingerprints of WORDS words that differ in so many bits or fewer make a pair to check.
+NEAR_BITS = 3
 #: Shingles are ordered by how often their cell of 2**CELL_BITS occurs, then by hash; any order would do, this one leaves the common ones aside.
 CELL_BITS = 20
 #: Shingles of a cell with so many are dealt out by text as well, as one of them may be in a large part of all texts.
@@ -332,12 +335,26 @@ def _members(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     return blobs.met(documents.select("text").mapInArrow(firsts, blobs.SHAPE), parts).mapInArrow(shared, "key bigint, fp bigint, size bigint, place bigint")
 
 
+def near_fingerprints(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of sets, by their hash, that a walk over all fingerprints within NEAR_BITS takes; of sets with one fingerprint, the least with each other.
+
+    ``classes`` has (fp, sim) for each set: its hash and the fingerprint of one of its texts.
+    """
+    heads = scratch.put(classes.groupBy("sim").agg(F.min("fp").alias("head")))
+    found = links(heads.select(F.col("sim").alias("fp")), scratch, NEAR_BITS)
+    at = lambda end: heads.select(F.col("sim").alias(end), F.col("head").alias(f"head_{end}"))
+    apart = found.join(at("a"), "a").join(at("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return apart.union(classes.join(heads, "sim").where("fp <> head").select("head", "fp"))
+
+
 def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b): edges between sets of shingles, by their hash, that connect just what links at SIMILAR or more.
 
-    ``classes`` has (fp, _k1, _k2) for each set: its hash and one of its texts. Sets that similar share one of the first shingles of each in any order of
+    ``classes`` has (fp, sim, _k1, _k2) for each set: its hash, and the fingerprint and key of one of its texts. Pairs
+    of near fingerprints are checked for their exact similarity. No number of bits is sure to hold all pairs, so the others are met
+    through shingles: sets that similar share one of the first shingles of each in any order of
     all shingles, if the first are those beyond the least overlap, and one;
-    so the members of a shared first shingle's group hold every pair. First the least
+    so the members of a shared first shingle's group hold every pair. The least
     member of each group is compared with the others, which joins large
     groups of near copies; then every two that are not yet joined.
     """
@@ -352,8 +369,11 @@ def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
         return scratch.put(_over_texts(texts, lambda sets, b: [_signed([_class(s) for s in sets]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], "fp bigint, shingles array<bigint>"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.put(pairs.distinct())
-        sent = F.broadcast if pairs.count() <= BROADCAST_ROWS else (lambda df: df)
+        pairs = scratch.put(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        n = pairs.count()
+        if not n:
+            return pairs
+        sent = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
         sets = sets_for(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
         others = sets.join(sent(pairs.select(F.col("a").alias("fp")).distinct()), "fp", "left_semi").select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
         both = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")).join(sent(pairs), "b").join(others, "a")
@@ -367,8 +387,8 @@ def similar(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataF
     overlap = F.least(F.col("size") - F.col("place"), F.col("size_x") - F.col("place_x"))
     fits = (of * F.least("size", "size_x") >= few * F.greatest("size", "size_x")) & ((few + of) * overlap >= few * (F.col("size") + F.col("size_x")))
     first = members.join(least, "key").where((F.col("fp") != F.col("fp_x")) & fits).select(F.col("fp_x").alias("a"), F.col("fp").alias("b"))
-    edges = checked(first)
-    linked = components(edges, scratch)
+    linked = components(checked(near_fingerprints(classes, scratch).union(first)), scratch)
+    edges = linked.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     rest = members.join(linked, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
     rest = scratch.put(rest)
     apart = scratch.put(rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n"))
@@ -534,9 +554,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession)
     own = documents.select("text", F.col("doc_id").cast("bigint").alias("doc_id"), *text_key(F.col("text")))
-    own = scratch.put(_over_texts(own, lambda sets, b: [b.column(1), _signed([_class(s) for s in sets]), b.column(2), b.column(3)], "doc_id bigint, fp bigint, _k1 bigint, _k2 int"))
-    one = scratch.put(own.groupBy("fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("fp", "k.*"))
-    return _grouped(own, lambda _: similar(documents, one, scratch), scratch)
+
+    def made(sets: list[np.ndarray], b: pa.RecordBatch) -> list[pa.Array]:
+        prints = [fingerprint_of(t or b"", WORDS) for t in b.column(0).cast(pa.binary()).to_pylist()]
+        return [b.column(1), _signed([_class(s) for s in sets]), _signed(prints), b.column(2), b.column(3)]
+
+    own = scratch.put(_over_texts(own, made, "doc_id bigint, fp bigint, sim bigint, _k1 bigint, _k2 int"))
+    classes = scratch.put(own.groupBy("fp").agg(F.min(F.struct("_k1", "_k2", "sim")).alias("k"), F.min("doc_id").alias("least")).select("fp", "k.*", "least"))
+    return _grouped(own.drop("sim"), classes, similar(documents, classes.drop("least"), scratch), scratch)
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:

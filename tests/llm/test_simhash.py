@@ -106,6 +106,30 @@ def test_components_of_a_path(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
 
 
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] + [" ".join(f"x{k}" if i == 13 * k else w for i, w in enumerate(base)) for k in range(1, 25)] + [" ".join(f"o{k}-{i}" for i in range(50)) for k in range(20)]
+    prints = [simhash.fingerprint_of(t.encode(), simhash.WORDS) for t in texts]
+    want = brute_components(list(range(len(texts))), prints, simhash.NEAR_BITS)
+    # All copies are similar to each other; most of them have near fingerprints.
+    assert len(set(want[:25])) < 15 and all(w == k for k, w in enumerate(want) if k > 24)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    least = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [least[k] for k in range(len(texts))] == [0] * 25 + list(range(25, 45))
+    # By fingerprints alone.
+    none = spark.createDataFrame([], "key bigint, fp bigint, size bigint, place bigint")
+    monkeypatch.setattr(simhash, "_members", lambda documents, counts: none)
+    least = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert [least[k] for k in range(len(texts))] == want
+
+
+def test_near_fingerprints_pair_sets_of_one_fingerprint(spark):
+    rows = [(1, 8), (2, 8), (3, 8), (4, 8 ^ 7), (5, 8 ^ 15 << 20), (6, 1 << 40 | 3 << 50 | 7 << 8)]
+    got = simhash.near_fingerprints(spark.createDataFrame(rows, "fp bigint, sim bigint"), Scratch(spark)).collect()
+    assert {(min(r), max(r)) for r in got} == {(1, 2), (1, 3), (1, 4)}
+
+
 def test_one_of_each_group(spark):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(3, long, "x"), (1, long.upper(), "y"), (2, "other " + " ".join(f"v{i}" for i in range(60)), "z"), (2, "other " + " ".join(f"v{i}" for i in range(60)), "z"), (9, None, "n"), (8, "", "n"), (None, "solo text here now", "q")]
