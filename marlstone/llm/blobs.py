@@ -21,8 +21,8 @@ SHAPE = "part int, kind int, blob binary"
 #: Rows of numbers that a partition should hold, so that it fits in a worker's memory whatever the corpus' size.
 PART_ROWS = 4_000_000
 
-_squeeze = zstandard.ZstdCompressor(level=1).compress
-_open = zstandard.ZstdDecompressor().decompress
+squeezed = zstandard.ZstdCompressor(level=1).compress
+opened = zstandard.ZstdDecompressor().decompress
 
 
 def parts_for(spark: SparkSession, rows: int = 0) -> int:
@@ -44,11 +44,11 @@ def pack(*columns: np.ndarray) -> bytes:
     for k, c in enumerate((first, *columns[1:])):
         made.append(columns[k].dtype.str.encode().ljust(4))
         made.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T).tobytes())
-    return _squeeze(b"".join(made))
+    return squeezed(b"".join(made))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    data = _open(blob)
+    data = opened(blob)
     n, columns = struct.unpack_from("<QB", data)
     at, out = 9, []
     for k in range(columns):

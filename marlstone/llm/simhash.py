@@ -258,8 +258,8 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _counted(documents: DataFrame) -> np.ndarray:
-    """How many texts' shingles fall in each cell; the array's size is fixed."""
+def _ranges(documents: DataFrame) -> DataFrame:
+    """(cell, n): a row for each partition, its first cell and how many texts' shingles fall in that and each that follows, compressed."""
     bounded_batches(documents.sparkSession)
     parts = blobs.parts_for(documents.sparkSession)
 
@@ -274,15 +274,22 @@ def _counted(documents: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = blobs.gathered(batches)
         if found:
-            n = np.zeros(1 << CELL_BITS, np.int64)
-            np.add.at(n, _cells(found[0][0]), found[0][1])
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["cell", "n"])
+            cells, counts = _cells(found[0][0]), found[0][1]
+            n = np.zeros(cells.max() - cells.min() + 1, np.int64)
+            np.add.at(n, cells - cells.min(), counts)
+            n = np.minimum(n, (1 << 32) - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([cells.min()]), pa.array([blobs.squeezed(n.tobytes())], pa.binary())], names=["cell", "n"])
+
+    return blobs.met(documents.select("text").mapInArrow(count, blobs.SHAPE), parts).mapInArrow(add, "cell bigint, n binary")
+
 
-    rows = blobs.met(documents.select("text").mapInArrow(count, blobs.SHAPE), parts).mapInArrow(add, "cell bigint, n bigint").toArrow()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+def _counted(documents: DataFrame) -> np.ndarray:
+    """How many texts' shingles fall in each cell. The array's size is fixed; a short row for each partition reaches the driver, not one for each cell."""
+    out = np.zeros(1 << CELL_BITS, np.uint32)
+    for at, n in _ranges(documents).collect():
+        n = np.frombuffer(blobs.opened(bytes(n)), np.uint32)
+        out[at : at + len(n)] += n
+    return out
 
 
 def _members(documents: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -293,9 +300,11 @@ def _members(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     few, of = SIMILAR
     bounded_batches(documents.sparkSession)
     parts, most, hot = blobs.parts_for(documents.sparkSession), HELD, HOT_CELL
+    held_counts = documents.sparkSession.sparkContext.broadcast(counts)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, seen = [], 0, set()
+        counts = held_counts.value
 
         def sent() -> Iterator[pa.RecordBatch]:
             key, fp, size, place = (np.concatenate(c) for c in zip(*held))
@@ -320,6 +329,7 @@ def _members(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         found = blobs.gathered(batches)
         if not found:
             return
+        counts = held_counts.value
         order = np.lexsort((found[0][1], found[0][0]))
         key, fp, size, place = (c[order] for c in found[0])
         new = np.concatenate(([True], key[1:] != key[:-1]))

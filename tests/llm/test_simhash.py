@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -143,6 +144,14 @@ def test_one_of_each_group(spark):
     assert got.columns == clash.columns and {(r["_k1"], r["_k2"], r["fp"]) for r in got.collect()} == {(4, "k", 2.5)} and got.count() == 4
 
 
+def test_cells_reach_the_driver_as_ranges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = simhash.sets_of(pa.chunked_array(docs.select("text").toArrow().column(0)).combine_chunks())
+    want = np.bincount(simhash._cells(np.concatenate(sets)), minlength=1 << simhash.CELL_BITS)
+    assert (simhash._counted(docs) == want).all()
+    assert 0 < simhash._ranges(docs).count() <= simhash.blobs.parts_for(spark) and simhash._counted(docs.limit(0)).sum() == 0
+
+
 def test_hot_shingles_are_dealt_by_text(spark, monkeypatch):
     rng = random.Random(8)
     base = [f"u{rng.randrange(10**6)}" for _ in range(200)]
