@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding by one forward pass over a trie of the distinct words.
 
-The distinct marked words of a batch are sorted, so that each shares its
-longest common prefix with the one before: the sorted list is a depth-first
-walk of their trie. A stack holds the forward state of every prefix on the
-path, and what a word shares with the last one is not computed again.
+The distinct marked words of a batch are cut where no piece holds both
+characters beside the cut ("word." before its full stop), and the parts that
+are new are sorted, so that each shares its longest common prefix with the one
+before: the sorted list is a depth-first walk of their trie. A stack holds the
+forward state of every prefix on the path, and what a part shares with the
+last one is not computed again.
 
 For a unigram model the state of a prefix is its best score and last piece
 (Viterbi). A BPE model's result is no best path over scores; there the state
 is the last piece of the prefix's own encoding, which is the one suffix piece
 that its merges leave beside the state before it, so that the result is the
-library's for either kind.
+library's for either kind. Whether merges leave two pieces beside each other
+is told from the merges that make each of them, in the order of their scores.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,12 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words kept between batches in a worker; when so many are held, the store is emptied.
 KEPT_WORDS = 800_000
+#: Different parts of words kept likewise.
+KEPT_PARTS = 400_000
+#: Slots by hash of the pairs of characters that pieces hold; pairs that share a slot only lessen cuts.
+SLOTS = 1 << 20
+#: The candidates for a last piece are kept by so many last characters.
+TAIL = 4
 #: A longer word of a BPE model is merged by itself, without a state for each of its prefixes.
 LONG_WORD = 512
 
@@ -93,74 +103,175 @@ class Encoder:
             raise ValueError("pieces cross words")
         self.m = model
         self.kept: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.parts: dict[str, bytes] = {}
+        #: For each piece, what is known of the pieces that it stands beside, and how much that is in all.
+        self.fits: dict[str, dict[str, bool]] = {p: {} for p in model.ids}
+        self.known = 0
+        self.made: dict[str, list[tuple[float, str, str]] | None] = {}
         held = {i: b for b, i in model.byte_ids.items()}
-        self.octets = [bytes([held[i]]) if i in held else p.encode() for i, p in enumerate(model.pieces)]
-        #: Lengths of the pieces that end with two characters.
-        self.ends: dict[str, tuple[int, ...]] = {}
+        octets = [bytes([held[i]]) if i in held else p.replace(MARK, " ").encode() for i, p in enumerate(model.pieces)]
+        #: The bytes of all pieces end to end, where each begins and how many it has.
+        self.octets = np.frombuffer(b"".join(octets), np.uint8)
+        self.sizes = np.array([len(o) for o in octets], dtype=np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+        #: Lengths of the pieces longer than a tail, by the tail that they end with, and of all pieces that may end with a tail.
+        self.longer: dict[str, tuple[int, ...]] = {}
         for p in model.ids:
-            if len(p) > 1 and len(p) not in self.ends.get(p[-2:], ()):
-                self.ends[p[-2:]] = (*self.ends.get(p[-2:], ()), len(p))
+            if len(p) > TAIL and len(p) not in self.longer.get(p[-TAIL:], ()):
+                self.longer[p[-TAIL:]] = (*self.longer.get(p[-TAIL:], ()), len(p))
+        self.tails: dict[str, tuple[int, ...]] = {}
+        # Unknown characters side by side have one id between them if there are no bytes for them: then nothing is cut.
+        self.joined = np.full(SLOTS, not model.byte_ids)
+        pairs = {p[k : k + 2] for p in model.ids for k in range(len(p) - 1)}
+        codes = _codes("".join(pairs)).reshape(-1, 2)
+        self.joined[_slots(codes[:, 0], codes[:, 1])] = True
         self.packed = {p: i.to_bytes(4, "little") for p, i in model.ids.items()}
 
     def words(self, text: str) -> list[str]:
+        return self.WORD.findall((MARK if self.m.dummy_prefix else "") + text.replace(" ", MARK))
+
+    def _keys(self, text: str) -> list[str]:
+        """The words, without their mark where each has just one and the text has none of its own; then no other key is without it."""
         if MARK in text or "  " in text or text[-1] == " " or text[0] == " " or not self.m.dummy_prefix:
-            return self.WORD.findall((MARK if self.m.dummy_prefix else "") + text.replace(" ", MARK))
-        return (MARK + text.replace(" ", " " + MARK)).split(" ")
+            return self.words(text)
+        return text.split(" ")
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as 32-bit little-endian integers."""
-        split = [self.words(t) if t else [] for t in texts]
+        split = [self._keys(t) if t else [] for t in texts]
         fresh = set().union(*split).difference(self.kept)
         if len(self.kept) + len(fresh) > KEPT_WORDS:
             self.kept = {}
             fresh = set().union(*split)
-        (self._walk_bpe if self.m.kind == BPE else self._walk_unigram)(sorted(fresh))
+        if fresh:
+            self._learn(list(fresh))
         get = self.kept.__getitem__
         return [b"".join(map(get, own)) for own in split]
 
+    def _learn(self, keys: list[str]) -> None:
+        """Keep the ids of new words, which are those of their parts one after another."""
+        words = [k if k[0] == MARK else MARK + k for k in keys] if self.m.dummy_prefix else keys
+        text = "".join(words)
+        codes = _codes(text)
+        first = np.ones(len(codes) + 1, bool)
+        first[1:-1] = ~self.joined[_slots(codes[:-1], codes[1:])]
+        bounds = np.cumsum([0, *map(len, words)])
+        first[bounds] = True
+        starts = np.flatnonzero(first)
+        parts = [text[a:b] for a, b in pairwise(starts.tolist())]
+        fresh = set(parts).difference(self.parts)
+        if len(self.parts) + len(fresh) > KEPT_PARTS:
+            self.parts = {}
+            fresh = set(parts)
+        (self._walk_bpe if self.m.kind == BPE else self._walk_unigram)(sorted(fresh))
+        packed = list(map(self.parts.__getitem__, parts))
+        places = np.searchsorted(starts, bounds).tolist()
+        self.kept.update(zip(keys, [packed[a] if b - a == 1 else b"".join(packed[a:b]) for a, b in pairwise(places)]))
+
     def _walk_bpe(self, words: list[str]) -> None:
-        """Depth-first over the trie of sorted words; starts[k] and pieces[k] tell the last piece of the first k characters.
+        """Depth-first over the trie of sorted words; pieces[k] is the last piece of the first k characters, states[k] their ids.
 
         Of the suffix pieces of a prefix, that is the one which its merges
         leave beside the last piece before it; if no longer one is, it is the last character.
         """
-        ids, fits, ends, m = self.m.ids, self.fits, self.ends, self.m
-        starts, pieces, last = [0], [""], ""
+        fits, tails, packed = self.fits, self.tails, self.packed
+        pieces, states, last = [""], [b""], ""
         for word in words:
             n = len(word)
             if n > LONG_WORD:
-                self.kept[word] = self._bytes(_merge(word, m))
+                self.parts[word] = self._bytes(_merge(word, self.m))
                 continue
             k = 0
             for a, b in zip(word, last):
                 if a != b:
                     break
                 k += 1
-            del starts[k + 1 :], pieces[k + 1 :]
+            del pieces[k + 1 :], states[k + 1 :]
             for end in range(k + 1, n + 1):
-                for size in ends.get(word[end - 2 : end], ()) if end > 1 else ():
+                tail = word[end - TAIL : end] if end > TAIL else word[:end]
+                sizes = tails.get(tail)
+                if sizes is None:
+                    sizes = self._sizes(tail)
+                for size in sizes:
                     start = end - size
-                    if start < 0 or (piece := word[start:end]) not in ids:
+                    if start < 0 or (known := fits.get(piece := word[start:end])) is None:
                         continue
-                    before = pieces[start]
-                    ok = fits.get((before, piece))
+                    ok = known.get(before := pieces[start])
                     if ok is None:
-                        if len(fits) > KEPT_WORDS:
-                            fits.clear()
-                        ok = fits[before, piece] = _merge(before + piece, m) == ([before, piece] if before else [piece])
+                        ok = self._keep(before, piece)
                     if ok:
                         break
                 else:
                     start, piece = end - 1, word[end - 1]
-                starts.append(start)
                 pieces.append(piece)
+                states.append(states[start] + packed[piece] if piece in packed else self._unknown(states[start], piece))
             last = word
-            out, end = [], n
-            while end:
-                out.append(pieces[end])
-                end = starts[end]
-            self.kept[word] = self._bytes(out[::-1])
+            self.parts[word] = states[n]
+
+    def _keep(self, before: str, piece: str) -> bool:
+        if self.known > KEPT_WORDS:
+            self.known = 0
+            for own in self.fits.values():
+                own.clear()
+        self.known += 1
+        ok = self.fits[piece][before] = self._beside(before, piece)
+        return ok
+
+    def _unknown(self, state: bytes, piece: str) -> bytes:
+        """Ids with those of an unknown character after them: its bytes, else one id for all that stand side by side."""
+        if self.m.byte_ids or state[-4:] != self.m.unk.to_bytes(4, "little"):
+            return state + self._bytes([piece])
+        return state
+
+    def _sizes(self, tail: str) -> tuple[int, ...]:
+        """Lengths of the pieces of two characters or more that a string with this tail may end with."""
+        if len(self.tails) > KEPT_WORDS:
+            self.tails.clear()
+        own = [k for k in range(2, len(tail) + 1) if tail[-k:] in self.m.ids]
+        found = self.tails[tail] = (*own, *self.longer.get(tail, ()))
+        return found
+
+    def _beside(self, a: str, b: str) -> bool:
+        """Whether the merges of a + b leave just these two pieces, or b alone where a is empty.
+
+        As long as none crosses the bound, either side's merges are its own,
+        taken by their scores, the left side's first. One that crosses must
+        never be the next: it comes after better ones and equal ones to its left.
+        """
+        left, right = self._merges(a), self._merges(b)
+        if left is None or right is None:
+            return False
+        if not a:
+            return True
+        ids, scores = self.m.ids, self.m.scores
+        i = j = 0
+        end, start = a[-1], b[0]
+        worst = float("-inf")
+        across = ids.get(end + start)
+        while True:
+            next_a = left[i][0] if i < len(left) else worst
+            next_b = right[j][0] if j < len(right) else worst
+            if across is not None and (s := scores[across]) >= next_b and s > next_a:
+                return False
+            if i < len(left) and (next_a >= next_b or j == len(right)):
+                own, i = left[i][2], i + 1
+                if own != end:
+                    end, across = own, ids.get(own + start)
+            elif j < len(right):
+                own, j = right[j][1], j + 1
+                if own != start:
+                    start, across = own, ids.get(end + own)
+            else:
+                return True
+
+    def _merges(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its characters: score, and the first and last part after each; None if they don't make it."""
+        if len(piece) < 2:
+            return []
+        if piece not in self.made:
+            steps: list[tuple[float, str, str]] = []
+            self.made[piece] = steps if len(_merge(piece, self.m, steps)) < 2 else None
+        return self.made[piece]
 
     def _walk_unigram(self, words: list[str]) -> None:
         """Depth-first over the trie of sorted words; states[k] is the best score, start and last piece of the first k characters."""
@@ -176,7 +287,7 @@ class Encoder:
             for end in range(k + 1, len(word) + 1):
                 states.append(self._viterbi_step(word, end, states))
             last = word
-            self.kept[word] = self._bytes(_backtrack(word, states))
+            self.parts[word] = self._bytes(_backtrack(word, states))
 
     def _viterbi_step(self, word: str, end: int, states: list[tuple]) -> tuple:
         """Best score over all last pieces; an unknown character costs ten more than the worst piece."""
@@ -206,9 +317,14 @@ class Encoder:
                     out.append(self.m.unk)
             return np.array(out, dtype="<i4").tobytes()
 
-    def decode(self, ids: list[int]) -> str:
-        """The text again: byte pieces joined, marks as spaces, without the first one if the model adds it."""
-        text = b"".join(map(self.octets.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The text again: the pieces' bytes joined, marks as spaces, without the first one if the model adds it."""
+        ids = np.asarray(ids, dtype=np.int32)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        places = np.repeat(self.starts[ids] - ends + sizes, sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        text = self.octets[places].tobytes().decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.m.dummy_prefix and text[:1] == " " else text
 
 
@@ -221,8 +337,19 @@ def _backtrack(word: str, states: list[tuple]) -> list[str]:
     return out[::-1]
 
 
-def _merge(word: str, m: Model) -> list[str]:
-    """BPE by its rule: merge the adjacent pair whose piece scores best, leftmost first, until none is a piece."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b) & np.uint32(SLOTS - 1)
+
+
+def _merge(word: str, m: Model, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+    """BPE by its rule: merge the adjacent pair whose piece scores best, leftmost first, until none is a piece.
+
+    ``steps``, if given, gets each merge's score and the first and last part after it.
+    """
     import heapq
 
     parts: list[str] = list(word)
@@ -236,8 +363,9 @@ def _merge(word: str, m: Model) -> list[str]:
 
     for k in range(n - 1):
         offer(k, k + 1)
+    end = n - 1
     while heap:
-        _, a, made = heapq.heappop(heap)
+        score, a, made = heapq.heappop(heap)
         b = right[a]
         if not parts[a] or b < 0 or parts[a] + parts[b] != made:
             continue
@@ -245,6 +373,10 @@ def _merge(word: str, m: Model) -> list[str]:
         right[a] = right[b]
         if right[b] >= 0:
             left[right[b]] = a
+        if b == end:
+            end = a
+        if steps is not None:
+            steps.append((-score, parts[0], parts[end]))
         offer(left[a], a)
         offer(a, right[a])
     return [p for p in parts if p]
@@ -267,7 +399,7 @@ def encoded(documents: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             ids = [np.frombuffer(x, dtype="<i4") for x in encoder.encode_batch(texts)]
-            again = [encoder.decode(x.tolist()) for x in ids]
+            again = [encoder.decode(x) for x in ids]
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(

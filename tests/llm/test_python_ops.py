@@ -425,6 +425,40 @@ def test_ids_equal_the_library(spark):
     assert all(encoder.decode(i) == (t or "") for i, t in zip(ids, texts) if "▁" not in (t or ""))
 
 
+def test_merges_are_run_once_a_piece_and_parts_walked_once(monkeypatch):
+    merged, walked = [], []
+    merge, walk = sentencepiece._merge, sentencepiece.Encoder._walk_bpe
+    monkeypatch.setattr(sentencepiece, "_merge", lambda word, *args: (merged.append(word), merge(word, *args))[1])
+    monkeypatch.setattr(sentencepiece.Encoder, "_walk_bpe", lambda self, words: (walked.extend(words), walk(self, words))[1])
+    model = sentencepiece.load_model(sentencepiece.DEFAULT_MODEL)
+    encoder = sentencepiece.Encoder(model)
+    for text in ("the rest.", "the rest,\nrest", "rest; the (other) others"):
+        encoder.encode_batch([text])
+    assert len(walked) == len(set(walked)) and "▁rest" in walked and not any("." in w or "," in w or "\n" in w for w in walked if len(w) > 1)
+    assert merged and len(merged) == len(set(merged)) and all(w in model.ids for w in merged)
+
+
+@pytest.mark.parametrize("octets", [False, True])
+def test_any_model_gives_what_its_merges_give(octets):
+    """Scores that tie, rise with later merges, pieces that nothing makes, unknown characters with and without bytes."""
+    rng = random.Random(5)
+    for _ in range(150):
+        held = {"▁", "a", "b", "c", "d", "."} | {rng.choice(["", "▁"]) + "".join(rng.choice("abcd" if rng.random() < 0.9 else "ab.") for _ in range(rng.randrange(2, 6))) for _ in range(25)}
+        byte_names = [f"<0x{b:02X}>" for b in range(256)] if octets else []
+        names = ["<unk>", *byte_names, *sorted(held)]
+        low = len(byte_names) + 1
+        scores = [0.0] * low + [float(-rng.randrange(12)) for _ in names[low:]]
+        m = sentencepiece.Model(sentencepiece.BPE, names, scores, {p: i for i, p in enumerate(names) if i >= low}, 0, {b: 1 + b for b in range(256)} if octets else {})
+        encoder = sentencepiece.Encoder(m)
+        texts = [" ".join("".join(rng.choice("aabbcd.é?") for _ in range(rng.randrange(1, 12))) for _ in range(4)) for _ in range(40)] + ["a b", "a  b", " a b", "▁a b", "a▁ b ", "?", "??é"]
+        got = [np.frombuffer(x, "<i4").tolist() for x in encoder.encode_batch(texts)]
+        for text, ids in zip(texts, got):
+            want = b"".join(encoder._bytes(sentencepiece._merge(w, m)) for w in encoder.words(text))
+            assert ids == np.frombuffer(want, "<i4").tolist(), (text, held)
+            if octets:
+                assert encoder.decode(ids) == text.replace("▁", " ")
+
+
 def test_unigram_is_viterbi():
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.0, "▁a": -2.5, "ab": -2.2, "▁ab": -6.0, "bb": -1.0}
     names = ["<unk>", *pieces]
